@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm import pii
+from tidemark.llm import pii, simhash
 from tidemark.llm.common import table
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
+
+
 def op2_pii(spark, sf_dir):
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_pii": op2_pii}
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
