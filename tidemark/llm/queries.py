@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import packing, pii, quality, simhash
+from tidemark.llm import packing, pii, quality, simhash, warc
 from tidemark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_pii(spark, sf_dir):
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -23,7 +27,7 @@ def op6_packing(spark, sf_dir):
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op5_quality": op5_quality, "op6_packing": op6_packing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_warc": op3_warc, "op5_quality": op5_quality, "op6_packing": op6_packing}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
