@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import packing, pii, quality, simhash, warc
+from tidemark.llm import decontaminate, packing, pii, quality, simhash, warc
 from tidemark.llm.common import table
 
 
@@ -27,7 +27,11 @@ def op6_packing(spark, sf_dir):
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_warc": op3_warc, "op5_quality": op5_quality, "op6_packing": op6_packing}
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_warc": op3_warc, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_decontaminate": op7_decontaminate}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
