@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, packing, pii, quality, simhash, warc
+from tidemark.llm import decontaminate, imatch, packing, pii, quality, simhash, warc
 from tidemark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_imatch(spark, sf_dir):
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -31,7 +35,7 @@ def op7_decontaminate(spark, sf_dir):
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_warc": op3_warc, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_decontaminate": op7_decontaminate}
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_warc": op3_warc, "op4_imatch": op4_imatch, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_decontaminate": op7_decontaminate}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
