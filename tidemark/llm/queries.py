@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, imatch, packing, pii, quality, simhash, warc
+from tidemark.llm import decontaminate, imatch, packing, pii, quality, secrets, simhash, warc
 from tidemark.llm.common import table
 
 
@@ -35,7 +35,11 @@ def op7_decontaminate(spark, sf_dir):
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_warc": op3_warc, "op4_imatch": op4_imatch, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_decontaminate": op7_decontaminate}
+def op8_secrets(spark, sf_dir):
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_warc": op3_warc, "op4_imatch": op4_imatch, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_decontaminate": op7_decontaminate, "op8_secrets": op8_secrets}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
