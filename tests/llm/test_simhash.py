@@ -64,3 +64,39 @@ def test_rows(spark):
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string"))
     assert sorted((r.doc_id or -1, r.component_id) for r in got.collect()) == [(-1, 3), (3, 3), (5, 3), (8, 8), (8, 8), (9, 8)]
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(4)
+    say = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    rows, keep = [], []
+    for k in range(60):
+        words = say(rng.randint(150, 300))
+        keep.append(10 * k)
+        rows.append((10 * k, " ".join(words), "en"))
+        for copy in range(1, 1 + k % 4):
+            other = list(words)
+            if copy > 1:
+                other[rng.randrange(len(other))] = "changed"
+            rows.append((10 * k + copy, " ".join(other).upper() if copy == 3 else " ".join(other), "en"))
+    rows += [(1000, None, "en"), (1001, "", "en"), (None, "alone here", "en"), (2000, "short", "en"), (2000, "short", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in got.collect()) == sorted([*keep, 1000, -1, 2000])
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_wide_groups_are_sliced(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(400)}" for _ in range(300)]
+    texts = []
+    for _ in range(80):
+        other = list(words)
+        other[rng.randrange(300)] = f"c{rng.random()}"
+        texts.append(" ".join(other))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = simhash.wide_fingerprints(df, 5).drop("doc_id", "text_hash")
+    for hot in (7, 1000):
+        roots = simhash.connected_components(simhash.wide_links(nodes, simhash.wide_radius(0.8), hot).distinct()).collect()
+        assert len(roots) == 80 and len({r.root for r in roots}) == 1

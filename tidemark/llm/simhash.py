@@ -8,6 +8,9 @@ by more than the radius everywhere. A group yields a spanning forest of its link
 Scale: equal fingerprints count once, so copies never meet in a group. A group above HOT distinct fingerprints is dealt out by bit
 count (and by a hash of the fingerprint where one bit count is still too large), each pair of tiles to a task of its own.
 
+Blocks of bits only help at a small radius. For the removal of near-duplicates by similarity (five-word shingles, 0.8) fingerprints have
+256 bits and the radius is the expected distance plus one deviation; there, groups share a least shingle hash instead.
+
 Defined results: a null or blank text has fingerprint 0, which links like any other; a null doc_id keeps its fingerprint and its
 component is the smallest non-null doc_id there (null if there is none); repeated rows stay; an empty table gives no rows; other
 columns of the input are ignored; every text is read whole.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, cut
+from tidemark.llm.common import connected_components, cut, stored
 
 KEPT = 2
 HOT = 4096
@@ -45,8 +49,11 @@ def shingle_hashes(text: str | None, size: int, seed: int = 42) -> np.ndarray:
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
-    """A bit is set where over half of the shingles' hashes have it."""
-    h = shingle_hashes(text, size)
+    return folded(shingle_hashes(text, size))
+
+
+def folded(h: np.ndarray) -> int:
+    """A bit is set where over half of the hashes have it."""
     if not len(h):
         return 0
     bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -71,17 +78,21 @@ def masks(radius: int) -> list[int]:
     return [sum(part[k] for k in chosen) for chosen in itertools.combinations(range(blocks), KEPT)]
 
 
-def _forest(fp: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32) <= radius
+
+
+def _forest(node: np.ndarray, u: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links of one group, ordered by bit count, as a spanning forest. side: 0 or 1 where only links between both sides are asked for, else 2."""
-    n, u = len(fp), fp.view(np.uint64)
-    count = np.bitwise_count(u).astype(np.int16)
+    n = len(node)
+    count = np.bitwise_count(u).sum(axis=1, dtype=np.int32)
     label, out = np.arange(n), []
     for a in range(0, n, TILE):
         for b in range(a, n, TILE):
             x, y = slice(a, a + TILE), slice(b, b + TILE)
             if count[b] - count[x][-1] > radius:
                 break  # the tiles are in the order of bit counts
-            near = np.bitwise_count(u[x][:, None] ^ u[y][None, :]) <= radius
+            near = _near(u[x][:, None], u[y][None, :], radius)
             if a == b:
                 near = np.triu(near, 1)
             if (side[x] < 2).any():
@@ -90,40 +101,39 @@ def _forest(fp: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, in
                 js = b + np.flatnonzero(near[i])
                 for j in js[np.unique(label[js], return_index=True)[1]]:
                     if label[j] != label[a + i]:
-                        out.append((int(fp[a + i]), int(fp[j])))
+                        out.append((int(node[a + i]), int(node[j])))
                         label[label == label[j]] = label[a + i]
     return out
 
 
-def _small_links(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
+def _small_links(key: np.ndarray, node: np.ndarray, u: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
     """Links within many small groups at once: rows d apart in the same group, for d = 1, 2, ... while any group is that long."""
-    u, out, at = fp.view(np.uint64), [], np.arange(len(fp))
-    d = 1
-    while len(at := at[at + d < len(fp)]) and len(at := at[key[at] == key[at + d]]):
-        hit = at[(np.bitwise_count(u[at] ^ u[at + d]) <= radius) & ((side[at] != side[at + d]) | (side[at] == 2))]
-        out.append(np.stack([fp[hit], fp[hit + d]], 1))
+    out, at, d = [], np.arange(len(node)), 1
+    while len(at := at[at + d < len(node)]) and len(at := at[key[at] == key[at + d]]):
+        hit = at[_near(u[at], u[at + d], radius) & ((side[at] != side[at + d]) | (side[at] == 2))]
+        out.append(np.stack([node[hit], node[hit + d]], 1))
         d += 1
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
 def _compare(batches, radius: int):
-    """Rows come ordered by group; the last group of a batch waits for the next batch."""
-    names = ["a", "b"]
+    """Rows (key, side, node, fingerprint words) come ordered by group; the last group of a batch waits for the next batch."""
 
-    def links(key, fp, side):
+    def links(key, side, node, *fp):
+        u = np.stack(fp, 1).view(np.uint64)
         edge = np.flatnonzero(np.diff(key)) + 1
         start, stop = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
-        large = stop - start > TILE
+        large = stop - start > TILE // 4
         keep = np.repeat(~large, stop - start)
-        found = [_small_links(key[keep], fp[keep], side[keep], radius)]
+        found = [_small_links(key[keep], node[keep], u[keep], side[keep], radius)]
         for a, b in zip(start[large], stop[large]):
-            found.append(np.array(_forest(fp[a:b], side[a:b], radius), np.int64).reshape(-1, 2))
+            found.append(np.array(_forest(node[a:b], u[a:b], side[a:b], radius), np.int64).reshape(-1, 2))
         found = np.concatenate(found)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     held = None
     for batch in batches:
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
         other = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else held[0]
         first = other[-1] + 1 if len(other) else 0
@@ -134,13 +144,19 @@ def _compare(batches, radius: int):
         yield links(*held)
 
 
+def _compared(dealt: DataFrame, words: list[str], radius: int) -> DataFrame:
+    bits = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
+    ordered = dealt.select("key", F.col("side").cast("int"), "node", *words).repartition("key").sortWithinPartitions("key", bits, "node")
+    return ordered.mapInArrow(functools.partial(_compare, radius=radius), "a long, b long")
+
+
 def links(fps: DataFrame, radius: int = 2, hot: int = HOT) -> DataFrame:
     """(a, b): a spanning forest, in each group, of the links between the distinct fingerprints `fp`."""
-    each = F.array(*(F.struct(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))).alias("key")) for k, m in enumerate(masks(radius))))
-    grouped = fps.select("fp", F.explode(each).alias("g")).select("fp", "g.key")
+    each = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(masks(radius))))
+    grouped = fps.select("fp", F.explode(each).alias("key"))
     sizes = grouped.groupBy("key").count().where("count > 1")
     grouped = grouped.join(sizes, "key").withColumn("bits", F.bit_count("fp"))
-    small = grouped.where(F.col("count") <= hot).select("key", "fp", F.lit(2).alias("side"))
+    small = grouped.where(F.col("count") <= hot).select("key", F.lit(2).alias("side"), "fp")
     # A hot group becomes tiles of one bit count and one slice each; a tile meets itself and those within the radius.
     slices = F.ceil(F.col("count") / F.lit(8 * hot)).cast("int")
     tile = grouped.where(F.col("count") > hot).withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int"))
@@ -148,10 +164,8 @@ def links(fps: DataFrame, radius: int = 2, hot: int = HOT) -> DataFrame:
     met = tile.select("*", other).select("*", F.explode(F.expr("sequence(0, slices - 1)")).alias("o"))
     # The pair's name is the same from both ends; `side` tells which end a row is.
     here, there = F.struct("bits", F.col("own").alias("s")), F.struct((F.col("bits") + F.col("d")).alias("bits"), F.col("o").alias("s"))
-    large = met.select(F.xxhash64("key", F.least(here, there), F.greatest(here, there)).alias("key"), "fp", F.when(here == there, 2).when(here < there, 0).otherwise(1).alias("side"))
-    dealt = small.unionByName(large).select(F.col("key"), F.col("fp"), F.col("side").cast("int"))
-    ordered = dealt.repartition("key").sortWithinPartitions("key", F.bit_count("fp"), "fp")
-    return ordered.mapInArrow(functools.partial(_compare, radius=radius), "a long, b long")
+    large = met.select(F.xxhash64("key", F.least(here, there), F.greatest(here, there)).alias("key"), F.when(here == there, 2).when(here < there, 0).otherwise(1).alias("side"), "fp")
+    return _compared(small.unionByName(large).withColumn("node", F.col("fp")), ["fp"], radius)
 
 
 def components(fps: DataFrame, radius: int = 2) -> DataFrame:
@@ -168,3 +182,61 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFram
     """doc_id, fingerprint (16 hex digits) and component_id for every row of docs(doc_id, text)."""
     fps = cut(fingerprints(docs, size))
     return components(fps, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+WIDE = (42, 43, 44, 45)
+
+
+def wide_radius(similarity: float) -> int:
+    """Bits in which wide fingerprints of texts with this Jaccard similarity of shingles are expected to differ, and one deviation more."""
+    bits = 64 * len(WIDE)
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, text_hash, node, w0.., keys): fingerprints of 64 bits by each seed in WIDE, a hash of them all, and the least shingle hash by each seed."""
+
+    def one(text):
+        hashes = [shingle_hashes(text, size, seed) for seed in WIDE]
+        return [folded(h) for h in hashes], [int(h.min().view(np.int64)) for h in hashes if len(h)]
+
+    def rows(batches):
+        for batch in batches:
+            made = [one(t.as_py()) for t in batch.column(2)]
+            words = np.array([w for w, _ in made], np.uint64).reshape(-1, len(WIDE))
+            node = [xxhash.xxh64_intdigest(w.tobytes()) for w in words]
+            cols = [pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(words[:, k].copy().view(np.int64)) for k in range(len(WIDE))), pa.array([k for _, k in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "text_hash", "node", *names, "keys"])
+
+    names = [f"w{k}" for k in range(len(WIDE))]
+    schema = f"doc_id long, text_hash long, node long, {', '.join(f'{n} long' for n in names)}, keys array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(rows, schema)
+
+
+def wide_links(nodes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
+    """Links between nodes(node, w0.., keys) at large radii, where no block of bits need agree: groups share the least shingle hash of a seed.
+
+    Texts with a Jaccard similarity of 0.8 share one of four least hashes but for 0.2 ** 4 of such pairs.
+    """
+    words = [f"w{k}" for k in range(len(WIDE))]
+    grouped = nodes.select("node", *words, F.posexplode("keys").alias("k", "v")).select("node", *words, F.xxhash64("k", "v").alias("key"))
+    sizes = grouped.groupBy("key").count().where("count > 1").withColumn("slices", F.ceil(F.col("count") / F.lit(hot)).cast("int"))
+    sliced = grouped.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    met = sliced.select("*", F.explode(F.expr("sequence(0, slices - 1)")).alias("o"))
+    dealt = met.select(F.xxhash64("key", F.least("own", "o"), F.greatest("own", "o")).alias("key"), F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1).alias("side"), "node", *words)
+    return _compared(dealt, words, radius)
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each group the row with the smallest doc_id stays (nulls last; of equal rows, one)."""
+    prints = stored(wide_fingerprints(docs, size), "wide-fingerprints")
+    words = [f"w{k}" for k in range(len(WIDE))]
+    nodes = prints.groupBy("node", *words).agg(F.first("keys").alias("keys"))
+    linked = connected_components(wide_links(nodes, wide_radius(similarity)).distinct())
+    rooted = prints.join(linked, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "text_hash")
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m")).select(F.col("m.doc_id").alias("kept_id"), F.col("m.text_hash").alias("kept_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash"))
+    out = docs.join(kept, same, "left_semi")
+    repeated = prints.groupBy("doc_id", "text_hash").count().where("count > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
