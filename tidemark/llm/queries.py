@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, imatch, packing, pii, quality, secrets, simhash, warc
+from tidemark.llm import decontaminate, imatch, packing, pii, quality, secrets, simhash, suffixes, superkmers, warc
 from tidemark.llm.common import table
 
 
@@ -39,7 +39,15 @@ def op8_secrets(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_warc": op3_warc, "op4_imatch": op4_imatch, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_decontaminate": op7_decontaminate, "op8_secrets": op8_secrets}
+def op9_suffixes(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_superkmers(spark, sf_dir):
+    return superkmers.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_warc": op3_warc, "op4_imatch": op4_imatch, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_decontaminate": op7_decontaminate, "op8_secrets": op8_secrets, "op9_suffixes": op9_suffixes, "op10_superkmers": op10_superkmers}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
