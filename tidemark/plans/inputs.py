@@ -71,7 +71,7 @@ def states(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Columns that are the same doubles in any engine: inputs, and a single operation on them.
-EXACT = {"open", "high", "low", "close", "adj_close", "volume", "price", "quantity", "change"}
+EXACT = {"open", "high", "low", "close", "adj_close", "volume", "price", "quantity", "change", "true_range"}
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:

@@ -45,7 +45,7 @@ def put(name: str, needs: str, sql: str, more: dict[str, str] | None = None) ->
     ORACLE_SQL[name] = (f"WITH {', '.join(with_)} " if with_ else "") + sql
 
 
-EXACT = {"open", "high", "low", "close", "adj_close", "volume", "price", "quantity", "change"}
+EXACT = {"open", "high", "low", "close", "adj_close", "volume", "price", "quantity", "change", "true_range"}
 
 
 def R(names: str) -> str:
@@ -305,7 +305,7 @@ put("bh_adjust", "", f"SELECT model, {R('p p_adj')} FROM (SELECT model, p, least
 })
 put("latest_run", "", f"SELECT target, experiment, run_id, {R('score')} FROM (SELECT o_orderstatus AS target, o_orderpriority AS experiment, max(o_orderkey) AS run_id, arg_max(o_totalprice, o_orderkey) AS score FROM orders GROUP BY 1, 2)")
 put("top_contributions", "rets", f"SELECT ticker, date, feature, {R('value')}, rank FROM r", {
-    "x": "SELECT ticker, date, u.feature, round(u.value, 9) AS value FROM rets, LATERAL (VALUES ('a', ret_1d), ('b', high / low - 1.5), ('c', open / close - 1)) u(feature, value) WHERE ret_1d IS NOT NULL",
+    "x": "SELECT ticker, date, u.feature, round(u.value, 6) AS value FROM rets, LATERAL (VALUES ('a', ret_1d), ('b', high / low - 1.5), ('c', open / close - 1)) u(feature, value) WHERE ret_1d IS NOT NULL",
     "r": "SELECT *, row_number() OVER (PARTITION BY ticker, date, sign(value) ORDER BY abs(value) DESC, feature) AS rank FROM x WHERE value <> 0 QUALIFY rank <= 2",
 })
 put("importance_stability", "book", f"SELECT feature, appearances, {R('mean_rank std_rank')} FROM (SELECT feature, sum((r <= 3)::INT)::BIGINT AS appearances, avg(r) AS mean_rank, stddev_pop(r) AS std_rank FROM q GROUP BY 1)", {

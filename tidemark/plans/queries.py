@@ -435,7 +435,7 @@ def latest_run(spark, d):
 @query
 def top_contributions(spark, d):
     rows = D.returns(spark, d).select(*KEY, F.create_map(F.lit("a"), F.col("ret_1d"), F.lit("b"), F.col("high") / F.col("low") - 1.5, F.lit("c"), F.col("open") / F.col("close") - 1).alias("contributions")).where("ret_1d is not null")
-    return models.top_contributions(rows.withColumn("contributions", F.transform_values("contributions", lambda k, x: F.round(x, 9))), KEY, 2).drop("sign")
+    return models.top_contributions(rows.withColumn("contributions", F.transform_values("contributions", lambda k, x: F.round(x, 6))), KEY, 2).drop("sign")
 
 
 @query
