@@ -70,6 +70,7 @@ def test_bytes_match_brute_force(spark):
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, mask string").repartition(5)
     got = sorted(tuple(r) for r in suffixes.remove_repeats(df).collect())
     assert got == brute_bytes(rows)
+    assert sorted(tuple(r) for r in suffixes.remove_repeats(df, hot=2).collect()) == got
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
 
 
@@ -79,6 +80,7 @@ def test_words_match_brute_force(spark):
     df = spark.createDataFrame([(d, t, "x") for d, t in rows] + [(None, None, "x")], "doc_id long, text string, mini string").repartition(5)
     got = sorted((tuple(r) for r in superkmers.remove_repeats(df).where("doc_id is not null").collect()), key=str)
     assert got == sorted(brute_words(rows), key=str)
+    assert sorted((tuple(r) for r in superkmers.remove_repeats(df, hot=2).where("doc_id is not null").collect()), key=str) == got
     assert superkmers.remove_repeats(df.limit(0)).count() == 0
 
 

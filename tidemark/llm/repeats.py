@@ -11,7 +11,7 @@ string. The steps:
 5. Decisions return to all occurrences of a string, and by document to the text.
 
 Scale: each shuffle is by a hash; hot minimisers are pre-aggregated in 1 and 3, and the joins of 1 and 5 can be split by Spark. A bucket
-keeps only the windows' hashes of its distinct strings at once. Whether a document matters for 2 and 5 is first asked from a bit table
+of over HOT distinct strings is not given to one task: its windows are grouped one by one, pre-aggregated, with the same result. Whether a document matters for 2 and 5 is first asked from a bit table
 of fixed size, which only saves work: the join decides. A finished step is a table in the shared folder, so a lost executor costs its
 tasks alone, and the shuffle files before it can go.
 """
@@ -33,17 +33,20 @@ from tidemark.llm.common import stored
 BITS = 1 << 24
 MUL = np.uint64(0x9E3779B97F4A7C15)
 LAST = (1 << 63) - 1
+#: Distinct strings of a bucket that one task takes; larger buckets are decided window by window.
+HOT = 20_000
 
 
 @dataclasses.dataclass(frozen=True)
 class Kind:
-    """split: the units of a text; hashes: one of each unit; join: units from a to b as a packed string."""
+    """split: the units of a text; hashes: one of each unit; join: units from a to b as a packed string; unpack: its units again."""
 
     window: int
     anchor: int
     split: Callable
     hashes: Callable
     join: Callable
+    unpack: Callable
 
     @property
     def reach(self) -> int:
@@ -202,7 +205,42 @@ def by_bucket(rows: DataFrame, decide: Callable, most: int = 2000) -> DataFrame:
     return rows.repartition("mini").sortWithinPartitions("mini", "dig").mapInArrow(run, "mini long, dig long, mask binary")
 
 
-def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, finish: Callable, schema: str, names: list[str]) -> DataFrame:
+def by_window(rows: DataFrame, kind: Kind, keep_first: bool) -> DataFrame:
+    """(mini, dig, mask) as by_bucket gives, for buckets of any size: windows are grouped one by one, by a hash of 128 bits, pre-aggregated."""
+
+    def spread(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                n = part.column("n").to_numpy()
+                hashes = [xxhash.xxh3_128_digest(kind.join(u, k, k + kind.window)) for u, m in ((kind.unpack(p.as_py()), m) for p, m in zip(part.column("packed"), n.tolist())) for k in range(m)]
+                h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                own = np.repeat(np.arange(len(n)), n)
+                offset = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                at = part.column("fstart").to_numpy()[own] + offset
+                cols = [part.column(c).take(pa.array(own)) for c in ("mini", "dig", "n", "count", "fdid", "frid")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(at.astype(np.int64)), pa.array(offset.astype(np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=names)
+
+    names = ["mini", "dig", "n", "count", "fdid", "frid", "at", "offset", "h1", "h2"]
+    windows = rows.select("mini", "dig", "count", "n", "fdid", "frid", "fstart", "packed").mapInArrow(spread, "mini long, dig long, n int, count long, fdid long, frid long, at long, offset int, h1 long, h2 long")
+    place = F.struct("fdid", "frid", "at")
+    groups = windows.groupBy("h1", "h2").agg(F.sum("count").alias("total"), F.min(place).alias("first"))
+    again = (place != F.col("first")) if keep_first else (F.col("total") > 1)
+    met = windows.join(groups, ["h1", "h2"]).groupBy("mini", "dig").agg(F.first("n").alias("n"), F.collect_list(F.when(again, F.col("offset"))).alias("offsets"))
+
+    def bits(batches):
+        for batch in batches:
+            masks = []
+            for n, offsets in zip(batch.column("n").to_pylist(), batch.column("offsets")):
+                m = np.zeros(n, bool)
+                m[offsets.values.to_numpy()] = True
+                masks.append(np.packbits(m).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("mini"), batch.column("dig"), pa.array(masks, pa.binary())], names=["mini", "dig", "mask"])
+
+    return met.mapInArrow(bits, "mini long, dig long, mask binary")
+
+
+def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, finish: Callable, schema: str, names: list[str], hot: int = HOT) -> DataFrame:
     """The whole traffic. finish(text, units, removed): a row's values after doc_id; removed: a mask of units, or None for none.
 
     keep_first: a string's mask holds for its first occurrence and the others go as a whole; else it holds for all of them.
@@ -221,7 +259,12 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
     flat = distinct.select("mini", "dig", "count", F.col("first.did").alias("fdid"), F.col("first.rid").alias("frid"), F.col("first.start").alias("fstart"), "n", "twice", "packed")
     flat = stored(flat, "distinct-strings")
     release(spark)
-    masks = stored(by_bucket(flat, decide).join(flat.select("mini", "dig", "frid", "fstart"), ["mini", "dig"]) if keep_first else by_bucket(flat, decide), "masks")
+    large = flat.groupBy("mini").count().where(F.col("count") > hot).select("mini")
+    large = stored(large, "hot-minimisers")
+    decided = by_bucket(flat.join(large, "mini", "left_anti"), decide)
+    if not large.isEmpty():
+        decided = decided.unionByName(by_window(flat.join(large, "mini", "left_semi"), kind, keep_first))
+    masks = stored(decided.join(flat.select("mini", "dig", "frid", "fstart"), ["mini", "dig"]) if keep_first else decided, "masks")
     release(spark)
     met = strings.select("mini", "dig", "rid", "start", "n").join(masks, ["mini", "dig"])
     whole = (~((F.col("rid") == F.col("frid")) & (F.col("start") == F.col("fstart")))) if keep_first else F.lit(False)

@@ -18,12 +18,12 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tidemark.llm.repeats import Kind, mixed, remove
+from tidemark.llm.repeats import HOT, Kind, mixed, remove
 
 WINDOW, ANCHOR = 100, 24
 END = 255  # no byte of UTF-8
 
-BYTES = Kind(WINDOW, ANCHOR, lambda t: np.frombuffer(t.encode(), np.uint8), lambda u: mixed(u.astype(np.uint64) + np.uint64(1)), lambda u, a, b: u[a:b].tobytes())
+BYTES = Kind(WINDOW, ANCHOR, lambda t: np.frombuffer(t.encode(), np.uint8), lambda u: mixed(u.astype(np.uint64) + np.uint64(1)), lambda u, a, b: u[a:b].tobytes(), lambda p: np.frombuffer(p, np.uint8))
 
 
 def columns(strings: list[bytes], most: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,6 +111,6 @@ def _finish(text, units, removed):
     return len(units), int(removed.sum()), int(edges), hashlib.sha256(units[~removed].tobytes()).hexdigest()
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs(doc_id, text)."""
-    return remove(docs, BYTES, decide, True, _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return remove(docs, BYTES, decide, True, _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], hot)

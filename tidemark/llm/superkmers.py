@@ -16,7 +16,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
-from tidemark.llm.repeats import Kind, remove, rolled
+from tidemark.llm.repeats import HOT, Kind, remove, rolled
 
 WINDOW, ANCHOR = 35, 8
 
@@ -25,7 +25,7 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-WORDS = Kind(WINDOW, ANCHOR, lambda t: t.encode().split(), _hashes, lambda w, a, b: b" ".join(w[a:b]))
+WORDS = Kind(WINDOW, ANCHOR, lambda t: t.encode().split(), _hashes, lambda w, a, b: b" ".join(w[a:b]), lambda p: p.split())
 
 
 def decide(t: dict) -> list[np.ndarray]:
@@ -61,6 +61,6 @@ def _finish(text, words, removed):
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of docs(doc_id, text)."""
-    return remove(docs, WORDS, decide, False, _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    return remove(docs, WORDS, decide, False, _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", ["doc_id", "n_words", "n_removed", "kept_sha256"], hot)
