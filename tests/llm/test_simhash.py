@@ -96,7 +96,32 @@ def test_wide_groups_are_sliced(spark):
         other[rng.randrange(300)] = f"c{rng.random()}"
         texts.append(" ".join(other))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    nodes = simhash.wide_fingerprints(df, 5).drop("doc_id", "text_hash")
+    nodes = simhash.wide_fingerprints(df, 5).drop("doc_id")
     for hot in (7, 1000):
-        roots = simhash.connected_components(simhash.wide_links(nodes, simhash.wide_radius(0.8), hot).distinct()).collect()
+        roots = simhash.connected_components(simhash.wide_links(df, nodes, 5, 0.8, hot).distinct()).collect()
         assert len(roots) == 80 and len({r.root for r in roots}) == 1
+
+
+def test_links_have_the_similarity(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(900)}" for _ in range(rng.randint(60, 200))]
+        texts.append(words)
+        for changes in (1, 2, 3, 5, 8):
+            other = list(words)
+            for k in rng.sample(range(len(other)), changes):
+                other[k] = f"c{rng.random()}"
+            texts.append(other)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(" ".join(t), 5).tolist()) for t in texts]
+    close = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    nodes = simhash.wide_fingerprints(df, 5)
+    of = {r.node: r.doc_id for r in nodes.collect()}
+    links = [(of[r.a], of[r.b]) for r in simhash.wide_links(df, nodes.drop("doc_id"), 5, 0.8).distinct().collect()]
+    assert all(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in links)
+    root = list(range(len(sets)))
+    for i, j in links:
+        a, b = root[i], root[j]
+        root = [b if x == a else x for x in root]
+    assert sum(root[i] == root[j] for i, j in close) >= 0.97 * len(close) and len(close) > 60

@@ -9,7 +9,8 @@ Scale: equal fingerprints count once, so copies never meet in a group. A group a
 count (and by a hash of the fingerprint where one bit count is still too large), each pair of tiles to a task of its own.
 
 Blocks of bits only help at a small radius. For the removal of near-duplicates by similarity (five-word shingles, 0.8) fingerprints have
-256 bits and the radius is the expected distance plus one deviation; there, groups share a least shingle hash instead.
+256 bits and the radius is the expected distance plus two deviations; there, groups share a least shingle hash instead, and the sets of
+shingles of what the tiles let through are compared exactly.
 
 Defined results: a null or blank text has fingerprint 0, which links like any other; a null doc_id keeps its fingerprint and its
 component is the smallest non-null doc_id there (null if there is none); repeated rows stay; an empty table gives no rows; other
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import connected_components, cut, stored
+from tidemark.llm.repeats import bit_table, marked
 
 KEPT = 2
 HOT = 4096
@@ -82,7 +84,15 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32) <= radius
 
 
-def _forest(node: np.ndarray, u: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets, as sorted arrays, have this Jaccard similarity."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= least * (len(a) + len(b) - common)
+
+
+def _forest(node: np.ndarray, u: np.ndarray, side: np.ndarray, radius: int, sure) -> list[tuple[int, int]]:
     """Links of one group, ordered by bit count, as a spanning forest. side: 0 or 1 where only links between both sides are asked for, else 2."""
     n = len(node)
     count = np.bitwise_count(u).sum(axis=1, dtype=np.int32)
@@ -99,41 +109,54 @@ def _forest(node: np.ndarray, u: np.ndarray, side: np.ndarray, radius: int) -> l
                 near &= (side[x][:, None] != side[y][None, :]) | (side[x][:, None] == 2)
             for i in np.flatnonzero(near.any(axis=1)):
                 js = b + np.flatnonzero(near[i])
-                for j in js[np.unique(label[js], return_index=True)[1]]:
-                    if label[j] != label[a + i]:
+                js = js[label[js] != label[a + i]]  # links within what is linked are not needed
+                for j in js:
+                    if label[j] != label[a + i] and sure(a + i, j):
                         out.append((int(node[a + i]), int(node[j])))
                         label[label == label[j]] = label[a + i]
     return out
 
 
-def _small_links(key: np.ndarray, node: np.ndarray, u: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
+def _small_links(key: np.ndarray, node: np.ndarray, u: np.ndarray, side: np.ndarray, radius: int, sure) -> np.ndarray:
     """Links within many small groups at once: rows d apart in the same group, for d = 1, 2, ... while any group is that long."""
     out, at, d = [], np.arange(len(node)), 1
     while len(at := at[at + d < len(node)]) and len(at := at[key[at] == key[at + d]]):
         hit = at[_near(u[at], u[at + d], radius) & ((side[at] != side[at + d]) | (side[at] == 2))]
+        hit = np.array([k for k in hit.tolist() if sure(k, k + d)], np.int64)
         out.append(np.stack([node[hit], node[hit + d]], 1))
         d += 1
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
-def _compare(batches, radius: int):
-    """Rows (key, side, node, fingerprint words) come ordered by group; the last group of a batch waits for the next batch."""
+def _compare(batches, radius: int, least: float | None = None):
+    """Rows (key, side, node, fingerprint words) come ordered by group; the last group of a batch waits for the next batch.
+
+    least: a last column has the shingles' hashes, and a link is kept if their sets are as similar as that.
+    """
 
     def links(key, side, node, *fp):
-        u = np.stack(fp, 1).view(np.uint64)
+        sets = fp[-1] if least else None
+        u = np.stack(fp[:-1] if least else fp, 1).view(np.uint64)
+        sure = lambda rows: (lambda i, j: similar(sets[rows[i]], sets[rows[j]], least)) if least else (lambda i, j: True)
         edge = np.flatnonzero(np.diff(key)) + 1
         start, stop = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
         large = stop - start > TILE // 4
         keep = np.repeat(~large, stop - start)
-        found = [_small_links(key[keep], node[keep], u[keep], side[keep], radius)]
+        found = [_small_links(key[keep], node[keep], u[keep], side[keep], radius, sure(np.flatnonzero(keep)))]
         for a, b in zip(start[large], stop[large]):
-            found.append(np.array(_forest(node[a:b], u[a:b], side[a:b], radius), np.int64).reshape(-1, 2))
+            found.append(np.array(_forest(node[a:b], u[a:b], side[a:b], radius, sure(np.arange(a, b))), np.int64).reshape(-1, 2))
         found = np.concatenate(found)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
+    def lists(column):
+        out, values, at = np.empty(len(column), object), column.values.to_numpy(), column.offsets.to_numpy()
+        for k in range(len(column)):
+            out[k] = values[at[k] : at[k + 1]]
+        return out
+
     held = None
     for batch in batches:
-        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        now = [lists(c) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
         other = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else held[0]
         first = other[-1] + 1 if len(other) else 0
@@ -144,10 +167,10 @@ def _compare(batches, radius: int):
         yield links(*held)
 
 
-def _compared(dealt: DataFrame, words: list[str], radius: int) -> DataFrame:
+def _compared(dealt: DataFrame, words: list[str], radius: int, least: float | None = None) -> DataFrame:
     bits = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
-    ordered = dealt.select("key", F.col("side").cast("int"), "node", *words).repartition("key").sortWithinPartitions("key", bits, "node")
-    return ordered.mapInArrow(functools.partial(_compare, radius=radius), "a long, b long")
+    ordered = dealt.select("key", F.col("side").cast("int"), "node", *words, *(["shingles"] if least else [])).repartition("key").sortWithinPartitions("key", bits, "node")
+    return ordered.mapInArrow(functools.partial(_compare, radius=radius, least=least), "a long, b long")
 
 
 def links(fps: DataFrame, radius: int = 2, hot: int = HOT) -> DataFrame:
@@ -188,10 +211,10 @@ WIDE = (42, 43, 44, 45)
 
 
 def wide_radius(similarity: float) -> int:
-    """Bits in which wide fingerprints of texts with this Jaccard similarity of shingles are expected to differ, and one deviation more."""
+    """Bits in which wide fingerprints of texts with this Jaccard similarity of shingles are expected to differ, and two deviations more."""
     bits = 64 * len(WIDE)
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
 
 
 def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
@@ -214,26 +237,47 @@ def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(rows, schema)
 
 
-def wide_links(nodes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
-    """Links between nodes(node, w0.., keys) at large radii, where no block of bits need agree: groups share the least shingle hash of a seed.
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of wanted(node, text_hash): sorted distinct hashes, from the documents with such a text.
+
+    Texts that no one asks for are kept out by a bit table of fixed size; the join decides.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "text_hash"))
+
+    def rows(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in batch.column(1)]
+            at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["node", "shingles"])
+
+    texts = marked(docs.select(F.xxhash64("text").alias("rid"), "text"), bits, True).groupBy("rid").agg(F.first("text").alias("text"))
+    return wanted.join(texts, wanted.text_hash == texts.rid).select("node", "text").mapInArrow(rows, "node long, shingles array<long>")
+
+
+def wide_links(docs: DataFrame, nodes: DataFrame, size: int, similarity: float, hot: int = HOT) -> DataFrame:
+    """Links between nodes(node, text_hash, w0.., keys) at a large radius, where no block of bits need agree: groups share the least shingle hash of a seed.
 
-    Texts with a Jaccard similarity of 0.8 share one of four least hashes but for 0.2 ** 4 of such pairs.
+    Texts with a Jaccard similarity of 0.8 share one of four least hashes but for 0.2 ** 4 of such pairs. What the tiles let through is
+    compared by its sets of shingles.
     """
     words = [f"w{k}" for k in range(len(WIDE))]
-    grouped = nodes.select("node", *words, F.posexplode("keys").alias("k", "v")).select("node", *words, F.xxhash64("k", "v").alias("key"))
+    grouped = nodes.select("node", "text_hash", *words, F.posexplode("keys").alias("k", "v")).select("node", "text_hash", *words, F.xxhash64("k", "v").alias("key"))
     sizes = grouped.groupBy("key").count().where("count > 1").withColumn("slices", F.ceil(F.col("count") / F.lit(hot)).cast("int"))
-    sliced = grouped.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
-    met = sliced.select("*", F.explode(F.expr("sequence(0, slices - 1)")).alias("o"))
-    dealt = met.select(F.xxhash64("key", F.least("own", "o"), F.greatest("own", "o")).alias("key"), F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1).alias("side"), "node", *words)
-    return _compared(dealt, words, radius)
+    shared = stored(grouped.join(sizes, "key"), "shared-shingles")
+    sets = stored(shingle_sets(docs, shared.select("node", "text_hash").distinct(), size), "shingle-sets")
+    sliced = shared.withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    met = sliced.select("*", F.explode(F.expr("sequence(0, slices - 1)")).alias("o")).join(sets, "node")
+    dealt = met.select(F.xxhash64("key", F.least("own", "o"), F.greatest("own", "o")).alias("key"), F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1).alias("side"), "node", *words, "shingles")
+    return _compared(dealt, words, wide_radius(similarity), similarity)
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each group the row with the smallest doc_id stays (nulls last; of equal rows, one)."""
     prints = stored(wide_fingerprints(docs, size), "wide-fingerprints")
     words = [f"w{k}" for k in range(len(WIDE))]
-    nodes = prints.groupBy("node", *words).agg(F.first("keys").alias("keys"))
-    linked = connected_components(wide_links(nodes, wide_radius(similarity)).distinct())
+    nodes = prints.groupBy("node", *words).agg(F.first("keys").alias("keys"), F.min("text_hash").alias("text_hash"))
+    linked = connected_components(wide_links(docs, nodes, size, similarity).distinct())
     rooted = prints.join(linked, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "text_hash")
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m")).select(F.col("m.doc_id").alias("kept_id"), F.col("m.text_hash").alias("kept_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash"))
