@@ -144,7 +144,7 @@ def marked(docs: DataFrame, bits, yes: bool) -> DataFrame:
 
 
 def packed_strings(docs: DataFrame, touched: DataFrame, kind: Kind) -> DataFrame:
-    """mini, dig (hash of the string), did, rid, start, n (windows), twice (its minimiser occurs more than once) and packed."""
+    """mini, dig (hash of the string), did, rid, start, n (windows), spot (where its minimiser is), twice (it occurs more than once) and packed."""
 
     def rows(batches):
         for batch in batches:
@@ -157,8 +157,8 @@ def packed_strings(docs: DataFrame, touched: DataFrame, kind: Kind) -> DataFrame
                 did, rid = did.as_py(), rid.as_py()
                 for m, a, n in zip(mini[keep], start[keep].tolist(), size[keep].tolist()):
                     s = kind.join(units, a, a + n + kind.window - 1)
-                    twice = bool(np.count_nonzero(g[a : a + n + kind.reach - 1] == m) > 1)
-                    out.append((int(m.view(np.int64)), xxhash.xxh3_64_intdigest(s) - (1 << 63), did, rid, a, n, twice, s))
+                    spots = np.flatnonzero(g[a : a + n + kind.reach - 1] == m)
+                    out.append((int(m.view(np.int64)), xxhash.xxh3_64_intdigest(s) - (1 << 63), did, rid, a, n, int(spots[0]), len(spots) > 1, s))
                     held += len(s)
                 if held > 4_000_000:
                     yield made(out)
@@ -169,13 +169,13 @@ def packed_strings(docs: DataFrame, touched: DataFrame, kind: Kind) -> DataFrame
     def made(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    names = ["mini", "dig", "did", "rid", "start", "n", "twice", "packed"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-    schema = "mini long, dig long, did long, rid long, start int, n int, twice boolean, packed binary"
+    names = ["mini", "dig", "did", "rid", "start", "n", "spot", "twice", "packed"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    schema = "mini long, dig long, did long, rid long, start int, n int, spot int, twice boolean, packed binary"
     return docs.join(touched, "rid").select("did", "rid", "text", "minis").mapInArrow(rows, schema)
 
 
-def by_bucket(rows: DataFrame, decide: Callable, most: int = 2000) -> DataFrame:
+def by_bucket(rows: DataFrame, decide: Callable, most: int = 4000) -> DataFrame:
     """(mini, dig, mask): bits of a distinct string's windows. decide: masks of a few whole buckets, given as lists of columns."""
 
     def run(batches):
@@ -255,8 +255,8 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
     strings = stored(packed_strings(marked(own, bits, True), touched, kind), "packed-strings")
     release(spark)
     first = F.min(F.struct("did", "rid", "start")).alias("first")
-    distinct = strings.groupBy("mini", "dig").agg(F.count("*").alias("count"), first, F.max("n").alias("n"), F.max("twice").alias("twice"), F.first("packed").alias("packed"))
-    flat = distinct.select("mini", "dig", "count", F.col("first.did").alias("fdid"), F.col("first.rid").alias("frid"), F.col("first.start").alias("fstart"), "n", "twice", "packed")
+    distinct = strings.groupBy("mini", "dig").agg(F.count("*").alias("count"), first, F.max("n").alias("n"), F.max("spot").alias("spot"), F.max("twice").alias("twice"), F.first("packed").alias("packed"))
+    flat = distinct.select("mini", "dig", "count", F.col("first.did").alias("fdid"), F.col("first.rid").alias("frid"), F.col("first.start").alias("fstart"), "n", "spot", "twice", "packed")
     flat = stored(flat, "distinct-strings")
     release(spark)
     large = flat.groupBy("mini").count().where(F.col("count") > hot).select("mini")
@@ -270,22 +270,35 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
     whole = (~((F.col("rid") == F.col("frid")) & (F.col("start") == F.col("fstart")))) if keep_first else F.lit(False)
     spans = met.select("rid", F.struct("start", "n", F.when(whole, F.lit(None).cast("binary")).otherwise(F.col("mask")).alias("mask")).alias("span")).groupBy("rid").agg(F.collect_list("span").alias("spans"))
 
+    def change_of(length, start, n, mask):
+        """Adds 1 where a removed run of windows begins and takes 1 away after its last unit."""
+        change = np.zeros(length + 1, np.int32)
+        for a, k, m in zip(start.tolist(), n.tolist(), mask):
+            if m is None:
+                change[a] += 1
+                change[a + k - 1 + kind.window] -= 1
+            else:
+                on = np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8), count=k))
+                if len(on):
+                    jumps = np.flatnonzero(np.diff(on) > 1)
+                    np.add.at(change, a + on[np.append(0, jumps + 1)], 1)
+                    np.add.at(change, a + on[np.append(jumps, len(on) - 1)] + kind.window, -1)
+        return change
+
     def rows(batches):
         for batch in batches:
-            out = []
-            given = batch.column("spans") if "spans" in batch.schema.names else [None] * batch.num_rows
-            for doc_id, text, spans in zip(batch.column("doc_id"), batch.column("text"), given):
+            out, given = [], batch.column("spans") if "spans" in batch.schema.names else None
+            if given is not None:
+                at, known = given.offsets.to_numpy(), np.array(given.is_valid())
+                start, n = (given.values.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n"))
+                mask = given.values.field("mask").to_pylist()
+            for k, (doc_id, text) in enumerate(zip(batch.column("doc_id"), batch.column("text"))):
                 text = text.as_py()
                 units = kind.split(text)
                 removed = None
-                spans = spans.as_py() if spans is not None else None
-                if spans:
-                    change = np.zeros(len(units) + 1, np.int32)
-                    for s in spans:
-                        at = s["start"] + (np.arange(s["n"]) if s["mask"] is None else np.flatnonzero(np.unpackbits(np.frombuffer(s["mask"], np.uint8))[: s["n"]]))
-                        np.add.at(change, at, 1)
-                        np.add.at(change, at + kind.window, -1)
-                    removed = np.cumsum(change[:-1]) > 0
+                if given is not None and known[k] and at[k] < at[k + 1]:
+                    part = slice(at[k], at[k + 1])
+                    removed = np.cumsum(change_of(len(units), start[part], n[part], mask[part])[:-1]) > 0
                 out.append((doc_id.as_py(), *finish(text, units, removed)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types)], names=names)
 

@@ -1,8 +1,10 @@
 """Removal of repeated byte strings by a column-wise multi-document suffix array.
 
 The buckets of repeats.py hold the packed strings that share a minimiser. For each handful of buckets, the collection's Burrows-Wheeler
-transform is built by columns: round j inserts the j-th last symbol of every string, at the place that counting the symbols before it gives, and
-rewrites the transform and the array of common prefixes in one sequential pass. As only matches of `window` bytes count, common
+transform is built by columns: round j inserts one symbol of every string, from the last to the first, and rewrites the order and the
+common prefixes in one sequential pass. Where minimisers occur once in each string, the strings are aligned by them and the transform is
+positional: only suffixes from the same column are ordered, as others can't be equal. Else the full transform is built, a symbol's place
+being found by counting the symbols before it. As only matches of `window` bytes count, common
 prefixes are kept up to that length. Runs of suffixes whose common prefixes reach it are the classes of equal windows; all but the first
 occurrence of a class are removed. Matches never cross documents, since strings are cut from one document each.
 
@@ -46,20 +48,9 @@ def columns(strings: list[bytes], most: int = WINDOW) -> tuple[np.ndarray, np.nd
         rank[order] = np.arange(len(order))
         used = len(order) - int(np.count_nonzero(bwt == END))
         r = rank[at]
-        levels = [lcp]  # least common prefix over 2 ** k neighbours
-        while 2 * (1 << len(levels) - 1) <= len(lcp):
-            s = 1 << len(levels) - 1
-            levels.append(np.minimum(levels[-1][:-s], levels[-1][s:]))
 
         def common(a, b):
-            """1 + the least of lcp[a + 1 .. b], at most `most`."""
-            span = b - a
-            k = np.frexp(span.astype(np.float64))[1] - 1
-            low = np.empty(len(a), np.uint8)
-            for level in np.unique(k):
-                m = k == level
-                low[m] = np.minimum(levels[level][a[m] + 1], levels[level][b[m] + 1 - (1 << int(level))])
-            return np.minimum(low.astype(np.int64) + 1, most).astype(np.uint8)
+            return np.minimum(least(lcp, a, b).astype(np.int64) + 1, most).astype(np.uint8)
 
         before, after = np.zeros(len(at), np.uint8), np.zeros(len(at), np.uint8)
         p = np.flatnonzero(r > 0)
@@ -83,24 +74,78 @@ def columns(strings: list[bytes], most: int = WINDOW) -> tuple[np.ndarray, np.nd
     return name >> 32, name & 0xFFFFFFFF, lcp
 
 
+def aligned(strings: list[bytes], spot: np.ndarray, n: np.ndarray, rank: np.ndarray, most: int = WINDOW) -> np.ndarray:
+    """Windows (string x column, the minimisers below each other) that a string of lower rank has too, by the positional transform.
+
+    Equal windows of a bucket have their minimiser, which occurs once in each string, at the same place. So it is enough to keep, for one
+    column at a time, the strings in the order of what they have from there on, and their common prefixes: a round inserts the symbol
+    before it into every string and rewrites both in one pass.
+    """
+    m = len(strings)
+    base = spot.max() - spot
+    size = np.fromiter(map(len, strings), np.int64, m)
+    text = np.full((m, int((base + size).max())), END, np.uint8)
+    for k, s in enumerate(strings):
+        text[k, base[k] : base[k] + len(s)] = np.frombuffer(s, np.uint8)
+    again = np.zeros(text.shape, bool)
+    order, lcp = np.arange(m), np.zeros(m, np.uint8)
+    for j in range(text.shape[1] - 1, -1, -1):
+        symbol = text[order, j]
+        by = np.argsort(symbol, kind="stable")
+        ordered = symbol[by]
+        same = np.flatnonzero((ordered[1:] == ordered[:-1]) & (ordered[1:] != END)) + 1
+        new = np.zeros(m, np.uint8)
+        if len(same):
+            new[same] = np.minimum(least(lcp, by[same - 1], by[same]).astype(np.int16) + 1, most)
+        order, lcp = order[by], new
+        if (lcp >= most).any():
+            starts = np.flatnonzero(lcp < most)
+            held = rank[order]
+            first = np.repeat(np.minimum.reduceat(held, starts), np.diff(np.append(starts, m)))
+            again[order[held != first], j] = True
+    return again[np.repeat(np.arange(m), n), np.concatenate([np.arange(b, b + k) for b, k in zip(base.tolist(), n.tolist())])]
+
+
+def least(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of values[a + 1 .. b], where a < b, by minima over 2 ** k neighbours."""
+    level = np.frexp((b - a).astype(np.float64))[1] - 1
+    out, low = np.empty(len(a), values.dtype), values
+    for k in range(int(level.max(initial=0)) + 1):
+        if k:
+            low = np.minimum(low[: -(1 << k - 1)], low[1 << k - 1 :])
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(low[a[at] + 1], low[b[at] + 1 - (1 << k)])
+    return out
+
+
 def decide(t: dict) -> list[np.ndarray]:
     """Windows of each distinct string that also start earlier."""
-    mini, n = t["mini"].to_numpy(), t["n"].to_numpy()
+    n = t["n"].to_numpy()
     masks = [np.zeros(k, bool) for k in n.tolist()]
-    several = np.bincount(np.unique(mini, return_inverse=True)[1])[np.unique(mini, return_inverse=True)[1]] > 1
-    chosen = np.flatnonzero(several | np.array(t["twice"].to_pylist(), bool))
-    if not len(chosen):
-        return masks
-    string, offset, lcp = columns([t["packed"][int(k)].as_py() for k in chosen])
-    group = np.cumsum(lcp < WINDOW)
-    windows = offset < n[chosen][string]
-    string, offset, group = string[windows], offset[windows], group[windows]
-    did, rid, start = (t[c].to_numpy()[chosen][string] for c in ("fdid", "frid", "fstart"))
-    by = np.lexsort((start + offset, rid, did, group))
-    again = np.concatenate([[False], group[by][1:] == group[by][:-1]])
-    # Of equal windows, those of the very same place (in equal rows, or where a string was cut twice) count as one.
-    for k, o in zip(string[by[again]].tolist(), offset[by[again]].tolist()):
-        masks[chosen[k]][o] = True
+    bucket = np.unique(t["mini"].to_numpy(), return_inverse=True)[1]
+    twice = np.array(t["twice"].to_pylist(), bool)
+    odd = (np.bincount(bucket, twice) > 0)[bucket]
+    several = (np.bincount(bucket) > 1)[bucket]
+    did, rid, start, spot = (t[c].to_numpy() for c in ("fdid", "frid", "fstart", "spot"))
+    chosen = np.flatnonzero(several & ~odd)
+    if len(chosen):
+        # By document, then by place: within a column, places differ as the minimisers' places do.
+        rank = np.empty(len(chosen), np.int64)
+        rank[np.lexsort(((start + spot)[chosen], rid[chosen], did[chosen]))] = np.arange(len(chosen))
+        flat = aligned([t["packed"][int(k)].as_py() for k in chosen], spot[chosen], n[chosen], rank)
+        for k, part in zip(chosen.tolist(), np.split(flat, np.cumsum(n[chosen])[:-1])):
+            masks[k] = part
+    chosen = np.flatnonzero(odd)
+    if len(chosen):
+        string, offset, lcp = columns([t["packed"][int(k)].as_py() for k in chosen])
+        group = np.cumsum(lcp < WINDOW)
+        windows = offset < n[chosen][string]
+        string, offset, group = string[windows], offset[windows], group[windows]
+        k = chosen[string]
+        by = np.lexsort((start[k] + offset, rid[k], did[k], group))
+        again = by[1:][group[by][1:] == group[by][:-1]]
+        for k, o in zip(chosen[string[again]].tolist(), offset[again].tolist()):
+            masks[k][o] = True
     return masks
 
 
