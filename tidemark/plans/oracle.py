@@ -99,6 +99,10 @@ put("bars_dedupe_last", "li", f"SELECT ticker, date, {R('price quantity')} FROM
 put("calendar_sessions", "cal", "SELECT date FROM cal")
 put("sessions", "days", "SELECT date, pos FROM days")
 put("json_series_explode", "bars", f"SELECT ticker, date, {R(OHLC)} FROM bars")
+put("scan_csv", "bars", f"SELECT ticker, date, {R(OHLC)} FROM bars")
+put("predictions", "preds", f"SELECT ticker, date, fold, model, {R('ret_1d ret y p')} FROM preds")
+put("tumbling_bars", "", f"""SELECT ticker, epoch(h)::BIGINT AS start, {R('open high low close volume')} FROM (SELECT event_type AS ticker, date_trunc('hour', ts) AS h, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low,
+  arg_max(value, event_id) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2)""")
 put("ticker_normalise", "", r"""SELECT p_partkey, CASE WHEN length(s) <= 16 AND regexp_matches(s, '^\^?[A-Z][A-Z0-9]{0,9}(?:[.\-][A-Z0-9]{1,4})?$') THEN s END AS symbol
   FROM (SELECT p_partkey, upper(replace(CASE WHEN p_partkey % 7 = 0 THEN '^' ELSE '' END || replace(p_brand, '#', '.'), 'Brand', 'brd')) AS s FROM part)""")
 put("date_slice", "bars", f"SELECT ticker, date, {R(OHLC)} FROM bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")

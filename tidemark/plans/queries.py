@@ -11,8 +11,9 @@ from tidemark.functions import indicators as I
 from tidemark.operators import backtest, errors, folds, inference, metrics, models, panel, regime
 from tidemark.operators import bars as B
 from tidemark.plans import inputs as D
-from tidemark.sources.files import json_bars, table
+from tidemark.sources.files import BARS, json_bars, table
 from tidemark.streaming.bars import rate
+from tidemark.streaming.bars import tumbling_bars as tumbling
 
 QUERIES: dict = {}
 KEY = ["ticker", "date"]
@@ -72,6 +73,23 @@ def json_series_explode(spark, d):
     return json_bars(months.select("ticker", F.to_json(F.create_map(F.lit("Time Series (Daily)"), F.col("s"))).alias("body")))
 
 
+@query
+def scan_csv(spark, d):
+    lines = D.bars(spark, d).select("ticker", F.to_csv(F.struct("date", *BARS.names[1:])).alias("line"))
+    return lines.select("ticker", F.from_csv("line", BARS.simpleString()[7:-1].replace(":", " ")).alias("b")).select("ticker", "b.*")
+
+
+@query
+def tumbling_bars(spark, d):
+    ticks = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("ticker"), F.col("value").alias("price"), F.lit(1.0).alias("quantity"), F.col("event_id").alias("seq"))
+    return tumbling(ticks, "1 hour").withColumn("start", F.unix_timestamp("start"))
+
+
+@query
+def predictions(spark, d):
+    return D.predictions(spark, d)
+
+
 @query
 def ticker_normalise(spark, d):
     raw = table(spark, d, "part").select("p_partkey", F.concat(F.lit(" "), F.regexp_replace("p_brand", "#", F.lit(".")), F.lit(" ")).alias("raw")).withColumn("raw", F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("^"), F.trim("raw"))).otherwise(F.col("raw")))
@@ -746,3 +764,30 @@ def learner_forest_calibrated(spark, d):
     inner = rows.where("not test and date >= date'1999-07-01'")
     scored = models.fit_predict(rows.where("date < date'1999-06-01'"), inner.unionByName(rows.where("test")), ["ret_1d", "m5", "s20"], "random_forest", trees=20, depth=4)
     return models.isotonic(scored.where("not test"), scored.where("test")).select(*KEY, "y", "p")
+
+
+@query
+def learner_elastic_platt(spark, d):
+    rows = _xy(spark, d)
+    inner = rows.where("not test and date >= date'1999-07-01'")
+    scored = models.fit_predict(rows.where("date < date'1999-06-01'"), inner.unionByName(rows.where("test")), ["ret_1d", "m5", "s20"], "elastic_net")
+    return models.platt(scored.where("not test"), scored.where("test")).select(*KEY, "y", "p")
+
+
+@query
+def search_trials(spark, d):
+    rows = _xy(spark, d).where("not test")
+    windows = [(rows.where(F.col("date") < F.lit(a).cast("date")), rows.where((F.col("date") >= F.lit(a).cast("date")) & (F.col("date") < F.lit(b).cast("date")))) for a, b in (("1998-01-01", "1998-07-01"), ("1998-07-01", "1999-01-01"))]
+    trials = models.search(windows, ["ret_1d", "m5", "s20"], "logistic", {"C": [0.1, 1.0]})
+    return spark.createDataFrame([(k, float(p["C"]), float(score)) for k, (score, p) in enumerate(trials)], "trial long, c double, mean_auc double")
+
+
+@query
+def kmeans_regimes(spark, d):
+    return models.mixture_states(regime_features(spark, d), ["mkt_vol_20", "mkt_ret_20", "mkt_drawdown_252"], 3, "kmeans").select("date", "state")
+
+
+@query
+def perm_importance(spark, d):
+    rows = _xy(spark, d)
+    return models.permutation_importance(rows.where("not test"), rows.where("test"), ["ret_1d", "m5", "s20"], repeats=2)
