@@ -42,6 +42,9 @@ def test_disguises_are_found_at_their_source_offsets():
     assert added("bob@exam​ple.com here")["email"] == ["bob@exam​ple.com"]
     assert added("call plus one five five five one two three four five six seven ok")["phone"] == ["plus one five five five one two three four five six seven"]
     assert added("card four one one one one one one one one one one one one one one one.")["card"]
+    assert added("write jane.roe at mail.example.com or x42 at example.org")["email"] == ["jane.roe at mail.example.com", "x42 at example.org"]
+    assert added("bob[@]mail[.]example[.]com, bob (arroba) mail (punto) es")["email"] == ["bob[@]mail[.]example[.]com", "bob (arroba) mail (punto) es"]
+    assert added("host 10 dot 0 dot 0 dot 7 and 192[.]168[.]1[.]9")["ip"] == ["10 dot 0 dot 0 dot 7", "192[.]168[.]1[.]9"]
     assert added("host one nine two dot one six eight dot one dot one up")["ip"]
 
 

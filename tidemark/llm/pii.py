@@ -34,12 +34,15 @@ INVISIBLE = "­​‌‍⁠﻿"
 _WORD = "|".join(DIGIT_WORDS)
 SPELLED = re.compile(rf"(?i)\b(?:plus[\s-]+)?(?:(?:{_WORD})\b(?:[\s,-]+|(?=\W)|$)|[0-9]+\b[\s-]+(?=(?:{_WORD})\b)|(?:dot|point)\b[\s]+(?=(?:{_WORD})\b)){{4,}}")
 _PIECE = re.compile(rf"(?i)\bplus\b|\b(?:{_WORD})\b|\b(?:dot|point)\b|[0-9]+|[\s,-]+")
-AT = r"\s*[(\[{<]\s*at\s*[)\]}>]\s*|\s*(?:&#64;|&commat;|%40)\s*"
-DOT = r"\s*[(\[{<]\s*dot\s*[)\]}>]\s*|\s*&#46;\s*"
+# "At" and "dot" in brackets, in the corpus's languages, and the marks themselves in brackets.
+_OPEN, _CLOSE = r"\s*[(\[{<]\s*", r"\s*[)\]}>]\s*"
+AT = rf"{_OPEN}(?:at|@|ät|arroba|arobase){_CLOSE}|\s*(?:&#64;|&commat;|%40)\s*"
+DOT = rf"{_OPEN}(?:dot|\.|punkt|punto|point){_CLOSE}|\s*&#46;\s*|(?<=[0-9])\s+dot\s+(?=[0-9])"
 DISGUISE = re.compile(rf"(?i)(?P<at>{AT})|(?P<dot>{DOT})")
-SPOKEN = re.compile(r"(?i)(?<![\w.+-])[\w.+-]+(?P<at>\s+at\s+)[\w-]+(?:(?:\s+dot\s+|\.)[\w-]+)*(?:\s+dot\s+)[A-Za-z]{2,}\b")
+# Spoken addresses: "at" with a spoken dot after it, or, where the part before "at" doesn't look like a plain word, with a written one.
+SPOKEN = re.compile(r"(?i)(?<![\w.+-])(?:[\w.+-]+(?P<at>\s+at\s+)[\w-]+(?:(?:\s+dot\s+|\.)[\w-]+)*(?:\s+dot\s+)[A-Za-z]{2,}\b|(?=\w*[0-9._+-])\w[\w.+-]*(?P<also>\s+at\s+)[\w-]+(?:\.[\w-]+)+)")
 _SPOKEN_DOT = re.compile(r"(?i)\s+dot\s+")
-TRIGGER = re.compile(rf"(?i)[(\[{{<]\s*(?:at|dot)\s*[)\]}}>]|&#64;|&commat;|%40|&#46;|\sdot\s|\b(?:{_WORD})\b[\s,-]+(?:{_WORD})\b")
+TRIGGER = re.compile(rf"(?i)[(\[{{<]\s*(?:at|dot|@|\.|ät|arroba|arobase|punkt|punto|point)\s*[)\]}}>]|&#64;|&commat;|%40|&#46;|\sdot\s|\sat\s+[\w-]+\.\w|\b(?:{_WORD})\b[\s,-]+(?:{_WORD})\b")
 
 
 def luhn(digits: str) -> bool:
@@ -136,8 +139,9 @@ def plain(text: str) -> Plain | None:
     out.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in DISGUISE.finditer(out.text)])
     edits = []
     for m in SPOKEN.finditer(out.text):
-        edits.append((*m.span("at"), "@"))
-        edits += [(*x.span(), ".") for x in _SPOKEN_DOT.finditer(out.text, m.end("at"), m.end())]
+        at = "at" if m["at"] else "also"
+        edits.append((*m.span(at), "@"))
+        edits += [(*x.span(), ".") for x in _SPOKEN_DOT.finditer(out.text, m.end(at), m.end())]
     out.rewrite(edits)
     edits = []
     for m in SPELLED.finditer(out.text):
