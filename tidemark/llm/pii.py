@@ -103,6 +103,11 @@ def homoglyphs() -> dict[int, str | None]:
     return out | {ord(c): None for c in INVISIBLE}
 
 
+@functools.cache
+def _homoglyph_set() -> frozenset[str]:
+    return frozenset(map(chr, homoglyphs()))
+
+
 @functools.cache
 def _homoglyph_class() -> re.Pattern:
     return re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(homoglyphs())) + "]")
@@ -129,7 +134,7 @@ class Plain:
 
 def plain(text: str) -> Plain | None:
     """The plain form, or None where nothing needs rewriting."""
-    odd = not text.isascii() and _homoglyph_class().search(text)
+    odd = not text.isascii() and not _homoglyph_set().isdisjoint(text)  # a search by a class of so many characters takes many times as long
     if not odd and not TRIGGER.search(text):
         return None
     out = Plain(text)
