@@ -6,8 +6,9 @@ string. The steps:
 
 1. Minimisers alone are counted over all documents; a window whose minimiser occurs once can't be repeated.
 2. Documents with a repeated minimiser are cut into super-k-mers; those with a repeated one are stored as packed strings.
-3. Equal strings are aggregated (map side first), so copies meet as one row with a count and their first occurrence.
-4. Distinct strings go to the bucket of their minimiser, where the operator decides exactly which windows are repeated.
+3. Equal strings are aggregated by their hashes (map side first), so copies meet as one row with a count and their first occurrence.
+4. Where a minimiser has several distinct strings, or one in which it recurs, they go to its bucket, each once, and the operator decides
+   exactly which windows are repeated. A string that is alone in its bucket needs no decision: its count tells.
 5. Decisions return to all occurrences of a string, and by document to the text.
 
 Scale: each shuffle is by a hash; hot minimisers are pre-aggregated in 1 and 3, and the joins of 1 and 5 can be split by Spark. A bucket
@@ -131,12 +132,12 @@ def bit_table(df: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def marked(docs: DataFrame, bits, yes: bool) -> DataFrame:
-    """Rows of which the bit is set, or isn't. bits: a broadcast variable of the bit table."""
+def marked(docs: DataFrame, bits, yes: bool, column: str = "rid") -> DataFrame:
+    """Rows of which a column's bit is set, or isn't. bits: a broadcast variable of the bit table."""
 
     def rows(batches):
         for batch in batches:
-            v = batch.column(batch.schema.get_field_index("rid")).to_numpy() & (BITS - 1)
+            v = batch.column(batch.schema.get_field_index(column)).to_numpy() & (BITS - 1)
             on = (bits.value[v >> 6] >> (v & 63) & 1).astype(bool)
             yield batch.filter(pa.array(on == yes))
 
@@ -255,20 +256,31 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
     strings = stored(packed_strings(marked(own, bits, True), touched, kind), "packed-strings")
     release(spark)
     first = F.min(F.struct("did", "rid", "start")).alias("first")
-    distinct = strings.groupBy("mini", "dig").agg(F.count("*").alias("count"), first, F.max("n").alias("n"), F.max("spot").alias("spot"), F.max("twice").alias("twice"), F.first("packed").alias("packed"))
-    flat = distinct.select("mini", "dig", "count", F.col("first.did").alias("fdid"), F.col("first.rid").alias("frid"), F.col("first.start").alias("fstart"), "n", "spot", "twice", "packed")
-    flat = stored(flat, "distinct-strings")
+    counted = strings.groupBy("mini", "dig").agg(F.count("*").alias("count"), first, F.max("n").alias("n"), F.max("spot").alias("spot"), F.max("twice").alias("twice"))
+    distinct = stored(counted.select("mini", "dig", "count", F.col("first.did").alias("fdid"), F.col("first.rid").alias("frid"), F.col("first.start").alias("fstart"), "n", "spot", "twice"), "distinct-strings")
     release(spark)
-    large = flat.groupBy("mini").count().where(F.col("count") > hot).select("mini")
-    large = stored(large, "hot-minimisers")
-    decided = by_bucket(flat.join(large, "mini", "left_anti"), decide)
+    # Only the first occurrence of a string that needs a decision travels with its text.
+    buckets = distinct.groupBy("mini").agg(F.count("*").alias("strings"), F.max("twice").alias("any")).where("strings > 1 or any").select("mini", "strings")
+    open_ = stored(distinct.join(buckets, "mini").withColumn("place", F.xxhash64("mini", "dig", "frid", "fstart")), "open-strings")
+    wanted = spark.sparkContext.broadcast(bit_table(open_, "place"))
+    placed = strings.select(F.xxhash64("mini", "dig", "rid", "start").alias("place"), "packed")
+    packed = marked(placed, wanted, True, "place").join(open_.select("place"), "place", "left_semi").dropDuplicates(["place"])
+    flat = stored(open_.join(packed, "place").drop("place"), "bucket-strings")
+    release(spark)
+    cold, large = flat.where(F.col("strings") <= hot), flat.where(F.col("strings") > hot)
+    decided = by_bucket(cold, decide)
     if not large.isEmpty():
-        decided = decided.unionByName(by_window(flat.join(large, "mini", "left_semi"), kind, keep_first))
-    masks = stored(decided.join(flat.select("mini", "dig", "frid", "fstart"), ["mini", "dig"]) if keep_first else decided, "masks")
+        decided = decided.unionByName(by_window(large, kind, keep_first))
+    masks = stored(distinct.select("mini", "dig", "count", "frid", "fstart").join(decided, ["mini", "dig"], "left"), "masks")
     release(spark)
     met = strings.select("mini", "dig", "rid", "start", "n").join(masks, ["mini", "dig"])
-    whole = (~((F.col("rid") == F.col("frid")) & (F.col("start") == F.col("fstart")))) if keep_first else F.lit(False)
-    spans = met.select("rid", F.struct("start", "n", F.when(whole, F.lit(None).cast("binary")).otherwise(F.col("mask")).alias("mask")).alias("span")).groupBy("rid").agg(F.collect_list("span").alias("spans"))
+    # A null mask now stands for all windows; rows of which nothing goes are left out.
+    if keep_first:
+        whole = (F.col("rid") != F.col("frid")) | (F.col("start") != F.col("fstart"))
+    else:
+        whole = F.col("mask").isNull() & (F.col("count") > 1)
+    gone = met.where(whole | F.col("mask").isNotNull()).withColumn("mask", F.when(~whole, F.col("mask")))
+    spans = gone.select("rid", F.struct("start", "n", "mask").alias("span")).groupBy("rid").agg(F.collect_list("span").alias("spans"))
 
     def change_of(length, start, n, mask):
         """Adds 1 where a removed run of windows begins and takes 1 away after its last unit."""

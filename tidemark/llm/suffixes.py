@@ -87,6 +87,7 @@ def aligned(strings: list[bytes], spot: np.ndarray, n: np.ndarray, rank: np.ndar
     text = np.full((m, int((base + size).max())), END, np.uint8)
     for k, s in enumerate(strings):
         text[k, base[k] : base[k] + len(s)] = np.frombuffer(s, np.uint8)
+    text = np.asfortranarray(text)  # a round reads a column
     again = np.zeros(text.shape, bool)
     order, lcp = np.arange(m), np.zeros(m, np.uint8)
     for j in range(text.shape[1] - 1, -1, -1):
