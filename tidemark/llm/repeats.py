@@ -144,39 +144,49 @@ def marked(docs: DataFrame, bits, yes: bool, column: str = "rid") -> DataFrame:
     return docs.mapInArrow(rows, docs.schema)
 
 
+def spots(g: np.ndarray, mini: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where, from its start, each super-k-mer has its minimiser first, and whether it has it again. size: its number of grams."""
+    own = np.cumsum(size) - size
+    hits = np.flatnonzero(g[np.arange(size.sum()) + np.repeat(start - own, size)] == np.repeat(mini, size))
+    first, stop = np.searchsorted(hits, own), np.searchsorted(hits, own + size)
+    return hits[first] - own, stop - first > 1
+
+
 def packed_strings(docs: DataFrame, touched: DataFrame, kind: Kind) -> DataFrame:
     """mini, dig (hash of the string), did, rid, start, n (windows), spot (where its minimiser is), twice (it occurs more than once) and packed."""
 
     def rows(batches):
         for batch in batches:
-            out = []
-            held = 0
+            out, held = [], 0
             for did, rid, text, minis in zip(*batch.columns):
                 units = kind.split(text.as_py())
                 mini, start, size, g = runs(kind.hashes(units), kind)
-                keep = np.isin(mini, minis.values.to_numpy().view(np.uint64))
-                did, rid = did.as_py(), rid.as_py()
-                for m, a, n in zip(mini[keep], start[keep].tolist(), size[keep].tolist()):
-                    s = kind.join(units, a, a + n + kind.window - 1)
-                    spots = np.flatnonzero(g[a : a + n + kind.reach - 1] == m)
-                    out.append((int(m.view(np.int64)), xxhash.xxh3_64_intdigest(s) - (1 << 63), did, rid, a, n, int(spots[0]), len(spots) > 1, s))
-                    held += len(s)
-                if held > 4_000_000:
-                    yield made(out)
-                    out, held = [], 0
+                chosen = np.flatnonzero(np.isin(mini, minis.values.to_numpy().view(np.uint64)))
+                for k in range(0, len(chosen), 5000):
+                    m, a, n = (x[chosen[k : k + 5000]] for x in (mini, start, size))
+                    spot, twice = spots(g, m, a, n + kind.reach - 1)
+                    packed = [kind.join(units, i, j) for i, j in zip(a.tolist(), (a + n + kind.window - 1).tolist())]
+                    dig = np.fromiter(map(xxhash.xxh3_64_intdigest, packed), np.uint64, len(m))
+                    out.append((m.view(np.int64), dig.view(np.int64), np.full(len(m), did.as_py()), np.full(len(m), rid.as_py()), a, n, spot, twice, packed))
+                    held += sum(map(len, packed))
+                    if held > 4_000_000:
+                        yield made(out)
+                        out, held = [], 0
             if out:
                 yield made(out)
 
     def made(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+        *numbers, packed = zip(*out)
+        cols = [pa.array(np.concatenate(c)).cast(t) for c, t in zip(numbers, types)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([p for part in packed for p in part], pa.binary())], names=names)
 
     names = ["mini", "dig", "did", "rid", "start", "n", "spot", "twice", "packed"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
     schema = "mini long, dig long, did long, rid long, start int, n int, spot int, twice boolean, packed binary"
     return docs.join(touched, "rid").select("did", "rid", "text", "minis").mapInArrow(rows, schema)
 
 
-def by_bucket(rows: DataFrame, decide: Callable, most: int = 4000) -> DataFrame:
+def by_bucket(rows: DataFrame, decide: Callable, most: int = 8000) -> DataFrame:
     """(mini, dig, mask): bits of a distinct string's windows. decide: masks of a few whole buckets, given as lists of columns."""
 
     def run(batches):
@@ -259,8 +269,8 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
     counted = strings.groupBy("mini", "dig").agg(F.count("*").alias("count"), first, F.max("n").alias("n"), F.max("spot").alias("spot"), F.max("twice").alias("twice"))
     distinct = stored(counted.select("mini", "dig", "count", F.col("first.did").alias("fdid"), F.col("first.rid").alias("frid"), F.col("first.start").alias("fstart"), "n", "spot", "twice"), "distinct-strings")
     release(spark)
-    # Only the first occurrence of a string that needs a decision travels with its text.
-    buckets = distinct.groupBy("mini").agg(F.count("*").alias("strings"), F.max("twice").alias("any")).where("strings > 1 or any").select("mini", "strings")
+    # Only the first occurrence of a string that needs a decision travels with its text. A bucket with recurring minimisers is more work.
+    buckets = distinct.groupBy("mini").agg(F.count("*").alias("n"), F.max("twice").alias("any")).where("n > 1 or any").select("mini", F.expr("if(any, 2 * n, n)").alias("strings"))
     open_ = stored(distinct.join(buckets, "mini").withColumn("place", F.xxhash64("mini", "dig", "frid", "fstart")), "open-strings")
     wanted = spark.sparkContext.broadcast(bit_table(open_, "place"))
     placed = strings.select(F.xxhash64("mini", "dig", "rid", "start").alias("place"), "packed")

@@ -2,9 +2,10 @@
 
 The buckets of repeats.py hold the packed strings that share a minimiser. For each handful of buckets, the collection's Burrows-Wheeler
 transform is built by columns: round j inserts one symbol of every string, from the last to the first, and rewrites the order and the
-common prefixes in one sequential pass. Where minimisers occur once in each string, the strings are aligned by them and the transform is
-positional: only suffixes from the same column are ordered, as others can't be equal. Else the full transform is built, a symbol's place
-being found by counting the symbols before it. As only matches of `window` bytes count, common
+common prefixes in one sequential pass. The strings are aligned by their minimisers, one in which it recurs being cut so that the windows
+of a part have the same first minimiser, and the transform is positional: only suffixes from the same column are ordered, as others can't
+be equal. In buckets of short periods, where the parts would be many, the full transform is built, a symbol's place being found by
+counting the symbols before it. As only matches of `window` bytes count, common
 prefixes are kept up to that length. Runs of suffixes whose common prefixes reach it are the classes of equal windows; all but the first
 occurrence of a class are removed. Matches never cross documents, since strings are cut from one document each.
 
@@ -20,10 +21,12 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tidemark.llm.repeats import HOT, Kind, mixed, remove
+from tidemark.llm.repeats import HOT, Kind, mixed, remove, rolled
 
 WINDOW, ANCHOR = 100, 24
 END = 255  # no byte of UTF-8
+#: Parts to a string, on average, from which a bucket is decided by the full transform.
+DENSE = 40
 
 BYTES = Kind(WINDOW, ANCHOR, lambda t: np.frombuffer(t.encode(), np.uint8), lambda u: mixed(u.astype(np.uint64) + np.uint64(1)), lambda u, a, b: u[a:b].tobytes(), lambda p: np.frombuffer(p, np.uint8))
 
@@ -89,20 +92,27 @@ def aligned(strings: list[bytes], spot: np.ndarray, n: np.ndarray, rank: np.ndar
         text[k, base[k] : base[k] + len(s)] = np.frombuffer(s, np.uint8)
     text = np.asfortranarray(text)  # a round reads a column
     again = np.zeros(text.shape, bool)
-    order, lcp = np.arange(m), np.zeros(m, np.uint8)
+    by_end = np.argsort(base + size, kind="stable")
+    ends = np.searchsorted((base + size)[by_end], np.arange(text.shape[1] + 2))
+    order, lcp = np.empty(0, np.int64), np.empty(0, np.uint8)  # of the strings that have a symbol in this column
     for j in range(text.shape[1] - 1, -1, -1):
+        begun = by_end[ends[j + 1] : ends[j + 2]]
+        if len(begun):
+            order, lcp = np.concatenate([order, begun]), np.concatenate([lcp, np.zeros(len(begun), np.uint8)])
         symbol = text[order, j]
         by = np.argsort(symbol, kind="stable")
         ordered = symbol[by]
-        same = np.flatnonzero((ordered[1:] == ordered[:-1]) & (ordered[1:] != END)) + 1
-        new = np.zeros(m, np.uint8)
+        used = int(np.searchsorted(ordered, END))
+        by, ordered = by[:used], ordered[:used]
+        same = np.flatnonzero(ordered[1:] == ordered[:-1]) + 1
+        new = np.zeros(used, np.uint8)
         if len(same):
             new[same] = np.minimum(least(lcp, by[same - 1], by[same]).astype(np.int16) + 1, most)
         order, lcp = order[by], new
         if (lcp >= most).any():
             starts = np.flatnonzero(lcp < most)
             held = rank[order]
-            first = np.repeat(np.minimum.reduceat(held, starts), np.diff(np.append(starts, m)))
+            first = np.repeat(np.minimum.reduceat(held, starts), np.diff(np.append(starts, used)))
             again[order[held != first], j] = True
     return again[np.repeat(np.arange(m), n), np.concatenate([np.arange(b, b + k) for b, k in zip(base.tolist(), n.tolist())])]
 
@@ -119,34 +129,57 @@ def least(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def pieces(strings: list[bytes], mini: np.ndarray, spot: np.ndarray, n: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """String, first window, number of windows and place of the minimiser of each part whose windows have the same first minimiser."""
+    own, at = np.flatnonzero(~twice), spot[~twice].astype(np.int64)
+    for k in np.flatnonzero(twice).tolist():
+        found = np.flatnonzero(rolled(BYTES.hashes(BYTES.unpack(strings[k])), ANCHOR) == mini[k])
+        own, at = np.append(own, np.full(len(found), k)), np.append(at, found)
+    by = np.lexsort((at, own))
+    own, at = own[by], at[by]
+    begins = np.diff(own, prepend=-1) > 0
+    first = np.where(begins, 0, np.append(0, at[:-1]) + 1)
+    count = np.minimum(at + 1, n[own]) - first
+    keep = count > 0  # a minimiser beyond the last window's start, after another one, is no window's first
+    return own[keep], first[keep], count[keep], at[keep]
+
+
 def decide(t: dict) -> list[np.ndarray]:
     """Windows of each distinct string that also start earlier."""
-    n = t["n"].to_numpy()
+    n, mini = t["n"].to_numpy(), t["mini"].to_numpy()
     masks = [np.zeros(k, bool) for k in n.tolist()]
-    bucket = np.unique(t["mini"].to_numpy(), return_inverse=True)[1]
-    twice = np.array(t["twice"].to_pylist(), bool)
-    odd = (np.bincount(bucket, twice) > 0)[bucket]
-    several = (np.bincount(bucket) > 1)[bucket]
+    bucket = np.unique(mini, return_inverse=True)[1]
     did, rid, start, spot = (t[c].to_numpy() for c in ("fdid", "frid", "fstart", "spot"))
-    chosen = np.flatnonzero(several & ~odd)
-    if len(chosen):
+    twice = np.array(t["twice"].to_pylist(), bool)
+    chosen = np.flatnonzero((np.bincount(bucket) > 1)[bucket] | (np.bincount(bucket, twice) > 0)[bucket])
+    if not len(chosen):
+        return masks
+    strings = [t["packed"][int(k)].as_py() for k in chosen]
+    own, first, count, at = pieces(strings, mini[chosen].view(np.uint64), spot[chosen], n[chosen], twice[chosen])
+    held = bucket[chosen]
+    dense = (np.bincount(held[own], minlength=len(held)) > DENSE * np.bincount(held, minlength=len(held)))[held]
+    flat = np.flatnonzero(~dense[own])
+    if len(flat):
+        own, first, count, at = own[flat], first[flat], count[flat], at[flat]
+        k = chosen[own]
         # By document, then by place: within a column, places differ as the minimisers' places do.
-        rank = np.empty(len(chosen), np.int64)
-        rank[np.lexsort(((start + spot)[chosen], rid[chosen], did[chosen]))] = np.arange(len(chosen))
-        flat = aligned([t["packed"][int(k)].as_py() for k in chosen], spot[chosen], n[chosen], rank)
-        for k, part in zip(chosen.tolist(), np.split(flat, np.cumsum(n[chosen])[:-1])):
-            masks[k] = part
-    chosen = np.flatnonzero(odd)
-    if len(chosen):
-        string, offset, lcp = columns([t["packed"][int(k)].as_py() for k in chosen])
+        rank = np.empty(len(own), np.int64)
+        rank[np.lexsort((start[k] + at, rid[k], did[k]))] = np.arange(len(own))
+        texts = [strings[i][a : a + c + WINDOW - 1] for i, a, c in zip(own.tolist(), first.tolist(), count.tolist())]
+        again = aligned(texts, at - first, count, rank)
+        for i, a, c, part in zip(k.tolist(), first.tolist(), count.tolist(), np.split(again, np.cumsum(count)[:-1])):
+            masks[i][a : a + c] = part
+    full = np.flatnonzero(dense)
+    if len(full):
+        string, offset, lcp = columns([strings[k] for k in full])
         group = np.cumsum(lcp < WINDOW)
-        windows = offset < n[chosen][string]
+        windows = offset < n[chosen[full]][string]
         string, offset, group = string[windows], offset[windows], group[windows]
-        k = chosen[string]
+        k = chosen[full[string]]
         by = np.lexsort((start[k] + offset, rid[k], did[k], group))
-        again = by[1:][group[by][1:] == group[by][:-1]]
-        for k, o in zip(chosen[string[again]].tolist(), offset[again].tolist()):
-            masks[k][o] = True
+        same = by[1:][group[by][1:] == group[by][:-1]]
+        for i, o in zip(k[same].tolist(), offset[same].tolist()):
+            masks[i][o] = True
     return masks
 
 
