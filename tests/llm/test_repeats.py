@@ -90,3 +90,31 @@ def test_equal_rows_are_one_document(spark):
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
     got = sorted((r.doc_id or 9, r.n_removed) for r in suffixes.remove_repeats(df).collect())
     assert got == [(1, 0), (1, 0), (2, 300), (9, 300)]
+
+
+def periodic(rng, sizes, words):
+    """A passage for each (period, size), as a text of its own and within other words: nothing else repeats."""
+    out = []
+    for k, (period, size) in enumerate(sizes):
+        say = lambda n, name: [name + "".join(rng.choices("abcdefghij", k=rng.randint(1, 6))) + str(k) for _ in range(n)]
+        for name in "xy":
+            unit = say(period, name) if words else "".join(rng.choices("abcdefghijklmnop ", k=period))
+            passage = (unit * size)[:size]
+            passage = " ".join(passage) if words else passage
+            out.append(passage if name == "x" else " ".join([*say(60, "p"), passage, *say(60, "q")]))
+    return out
+
+
+def test_short_periods_in_one_document(spark):
+    rng = random.Random(5)
+    texts = periodic(rng, [(1, 40), (2, 60), (7, 44), (10, 100), (20, 56), (28, 63), (28, 64), (28, 90), (30, 95)], True)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute_words(list(enumerate(texts)))
+    assert sum(w[2] > 0 for w in want) >= 16
+    assert sorted(tuple(r) for r in superkmers.remove_repeats(df).collect()) == want
+    texts = periodic(rng, [(1, 120), (3, 130), (20, 121), (50, 250), (77, 177), (77, 178), (77, 300), (80, 200)], False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute_bytes(list(enumerate(texts)))
+    assert sum(w[2] > 0 for w in want) >= 12
+    for hot in (20_000, 1):
+        assert sorted(tuple(r) for r in suffixes.remove_repeats(df, hot=hot).collect()) == want

@@ -4,7 +4,8 @@ A document is a sequence of units (bytes or words). Each window of `window` unit
 grams, so equal windows have equal minimisers. Consecutive windows with the same minimiser form a super-k-mer, which travels as one packed
 string. The steps:
 
-1. Minimisers alone are counted over all documents; a window whose minimiser occurs once can't be repeated.
+1. Minimisers alone are counted over all documents, twice where a super-k-mer may repeat a window in itself (short periods); a window
+   whose minimiser counts once can't be repeated.
 2. Documents with a repeated minimiser are cut into super-k-mers; those with a repeated one are stored as packed strings.
 3. Equal strings are aggregated by their hashes (map side first), so copies meet as one row with a count and their first occurrence.
 4. Where a minimiser has several distinct strings, or one in which it recurs, they go to its bucket, each once, and the operator decides
@@ -98,6 +99,19 @@ def runs(h: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return low[start], start, size, g
 
 
+def recurring(mini: np.ndarray, start: np.ndarray, size: np.ndarray, g: np.ndarray, kind: Kind) -> np.ndarray:
+    """Which super-k-mers may repeat a window in themselves.
+
+    The grams between two equal windows of one super-k-mer are periodic, so one of its windows starts with the minimiser and, further on,
+    one ends with it.
+    """
+    low = np.repeat(mini, size)
+    begins, ends = np.flatnonzero(g[: len(low)] == low), np.flatnonzero(g[kind.reach - 1 :] == low)
+    first, last = np.searchsorted(begins, start), np.searchsorted(ends, start + size) - 1
+    begin, end = np.append(begins, len(g))[first], np.append(ends, -len(g) - kind.reach)[last]
+    return (begin < start + size) & (end >= start) & (begin < end + kind.reach - 1)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """did: doc_id, the largest number for null; rid: a hash of the row, so that rows with the same doc_id and text are one document."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -105,11 +119,17 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def minimisers(docs: DataFrame, kind: Kind) -> DataFrame:
+    """(mini, rid) for each super-k-mer, twice for one that may repeat a window in itself."""
+
+    def own(text):
+        mini, start, size, g = runs(kind.hashes(kind.split(text)), kind)
+        return np.repeat(mini, 1 + recurring(mini, start, size, g, kind)) if len(mini) else mini
+
     def rows(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                found = [runs(kind.hashes(kind.split(t.as_py())), kind)[0] for t in part.column(1)]
+                found = [own(t.as_py()) for t in part.column(1)]
                 rid = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
                 mini = np.concatenate(found) if found else np.empty(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(mini.view(np.int64)), pa.array(rid)], names=["mini", "rid"])
