@@ -40,3 +40,12 @@ def test_rows(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     long = spark.createDataFrame([(1, "a" * 200_000 + " " + "ab " * 50_000 + "token=" + "0" * 20)], "doc_id long, text string")
     assert secrets.find_secrets(long).collect()[0].n_assign == 1
+
+
+def test_keys_after_an_equals_sign(spark):
+    rng = random.Random(2)
+    names = ["DB_PASS=", "?sig=", "AWS_SECRET_ACCESS_KEY=", "key==", "a=b="]
+    keys = ["".join(rng.choices(secrets.BASE64[:62], k=40)) for _ in range(40)]
+    texts = [f"é {names[k % 5]}{x}&b" for k, x in enumerate(keys)]
+    got = {r.doc_id: r.spans.split(",") for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(f"random:{t.index(x)}:{t.index(x) + 40}" in got[k] for k, (t, x) in enumerate(zip(texts, keys))) >= 36

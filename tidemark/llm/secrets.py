@@ -25,7 +25,8 @@ PATTERNS = {
     # Runs are maximal, so those that are too short can be passed over by the pattern itself.
     "hex": (r"(?<![0-9a-f])[0-9a-f]{16,}+", 0, 16),
 }
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+=*+"
+# A value may follow "=" at once; the padding of the token before it is consumed with that token.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*+"
 HEX, BASE32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 URL64 = BASE64[:62] + "-_"
