@@ -49,3 +49,16 @@ def test_keys_after_an_equals_sign(spark):
     texts = [f"é {names[k % 5]}{x}&b" for k, x in enumerate(keys)]
     got = {r.doc_id: r.spans.split(",") for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert sum(f"random:{t.index(x)}:{t.index(x) + 40}" in got[k] for k, (t, x) in enumerate(zip(texts, keys))) >= 36
+
+
+def test_keys_of_smaller_alphabets(spark):
+    rng = random.Random(3)
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [small + digits, (small + digits).upper(), small + "234567", (small + "234567").upper(), small + small.upper() + digits]
+    keys = ["".join(rng.choices(a, k=n)) for a in alphabets for n in (40, 64) for _ in range(20)]
+    words = ["internationalization", "antidisestablishmentarianism", "aaaaaaaaaaaaaaaaaaaaaaaa", "some-page-of-the-web-site-of-example" * 2, "ThisIsACamelCaseIdentifierNameThatIsLong"]
+    texts = [f"é key {x}." for x in keys] + [f"a {words[k % 5]} b" for k in range(400)]
+    got = {r.doc_id: r.spans.split(",") for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k in range(0, len(keys), 20):
+        assert sum(f"random:6:{6 + len(x)}" in got[k + j] for j, x in enumerate(keys[k : k + 20])) >= 18, keys[k]
+    assert not any(s.startswith("random") for k in range(len(keys), len(texts)) for s in got[k])

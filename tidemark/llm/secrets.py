@@ -1,7 +1,7 @@
 """Secret scans in DataFrame functions alone: fixed patterns, and a battery of randomness tests.
 
 Besides the base patterns, each run of 20 or more token characters is tested for being random in its inferred encoding (hexadecimal,
-base 32, base 64, base 64 for URLs): a chi-squared test of a uniform alphabet, a runs test about the middle of the alphabet and a test of
+base 32 and base 36 in either case, base 62, base 64, base 64 for URLs; the smallest alphabet that has all its characters): a chi-squared test of a uniform alphabet, a runs test about the middle of the alphabet and a test of
 serial correlation. The three p-values, under "uniformly random", combine by Bonferroni's rule. The Benjamini-Hochberg step, taken
 over all documents and apart for each band of lengths, as short tokens carry less evidence, rejects tokens as ordinary text, so that at
 most RATE of the dismissed ones are expected to be random. What is not dismissed is reported as kind `random`, unless a base span holds it.
@@ -30,6 +30,17 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*+"
 HEX, BASE32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 URL64 = BASE64[:62] + "-_"
+BASE36, BASE62 = BASE64[:26] + BASE64[52:62], BASE64[:62]
+#: Pattern and alphabet, from the smallest; what fits none is base 64.
+ENCODINGS = (
+    ("^(?:[0-9a-f]+|[0-9A-F]+)$", HEX),
+    ("^[A-Z2-7]+$", BASE32),
+    ("^[a-z2-7]+$", BASE32.lower()),
+    ("^[A-Z0-9]+$", BASE36),
+    ("^[a-z0-9]+$", BASE36.lower()),
+    ("^[A-Za-z0-9]+$", BASE62),
+    ("[-_]", URL64),
+)
 RATE = 0.05
 BANDS = (32, 64, 128)
 STEP = 50  # steps of p for each power of ten
@@ -58,7 +69,10 @@ def tail(z: Column) -> Column:
 
 
 def encoding(token: Column) -> Column:
-    return F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(HEX)).when(token.rlike("^[A-Z2-7]+$"), F.lit(BASE32)).when(token.rlike("[-_]"), F.lit(URL64)).otherwise(F.lit(BASE64))
+    out = F.lit(BASE64)
+    for pattern, letters in reversed(ENCODINGS):
+        out = F.when(token.rlike(pattern), F.lit(letters)).otherwise(out)
+    return out
 
 
 def tested(tokens: Column) -> Column:
