@@ -125,3 +125,14 @@ def test_links_have_the_similarity(spark):
         a, b = root[i], root[j]
         root = [b if x == a else x for x in root]
     assert sum(root[i] == root[j] for i, j in close) >= 0.97 * len(close) and len(close) > 60
+
+
+def test_near_copies_that_differ_in_repeats_are_found(spark):
+    rng = random.Random(7)
+    texts = []
+    for _ in range(8):
+        words, line = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (600, 9))
+        texts += [" ".join(words), " ".join(words + line * 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == list(range(0, 16, 2))
+    assert simhash.wide_radius(0.8) == 62

@@ -9,8 +9,8 @@ Scale: equal fingerprints count once, so copies never meet in a group. A group a
 count (and by a hash of the fingerprint where one bit count is still too large), each pair of tiles to a task of its own.
 
 Blocks of bits only help at a small radius. For the removal of near-duplicates by similarity (five-word shingles, 0.8) fingerprints have
-256 bits and the radius is the expected distance plus two deviations; there, groups share a least shingle hash instead, and the sets of
-shingles of what the tiles let through are compared exactly.
+256 bits, folded from the distinct shingles, and the radius is the expected distance plus four deviations; there, groups share a least
+shingle hash instead, and the sets of shingles of what the tiles let through are compared exactly.
 
 Defined results: a null or blank text has fingerprint 0, which links like any other; a null doc_id keeps its fingerprint and its
 component is the smallest non-null doc_id there (null if there is none); repeated rows stay; an empty table gives no rows; other
@@ -211,18 +211,18 @@ WIDE = (42, 43, 44, 45)
 
 
 def wide_radius(similarity: float) -> int:
-    """Bits in which wide fingerprints of texts with this Jaccard similarity of shingles are expected to differ, and two deviations more."""
+    """Bits in which wide fingerprints of texts with this Jaccard similarity of shingles are expected to differ, and four deviations more."""
     bits = 64 * len(WIDE)
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
 
 
 def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_hash, node, w0.., keys): fingerprints of 64 bits by each seed in WIDE, a hash of them all, and the least shingle hash by each seed."""
+    """(doc_id, text_hash, node, w0.., keys): by each seed in WIDE, a fingerprint of 64 bits and the least hash of the distinct shingles; node: a hash of the fingerprints."""
 
     def one(text):
-        hashes = [shingle_hashes(text, size, seed) for seed in WIDE]
-        return [folded(h) for h in hashes], [int(h.min().view(np.int64)) for h in hashes if len(h)]
+        hashes = [np.unique(shingle_hashes(text, size, seed)) for seed in WIDE]
+        return [folded(h) for h in hashes], [int(h[0].view(np.int64)) for h in hashes if len(h)]
 
     def rows(batches):
         for batch in batches:
