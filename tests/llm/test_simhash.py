@@ -136,3 +136,12 @@ def test_near_copies_that_differ_in_repeats_are_found(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == list(range(0, 16, 2))
     assert simhash.wide_radius(0.8) == 62
+
+
+def test_texts_that_share_a_repeated_line_stay(spark):
+    rng = random.Random(8)
+    line = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+    texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(120)] + line * 40) for _ in range(12)]
+    texts += [" ".join([f"w{rng.randrange(10**6)}" for _ in range(60)] + ["word"] * 80) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == list(range(24))

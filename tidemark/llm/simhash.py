@@ -10,7 +10,7 @@ count (and by a hash of the fingerprint where one bit count is still too large),
 
 Blocks of bits only help at a small radius. For the removal of near-duplicates by similarity (five-word shingles, 0.8) fingerprints have
 256 bits, folded from the distinct shingles, and the radius is the expected distance plus four deviations; there, groups share a least
-shingle hash instead, and the sets of shingles of what the tiles let through are compared exactly.
+shingle hash instead, and the sets of shingles of what the tiles let through are compared exactly. Only texts with equal sets are copies.
 
 Defined results: a null or blank text has fingerprint 0, which links like any other; a null doc_id keeps its fingerprint and its
 component is the smallest non-null doc_id there (null if there is none); repeated rows stay; an empty table gives no rows; other
@@ -218,18 +218,18 @@ def wide_radius(similarity: float) -> int:
 
 
 def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_hash, node, w0.., keys): by each seed in WIDE, a fingerprint of 64 bits and the least hash of the distinct shingles; node: a hash of the fingerprints."""
+    """(doc_id, text_hash, node, w0.., keys): by each seed in WIDE, a fingerprint of 64 bits and the least hash of the distinct shingles; node: a hash of their set."""
 
     def one(text):
         hashes = [np.unique(shingle_hashes(text, size, seed)) for seed in WIDE]
-        return [folded(h) for h in hashes], [int(h[0].view(np.int64)) for h in hashes if len(h)]
+        return [folded(h) for h in hashes], [int(h[0].view(np.int64)) for h in hashes if len(h)], xxhash.xxh3_64_intdigest(hashes[0].tobytes())
 
     def rows(batches):
         for batch in batches:
             made = [one(t.as_py()) for t in batch.column(2)]
-            words = np.array([w for w, _ in made], np.uint64).reshape(-1, len(WIDE))
-            node = [xxhash.xxh64_intdigest(w.tobytes()) for w in words]
-            cols = [pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(words[:, k].copy().view(np.int64)) for k in range(len(WIDE))), pa.array([k for _, k in made], pa.list_(pa.int64()))]
+            words = np.array([w for w, _, _ in made], np.uint64).reshape(-1, len(WIDE))
+            node = [n for _, _, n in made]
+            cols = [pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(words[:, k].copy().view(np.int64)) for k in range(len(WIDE))), pa.array([k for _, k, _ in made], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "text_hash", "node", *names, "keys"])
 
     names = [f"w{k}" for k in range(len(WIDE))]
