@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="tidemark-shared-")
         shared_dir.own = folder
     if spark.sparkContext.getCheckpointDir() is None:
@@ -35,7 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it again: smaller on disk than a checkpoint, and columns can be pruned."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `stored` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,16 +6,20 @@ string. The steps:
 
 1. Minimisers alone are counted over all documents, twice where a super-k-mer may repeat a window in itself (short periods); a window
    whose minimiser counts once can't be repeated.
-2. Documents with a repeated minimiser are cut into super-k-mers; those with a repeated one are stored as packed strings.
+2. Documents with a repeated minimiser are cut into super-k-mers; the places of those with a repeated one are stored, with a hash.
 3. Equal strings are aggregated by their hashes (map side first), so copies meet as one row with a count and their first occurrence.
-4. Where a minimiser has several distinct strings, or one in which it recurs, they go to its bucket, each once, and the operator decides
-   exactly which windows are repeated. A string that is alone in its bucket needs no decision: its count tells.
+4. Where a minimiser has several distinct strings, or one in which it recurs, they go to its bucket, each once, packed from its first
+   occurrence, and the operator decides exactly which windows are repeated. A string alone in its bucket needs no decision: its count tells.
 5. Decisions return to all occurrences of a string, and by document to the text.
 
-Scale: each shuffle is by a hash; hot minimisers are pre-aggregated in 1 and 3, and the joins of 1 and 5 can be split by Spark. A bucket
-of over HOT distinct strings is not given to one task: its windows are grouped one by one, pre-aggregated, with the same result. Whether a document matters for 2 and 5 is first asked from a bit table
-of fixed size, which only saves work: the join decides. A finished step is a table in the shared folder, so a lost executor costs its
-tasks alone, and the shuffle files before it can go.
+Scale: each shuffle is by a hash; hot minimisers are pre-aggregated in 1 and 3. The joins of 1, 4 and 5 are between stored tables, so that
+Spark can split a hot key. A bucket of over HOT distinct strings is never given to one task: it is divided down to single windows, which
+are aggregated as equal strings are, here by all their units (map side first), with the same result. Whether a document matters for 2
+and 5 is first asked from a bit table of fixed size, which only saves work: the join decides. A finished step is a table in the shared
+folder, so a lost executor costs its tasks alone; what no later step reads is deleted.
+
+Memory: a task holds a batch of documents (Arrow's limit in rows) and some tens of bytes for each byte of the longest one, or whole buckets of at
+most HOT strings of a bounded length.
 """
 
 from __future__ import annotations
@@ -30,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import discard, stored
 
 BITS = 1 << 24
 MUL = np.uint64(0x9E3779B97F4A7C15)
 LAST = (1 << 63) - 1
-#: Distinct strings of a bucket that one task takes; larger buckets are decided window by window.
-HOT = 20_000
+#: Distinct strings of a bucket that one task takes; larger buckets are divided down to their windows.
+HOT = 1000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -164,16 +168,8 @@ def marked(docs: DataFrame, bits, yes: bool, column: str = "rid") -> DataFrame:
     return docs.mapInArrow(rows, docs.schema)
 
 
-def spots(g: np.ndarray, mini: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where, from its start, each super-k-mer has its minimiser first, and whether it has it again. size: its number of grams."""
-    own = np.cumsum(size) - size
-    hits = np.flatnonzero(g[np.arange(size.sum()) + np.repeat(start - own, size)] == np.repeat(mini, size))
-    first, stop = np.searchsorted(hits, own), np.searchsorted(hits, own + size)
-    return hits[first] - own, stop - first > 1
-
-
-def packed_strings(docs: DataFrame, touched: DataFrame, kind: Kind) -> DataFrame:
-    """mini, dig (hash of the string), did, rid, start, n (windows), spot (where its minimiser is), twice (it occurs more than once) and packed."""
+def occurrences(docs: DataFrame, touched: DataFrame, kind: Kind) -> DataFrame:
+    """mini, dig (hash of the string), did, rid, start, n (windows) and twice (it may repeat a window in itself) of each super-k-mer in touched."""
 
     def rows(batches):
         for batch in batches:
@@ -181,33 +177,46 @@ def packed_strings(docs: DataFrame, touched: DataFrame, kind: Kind) -> DataFrame
             for did, rid, text, minis in zip(*batch.columns):
                 units = kind.split(text.as_py())
                 mini, start, size, g = runs(kind.hashes(units), kind)
+                twice = recurring(mini, start, size, g, kind) if len(mini) else start.astype(bool)
                 chosen = np.flatnonzero(np.isin(mini, minis.values.to_numpy().view(np.uint64)))
-                for k in range(0, len(chosen), 5000):
-                    m, a, n = (x[chosen[k : k + 5000]] for x in (mini, start, size))
-                    spot, twice = spots(g, m, a, n + kind.reach - 1)
-                    packed = [kind.join(units, i, j) for i, j in zip(a.tolist(), (a + n + kind.window - 1).tolist())]
-                    dig = np.fromiter(map(xxhash.xxh3_64_intdigest, packed), np.uint64, len(m))
-                    out.append((m.view(np.int64), dig.view(np.int64), np.full(len(m), did.as_py()), np.full(len(m), rid.as_py()), a, n, spot, twice, packed))
-                    held += sum(map(len, packed))
-                    if held > 4_000_000:
-                        yield made(out)
-                        out, held = [], 0
+                m, a, n = mini[chosen], start[chosen], size[chosen]
+                dig = np.fromiter((xxhash.xxh3_64_intdigest(kind.join(units, i, j)) for i, j in zip(a.tolist(), (a + n + kind.window - 1).tolist())), np.uint64, len(m))
+                out.append((m.view(np.int64), dig.view(np.int64), np.full(len(m), did.as_py()), np.full(len(m), rid.as_py()), a, n, twice[chosen]))
+                held += len(m)
+                if held > 50_000:
+                    yield made(out)
+                    out, held = [], 0
             if out:
                 yield made(out)
 
     def made(out):
-        *numbers, packed = zip(*out)
-        cols = [pa.array(np.concatenate(c)).cast(t) for c, t in zip(numbers, types)]
-        return pa.RecordBatch.from_arrays([*cols, pa.array([p for part in packed for p in part], pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t) for c, t in zip(zip(*out), types)], names=names)
 
-    names = ["mini", "dig", "did", "rid", "start", "n", "spot", "twice", "packed"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-    schema = "mini long, dig long, did long, rid long, start int, n int, spot int, twice boolean, packed binary"
+    names = ["mini", "dig", "did", "rid", "start", "n", "twice"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    schema = "mini long, dig long, did long, rid long, start int, n int, twice boolean"
     return docs.join(touched, "rid").select("did", "rid", "text", "minis").mapInArrow(rows, schema)
 
 
+def packed_strings(docs: DataFrame, distinct: DataFrame, kind: Kind) -> DataFrame:
+    """The rows of distinct, each with `packed`, the string at its first occurrence. Rows of docs with an equal rid repeat them."""
+    inner = ["mini", "dig", "count", "fdid", "fstart", "n", "twice", "strings"]
+
+    def rows(batches):
+        for batch in batches:
+            for rid, text, found in zip(*batch.columns):
+                units, flat = kind.split(text.as_py()), found.values
+                start, n = (flat.field(c).to_numpy() for c in ("fstart", "n"))
+                packed = [kind.join(units, a, b) for a, b in zip(start.tolist(), (start + n + kind.window - 1).tolist())]
+                yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in inner), pa.array(np.full(len(packed), rid.as_py())), pa.array(packed, pa.binary())], names=[*inner, "frid", "packed"])
+
+    asked = distinct.groupBy(F.col("frid").alias("rid")).agg(F.collect_list(F.struct(*inner)).alias("found"))
+    schema = "mini long, dig long, count long, fdid long, fstart int, n int, twice boolean, strings long, frid long, packed binary"
+    return docs.join(asked, "rid").select("rid", "text", "found").mapInArrow(rows, schema)
+
+
 def by_bucket(rows: DataFrame, decide: Callable, most: int = 8000) -> DataFrame:
-    """(mini, dig, mask): bits of a distinct string's windows. decide: masks of a few whole buckets, given as lists of columns."""
+    """(mini, dig, mask): bits of a distinct string's windows. decide: masks of a few whole buckets, given as columns. Equal rows count once."""
 
     def run(batches):
         held = None
@@ -223,6 +232,8 @@ def by_bucket(rows: DataFrame, decide: Callable, most: int = 8000) -> DataFrame:
             yield from pieces(held)
 
     def pieces(t):
+        minis, digs = t.column("mini").to_numpy(), t.column("dig").to_numpy()
+        t = t.filter(pa.array(np.append(True, (minis[1:] != minis[:-1]) | (digs[1:] != digs[:-1]))))
         minis = t.column("mini").to_numpy()
         starts = np.concatenate([[0], np.flatnonzero(np.diff(minis)) + 1, [len(minis)]])
         a = 0
@@ -237,27 +248,27 @@ def by_bucket(rows: DataFrame, decide: Callable, most: int = 8000) -> DataFrame:
 
 
 def by_window(rows: DataFrame, kind: Kind, keep_first: bool) -> DataFrame:
-    """(mini, dig, mask) as by_bucket gives, for buckets of any size: windows are grouped one by one, by a hash of 128 bits, pre-aggregated."""
+    """(mini, dig, mask) as by_bucket gives, for buckets of any size: single windows are aggregated by their units, map side first."""
 
     def spread(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 n = part.column("n").to_numpy()
-                hashes = [xxhash.xxh3_128_digest(kind.join(u, k, k + kind.window)) for u, m in ((kind.unpack(p.as_py()), m) for p, m in zip(part.column("packed"), n.tolist())) for k in range(m)]
-                h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                windows = [kind.join(u, k, k + kind.window) for u, m in ((kind.unpack(p.as_py()), m) for p, m in zip(part.column("packed"), n.tolist())) for k in range(m)]
                 own = np.repeat(np.arange(len(n)), n)
                 offset = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
                 at = part.column("fstart").to_numpy()[own] + offset
                 cols = [part.column(c).take(pa.array(own)) for c in ("mini", "dig", "n", "count", "fdid", "frid")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(at.astype(np.int64)), pa.array(offset.astype(np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=names)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(at.astype(np.int64)), pa.array(offset.astype(np.int32)), pa.array(windows, pa.binary())], names=names)
 
-    names = ["mini", "dig", "n", "count", "fdid", "frid", "at", "offset", "h1", "h2"]
-    windows = rows.select("mini", "dig", "count", "n", "fdid", "frid", "fstart", "packed").mapInArrow(spread, "mini long, dig long, n int, count long, fdid long, frid long, at long, offset int, h1 long, h2 long")
+    names = ["mini", "dig", "n", "count", "fdid", "frid", "at", "offset", "units"]
+    once = rows.dropDuplicates(["mini", "dig"])
+    windows = once.select("mini", "dig", "count", "n", "fdid", "frid", "fstart", "packed").mapInArrow(spread, "mini long, dig long, n int, count long, fdid long, frid long, at long, offset int, units binary")
     place = F.struct("fdid", "frid", "at")
-    groups = windows.groupBy("h1", "h2").agg(F.sum("count").alias("total"), F.min(place).alias("first"))
-    again = (place != F.col("first")) if keep_first else (F.col("total") > 1)
-    met = windows.join(groups, ["h1", "h2"]).groupBy("mini", "dig").agg(F.first("n").alias("n"), F.collect_list(F.when(again, F.col("offset"))).alias("offsets"))
+    groups = stored(windows.groupBy("units").agg(F.sum("count").alias("total"), F.min(place).alias("first")).where("total > 1"), "repeated-windows")
+    again = (place != F.col("first")) if keep_first else F.lit(True)
+    met = windows.join(groups, "units").where(again).groupBy("mini", "dig").agg(F.first("n").alias("n"), F.collect_list("offset").alias("offsets"))
 
     def bits(batches):
         for batch in batches:
@@ -278,30 +289,32 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
     """
     spark = docs.sparkSession
     own = keyed(docs)
-    pairs = minimisers(own, kind)
-    repeated = pairs.groupBy("mini").count().where("count > 1").select("mini")
-    touched = stored(pairs.join(repeated, "mini").groupBy("rid").agg(F.collect_set("mini").alias("minis")), "repeated-minimisers")
+    pairs = stored(minimisers(own, kind), "minimisers")
+    repeated = stored(pairs.groupBy("mini").count().where("count > 1").select("mini"), "repeated-minimisers")
+    touched = stored(pairs.join(repeated, "mini").groupBy("rid").agg(F.collect_set("mini").alias("minis")), "minimisers-by-document")
+    discard(pairs, repeated)
     release(spark)
     bits = spark.sparkContext.broadcast(bit_table(touched, "rid"))
-    strings = stored(packed_strings(marked(own, bits, True), touched, kind), "packed-strings")
+    strings = stored(occurrences(marked(own, bits, True), touched, kind), "strings")
+    discard(touched)
     release(spark)
     first = F.min(F.struct("did", "rid", "start")).alias("first")
-    counted = strings.groupBy("mini", "dig").agg(F.count("*").alias("count"), first, F.max("n").alias("n"), F.max("spot").alias("spot"), F.max("twice").alias("twice"))
-    distinct = stored(counted.select("mini", "dig", "count", F.col("first.did").alias("fdid"), F.col("first.rid").alias("frid"), F.col("first.start").alias("fstart"), "n", "spot", "twice"), "distinct-strings")
+    counted = strings.groupBy("mini", "dig").agg(F.count("*").alias("count"), first, F.max("n").alias("n"), F.max("twice").alias("twice"))
+    distinct = stored(counted.select("mini", "dig", "count", F.col("first.did").alias("fdid"), F.col("first.rid").alias("frid"), F.col("first.start").alias("fstart"), "n", "twice"), "distinct-strings")
+    buckets = stored(distinct.groupBy("mini").agg(F.count("*").alias("strings"), F.max("twice").alias("any")).where("strings > 1 or any").select("mini", "strings"), "buckets")
     release(spark)
-    # Only the first occurrence of a string that needs a decision travels with its text. A bucket with recurring minimisers is more work.
-    buckets = distinct.groupBy("mini").agg(F.count("*").alias("n"), F.max("twice").alias("any")).where("n > 1 or any").select("mini", F.expr("if(any, 2 * n, n)").alias("strings"))
-    open_ = stored(distinct.join(buckets, "mini").withColumn("place", F.xxhash64("mini", "dig", "frid", "fstart")), "open-strings")
-    wanted = spark.sparkContext.broadcast(bit_table(open_, "place"))
-    placed = strings.select(F.xxhash64("mini", "dig", "rid", "start").alias("place"), "packed")
-    packed = marked(placed, wanted, True, "place").join(open_.select("place"), "place", "left_semi").dropDuplicates(["place"])
-    flat = stored(open_.join(packed, "place").drop("place"), "bucket-strings")
+    # Only the first occurrence of a string that needs a decision travels with its text.
+    open_ = stored(distinct.join(buckets, "mini"), "open-strings")
+    wanted = spark.sparkContext.broadcast(bit_table(open_, "frid"))
+    flat = stored(packed_strings(marked(own, wanted, True), open_, kind), "bucket-strings")
+    discard(open_, buckets)
     release(spark)
     cold, large = flat.where(F.col("strings") <= hot), flat.where(F.col("strings") > hot)
     decided = by_bucket(cold, decide)
     if not large.isEmpty():
         decided = decided.unionByName(by_window(large, kind, keep_first))
-    masks = stored(distinct.select("mini", "dig", "count", "frid", "fstart").join(decided, ["mini", "dig"], "left"), "masks")
+    masks = stored(distinct.select("mini", "dig", "count", "frid", "fstart").join(stored(decided, "decisions"), ["mini", "dig"], "left"), "masks")
+    discard(flat, distinct)
     release(spark)
     met = strings.select("mini", "dig", "rid", "start", "n").join(masks, ["mini", "dig"])
     # A null mask now stands for all windows; rows of which nothing goes are left out.
@@ -310,7 +323,10 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
     else:
         whole = F.col("mask").isNull() & (F.col("count") > 1)
     gone = met.where(whole | F.col("mask").isNotNull()).withColumn("mask", F.when(~whole, F.col("mask")))
-    spans = gone.select("rid", F.struct("start", "n", "mask").alias("span")).groupBy("rid").agg(F.collect_list("span").alias("spans"))
+    spans = stored(gone.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "mask")).alias("spans")), "spans")
+    discard(strings, masks)
+    release(spark)
+    bits = spark.sparkContext.broadcast(bit_table(spans, "rid"))
 
     def change_of(length, start, n, mask):
         """Adds 1 where a removed run of windows begins and takes 1 away after its last unit."""
@@ -329,22 +345,26 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
 
     def rows(batches):
         for batch in batches:
-            out, given = [], batch.column("spans") if "spans" in batch.schema.names else None
-            if given is not None:
-                at, known = given.offsets.to_numpy(), np.array(given.is_valid())
-                start, n = (given.values.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n"))
-                mask = given.values.field("mask").to_pylist()
-            for k, (doc_id, text) in enumerate(zip(batch.column("doc_id"), batch.column("text"))):
-                text = text.as_py()
-                units = kind.split(text)
-                removed = None
-                if given is not None and known[k] and at[k] < at[k + 1]:
-                    part = slice(at[k], at[k + 1])
-                    removed = np.cumsum(change_of(len(units), start[part], n[part], mask[part])[:-1]) > 0
-                out.append((doc_id.as_py(), *finish(text, units, removed)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types)], names=names)
+            if "spans" not in batch.schema.names:
+                v = batch.column("rid").to_numpy() & (BITS - 1)
+                batch = batch.filter(pa.array((bits.value[v >> 6] >> (v & 63) & 1) == 0))
+            for a in range(0, batch.num_rows, 500):
+                yield made(batch.slice(a, 500))
+
+    def made(batch):
+        out, given = [], batch.column("spans") if "spans" in batch.schema.names else None
+        for k, (doc_id, text) in enumerate(zip(batch.column("doc_id"), batch.column("text"))):
+            text = text.as_py()
+            units = kind.split(text)
+            removed = None
+            if given is not None and given[k].is_valid:
+                found = given[k].values
+                start, n = (found.field(c).to_numpy() for c in ("start", "n"))
+                removed = np.cumsum(change_of(len(units), start, n, found.field("mask").to_pylist())[:-1]) > 0
+            out.append((doc_id.as_py(), *finish(text, units, removed)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types)], names=names)
 
     types = [pa.string() if part.split()[1] == "string" else pa.int64() for part in schema.split(", ")]
-    clean = marked(own, bits, False).select("doc_id", "text").mapInArrow(rows, schema)
+    clean = own.select("doc_id", "text", "rid").mapInArrow(rows, schema)
     joined = marked(own, bits, True).join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(rows, schema)
     return clean.unionByName(joined)

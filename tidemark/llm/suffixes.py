@@ -1,13 +1,17 @@
 """Removal of repeated byte strings by a column-wise multi-document suffix array.
 
-The buckets of repeats.py hold the packed strings that share a minimiser. For each handful of buckets, the collection's Burrows-Wheeler
-transform is built by columns: round j inserts one symbol of every string, from the last to the first, and rewrites the order and the
-common prefixes in one sequential pass. The strings are aligned by their minimisers, one in which it recurs being cut so that the windows
-of a part have the same first minimiser, and the transform is positional: only suffixes from the same column are ordered, as others can't
-be equal. In buckets of short periods, where the parts would be many, the full transform is built, a symbol's place being found by
-counting the symbols before it. As only matches of `window` bytes count, common
-prefixes are kept up to that length. Runs of suffixes whose common prefixes reach it are the classes of equal windows; all but the first
-occurrence of a class are removed. Matches never cross documents, since strings are cut from one document each.
+The buckets of repeats.py hold the packed strings that share a minimiser. For a handful of buckets at a time, the Burrows-Wheeler transform
+of their strings and the common prefixes of their suffixes are built by columns (`columns`): a round inserts one symbol of every string,
+from the last to the first, finds its place by counting the equal symbols before its predecessor in the transform, and rewrites transform
+and prefixes in one sequential pass. As only matches of `window` bytes count, common prefixes are kept up to that length. Runs of suffixes
+whose common prefixes reach it are the classes of equal windows; all but the first occurrence of a class are removed. Matches never cross
+documents, since strings are cut from one document each.
+
+Before that, strings are trimmed to the windows whose rolling hash recurs (a window with a hash of its own can't be repeated), and equal
+trimmed strings of a bucket count once, as equal strings do everywhere here: all windows but those of the first are repeated.
+
+The sequential files of the construction are, between tasks, the tables of repeats.py in the shared folder; within a task, arrays of at most
+some PARTS strings of at most 407 bytes. A transform of the whole collection would take as many passes over everything as the longest text has bytes.
 
 Defined results: a null text counts as empty; texts shorter than the window stay whole; rows with equal doc_id and text are one document
 and get equal results; rows with equal doc_id and other texts are ordered by a hash of the text; null doc_ids come last; an empty table
@@ -24,163 +28,121 @@ from pyspark.sql import DataFrame
 from tidemark.llm.repeats import HOT, Kind, mixed, remove, rolled
 
 WINDOW, ANCHOR = 100, 24
-END = 255  # no byte of UTF-8
-#: Parts to a string, on average, from which a bucket is decided by the full transform.
-DENSE = 40
+#: Strings of which one transform is built (more where one bucket has more).
+PARTS = 1000
 
 BYTES = Kind(WINDOW, ANCHOR, lambda t: np.frombuffer(t.encode(), np.uint8), lambda u: mixed(u.astype(np.uint64) + np.uint64(1)), lambda u, a, b: u[a:b].tobytes(), lambda p: np.frombuffer(p, np.uint8))
 
 
 def columns(strings: list[bytes], most: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """String, offset and common prefix with its predecessor (up to `most`, which is below 256) of every suffix, in their order."""
+    """String, offset and common prefix with its predecessor (up to `most`, which is below 256) of every suffix, in their order.
+
+    For fewer than 65,536 strings, each shorter than that. All strings end with their first symbols in the same round, so the shorter ones join later.
+    """
     n = len(strings)
     size = np.fromiter(map(len, strings), np.int64, n)
+    by = np.argsort(-size, kind="stable")
+    size = size[by]
     width = int(size.max(initial=0))
-    text = np.full((n, width), END, np.uint8)  # aligned at the end
-    for k, s in enumerate(strings):
-        text[k, width - len(s) :] = np.frombuffer(s, np.uint8)
-    name = np.arange(n, dtype=np.int64) << 32 | size  # string and offset of the empty suffixes
-    bwt, lcp = np.full(n, END, np.uint8), np.zeros(n, np.uint8)
-    place = np.arange(n)
-    for j in range(1, width + 1):
-        live = np.flatnonzero(size >= j)
-        at = place[live]
-        bwt[at] = text[live, width - j]
-        order = np.argsort(bwt, kind="stable")  # where each suffix one symbol longer comes from
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        used = len(order) - int(np.count_nonzero(bwt == END))
+    text = np.zeros((n, width), np.uint8)
+    for k, s in enumerate(by.tolist()):
+        text[k, : size[k]] = np.frombuffer(strings[s], np.uint8)
+    text = np.ascontiguousarray((text + np.uint8(1)).T)  # a byte of UTF-8 is below 248; 0 stands for the end
+    live = np.searchsorted(-size, -np.arange(width)).tolist()
+    bwt, lcp, name = np.zeros(n, np.uint8), np.zeros(n, np.uint8), (by << 16 | size).astype(np.uint32)  # of the empty suffixes
+    place, count, rank = np.arange(n), np.arange(n + int(size.sum())), np.empty(n + int(size.sum()), np.int64)
+    for j in range(width - 1, -1, -1):
+        m, total = live[j], len(bwt)
+        symbol, at = text[j, : live[j]], place[: live[j]]
+        bwt[at] = symbol
+        order = np.argsort(bwt, kind="stable")  # where each suffix that is one symbol longer comes from
+        rank[order] = count[:total]
         r = rank[at]
-
-        def common(a, b):
-            return np.minimum(least(lcp, a, b).astype(np.int64) + 1, most).astype(np.uint8)
-
-        before, after = np.zeros(len(at), np.uint8), np.zeros(len(at), np.uint8)
-        p = np.flatnonzero(r > 0)
-        p = p[bwt[order[r[p] - 1]] == bwt[at[p]]]
-        before[p] = common(order[r[p] - 1], at[p])
-        q = np.flatnonzero(r + 1 < used)
-        q = q[bwt[order[r[q] + 1]] == bwt[at[q]]]
-        after[q] = common(at[q], order[r[q] + 1])
-        total, new = len(bwt) + len(live), n + r
-        old = np.ones(total, bool)
+        before, after = order[r - 1], order[np.minimum(r + 1, total - 1)]
+        p, q = np.flatnonzero((bwt[before] == symbol) & (r > 0)), np.flatnonzero((bwt[after] == symbol) & (r + 1 < total))
+        common = np.minimum(least(lcp, np.concatenate([before[p], at[q]]), np.concatenate([at[p], after[q]])), most - 1) + np.uint8(1)
+        new = n - (total - np.count_nonzero(bwt)) + r
+        old = np.ones(total + m, bool)
         old[new] = False
-        nbwt, nlcp, nname = np.full(total, END, np.uint8), np.zeros(total, np.uint8), np.empty(total, np.int64)
-        nbwt[old], nlcp[old], nname[old] = bwt, lcp, name
-        nname[new] = live << 32 | (size[live] - j)
-        follows = new + 1 < total
-        nlcp[new[follows] + 1] = after[follows]
-        nlcp[new] = before
-        bwt, lcp, name = nbwt, nlcp, nname
-        place = np.full(n, -1)
-        place[live] = new
-    return name >> 32, name & 0xFFFFFFFF, lcp
-
-
-def aligned(strings: list[bytes], spot: np.ndarray, n: np.ndarray, rank: np.ndarray, most: int = WINDOW) -> np.ndarray:
-    """Windows (string x column, the minimisers below each other) that a string of lower rank has too, by the positional transform.
-
-    Equal windows of a bucket have their minimiser, which occurs once in each string, at the same place. So it is enough to keep, for one
-    column at a time, the strings in the order of what they have from there on, and their common prefixes: a round inserts the symbol
-    before it into every string and rewrites both in one pass.
-    """
-    m = len(strings)
-    base = spot.max() - spot
-    size = np.fromiter(map(len, strings), np.int64, m)
-    text = np.full((m, int((base + size).max())), END, np.uint8)
-    for k, s in enumerate(strings):
-        text[k, base[k] : base[k] + len(s)] = np.frombuffer(s, np.uint8)
-    text = np.asfortranarray(text)  # a round reads a column
-    again = np.zeros(text.shape, bool)
-    by_end = np.argsort(base + size, kind="stable")
-    ends = np.searchsorted((base + size)[by_end], np.arange(text.shape[1] + 2))
-    order, lcp = np.empty(0, np.int64), np.empty(0, np.uint8)  # of the strings that have a symbol in this column
-    for j in range(text.shape[1] - 1, -1, -1):
-        begun = by_end[ends[j + 1] : ends[j + 2]]
-        if len(begun):
-            order, lcp = np.concatenate([order, begun]), np.concatenate([lcp, np.zeros(len(begun), np.uint8)])
-        symbol = text[order, j]
-        by = np.argsort(symbol, kind="stable")
-        ordered = symbol[by]
-        used = int(np.searchsorted(ordered, END))
-        by, ordered = by[:used], ordered[:used]
-        same = np.flatnonzero(ordered[1:] == ordered[:-1]) + 1
-        new = np.zeros(used, np.uint8)
-        if len(same):
-            new[same] = np.minimum(least(lcp, by[same - 1], by[same]).astype(np.int16) + 1, most)
-        order, lcp = order[by], new
-        if (lcp >= most).any():
-            starts = np.flatnonzero(lcp < most)
-            held = rank[order]
-            first = np.repeat(np.minimum.reduceat(held, starts), np.diff(np.append(starts, used)))
-            again[order[held != first], j] = True
-    return again[np.repeat(np.arange(m), n), np.concatenate([np.arange(b, b + k) for b, k in zip(base.tolist(), n.tolist())])]
+        bwt, lcp, name = (spread(x, old) for x in (bwt, lcp, name))
+        bwt[new], lcp[new], name[new] = 0, 0, by[:m] << 16 | j
+        lcp[new[p]], lcp[new[q] + 1] = common[: len(p)], common[len(p) :]
+        place[:m] = new
+    return name >> np.uint32(16), name & np.uint32(0xFFFF), lcp
+
+
+def spread(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values, in order, where `at` says; the rest is free."""
+    out = np.empty(len(at), values.dtype)
+    out[at] = values
+    return out
 
 
 def least(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least of values[a + 1 .. b], where a < b, by minima over 2 ** k neighbours."""
     level = np.frexp((b - a).astype(np.float64))[1] - 1
+    by = np.argsort(level.astype(np.uint8), kind="stable")
+    top = int(level.max(initial=0))
+    cuts = np.searchsorted(level[by], np.arange(top + 2))
     out, low = np.empty(len(a), values.dtype), values
-    for k in range(int(level.max(initial=0)) + 1):
+    for k in range(top + 1):
         if k:
             low = np.minimum(low[: -(1 << k - 1)], low[1 << k - 1 :])
-        at = np.flatnonzero(level == k)
+        at = by[cuts[k] : cuts[k + 1]]
         out[at] = np.minimum(low[a[at] + 1], low[b[at] + 1 - (1 << k)])
     return out
 
 
-def pieces(strings: list[bytes], mini: np.ndarray, spot: np.ndarray, n: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """String, first window, number of windows and place of the minimiser of each part whose windows have the same first minimiser."""
-    own, at = np.flatnonzero(~twice), spot[~twice].astype(np.int64)
-    for k in np.flatnonzero(twice).tolist():
-        found = np.flatnonzero(rolled(BYTES.hashes(BYTES.unpack(strings[k])), ANCHOR) == mini[k])
-        own, at = np.append(own, np.full(len(found), k)), np.append(at, found)
-    by = np.lexsort((at, own))
-    own, at = own[by], at[by]
-    begins = np.diff(own, prepend=-1) > 0
-    first = np.where(begins, 0, np.append(0, at[:-1]) + 1)
-    count = np.minimum(at + 1, n[own]) - first
-    keep = count > 0  # a minimiser beyond the last window's start, after another one, is no window's first
-    return own[keep], first[keep], count[keep], at[keep]
+def recurrent(strings: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings that have windows whose rolling hash recurs, and the first and last of these. n: windows of each string."""
+    h = rolled(BYTES.hashes(BYTES.unpack(b"".join(strings))), WINDOW)
+    own = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    h = h[np.repeat(np.cumsum(n + WINDOW - 1) - n - WINDOW + 1, n) + offset]
+    by = np.argsort(h)
+    same = h[by][1:] == h[by][:-1]
+    again = np.zeros(len(h), bool)
+    again[by[1:][same]] = again[by[:-1][same]] = True
+    w = np.flatnonzero(again)
+    first = np.flatnonzero(np.diff(own[w], prepend=-1))
+    return own[w[first]], offset[w[first]], offset[w[np.append(first[1:], len(w)) - 1]] if len(w) else offset[:0]
 
 
 def decide(t: dict) -> list[np.ndarray]:
     """Windows of each distinct string that also start earlier."""
-    n, mini = t["n"].to_numpy(), t["mini"].to_numpy()
-    masks = [np.zeros(k, bool) for k in n.tolist()]
-    bucket = np.unique(mini, return_inverse=True)[1]
-    did, rid, start, spot = (t[c].to_numpy() for c in ("fdid", "frid", "fstart", "spot"))
+    n, bucket = t["n"].to_numpy().astype(np.int64), np.unique(t["mini"].to_numpy(), return_inverse=True)[1]
+    did, rid, start = (t[c].to_numpy() for c in ("fdid", "frid", "fstart"))
     twice = np.array(t["twice"].to_pylist(), bool)
-    chosen = np.flatnonzero((np.bincount(bucket) > 1)[bucket] | (np.bincount(bucket, twice) > 0)[bucket])
-    if not len(chosen):
-        return masks
-    strings = [t["packed"][int(k)].as_py() for k in chosen]
-    own, first, count, at = pieces(strings, mini[chosen].view(np.uint64), spot[chosen], n[chosen], twice[chosen])
-    held = bucket[chosen]
-    dense = (np.bincount(held[own], minlength=len(held)) > DENSE * np.bincount(held, minlength=len(held)))[held]
-    flat = np.flatnonzero(~dense[own])
-    if len(flat):
-        own, first, count, at = own[flat], first[flat], count[flat], at[flat]
-        k = chosen[own]
-        # By document, then by place: within a column, places differ as the minimisers' places do.
-        rank = np.empty(len(own), np.int64)
-        rank[np.lexsort((start[k] + at, rid[k], did[k]))] = np.arange(len(own))
-        texts = [strings[i][a : a + c + WINDOW - 1] for i, a, c in zip(own.tolist(), first.tolist(), count.tolist())]
-        again = aligned(texts, at - first, count, rank)
-        for i, a, c, part in zip(k.tolist(), first.tolist(), count.tolist(), np.split(again, np.cumsum(count)[:-1])):
-            masks[i][a : a + c] = part
-    full = np.flatnonzero(dense)
-    if len(full):
-        string, offset, lcp = columns([strings[k] for k in full])
-        group = np.cumsum(lcp < WINDOW)
-        windows = offset < n[chosen[full]][string]
-        string, offset, group = string[windows], offset[windows], group[windows]
-        k = chosen[full[string]]
-        by = np.lexsort((start[k] + offset, rid[k], did[k], group))
-        same = by[1:][group[by][1:] == group[by][:-1]]
-        for i, o in zip(k[same].tolist(), offset[same].tolist()):
-            masks[i][o] = True
-    return masks
+    strings = t["packed"].to_pylist()
+    begin = np.cumsum(n) - n
+    again = np.zeros(int(n.sum()), bool)  # the windows of all strings
+    found, first, last = recurrent(strings, n)
+    # Equal parts of a bucket: the earliest of them stands for all.
+    earliest: dict[tuple[int, bytes], int] = {}
+    for k in np.lexsort((start[found] + first, rid[found], did[found])).tolist():
+        s, a, b = int(found[k]), int(first[k]), int(last[k]) + 1
+        if earliest.setdefault((int(bucket[s]), strings[s][a : b + WINDOW - 1]), k) != k:
+            again[begin[s] + a : begin[s] + b] = True
+    parts = np.array(sorted(earliest.values()), np.int64)
+    several = np.bincount(bucket[found[parts]], minlength=len(n))[bucket[found[parts]]] > 1
+    parts = parts[several | twice[found[parts]]]
+    parts = parts[np.argsort(bucket[found[parts]], kind="stable")]
+    edges = np.append(np.flatnonzero(np.diff(bucket[found[parts]], prepend=-1)), len(parts))
+    a = 0
+    while a < len(edges) - 1:
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + PARTS, "right")) - 1)
+        part = parts[edges[a] : edges[b]]
+        string, offset, lcp = columns([strings[found[k]][first[k] : last[k] + WINDOW] for k in part.tolist()])
+        k, group = part[string], np.cumsum(lcp < WINDOW)
+        at = first[k] + offset.astype(np.int64)
+        window = at <= last[k]
+        k, at, group = k[window], at[window], group[window]
+        s = found[k]
+        by = np.lexsort((start[s] + at, rid[s], did[s], group))
+        later = by[1:][group[by][1:] == group[by][:-1]]
+        again[begin[s[later]] + at[later]] = True
+        a = b
+    return np.split(again, begin[1:])
 
 
 def _finish(text, units, removed):
