@@ -30,6 +30,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ BITS = 1 << 24
 MUL = np.uint64(0x9E3779B97F4A7C15)
 LAST = (1 << 63) - 1
 #: Distinct strings of a bucket that one task takes; larger buckets are divided down to their windows.
-HOT = 1000
+HOT = 20_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -204,11 +205,23 @@ def packed_strings(docs: DataFrame, distinct: DataFrame, kind: Kind) -> DataFram
 
     def rows(batches):
         for batch in batches:
-            for rid, text, found in zip(*batch.columns):
-                units, flat = kind.split(text.as_py()), found.values
-                start, n = (flat.field(c).to_numpy() for c in ("fstart", "n"))
-                packed = [kind.join(units, a, b) for a, b in zip(start.tolist(), (start + n + kind.window - 1).tolist())]
-                yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in inner), pa.array(np.full(len(packed), rid.as_py())), pa.array(packed, pa.binary())], names=[*inner, "frid", "packed"])
+            at, size, a = batch.column("found").offsets.to_numpy(), 0, 0
+            text_bytes = pc.binary_length(batch.column("text")).to_numpy()
+            for k in range(batch.num_rows):
+                size += int(text_bytes[k])
+                if size > 4_000_000 or k + 1 == batch.num_rows:
+                    yield made(batch.slice(a, k + 1 - a), np.diff(at[a : k + 2]))
+                    size, a = 0, k + 1
+
+    def made(part, each):
+        flat = part.column("found").flatten()
+        end, packed = np.cumsum(each), []
+        spans = list(zip(flat.field("fstart").to_pylist(), flat.field("n").to_pylist()))
+        for text, a, b in zip(part.column("text"), (end - each).tolist(), end.tolist()):
+            units = kind.split(text.as_py())
+            packed += [kind.join(units, i, i + n + kind.window - 1) for i, n in spans[a:b]]
+        rid = pa.array(np.repeat(part.column("rid").to_numpy(), each))
+        return pa.RecordBatch.from_arrays([*(flat.field(c) for c in inner), rid, pa.array(packed, pa.binary())], names=[*inner, "frid", "packed"])
 
     asked = distinct.groupBy(F.col("frid").alias("rid")).agg(F.collect_list(F.struct(*inner)).alias("found"))
     schema = "mini long, dig long, count long, fdid long, fstart int, n int, twice boolean, strings long, frid long, packed binary"
