@@ -34,10 +34,12 @@ INVISIBLE = "­​‌‍⁠﻿"
 _WORD = "|".join(DIGIT_WORDS)
 SPELLED = re.compile(rf"(?i)\b(?:plus[\s-]+)?(?:(?:{_WORD})\b(?:[\s,-]+|(?=\W)|$)|[0-9]+\b[\s-]+(?=(?:{_WORD})\b)|(?:dot|point)\b[\s]+(?=(?:{_WORD})\b)){{4,}}")
 _PIECE = re.compile(rf"(?i)\bplus\b|\b(?:{_WORD})\b|\b(?:dot|point)\b|[0-9]+|[\s,-]+")
-# "At" and "dot" in brackets, in the corpus's languages, and the marks themselves in brackets.
-_OPEN, _CLOSE = r"\s*[(\[{<]\s*", r"\s*[)\]}>]\s*"
-AT = rf"{_OPEN}(?:at|@|ät|arroba|arobase){_CLOSE}|\s*(?:&#64;|&commat;|%40)\s*"
-DOT = rf"{_OPEN}(?:dot|\.|punkt|punto|point){_CLOSE}|\s*&#46;\s*|(?<=[0-9])\s+dot\s+(?=[0-9])"
+# "At" and "dot" in brackets, in the corpus's languages, and the marks themselves in brackets. White space before them is tried from its
+# start only, so long runs of it take linear time.
+_BEFORE = r"(?:(?<!\s)\s++)?+"
+_OPEN, _CLOSE = rf"{_BEFORE}[(\[{{<]\s*+", r"\s*+[)\]}>]\s*+"
+AT = rf"{_OPEN}(?:at|@|ät|arroba|arobase){_CLOSE}|{_BEFORE}(?:&#64;|&commat;|%40)\s*+"
+DOT = rf"{_OPEN}(?:dot|\.|punkt|punto|point){_CLOSE}|{_BEFORE}&#46;\s*+|(?<=[0-9])\s++dot\s+(?=[0-9])"
 DISGUISE = re.compile(rf"(?i)(?P<at>{AT})|(?P<dot>{DOT})")
 # Spoken addresses: "at" with a spoken dot after it, or, where the part before "at" doesn't look like a plain word, with a written one.
 SPOKEN = re.compile(r"(?i)(?<![\w.+-])(?:[\w.+-]+(?P<at>\s+at\s+)[\w-]+(?:(?:\s+dot\s+|\.)[\w-]+)*(?:\s+dot\s+)[A-Za-z]{2,}\b|(?=\w*[0-9._+-])\w[\w.+-]*(?P<also>\s+at\s+)[\w-]+(?:\.[\w-]+)+)")
