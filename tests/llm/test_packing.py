@@ -1,5 +1,6 @@
 import collections
 import random
+import time
 
 import numpy as np
 
@@ -8,34 +9,47 @@ from tidemark.llm import packing
 
 def brute(lengths, sources, clusters, capacity, per_source):
     bins = []
-    out = []
-    for n, s, c in zip(lengths, sources, clusters):
+    out = [0] * len(lengths)
+    order = {x: k for k, x in enumerate(sorted(set(sources)))}, {x: k for k, x in enumerate(sorted(set(clusters)))}
+    many = [[x for x, n in collections.Counter(y for y, m in zip(names, lengths) if m).items() if n > most] for names, most in ((sources, per_source), (clusters, 1))]
+    rank = lambda k: tuple(order[j][x] if x in many[j] and lengths[k] else -1 for j, x in enumerate((sources[k], clusters[k])))
+    for at in sorted(range(len(lengths)), key=lambda k: (-lengths[k], *rank(k), k)):
+        n, s, c = lengths[at], sources[at], clusters[at]
         fit = [
             (capacity - sum(x[0] for x in b), k)
             for k, b in enumerate(bins)
             if capacity - sum(x[0] for x in b) >= n and (sum(x[0] for x in b) < capacity or b == [])
-            and all(x[2] & 1023 != c & 1023 for x in b) and sum(x[1] & 63 == s & 63 for x in b) < per_source
+            and (n == 0 or all(x[0] == 0 or x[2] != c for x in b) and sum(x[1] == s for x in b if x[0]) < per_source)
         ]
         if fit:
             k = min(fit)[1]
         else:
             k = len(bins)
             bins.append([])
-        out.append(k)
+        out[at] = k
         bins[k].append((n, s, c))
     return out
 
 
 def test_matches_plain_best_fit():
     rng = random.Random(1)
-    for _ in range(30):
+    for _ in range(300):
         n = rng.randint(0, 80)
-        lengths = sorted((rng.randint(1, 50) for _ in range(n)), reverse=True)
-        sources, clusters = [rng.randint(0, 4) for _ in range(n)], [rng.randint(0, 30) for _ in range(n)]
+        most = rng.choice([3, 12, 50])
+        lengths, sources, clusters = [rng.randint(0, most) for _ in range(n)], [rng.randint(0, 4) for _ in range(n)], [rng.randint(0, rng.choice([2, 30])) for _ in range(n)]
         got, _ = packing.pack(np.array(lengths, np.int64), np.array(sources, np.int64), np.array(clusters, np.int64), 50, 2)
         assert got.tolist() == brute(lengths, sources, clusters, 50, 2)
 
 
+def test_many_copies_and_a_hot_source_take_linear_time():
+    n = 40_000
+    for sources, clusters, lengths in ((np.arange(n), np.zeros(n, np.int64), np.full(n, 60)), (np.zeros(n, np.int64), np.arange(n), np.full(n, 10)), (np.arange(n) % 3, np.arange(n) // 3 % 5, np.full(n, 0))):
+        began = time.process_time()
+        bins, _ = packing.pack(lengths, sources, clusters, 4096, 8)
+        assert time.process_time() - began < 5
+        assert len(set(bins.tolist())) == (n if (clusters == 0).all() and lengths[0] else n // 8 if lengths[0] else 1)
+
+
 def test_packing_holds_its_constraints(spark):
     rng = random.Random(2)
     texts = [" ".join(["w"] * rng.randint(0, 60)) for _ in range(400)]
@@ -51,9 +65,9 @@ def test_packing_holds_its_constraints(spark):
     for rs in by_bin.values():
         assert sum(r.n_units for r in rs) <= 100
         at = 0
-        for r in sorted(rs, key=lambda r: (r.bin_offset, r.n_units)):
+        for r in sorted((r for r in rs if r.n_units), key=lambda r: r.bin_offset):
             assert r.bin_offset == at
             at += r.n_units
-        same = [texts[r.doc_id] for r in rs if r.doc_id is not None and r.doc_id < 400]
+        same = [texts[r.doc_id] for r in rs if r.doc_id is not None and r.doc_id < 400 and texts[r.doc_id]]
         assert len(same) == len(set(same))
     assert packing.best_fit(df.limit(0)).count() == 0

@@ -4,14 +4,19 @@ Bins stand in the order of what they have left (residual). A piece goes to the b
 that it doesn't conflict with: the search starts at the first residual that is large enough and goes on to its successors until a
 compatible bin is found; else a new bin opens. A bin carries bitmaps: one of the duplicate clusters it holds (two pieces of one
 cluster never share a bin) and, in layers, one of its sources (layer k has a source's bit once the bin holds over k of its pieces),
-so at most `per_source` pieces of one source share a bin. Bits are hashes, so a clash of two names can only forbid, never allow.
+so at most `per_source` pieces of one source share a bin. Within a shard the bits are numbered densely, and only names that can
+conflict there have one, so the bitmaps are exact.
+
+Pieces come longest first, and among equal lengths by source and cluster, those that can't conflict ahead: what the search has passed for a source stays passed for the
+next piece of that source and length, and what it has passed for a cluster is looked at again for the next cluster only, so that many
+copies or one hot source take about linear time.
 
 Scale: pieces are dealt by a hash of the document to shards of about SHARD units each, so a task holds one bounded shard, and a hot
-source or cluster is spread evenly. Only ids, lengths and hashes are shuffled, never texts.
+source or cluster is spread evenly. Only ids, lengths and hashes are shuffled, never texts; lengths are taken once and stored.
 
 Defined results: a text longer than the capacity is cut into pieces of the capacity and a rest; an empty or null text is one piece of
-length 0; a null doc_id or source is a value like any other; repeated rows are packed each (they share a cluster); an empty table
-gives no rows. Bin ids are unique and the result does not depend on how the input is partitioned.
+length 0, which conflicts with nothing; a null doc_id or source is a value like any other; repeated rows are packed each (they share a
+cluster); an empty table gives no rows. Bin ids are unique and the result does not depend on how the input is partitioned.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
+
 CAPACITY = 4096
 PER_SOURCE = 8
 SHARD = 4_000_000
@@ -33,34 +40,73 @@ def words(text: Column) -> Column:
     return F.when(F.length(F.trim(text)) > 0, F.size(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+"))).otherwise(0)
 
 
+def numbered(names: np.ndarray, counted: np.ndarray, most: int) -> np.ndarray:
+    """A number from 0 for each name that occurs more than `most` times among the counted pieces, -1 for the others."""
+    values, at, times = np.unique(names[counted], return_inverse=True, return_counts=True)
+    out = np.full(len(names), -1)
+    out[counted] = np.where(times > most, np.cumsum(times > most) - 1, -1)[at]
+    return out
+
+
 def pack(lengths: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int, per_source: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each piece, in the order given. sources and clusters: 64-bit hashes."""
-    order: list[tuple[int, int]] = []  # (residual, bin)
+    """Bin and offset of each piece. sources and clusters: 64-bit hashes. Equal pieces are taken in the order given."""
+    order: list[tuple[int, int]] = []  # (residual, bin) of bins that have room
     source_bits: list[list[int]] = []
     cluster_bits: list[int] = []
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    s_bit = [1 << (int(x) & 63) for x in sources]
-    c_bit = [1 << (int(x) & 1023) for x in clusters]
-    for k, need in enumerate(lengths.tolist()):
-        at = bisect.bisect_left(order, (need, -1))
-        while at < len(order):
+    source, cluster_of = numbered(sources, lengths > 0, per_source), numbered(clusters, lengths > 0, 1)
+    turn = np.lexsort((cluster_of, source, -lengths))
+    before = None
+    for k, need, s, c in zip(turn.tolist(), lengths[turn].tolist(), source[turn].tolist(), cluster_of[turn].tolist()):
+        s, c = (1 << x if x >= 0 else 0 for x in (s, c))
+        if (need, s) != before:
+            before, cluster = (need, s), c
+            at, passed, again = bisect.bisect_left(order, (need, -1)), [], 0
+        if c != cluster:
+            cluster, again = c, 0
+        # Bins that were passed for a cluster, then the rest of the order.
+        found = None
+        while again < len(passed) and found is None:
+            if cluster_bits[passed[again][1]] & c:
+                again += 1
+            else:
+                found = passed.pop(again)
+                if source_bits[found[1]][-1] & s:
+                    found = None
+        if found is not None:
+            place = bisect.bisect_left(order, found)
+            del order[place]
+            at -= 1
+        while found is None and at < len(order):
             residual, b = order[at]
-            if not cluster_bits[b] & c_bit[k] and not source_bits[b][-1] & s_bit[k]:
-                del order[at]
-                break
-            at += 1
-        else:
-            residual, b = capacity, len(cluster_bits)
+            if source_bits[b][-1] & s:
+                at += 1
+            elif cluster_bits[b] & c:
+                passed.append(order[at])
+                again = len(passed)
+                at += 1
+            else:
+                found = order.pop(at)
+        if found is None:
+            found = capacity, len(cluster_bits)
             cluster_bits.append(0)
             source_bits.append([0] * per_source)
-        cluster_bits[b] |= c_bit[k]
-        for layer in range(per_source):
-            if not source_bits[b][layer] & s_bit[k]:
-                source_bits[b][layer] |= s_bit[k]
+        residual, b = found
+        cluster_bits[b] |= c
+        for layer in range(per_source if s else 0):
+            if not source_bits[b][layer] & s:
+                source_bits[b][layer] |= s
                 break
         bins[k], offsets[k] = b, capacity - residual
         if residual - need > 0 or need == 0:
-            bisect.insort(order, (residual - need, b))
+            rest = residual - need, b
+            place = bisect.bisect_left(order, rest)
+            order.insert(place, rest)
+            if place < at or rest[0] < need:
+                at += 1
+                if rest[0] >= need:  # it holds the cluster, but the next cluster may go there
+                    again += c > 0 and bisect.bisect_left(passed, rest) <= again
+                    bisect.insort(passed, rest)
     return bins, offsets
 
 
@@ -72,7 +118,8 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SO
     length = words(F.col("text")) if length is None else length
     cluster = F.xxhash64(F.lower(F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), r"\s+", " "))) if cluster is None else cluster
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("source").alias("s"), cluster.alias("c"), F.xxhash64("text").alias("t"), F.coalesce(length, F.lit(0)).cast("long").alias("n"))
-    total = docs.select(F.sum(F.coalesce(length, F.lit(0)).cast("long")), F.count("*")).first()
+    sized = stored(sized, "lengths")
+    total = sized.agg(F.sum("n"), F.count("*")).first()
     shards = max(1, -(-(total[0] or 0) // shard), -(-total[1] // (shard // 64)))
     whole = F.expr(f"sequence(0, greatest(cast(ceil(n / {capacity}) as int), 1) - 1)")
     pieces = sized.select("*", F.explode(whole).alias("piece")).select(
