@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tidemark.llm import secrets
 
@@ -62,3 +63,13 @@ def test_keys_of_smaller_alphabets(spark):
     for k in range(0, len(keys), 20):
         assert sum(f"random:6:{6 + len(x)}" in got[k + j] for j, x in enumerate(keys[k : k + 20])) >= 18, keys[k]
     assert not any(s.startswith("random") for k in range(len(keys), len(texts)) for s in got[k])
+
+
+def test_many_matches_in_one_text(spark):
+    text = " é".join(["0123456789abcdef0"] * 32_000)
+    df = spark.createDataFrame([(1, text), (2, "x " * 300_000), (3, "deadbeef" * 60_000)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
+    assert time.time() - began < 40
+    assert got[1].n_hex == 32_000 and got[2].spans == "" and got[3].n_hex == 1
+    assert got[1].base_sha256 == hashlib.sha256(",".join(f"hex:{k}:{k + 17}" for k in range(0, 32_000 * 19, 19)).encode()).hexdigest()

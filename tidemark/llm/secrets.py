@@ -6,8 +6,8 @@ serial correlation. The three p-values, under "uniformly random", combine by Bon
 over all documents and apart for each band of lengths, as short tokens carry less evidence, rejects tokens as ordinary text, so that at
 most RATE of the dismissed ones are expected to be random. What is not dismissed is reported as kind `random`, unless a base span holds it.
 
-Scale: nothing but a table of p-values' counts by length band and step (4 x 1,001 rows at most) is shuffled; every text is scanned in
-linear time and stays in its row.
+Scale: nothing but a table of p-values' counts by length band and step (4 x 1,001 rows at most) is shuffled; every text is scanned
+once, in about linear time, and the candidates of both steps are stored.
 
 Defined results: a null text counts as empty; offsets are code points, end exclusive; a null doc_id is kept; repeated rows give repeated
 results; an empty table gives no rows; other columns are ignored.
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
+
 #: Pattern, group whose length counts, least length.
 PATTERNS = {
     "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
@@ -43,11 +45,15 @@ ENCODINGS = (
 )
 RATE = 0.05
 BANDS = (32, 64, 128)
+BLOCK = 256
 STEP = 50  # steps of p for each power of ten
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """start, end and token of each leftmost, non-overlapping match, from the pieces between matches; `token` is that of the group."""
+    """start, end and token of each leftmost, non-overlapping match, from the pieces between matches; `token` is that of the group.
+
+    Places are summed up within blocks of BLOCK matches, then over the blocks, so that a list grows by copying only within its block.
+    """
     whole, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     named = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     zipped = F.arrays_zip(F.transform(whole, lambda x: F.length(x)).alias("size"), F.transform(parts, lambda x: F.length(x)).alias("gap"), named.alias("token"))
@@ -58,7 +64,15 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
         a = acc.at + x["gap"]
         return F.struct((a + x["size"]).alias("at"), F.concat(acc.out, F.array(F.struct(a.alias("start"), (a + x["size"]).alias("end"), x["token"].alias("token")))).alias("out"))
 
-    found = F.aggregate(F.filter(zipped, lambda x: x["size"].isNotNull()), start, step, lambda acc: acc.out)
+    def based(blocks):
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        bases = F.aggregate(blocks, zero, lambda acc, x: F.struct((acc.at + x["at"]).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out")), lambda acc: acc.out)
+        return F.flatten(F.zip_with(blocks, bases, lambda x, base: F.transform(x.out, lambda m: F.struct((m.start + base).alias("start"), (m.end + base).alias("end"), m.token.alias("token")))))
+
+    # A lambda's body runs for each element, so what it needs is bound by a transform of one element.
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    in_blocks = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(z), F.lit(1)) - 1) / BLOCK).cast("int")), lambda k: F.aggregate(F.slice(z, k * BLOCK + 1, BLOCK), start, step))
+    found = once(once(F.filter(zipped, lambda x: x["size"].isNotNull()), in_blocks), based)
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
@@ -143,12 +157,11 @@ def cuts(candidates: DataFrame, rate: float = RATE) -> dict[int, int]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_<kind> and base_sha256 of the base spans, spans (all) and n_random of every row of docs(doc_id, text)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    token = own.where(F.col("text").rlike(TOKEN)).select(tested(matches(F.col("text"), TOKEN)).alias("tokens"))
-    dismissed = cuts(token)
-
     long_enough = lambda least: lambda m: F.length(m.token) >= least
     base = {k: F.filter(matches(F.col("text"), p, g), long_enough(least)) for k, (p, g, least) in PATTERNS.items()}
     found = own.select("doc_id", *(v.alias(k) for k, v in base.items()), F.when(F.col("text").rlike(TOKEN), tested(matches(F.col("text"), TOKEN))).otherwise(F.array()).alias("tokens"))
+    found = stored(found, "candidates")
+    dismissed = cuts(found)
     kinds = list(PATTERNS)
     one = lambda k: F.transform(F.col(k), lambda m: F.struct(m.start.alias("start"), F.lit((kinds + ["random"]).index(k)).alias("rank"), m.end.alias("end"), F.lit(k).alias("kind")))
     based = found.withColumn("base", F.concat(*map(one, kinds)))
