@@ -1,6 +1,12 @@
+import collections
 import hashlib
+import math
 import random
 
+import pytest
+import regex
+import xxhash
+
 from tidemark.llm import imatch
 
 
@@ -18,6 +24,46 @@ def corpus(n, rng):
     return [(3 * k + 1, " ".join(rng.choice(words) for _ in range(rng.randint(0, 120))), "x") for k in range(n)]
 
 
+def plain_fingerprints(rows, band):
+    """The same by its definition: words, document frequencies, subsets and hashes in plain Python."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    eight = lambda x: (x % (1 << 64)).to_bytes(8, "little")
+    words = lambda t: {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())}
+    df = collections.Counter(w for _, t, *_ in rows for w in words(t))
+    known = {w for w, c in df.items() if c >= 2 and band[0] <= math.log(len(rows) / c) <= band[1]}
+
+    def fingerprint(text):
+        out = [0] * imatch.SUBSETS
+        for w in sorted(words(text) & known):
+            k = (w >> 58) + imatch.SUBSETS // 2
+            out[k] = xxhash.xxh64_intdigest(eight(w), xxhash.xxh64_intdigest(eight(out[k]), 42))
+        return [x and signed(x) % 65535 + 1 for x in out]
+
+    def like(a, b):
+        used = sum(x > 0 or y > 0 for x, y in zip(a, b))
+        return sum(x == y > 0 for x, y in zip(a, b)) / used if used else 1.0
+
+    ordered = sorted(((d, t or "") for d, t, *_ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    out = {}
+    for k, (d, t) in enumerate(ordered):
+        after, half = ordered[(k + 1) % len(ordered)][1], len(t) // 2
+        a, e, n = fingerprint(t), fingerprint(t[: len(t) - half] + after[:half]), fingerprint(after)
+        text = lambda f: "".join(f"{x:04x}" for x in f)
+        out[d] = text(a), text(e), pytest.approx(like(a, e)), pytest.approx(like(a, n))
+    return out
+
+
+@pytest.mark.parametrize("ranges", [(1, 2000), (8, 30)])
+def test_fingerprints_match_plain_python(spark, monkeypatch, ranges):
+    monkeypatch.setattr(imatch.with_next, "__defaults__", ranges)
+    rows = corpus(250, random.Random(5)) + [(None, "null id", "x"), (5000, None, "x"), (5001, "", "x"), (5002, "Ünïcode 12 ÉÉ " * 30, "x"), (5003, "Ünïcode 12 ÉÉ", "x")]
+    band = (0.5, 6.0)
+    want = plain_fingerprints(rows, band)
+    got = imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string, range string").repartition(3), band).collect()
+    assert len(got) == len(rows) and {r.doc_id: (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got} == want
+    assert sum(set(w[0]) != {"0"} for w in want.values()) > 200
+
+
 def test_edited_texts_and_likeness(spark, monkeypatch):
     monkeypatch.setattr(imatch.with_next, "__defaults__", (8, 30))
     rows = corpus(300, random.Random(1))

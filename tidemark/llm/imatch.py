@@ -4,11 +4,13 @@ Terms are lower-case runs of letters and digits. The lexicon keeps terms within
 documents; it is dealt at random into SUBSETS subsets. Each subset gives one hash: that of the sorted distinct terms which a text has in
 it. Two fingerprints are as alike as the share of subsets, of those in which either text has a term, with the same hash.
 
-Scale: terms are named by SLOTS hash slots, so document frequencies take at most SLOTS rows and the lexicon is a bit table of SLOTS / 8
-bytes, whatever the corpus. Only counts of slots are shuffled for it, pre-aggregated. Terms that share a slot count together.
+Scale: document frequencies are those of 64-bit term hashes, counted map side first. A term of the lexicon is in a share of at least
+exp(-band[1]) of the documents, so the lexicon has at most exp(band[1]) = 2,000 times as many terms as a document has distinct terms on
+average, whatever the corpus; it goes to the tasks as a table that is looked up exactly. A text's terms are sorted once, by subset and term, and folded once.
 
 A text's edited form takes the second half from the next document by ascending doc_id. Documents are dealt by ranges of doc_id, cut at
 quantiles; the first document of each range is sent to the range before it too, so texts are shuffled once and no task sees all of them.
+There are RANGES ranges at most (at 100 TB 1.5 GB of text each, which Spark sorts with spilling); their number never changes a result.
 
 Defined results: a null text counts as empty; a text without a term in the lexicon has an all-zero fingerprint, and two of these are
 alike by 1; null doc_ids come first in the order, rows with equal doc_ids are ordered by text; a single document follows itself; an
@@ -20,10 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOTS = 1 << 20
 SUBSETS = 64
 BAND = (3.0, 7.6)
-RANGES = 1024
+RANGES = 1 << 16
 RANGE_ROWS = 2000
 
 
@@ -33,32 +34,56 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def slot(term: Column) -> Column:
-    return term.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-
-
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[int]:
-    """SLOTS bits in 64-bit words; a slot is set if its inverse document frequency, ln(documents / df), lies in the band and df is 2 or more."""
+    """The hashes of terms whose inverse document frequency, ln(documents / df), lies in the band and whose df is 2 or more."""
     n = max(1, docs.count())
-    df = docs.select(F.explode(F.transform(terms(F.col("text")), slot)).alias("slot")).groupBy("slot").count()
+    df = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").count()
     idf = F.log(F.lit(float(n)) / F.col("count"))
-    kept = df.where((F.col("count") >= 2) & idf.between(*band))
-    words = kept.groupBy((F.col("slot") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("v"))
-    out = [0] * (SLOTS // 64)
-    for w, v in words.collect():  # at most SLOTS / 64 rows
-        out[w] = v
-    return out
+    return [r[0] for r in df.where((F.col("count") >= 2) & idf.between(*band)).select("term").collect()]
+
+
+def numbers(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # a constant once planned
+
+
+def in_lexicon(known: list[int]):
+    """A function that tells whether a hash is one of `known`: a table with linear probing, at most an eighth full; 0 is a free place."""
+    size = 1 << max(4, (8 * len(known)).bit_length())
+    table, most = [0] * (2 * size), 1
+    for t in known:
+        at = t & (size - 1)
+        step = 0
+        while table[at + step]:
+            step += 1
+        table[at + step] = t
+        most = max(most, step + 1)
+    column = numbers(table[: size + most])
 
+    def found(t: Column) -> Column:
+        out = F.lit(False)
+        for step in reversed(range(most)):
+            held = F.element_at(column, t.bitwiseAND(F.lit(size - 1)).cast("int") + 1 + step)
+            out = F.when(held == t, True).when(held == 0, False).otherwise(out)
+        return out & (t != 0)
 
-def fingerprint(text: Column, bits: list[int]) -> Column:
-    """SUBSETS hashes from 1 to 65535; 0 where the text has no term in the subset."""
-    table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")  # a constant once planned
-    known = F.filter(terms(text), lambda t: F.getbit(F.element_at(table, F.shiftright(slot(t), 6) + 1), slot(t) % 64) == 1)
-    ordered = F.array_sort(known)
-    subset = lambda t: F.shiftrightunsigned(t, 40) % SUBSETS
-    one = lambda ts: F.when(F.size(ts) == 0, 0).otherwise(F.pmod(F.xxhash64(ts), F.lit(65535)).cast("int") + 1)
-    each = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
-    return F.transform(F.array(F.struct(ordered.alias("ts"))), lambda s: F.transform(each, lambda k: one(F.filter(s.ts, lambda t: subset(t) == k))))[0]
+    return found
+
+
+def fingerprint(text: Column, known: list[int]) -> Column:
+    """SUBSETS hashes from 1 to 65535; 0 where the text has no term in the subset. A term's subset is given by its upper bits, so that sorted terms are grouped."""
+    ordered = F.array_sort(F.filter(terms(text), in_lexicon(known)))
+    subset = lambda t: (F.shiftright(t, 58) + SUBSETS // 2).cast("int")
+    short = lambda h: F.pmod(h, F.lit(65535)).cast("int") + 1
+    gap = lambda a, b: F.array_repeat(F.lit(0), b - a - 1)
+    start = F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("h"), F.array().cast("array<int>").alias("out"))
+    closed = lambda acc, k: F.when(acc.k < 0, gap(acc.k, k)).otherwise(F.concat(acc.out, F.array(short(acc.h)), gap(acc.k, k)))
+
+    def step(acc, t):
+        same = F.struct(acc.k.alias("k"), F.xxhash64(acc.h, t).alias("h"), acc.out.alias("out"))
+        other = F.struct(subset(t).alias("k"), F.xxhash64(F.lit(0).cast("long"), t).alias("h"), closed(acc, subset(t)).alias("out"))
+        return F.when(acc.k == subset(t), same).otherwise(other)
+
+    return F.aggregate(ordered, start, step, lambda acc: closed(acc, F.lit(SUBSETS)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -71,14 +96,22 @@ def written(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))), "")
 
 
-def with_next(docs: DataFrame, columns: list[str], ranges: int = RANGES, rows: int = RANGE_ROWS) -> DataFrame:
-    """docs(doc_id, text, ...) with next_<column> of the document that follows by doc_id; the first follows the last."""
+def range_of(value: Column, cuts: list[int]) -> Column:
+    """The number of cuts, which ascend, that are not above the value: a binary search."""
+    if not cuts:
+        return F.lit(0)
+    held, halves = numbers(cuts), [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    step = lambda at, h: F.when((at + h <= len(cuts)) & (F.element_at(held, F.least(at + h, F.lit(len(cuts)))) <= value), at + h).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), step)
+
+
+def with_next(docs: DataFrame, made, columns: list[str], ranges: int = RANGES, rows: int = RANGE_ROWS) -> DataFrame:
+    """made(docs), for docs(doc_id, text), with next_<column> of the document that follows by doc_id; the first follows the last."""
     n = docs.count()
-    parts = min(ranges, -(-n // rows))
+    parts = max(1, min(ranges, -(-n // rows)))
     shares = [k / parts for k in range(1, parts)]
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 100 * ranges)).first()[0] or [])) if shares else []  # under RANGES numbers
-    at = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    dealt = docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(at))
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * parts))).first()[0] or [])) if shares else []  # under RANGES numbers
+    dealt = docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(range_of(F.col("doc_id"), cuts)))
     null_first = dealt.where("doc_id is null").limit(1).count()
     firsts = [(r[0], r[1]) for r in dealt.groupBy("range").agg(F.min("doc_id")).orderBy("range").collect()]
     if null_first:
@@ -89,18 +122,18 @@ def with_next(docs: DataFrame, columns: list[str], ranges: int = RANGES, rows: i
     ghosts = dealt.join(sent, F.col("doc_id").eqNullSafe(F.col("first")))
     pick = Window.partitionBy("target").orderBy("text")
     ghosts = ghosts.withColumn("rank", F.row_number().over(pick)).where("rank = 1").withColumn("range", F.col("target")).select(*dealt.columns, F.lit(1).alias("ghost"))
-    both = dealt.withColumn("ghost", F.lit(0)).unionByName(ghosts)
+    both = made(dealt.withColumn("ghost", F.lit(0)).unionByName(ghosts))
     w = Window.partitionBy("range").orderBy("ghost", F.asc_nulls_first("doc_id"), "text")
     return both.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns)).where("ghost = 0").drop("ghost", "range")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row of docs(doc_id, text)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bits = lexicon(own)
-    near = with_next(own.withColumn("fp", fingerprint(F.col("text"), bits)), ["text", "fp"])
+    known = lexicon(own, band)
+    near = with_next(own, lambda df: df.withColumn("fp", fingerprint(F.col("text"), known)), ["text", "fp"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = near.select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp", F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited"))
-    done = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint(F.col("edited"), bits).alias("edited_fp"))
+    done = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint(F.col("edited"), known).alias("edited_fp"))
     return done.select("doc_id", "n_chars", "edited_sha256", written(F.col("fp")).alias("fingerprint"), written(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
