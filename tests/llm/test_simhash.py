@@ -85,6 +85,9 @@ def test_one_of_each_group_stays(spark):
     assert got.columns == df.columns
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in got.collect()) == sorted([*keep, 1000, -1, 2000])
     assert simhash.one_of_each(df.limit(0)).count() == 0
+    clash = df.selectExpr("*", "1 AS kept_id", "'a' AS kept_hash", "2 AS node", "doc_id % 7 AS text_hash", "map('a', 1) AS root", "3 AS _own")
+    again = simhash.one_of_each(clash)
+    assert again.columns == clash.columns and sorted(str(r.doc_id) for r in again.collect()) == sorted(str(r.doc_id) for r in got.collect())
 
 
 def test_wide_groups_are_sliced(spark):

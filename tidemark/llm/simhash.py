@@ -14,7 +14,7 @@ shingle hash instead, and the sets of shingles of what the tiles let through are
 
 Defined results: a null or blank text has fingerprint 0, which links like any other; a null doc_id keeps its fingerprint and its
 component is the smallest non-null doc_id there (null if there is none); repeated rows stay; an empty table gives no rows; other
-columns of the input are ignored; every text is read whole.
+columns of the input are ignored, whatever their names; every text is read whole.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, cut, stored
+from tidemark.llm.common import connected_components, cut, fresh_column, stored
 from tidemark.llm.repeats import bit_table, marked
 
 KEPT = 2
@@ -117,17 +117,6 @@ def _forest(node: np.ndarray, u: np.ndarray, side: np.ndarray, radius: int, sure
     return out
 
 
-def _small_links(key: np.ndarray, node: np.ndarray, u: np.ndarray, side: np.ndarray, radius: int, sure) -> np.ndarray:
-    """Links within many small groups at once: rows d apart in the same group, for d = 1, 2, ... while any group is that long."""
-    out, at, d = [], np.arange(len(node)), 1
-    while len(at := at[at + d < len(node)]) and len(at := at[key[at] == key[at + d]]):
-        hit = at[_near(u[at], u[at + d], radius) & ((side[at] != side[at + d]) | (side[at] == 2))]
-        hit = np.array([k for k in hit.tolist() if sure(k, k + d)], np.int64)
-        out.append(np.stack([node[hit], node[hit + d]], 1))
-        d += 1
-    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
-
-
 def _compare(batches, radius: int, least: float | None = None):
     """Rows (key, side, node, fingerprint words) come ordered by group; the last group of a batch waits for the next batch.
 
@@ -137,15 +126,12 @@ def _compare(batches, radius: int, least: float | None = None):
     def links(key, side, node, *fp):
         sets = fp[-1] if least else None
         u = np.stack(fp[:-1] if least else fp, 1).view(np.uint64)
-        sure = lambda rows: (lambda i, j: similar(sets[rows[i]], sets[rows[j]], least)) if least else (lambda i, j: True)
-        edge = np.flatnonzero(np.diff(key)) + 1
-        start, stop = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
-        large = stop - start > TILE // 4
-        keep = np.repeat(~large, stop - start)
-        found = [_small_links(key[keep], node[keep], u[keep], side[keep], radius, sure(np.flatnonzero(keep)))]
-        for a, b in zip(start[large], stop[large]):
-            found.append(np.array(_forest(node[a:b], u[a:b], side[a:b], radius, sure(np.arange(a, b))), np.int64).reshape(-1, 2))
-        found = np.concatenate(found)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]).tolist()
+        found: list[tuple[int, int]] = []
+        for a, b in zip(edges, edges[1:]):
+            sure = (lambda i, j, a=a: similar(sets[a + i], sets[a + j], least)) if least else (lambda i, j: True)
+            found += _forest(node[a:b], u[a:b], side[a:b], radius, sure)
+        found = np.array(found, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     def lists(column):
@@ -273,14 +259,22 @@ def wide_links(docs: DataFrame, nodes: DataFrame, size: int, similarity: float,
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns, without near-duplicates: of each group the row with the smallest doc_id stays (nulls last; of equal rows, one)."""
+    """The rows of docs, all columns, without near-duplicates: of each group the row with the smallest doc_id stays (nulls last).
+
+    Of rows with that doc_id and an equal text one stays, by the smallest hash of the other columns.
+    """
     prints = stored(wide_fingerprints(docs, size), "wide-fingerprints")
     words = [f"w{k}" for k in range(len(WIDE))]
     nodes = prints.groupBy("node", *words).agg(F.first("keys").alias("keys"), F.min("text_hash").alias("text_hash"))
     linked = connected_components(wide_links(docs, nodes, size, similarity).distinct())
     rooted = prints.join(linked, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "text_hash")
-    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m")).select(F.col("m.doc_id").alias("kept_id"), F.col("m.text_hash").alias("kept_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash"))
-    out = docs.join(kept, same, "left_semi")
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m")).select("m.doc_id", "m.text_hash")
+    # Aliases keep columns of docs apart that have the same names.
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.text_hash"))
+    out = docs.alias("d").join(kept.alias("k"), same, "left_semi").select("d.*")
     repeated = prints.groupBy("doc_id", "text_hash").count().where("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    if repeated.isEmpty():
+        return out
+    w = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(F.to_json(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text"))))))
+    rank = fresh_column(docs)
+    return out.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
