@@ -41,10 +41,32 @@ def test_matches_brute_force(spark):
     assert {(r.doc_id, r.item_id): r.containment for r in got} == want and len(got) == len(want) > 50
 
 
+def test_scattered_items_are_found(spark):
+    """An item's sentences, far from each other in a long document: recall against brute force."""
+    rng = random.Random(2)
+    say = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    items = [(k, " ".join(say(rng.choice([60, 120, 200]))), "x") for k in range(60)]
+    docs = []
+    for k in range(120):
+        words, item = say(3000), items[k % 60][1].split()
+        cuts = [0, *sorted(rng.sample(range(20, len(item) - 19), 1 if len(item) < 120 else 2)), len(item)]
+        for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            at = 900 * part + rng.randrange(300)
+            words[at:at] = item[a:b]
+        docs.append((k, " ".join(words), "x"))
+    want = brute(docs, items)
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string, class string")).collect()
+    found = {(r.doc_id, r.item_id): r.containment for r in got}
+    assert all(want[p] == c for p, c in found.items()) and len(found) >= 0.98 * len(want) and len(want) > 100
+
+
 def test_rows(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x one two three four five six seven y", "en"), (2, "clean", "en"), (None, None, None)], "doc_id long, text string, lang string")
     kept = decontaminate.remove_leaks(docs, items)
+    clash = docs.selectExpr("*", "'a' AS leaked", "1 AS b", "2 AS item_id", "3 AS row", "4 AS d")
+    again = decontaminate.remove_leaks(clash, items)
+    assert again.columns == clash.columns and again.count() == 2
     assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2]
     assert decontaminate.find_leaks(docs.limit(0), items).count() == 0
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0
