@@ -5,8 +5,9 @@ the two sizes over their sum says which it resembles. A logistic curve, fitted o
 turns it into a score between 0 and 1. The curve also knows how far the text compresses at all, as text that repeats itself
 compresses well with any dictionary.
 
-Bound: the model is fitted on at most SAMPLE labelled rows of each class, those with the smallest hash of doc_id (a documented
-parameter); scoring reads every text whole. The model that goes to the executors is two dictionaries of at most DICT bytes.
+Bound: the model is fitted on at most SAMPLE labelled documents of each class, those with the smallest hash of doc_id, while their texts
+together stay within SAMPLE_BYTES (documented parameters); scoring reads every text whole. Where a labelled doc_id has several texts, the
+first in order is learnt from. The model that goes to the executors is two dictionaries of at most DICT bytes.
 
 Defined results: a null text counts as empty; an empty text scores the curve at what an empty frame gives; a null doc_id is not held out
 and is scored; labels with a null doc_id or quality are not used; without labels of both classes every score is the share of label 1
@@ -21,10 +22,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 1500
+SAMPLE_BYTES = 64_000_000
 DICT = 65_536
 LEVEL = 3
 THRESHOLD = 0.3
@@ -99,8 +101,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     bounded = [rows.where(F.col("quality") == q).orderBy("rank", "doc_id").limit(sample) for q in (0, 1)]
     chosen = bounded[0].unionByName(bounded[1])
     share = known.agg(F.avg("quality")).first()[0]
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rank", "doc_id", "quality", "text").collect()
-    got = sorted({(r.rank, r.doc_id, r.quality, r.text or "") for r in got})
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("rank", "doc_id", "quality").agg(F.min("text").alias("text"))
+    together = F.sum(F.octet_length("text")).over(Window.partitionBy("quality").orderBy("rank", "doc_id"))
+    got = sorted(tuple(r) for r in texts.withColumn("bytes", together).where(F.col("bytes") <= SAMPLE_BYTES).select("rank", "doc_id", "quality", "text").collect())
     # Every other text builds a dictionary; the rest calibrate.
     split = {(q, k): [t for _, _, quality, t in got if quality == q][k::2] for q in (0, 1) for k in (0, 1)}
     if not all(any(x) for x in split.values()):
