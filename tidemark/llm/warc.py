@@ -205,10 +205,17 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, archive: int =
 
 
 def read_archives(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
-    """page_id, uri, payload_bytes, payload_digest, record_type, refers_to and problem of every record; the payload too if asked for."""
+    """page_id, uri, payload_bytes, payload_digest, record_type, refers_to and problem of every record; the payload too if asked for.
+
+    An archive of the manifest that is missing, or has another number of records, is an error.
+    """
     spark = manifest.sparkSession
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(manifest.select("name"), "name", "left_semi").select("content")
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    missing = manifest.join(files.select(name), "name", "left_anti").select("name").first()
+    if missing:
+        raise FileNotFoundError(f"{folder} has no archive {missing[0]}")
+    named = files.select(name, "content").join(manifest.select("name", "records"), "name").select("content", "name", "records")
     kinds = {"page_id": pa.int64(), "uri": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "problem": pa.string()}
     schema = "page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, problem string"
     if payload:
@@ -219,9 +226,10 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = False) -> Da
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.values())], names=list(kinds))
 
         for batch in batches:
-            for content in batch.column(0):
-                out, held = [], 0
+            for content, name, records in zip(*batch.columns):
+                out, held, count = [], 0, 0
                 for raw in read_frames(content.as_py()):
+                    count += 1
                     r = parse_record(raw)
                     number = {k: int(r[k]) if r[k] is not None else None for k in ("page_id", "refers_to")}
                     out.append((number["page_id"], r["uri"], r["bytes"], r["digest"], r["type"], number["refers_to"], r["problem"], *([r["payload"]] if payload else [])))
@@ -229,6 +237,8 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = False) -> Da
                     if held > 8_000_000 and payload or len(out) >= 10_000:
                         yield made(out)
                         out, held = [], 0
+                if count != records.as_py():
+                    raise ValueError(f"archive {name} has {count} records, not {records}")
                 if out:
                     yield made(out)
 
