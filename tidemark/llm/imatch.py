@@ -6,7 +6,7 @@ it. Two fingerprints are as alike as the share of subsets, of those in which eit
 
 Scale: document frequencies are those of 64-bit term hashes, counted map side first. A term of the lexicon is in a share of at least
 exp(-band[1]) of the documents, so the lexicon has at most exp(band[1]) = 2,000 times as many terms as a document has distinct terms on
-average, whatever the corpus; it goes to the tasks as a table that is looked up exactly. A text's terms are sorted once, by subset and term, and folded once.
+average, whatever the corpus; it goes to the tasks as a constant that is looked up exactly. A text's terms are sorted once, by subset and term, and folded once.
 
 A text's edited form takes the second half from the next document by ascending doc_id. Documents are dealt by ranges of doc_id, cut at
 quantiles; the first document of each range is sent to the range before it too, so texts are shuffled once and no task sees all of them.
@@ -47,24 +47,25 @@ def numbers(values: list[int]) -> Column:
 
 
 def in_lexicon(known: list[int]):
-    """A function that tells whether a hash is one of `known`: a table with linear probing, at most an eighth full; 0 is a free place."""
-    size = 1 << max(4, (8 * len(known)).bit_length())
-    table, most = [0] * (2 * size), 1
+    """A function that tells whether a hash is one of `known`.
+
+    A table of bits, a sixteenth of them set, turns most others away; then the hash is looked for, as text, in its place of a table that holds all
+    of them. Each table stands once in the expression.
+    """
+    bits = 1 << max(10, (16 * len(known)).bit_length())
+    places = 1 << max(4, len(known).bit_length())
+    words, held = [0] * (bits // 64), [""] * places
     for t in known:
-        at = t & (size - 1)
-        step = 0
-        while table[at + step]:
-            step += 1
-        table[at + step] = t
-        most = max(most, step + 1)
-    column = numbers(table[: size + most])
+        words[(t & (bits - 1)) >> 6] |= 1 << (t & 63)
+        k = (t >> 20) & (places - 1)
+        held[k] = f"{held[k] or ','}{t},"
+    word_column = numbers([w - (1 << 64) if w >> 63 else w for w in words])
+    held_column = F.split(F.lit(";".join(held)), ";")
 
     def found(t: Column) -> Column:
-        out = F.lit(False)
-        for step in reversed(range(most)):
-            held = F.element_at(column, t.bitwiseAND(F.lit(size - 1)).cast("int") + 1 + step)
-            out = F.when(held == t, True).when(held == 0, False).otherwise(out)
-        return out & (t != 0)
+        on = F.getbit(F.element_at(word_column, F.shiftright(t.bitwiseAND(F.lit(bits - 1)), 6).cast("int") + 1), t.bitwiseAND(F.lit(63)).cast("int")) == 1
+        place = F.shiftright(t, 20).bitwiseAND(F.lit(places - 1)).cast("int") + 1
+        return on & F.contains(F.element_at(held_column, place), F.concat(F.lit(","), t.cast("string"), F.lit(",")))
 
     return found
 
