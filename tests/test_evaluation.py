@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtest, errors, folds, inference, metrics, models, regime
+from tidemark.operators import backtest, errors, folds, inference, metrics, models, regime, walkforward
 
 
 def scored(spark, pairs, key="a"):
@@ -71,6 +71,11 @@ def test_permutation_and_bootstrap(spark):
     values = spark.createDataFrame([(k, 0.5 + 0.01 * k) for k in range(12)], "fold long, value double")
     b = inference.block_bootstrap(values, 4, 200).first()
     assert b.low < b.mean < b.high
+    # Samples have as many values as there are: means of 7 values, in whole blocks of 2, would be eighths.
+    few = spark.createDataFrame([(k, float(k == 0)) for k in range(7)] + [(9, None)], "fold long, value double")
+    c = inference.block_bootstrap(few, 2, 300).first()
+    assert round(c.high * 7, 6) == round(c.high * 7) and c.mean == pytest.approx(1 / 7)
+    assert inference.block_bootstrap(few.where("fold = 0"), 4, 10).first().low is None
 
 
 def book(spark):
@@ -80,7 +85,7 @@ def book(spark):
 
 def test_costs_only_reduce_returns(spark):
     w = backtest.weights(book(spark))
-    assert w.count() == 240 and w.groupBy("date").agg(F.sum("weight").alias("s")).where("s > 1.0000001").count() == 0
+    assert w.count() == 239 and w.groupBy("date").agg(F.sum("weight").alias("s")).where("s > 1.0000001").count() == 0
     days = backtest.simulate(w)
     sweep = {r.bps: r for r in backtest.cost_sweep(days).collect()}
     annual = [sweep[b].annual_return for b in (0.0, 5.0, 10.0, 20.0)]
@@ -125,3 +130,99 @@ def test_learner_calibration_and_contributions(spark):
         assert calibrated.where("p <= 0 or p >= 1 or p is null").count() == 0
     c = models.linear_contributions(df.where("b is not null"), {"a": 2.0, "b": -1.0}, {"a": 0.0, "b": 0.5})
     assert models.top_contributions(c, ["id"], 1).groupBy("id").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_quantiles_without_a_key(spark):
+    import numpy as np
+
+    rng = random.Random(9)
+    values = [rng.choice([rng.gauss(0, 1), 0.5, 0.25]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(7)
+    shares = [0.0, 0.1, 1 / 3, 0.5, 0.9, 1.0]
+    assert metrics.quantiles(df, "v", shares, 16).first().q == pytest.approx(np.quantile(values, shares).tolist())
+    one = spark.createDataFrame([(3.0,)], "v double")
+    assert metrics.quantiles(one, "v", [0.0, 0.7]).first().q == [3.0, 3.0]
+
+
+def test_buckets_of_equal_width_where_quantiles_coincide(spark):
+    rows = spark.createDataFrame([(0.6, 1.0, 0.0)] * 95 + [(0.4, 0.0, float(k)) for k in range(1, 6)], "p double, y double, v double")
+    assert sum(r.n for r in errors.by_bucket(rows, "v").collect()) == 100 and errors.by_bucket(rows, "v").count() > 1
+
+
+def test_sparse_turnover_is_that_of_the_dense_grid(spark):
+    rng = random.Random(10)
+    rows = [(datetime.date(2020, 1, 1) + datetime.timedelta(days=t), f"t{k}", rng.random(), 0.01) for t in range(30) for k in range(5) if rng.random() < 0.6]
+    w = backtest.weights(spark.createDataFrame(rows, "date date, ticker string, p double, ret double"))
+    held = {(r.date, r.ticker): r.weight for r in w.collect()}
+    days = sorted({d for d, _ in held})
+    want = {d: sum(abs(held.get((d, f"t{k}"), 0) - (held.get((days[n - 1], f"t{k}"), 0) if n else 0)) for k in range(5)) for n, d in enumerate(days)}
+    assert {r.date: r.traded for r in backtest.simulate(w).collect()} == pytest.approx(want)
+
+
+def walk_rows(spark):
+    rng = random.Random(11)
+    rows = []
+    for t in range(420):
+        for name, group in (("A", "dev"), ("B", "dev"), ("C", "test")):
+            x = rng.gauss(0, 1)
+            rows.append((name, datetime.date(2020, 1, 1) + datetime.timedelta(days=t), x, float(rng.random() < 1 / (1 + 2.718 ** -x)), group))
+    return spark.createDataFrame(rows, "ticker string, date date, ret_1d double, y double, group string")
+
+
+def test_walk_forward(spark):
+    rows = walk_rows(spark)
+    f = folds.folds(folds.sessions(rows), 200, 60, 60, 40).cache()
+    assert f.count() == 3
+    base = walkforward.predict(rows, f)
+    m = {(r.model, r.fold): r for r in walkforward.fold_metrics(base).collect()}
+    assert len(m) == 9 and all(m["majority", k].roc_auc == 0.5 and m["persistence", k].accuracy > 0.55 for k in range(3))
+    learned = walkforward.learn(rows, f.where("fold = 0"), ["ret_1d"], "logistic")
+    r = walkforward.fold_metrics(learned).first()
+    assert r.roc_auc > 0.65 and not r.is_baseline and r.n == 180 and r.brier_uncalibrated > 0
+    held = walkforward.predict(rows, f, train=["dev"], score=["test"])
+    assert {x.ticker for x in held.select("ticker").distinct().collect()} == {"C"}
+    # What is fitted doesn't see the test window.
+    last = f.where("fold = 2").first()
+    turned = rows.withColumn("y", F.when(F.col("date") >= last.test_start_date, 1 - F.col("y")).otherwise(F.col("y")))
+    probs = lambda df: sorted((x.ticker, x.date, x.model, x.prob, x.threshold) for x in walkforward.predict(df, f.where("fold = 2")).collect())
+    assert probs(rows) == probs(turned)
+    board = {x.model: x for x in walkforward.leaderboard(walkforward.fold_metrics(base)).collect()}
+    assert board["persistence"].folds == 3 and board["persistence"].roc_auc > board["majority"].roc_auc
+
+
+def test_regimes_keep_the_rows_of_gaps(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, s, (200, 2)) for s in (0.5, 3.0, 0.5, 3.0)])
+    rows = spark.createDataFrame([(datetime.date(2020, 1, 1) + datetime.timedelta(days=k), float(a), float(b)) for k, (a, b) in enumerate(x)], "date date, a double, b double")
+    f = folds.folds(folds.sessions(rows), 500, 100, 100, 60)
+    got = regime.assign_by_fold(rows, f, ["a", "b"], 2).orderBy("date").collect()
+    limits = {r.fold: r for r in f.collect()}
+    assert len(got) == 100 * len(limits)
+    first = [r for r in got if r.fold == 0]
+    # By hand: fitted up to the inner window's end, gaps between parts included, and filtered from the first row.
+    train = x[: limits[0].inner_end + 1]
+    z = (x - train.mean(0)) / train.std(0)
+    want = regime.forward_filter(z[:600], *regime.fit_hmm(z[: limits[0].inner_end + 1], 2))[500:]
+    assert np.allclose([r.posterior for r in first], want)
+    ahead = regime.assign_by_fold(rows, f, ["a", "b"], 2, smoothed=True).count()
+    assert ahead == len(got) and regime.assign_by_fold(rows, f, ["a", "b"], 2, least=10_000).count() == 0
+    c = {(r.kind, r.n_states): r for r in regime.compare(rows, ["a", "b"], sizes=(2, 3)).collect()}
+    assert len(c) == 4 and c["hmm", 2].bic < c["gmm", 2].bic and c["hmm", 2].plausible and c["hmm", 2].stability > 0.9
+    assert regime.agreement(np.array([0, 1, 1]), np.array([1, 0, 0]), 2) == 1
+
+
+def test_search_is_seeded_and_boosted_learners_learn(spark):
+    grid = {"a": [1, 2, 3], "b": [0.1, 0.2]}
+    assert models.sampled(grid, 4, 1) == models.sampled(grid, 4, 1) and len(models.sampled(grid, 200)) == 6
+    rows = walk_rows(spark)
+    fit, score = rows.where("date < date'2020-10-01'"), rows.where("date >= date'2020-10-01'")
+    for kind in ("boosted_trees", "boosted_leaves"):
+        out = models.fit_predict(fit, score, ["ret_1d"], kind, trees=5).withColumn("all", F.lit(0))
+        assert metrics.roc_auc(out, ["all"]).first().roc_auc > 0.6
+
+
+def test_infinite_scores_are_not_used(spark):
+    rows = spark.createDataFrame([(1.0, 0.5), (0.0, float("inf")), (1.0, float("nan")), (None, 0.5), (1.0, None), (0.0, float("-inf"))], "y double, p double")
+    assert metrics.usable(rows).count() == 1

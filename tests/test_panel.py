@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
+from tidemark.operators import audit, panel
 from tidemark.operators import bars as B
-from tidemark.operators import panel
 
 
 def series(spark, closes, ticker="AA"):
@@ -35,18 +35,18 @@ def last(df, column):
 
 def test_rising_and_straight_series(spark):
     rising = series(spark, [100 + k for k in range(60)])
-    assert last(panel.oscillators(rising), "rsi_14") == 100
+    assert last(panel.with_means(panel.with_returns(rising)), "rsi_14") == 100
     flat = panel.with_returns(rising).select("date", I.efficiency_ratio(F.col("close"), 20, F.col("step")).alias("e"))
     assert last(flat, "e") == pytest.approx(1)
     there_and_back = series(spark, [100 + min(k, 40 - k) for k in range(41)])
     back = panel.with_returns(there_and_back).select("date", I.efficiency_ratio(F.col("close"), 40, F.col("step")).alias("e"))
     assert last(back, "e") == pytest.approx(0)
-    assert last(panel.oscillators(series(spark, [50.0] * 40)), "rsi_14") == 100
+    assert last(panel.with_means(panel.with_returns(series(spark, [50.0] * 40))), "rsi_14") == 100
 
 
 def test_exponential_mean_matches_the_recursion(spark):
     closes = walk(300, 3)
-    got = [r[1] for r in series(spark, closes).select("date", I.ema(F.col("close"), 12).alias("e")).orderBy("date").collect()]
+    got = [r[1] for r in I.with_ewm(series(spark, closes), e=I.ema(F.col("close"), 12)).select("date", "e").orderBy("date").collect()]
     a, y, want = 2 / 13, closes[0], [closes[0]]
     for x in closes[1:]:
         y = (1 - a) * y + a * x
@@ -107,3 +107,58 @@ def test_cleaning(spark):
     bad = b.withColumn("low", F.when(F.col("date") == datetime.date(2020, 1, 2), 50.0).otherwise(F.col("low")))
     checked = B.validate(bad, B.weekdays(bad)).first()
     assert checked.inverted == 1 and checked.status == "error"
+
+
+def test_validation_finds_each_fault(spark):
+    b = series(spark, walk(500, 7)).where(F.weekday("date") < 5)
+    days = B.weekdays(b)
+    day = lambda k: F.col("date") == datetime.date(2020, 1, 1) + datetime.timedelta(days=k)
+    assert B.validate(b, days).first().status == "error"  # fewer than 400 rows
+    long = series(spark, walk(700, 7)).where(F.weekday("date") < 5)
+    days = B.weekdays(long)
+    assert B.validate(long, days).first().status == "ok"
+    holed = long.withColumn("close", F.when(day(5), None).otherwise(F.col("close"))).withColumn("volume", F.lit(0.0)).where(~day(6))
+    r = B.validate(holed, days).first()
+    assert (r.some_prices, r.no_prices, r.missing, r.zero_volume, r.stale, r.status) == (1, 0, 1, 1.0, 0, "warning")
+    index = holed.withColumn("ticker", F.lit("^AA")).where(~day(5)).unionByName(long.where(day(6) | day(5)))
+    assert B.validate(index.where("ticker = '^AA'"), days).first().missing == 2
+    stale = B.validate(long.where(F.col("date") < datetime.date(2021, 11, 1)), days).first()
+    assert stale.stale == days.where(F.col("date") >= datetime.date(2021, 11, 1)).count() and stale.missing == 0
+    holidays = spark.createDataFrame([(datetime.date(2020, 1, 7),)], "date date")
+    assert B.validate(long, B.weekdays(long, holidays)).first().unexpected == 1
+
+
+def context(spark, n, seed):
+    return series(spark, walk(n, seed)).select("date", F.col("close").alias("bench_close"), F.lit(20.0).alias("vix")), series(spark, walk(n, seed + 1), "A").withColumnRenamed("ticker", "sector")
+
+
+def test_audits_pass_causal_features_and_find_leaks(spark, two):
+    bench, sect = context(spark, 320, 5)
+    build = lambda b, c, s: panel.with_returns(panel.with_context(b, c, s)).select("ticker", "date", "ret_1d", I.log_return(F.col("bench_close"), 5).alias("bench_ret_5d"), I.lead(F.col("close")).alias("leak"), "close")
+    cutoff = [datetime.date(2020, 10, 1)]
+    for report in (audit.perturbation(build, two, bench, sect, ["ret_1d", "bench_ret_5d", "leak"], cutoff), audit.truncation(build, two, bench, sect, ["ret_1d", "bench_ret_5d", "leak"], cutoff)):
+        assert {r.feature: (r.n_rows, r.n_diff) for r in report.collect()} == {"ret_1d": (2, 0), "bench_ret_5d": (2, 0), "leak": (2, 2)}
+    assert {r.feature: r.n_diff > 0 for r in audit.scale(build, two, bench, sect, ["ret_1d", "close"]).collect()} == {"ret_1d": False, "close": True}
+    r = audit.target_causality(two, 5, cutoff).first()
+    assert (r.n_rows, r.n_changed, r.n_deaf) == (2, 0, 0)
+
+
+def test_the_panel_has_every_feature(spark, two):
+    bench, sect = context(spark, 320, 5)
+    groups = spark.createDataFrame([("AA", "dev", "tech")], "ticker string, group string, sector string")
+    p = panel.tagged(panel.build(two, bench, sect), groups)
+    features = [c for c in p.columns if c not in {"ticker", "date", "group", "sector", "ewma_sigma", *panel.label_columns()}]
+    assert len(features) == 58 and p.count() == 2 * (320 - panel.WARM_UP)
+    assert {(r.ticker, r.group, r.sector) for r in p.collect()} == {("AA", "dev", "tech"), ("BB", "unassigned", "unknown")}
+    assert panel.labelled(p, "direction_5d").count() == p.count() - 10
+    with pytest.raises(KeyError):
+        panel.labelled(p, "direction_9d")
+
+
+def test_band_is_fitted_apart_from_the_rows_it_labels(spark):
+    rng = random.Random(8)
+    rows = spark.createDataFrame([("A", k, rng.gauss(0, 0.02), 0.02) for k in range(3000)] + [("B", 1, 0.01, 0.02)], "ticker string, k int, ret double, sigma double")
+    band = panel.kappa(rows.where("k < 2000 and ticker = 'A'"), 1)
+    labels = panel.ternary(rows.where("k >= 2000 or ticker = 'B'"), band, 1)
+    assert 0.28 < labels.where("ticker = 'A'").agg(F.avg((F.col("label") == 0).cast("int"))).first()[0] < 0.38
+    assert labels.where("ticker = 'B'").first().label is None

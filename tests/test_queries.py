@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = pathlib.Path("/root/testdata/sf0.001")
-SOME = ["scan_bars", "validate_bars", "adjust_actions", "rate_window", "rsi", "features_volatility", "features_market", "targets", "kappa", "folds", "evaluate", "select_threshold", "wilcoxon_w", "perf_by_bucket", "near_reversal", "describe_states", "cost_sweep", "top_contributions", "config_hash"]
+SOME = ["panel_build", "walk_forward_metrics", "audit_perturbation", "leaderboard_tests", "context_gaps", "ui_confident_stats", "weights", "serving_split", "scan_panel", "run_store", "scan_bars", "validate_bars", "adjust_actions", "rate_window", "rsi", "features_volatility", "features_market", "targets", "kappa", "folds", "evaluate", "select_threshold", "wilcoxon_w", "perf_by_bucket", "near_reversal", "describe_states", "cost_sweep", "top_contributions", "config_hash"]
 
 
 def test_every_oracle_has_a_query():

@@ -43,3 +43,62 @@ def test_rate(spark):
     ev = spark.createDataFrame([(1, t), (1, t + datetime.timedelta(seconds=59)), (1, t + datetime.timedelta(seconds=61)), (2, t)], "user_id long, ts timestamp")
     assert sorted(r.recent for r in S.rate(ev, 1).collect()) == [1, 1, 2, 2]
     assert S.rate(ev, 1).where(F.col("limited")).count() == 2
+
+
+def test_providers(spark, tmp_path):
+    assert files.provider("csv") is files.csv_bars and files.no_bars(spark).count() == 0
+    with pytest.raises(ValueError, match="unknown provider"):
+        files.provider("pigeon")
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "A.json").write_text('{"Time Series (Daily)": {"2020-01-02": {"1. open": 1.0, "2. high": 2.0, "3. low": 0.5, "4. close": 1.5, "5. adjusted close": 1.4, "6. volume": 9}}}')
+    assert files.provider("json")(spark, str(tmp_path / "j")).first().ticker == "A"
+    assert files.provider("json")(spark, str(tmp_path / "j"), "2020-02-01").count() == 0
+
+
+def test_panel_and_runs_are_stored(spark, tmp_path):
+    p = spark.createDataFrame([("A", "dev", 1.0), ("B", "test", 2.0)], "ticker string, group string, x double")
+    files.write_panel(p, str(tmp_path / "p"), label="direction")
+    back, about = files.read_panel(spark, str(tmp_path / "p"), ["test"])
+    assert [r.ticker for r in back.collect()] == ["B"] and about["label"] == "direction" and back.columns == p.columns
+    assert files.runs(spark, str(tmp_path / "r")).count() == 0
+    for k in (1, 2):
+        files.save_run(f"r{k}", {"target": "t", "experiment": "e", "config": {"b": 1, "a": k}}, p, p.where("x = 1"), str(tmp_path / "r"))
+    index = files.runs(spark, str(tmp_path / "r"))
+    assert index.count() == 2 and files.latest_run(index).first().run_id == "r2" and len({r.config_hash for r in index.collect()}) == 2
+    assert files.run_table(spark, str(tmp_path / "r"), "predictions", "r1").count() == 2
+    assert files.markdown(p.orderBy("ticker")).splitlines()[2] == "| A | dev | 1.0000 |"
+    p.write.partitionBy("ticker").parquet(str(tmp_path / "c"))
+    files.clear(spark, str(tmp_path / "c"), "A")
+    assert [r.ticker for r in spark.read.parquet(str(tmp_path / "c")).collect()] == ["B"]
+
+
+def played(spark, tmp_path, rows, schema, make):
+    """Rows of each batch in a file of its own, as a stream."""
+    for k, batch in enumerate(rows):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = make(stream).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_exponential_mean_of_a_stream(spark, tmp_path):
+    day = lambda k: datetime.date(2020, 1, 1) + datetime.timedelta(days=k)
+    values = [1.0, 3.0, 2.0, float("nan"), 5.0, 4.0]
+    batches = [[("A", day(k), values[k]) for k in part] for part in ((0, 1), (2, 3), (4, 5))]
+    days = spark.createDataFrame([(day(k),) for k in range(5)], "date date")
+    got = played(spark, tmp_path, batches, "ticker string, date date, value double", lambda s: S.ewm_stream(S.on_sessions(s, days), 0.5, 2))
+    assert [r["mean"] for r in got.orderBy("date").collect()] == [None, 2.0, 2.0, 2.0, 3.5]
+
+
+def test_filtered_regimes_of_a_stream(spark, tmp_path):
+    import numpy as np
+
+    from tidemark.operators import regime
+
+    x = np.concatenate([np.random.default_rng(1).normal(0, s, (40, 1)) for s in (0.5, 3.0)])
+    model = regime.fit_hmm(x, 2)
+    day = lambda k: datetime.date(2020, 1, 1) + datetime.timedelta(days=k)
+    batches = [[("m", day(k), float(x[k, 0])) for k in range(a, a + 40)] for a in (0, 40)]
+    got = played(spark, tmp_path, batches, "market string, date date, v double", lambda s: S.regime_stream(s, ["v"], model)).orderBy("date").collect()
+    assert np.allclose([r.posterior for r in got], regime.forward_filter(x, *model)) and len(got) == 80

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 YEAR = math.sqrt(252)
@@ -68,28 +69,30 @@ def rolling_sum(s: Column, n: int) -> Column:
     return gate(F.sum(s).over(trailing(n)), s, n)
 
 
-def reach(alpha: float) -> int:
-    """Rows after which an exponential weight is below 1e-18."""
-    return math.ceil(41.5 / -math.log(1 - alpha))
+def with_ewm(df: DataFrame, **means: tuple[Column, float, int]) -> DataFrame:
+    """df with recursive exponential means, name=(values, alpha, least): y = (1 - alpha) y' + alpha x from the first observation on.
 
+    Missing values are passed over and keep the mean before them; it is null before `least` observations. The recursion over an
+    instrument's ordered rows is no window aggregate, so all means of a panel take one pass over each instrument, in Arrow batches.
+    """
 
-def ewm(s: Column, alpha: float, least: int = 1) -> Column:
-    """Recursive exponential mean, y = (1 - alpha) y' + alpha x from the first observation on, null before `least` of them.
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        for name, (alpha, least) in rules.items():
+            rows[name] = rows[name].astype(float).ewm(alpha=alpha, adjust=False, ignore_na=True, min_periods=least).mean()
+        return rows
 
-    A fold over a bounded frame: what lies before it would weigh less than 1e-18.
-    """
-    w = ordered()
-    values = F.collect_list(s).over(w.rowsBetween(-reach(alpha), 0))
-    folded = F.aggregate(F.slice(values, 2, reach(alpha) + 1), F.element_at(values, 1), lambda a, x: a * (1 - alpha) + x * alpha)
-    return F.when(F.count(s).over(w.rowsBetween(Window.unboundedPreceding, 0)) >= least, folded)
+    rules = {name: (alpha, least) for name, (_, alpha, least) in means.items()}
+    held = df.withColumns({name: values.cast("double") for name, (values, _, _) in means.items()})
+    return held.groupBy("ticker").applyInPandas(one, held.schema)
 
 
-def ema(s: Column, span: int) -> Column:
-    return ewm(s, 2 / (span + 1), span)
+def ema(s: Column, span: int) -> tuple[Column, float, int]:
+    return s, 2 / (span + 1), span
 
 
-def wilder(s: Column, n: int) -> Column:
-    return ewm(s, 1 / n, n)
+def wilder(s: Column, n: int) -> tuple[Column, float, int]:
+    return s, 1 / n, n
 
 
 def true_range(high: Column, low: Column, close: Column) -> Column:
@@ -106,6 +109,11 @@ def parkinson(high: Column, low: Column, n: int) -> Column:
     return F.sqrt(gate(F.avg(x).over(trailing(n)), x, n) / (4 * math.log(2))) * YEAR
 
 
+def is_index(symbol: Column) -> Column:
+    """Whether a symbol names an index, which has no shares and no volume."""
+    return symbol.startswith("^")
+
+
 def downside(r: Column) -> Column:
     """Losses; gains and missing returns count as zero."""
     return F.when(r < 0, r).otherwise(0.0)

@@ -9,21 +9,29 @@ from tidemark.functions.indicators import ordered
 
 
 def weights(book: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """date, ticker, ret and weight of every date with every ticker (zero where there is no row); book(date, ticker, p, ret)."""
-    days, names = book.select("date").distinct(), book.select("ticker").distinct()
-    grid = days.crossJoin(F.broadcast(names))  # the dense date x instrument grid that turnover needs
-    dense = grid.join(book.select("date", "ticker", "p", "ret"), ["date", "ticker"], "left")
+    """date, ticker, ret and weight of every row of book(date, ticker, p, ret). A date on which an instrument has no row counts as weight zero."""
     signal = F.when(F.col("p") >= threshold, 1.0).otherwise(0.0)
     total = F.sum("signal").over(Window.partitionBy("date"))
-    return dense.withColumn("signal", signal).select("date", "ticker", F.coalesce("ret", F.lit(0.0)).alias("ret"), F.coalesce(F.try_divide(F.col("signal"), total), F.lit(0.0)).alias("weight"))
+    return book.withColumn("signal", signal).select("date", "ticker", F.coalesce("ret", F.lit(0.0)).alias("ret"), F.coalesce(F.try_divide(F.col("signal"), total), F.lit(0.0)).alias("weight"))
+
+
+def changes(w: DataFrame) -> DataFrame:
+    """date and change of each change of weight: on a row's own date, and on the next date of the book where the instrument has no row there."""
+    dates = w.select("date").distinct().withColumn("after", F.lead("date").over(Window.orderBy("date")))  # one row a date
+    rows = w.join(dates, "date")
+    own = ordered()
+    held = F.when(F.lag("after").over(own) == F.col("date"), F.lag("weight").over(own)).otherwise(0.0)
+    gone = F.col("after").isNotNull() & ~F.coalesce(F.lead("date").over(own) == F.col("after"), F.lit(False))
+    both = rows.select(F.array(F.struct("date", F.abs(F.col("weight") - held).alias("change")), F.struct(F.when(gone, F.col("after")).alias("date"), F.col("weight").alias("change"))).alias("x"))
+    return both.select(F.explode("x").alias("x")).select("x.*").where("date is not null")
 
 
 def simulate(w: DataFrame, bps: float | Column = 5.0) -> DataFrame:
-    """date, gross, traded and net: costs per side of each change of weight."""
-    change = F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(ordered()), F.lit(0.0)))
+    """date, gross, traded, positions and net: costs per side of each change of weight."""
     cost = bps if isinstance(bps, Column) else F.lit(float(bps))
-    days = w.withColumn("change", change).groupBy("date").agg(F.sum(F.col("weight") * F.col("ret")).alias("gross"), F.sum("change").alias("traded"), F.sum((F.col("weight") > 0).cast("long")).alias("positions"))
-    return days.withColumn("net", F.col("gross") - F.col("traded") * cost * 1e-4)
+    days = w.groupBy("date").agg(F.sum(F.col("weight") * F.col("ret")).alias("gross"), F.sum((F.col("weight") > 0).cast("long")).alias("positions"))
+    traded = changes(w).groupBy("date").agg(F.sum("change").alias("traded"))
+    return days.join(traded, "date").select("date", "gross", "traded", "positions", (F.col("gross") - F.col("traded") * cost * 1e-4).alias("net"))
 
 
 def equity(days: DataFrame, value: str = "net", keys: tuple[str, ...] = ()) -> DataFrame:

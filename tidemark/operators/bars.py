@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.indicators import ordered
+from tidemark.functions.indicators import is_index, ordered
 
+# What counts as a symbol, and the limits of the validation.
 SYMBOL = r"^\^?[A-Z][A-Z0-9]{0,9}(?:[.\-][A-Z0-9]{1,4})?$"
+SYMBOL_LENGTH = 16
+MAX_RETURN, SLACK, LEAST_ROWS, MISSING_SHARE, ZERO_VOLUME_SHARE = 0.6, 1e-6, 400, 0.02, 0.02
 
 
 def ticks(lineitem: DataFrame) -> DataFrame:
@@ -29,9 +32,31 @@ def market_context(trades: DataFrame) -> DataFrame:
     return trades.groupBy("date").agg(F.max_by("price", "seq").alias("bench_close"), F.stddev_samp("price").alias("vix"))
 
 
-def keep_last(bars: DataFrame, keys: list[str], newest: Column) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(newest.desc())
-    return bars.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+def keep_last(rows: DataFrame, keys: list[str], newest: Column) -> DataFrame:
+    """Of the rows with equal keys the one with the greatest `newest`, aggregated before the shuffle."""
+    return _one_of(rows, keys, F.max_by, newest)
+
+
+def keep_first(rows: DataFrame, keys: list[str], newest: Column) -> DataFrame:
+    return _one_of(rows, keys, F.min_by, newest)
+
+
+def _one_of(rows: DataFrame, keys: list[str], pick, by: Column) -> DataFrame:
+    kept = rows.groupBy(*keys).agg(pick(F.struct(*(c for c in rows.columns if c not in keys)), by).alias("_kept"))
+    return kept.select(*keys, "_kept.*").select(*rows.columns)
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows that only one side has."""
+    return a.exceptAll(b).union(b.exceptAll(a)).distinct()
+
+
+def names(*parts: DataFrame) -> DataFrame:
+    """The distinct instruments of all parts."""
+    first, *rest = (p.select("ticker") for p in parts)
+    for p in rest:
+        first = first.union(p)
+    return first.distinct()
 
 
 def upsert(existing: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,13 +68,21 @@ def upsert(existing: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
 def normalise_symbol(symbol: Column) -> Column:
     """Trimmed upper-case symbol, null where it isn't one."""
     s = F.upper(F.trim(symbol))
-    return F.when((F.length(s) <= 16) & s.rlike(SYMBOL), s)
+    return F.when((F.length(s) <= SYMBOL_LENGTH) & s.rlike(SYMBOL), s)
 
 
-def weekdays(dates: DataFrame) -> DataFrame:
-    """Every weekday from the first date to the last."""
+def weekdays(dates: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
+    """Every weekday from the first date to the last, without holidays(date)."""
     span = dates.agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    return span.where("a is not null").select(F.explode(F.sequence("a", "b")).alias("date")).where(F.weekday("date") < 5)
+    days = span.where("a is not null").select(F.explode(F.sequence("a", "b")).alias("date")).where(F.weekday("date") < 5)
+    return days if holidays is None else days.join(holidays, "date", "left_anti")
+
+
+def numbered_days(calendar: DataFrame) -> DataFrame:
+    """date, open and n for each day of the calendar's span: whether it is a session, and how many sessions there are up to it."""
+    span = calendar.agg(F.min("date").alias("a"), F.max("date").alias("b")).where("a is not null").select(F.explode(F.sequence(F.date_sub("a", 7), F.date_add("b", 7))).alias("date"))
+    days = span.join(calendar.select("date", F.lit(1).alias("open")), "date", "left").fillna(0, ["open"])
+    return days.withColumn("n", F.sum("open").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))  # one row a date
 
 
 def adjust(bars: DataFrame) -> DataFrame:
@@ -59,9 +92,9 @@ def adjust(bars: DataFrame) -> DataFrame:
 
 
 def missing_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Calendar days, between an instrument's first and last bar, without a bar."""
+    """Calendar days, between an instrument's first and last bar, without a bar. Spans are spread to dates, so all joins are on equal keys."""
     spans = bars.groupBy("ticker").agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    due = calendar.join(F.broadcast(spans), calendar.date.between(F.col("a"), F.col("b"))).select("ticker", "date")
+    due = spans.select("ticker", F.explode(F.sequence("a", "b")).alias("date")).join(calendar, "date", "left_semi").select("ticker", "date")
     return due.join(bars.select("ticker", "date"), ["ticker", "date"], "left_anti")
 
 
@@ -69,24 +102,41 @@ def unexpected_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     return bars.select("ticker", "date").join(calendar, "date", "left_anti")
 
 
-def validate(bars: DataFrame, calendar: DataFrame, jump: float = 0.6, slack: float = 1e-6) -> DataFrame:
-    """Counts of each kind of fault by instrument, in one pass, with the gaps joined on."""
+def validate(bars: DataFrame, calendar: DataFrame, latest: Column | None = None) -> DataFrame:
+    """A report by instrument: counts of each kind of fault, the sessions it is behind `latest`, and a status.
+
+    One aggregation over the bars, tagged by their day of the calendar; the sessions due between first and last bar come from the numbers of
+    those two days. Changes are taken from the last known price. Index symbols have no volume and may jump.
+    """
     prices = [F.col(c) for c in ("open", "high", "low", "close", "adj_close")]
-    change = F.abs(F.try_divide("adj_close", F.lag("adj_close").over(ordered())) - 1)
+    days = numbered_days(calendar)
+    last_known = F.last("adj_close", True).over(ordered().rowsBetween(Window.unboundedPreceding, 0))
+    known = bars.join(days.select("date", F.col("open").alias("session")), "date", "left").withColumn("known", last_known)
+    change = F.abs(F.try_divide("known", F.lag("known").over(ordered())) - 1)
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    nulls = sum((p.isNull().cast("int") for p in prices[1:]), prices[0].isNull().cast("int"))
+    finite = [c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in [*prices, F.col("volume")]]
     top, bottom = F.greatest("open", "close"), F.least("open", "close")
-    counted = bars.withColumn("change", change).groupBy("ticker").agg(
-        F.count("*").alias("rows"),
+    counted = known.withColumn("change", change).groupBy("ticker").agg(
+        F.count("*").alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
         (F.count("*") - F.countDistinct("date")).alias("duplicates"),
         sum((n(p <= 0) for p in prices[1:]), n(prices[0] <= 0)).alias("not_positive"),
-        n(F.col("close").isNull()).alias("null_close"),
+        n(nulls == len(prices)).alias("no_prices"), n((nulls > 0) & (nulls < len(prices))).alias("some_prices"),
         n(F.col("high") < F.col("low")).alias("inverted"),
-        n((F.col("high") < top - slack) | (F.col("low") > bottom + slack)).alias("outside"),
-        n(F.col("change") > jump).alias("jumps"),
-        F.avg(F.when(F.coalesce("volume", F.lit(0.0)) == 0, 1.0).otherwise(0.0)).alias("zero_volume"),
+        n((F.col("high") < top - SLACK) | (F.col("low") > bottom + SLACK)).alias("outside"),
+        n(F.col("change") > MAX_RETURN).alias("jumps"), F.max(F.when(F.col("change") > MAX_RETURN, F.col("change"))).alias("worst_jump"),
+        F.avg(F.when(F.coalesce("volume", F.lit(0.0)) <= 0, 1.0).otherwise(0.0)).alias("zero_volume"),
+        n(F.coalesce("session", F.lit(0)) == 0).alias("unexpected"), F.countDistinct(F.when(F.col("session") == 1, F.col("date"))).alias("present"),
+        F.max(F.greatest(*(f.cast("int") for f in finite))).alias("finite"),
     )
-    gaps = missing_sessions(bars, calendar).groupBy("ticker").agg(F.count("*").alias("missing"))
-    odd = unexpected_sessions(bars, calendar).groupBy("ticker").agg(F.count("*").alias("unexpected"))
-    joined = counted.join(gaps, "ticker", "left").join(odd, "ticker", "left").fillna(0, ["missing", "unexpected"])
-    bad = (F.col("duplicates") > 0) | (F.col("not_positive") > 0) | (F.col("inverted") > 0) | (F.col("missing") > 0.02 * (F.col("rows") + F.col("missing"))) | (F.col("rows") < 400)
-    return joined.withColumn("status", F.when(bad, "error").when((F.col("outside") + F.col("jumps") + F.col("unexpected") + F.col("missing") > 0) | (F.col("zero_volume") > 0.02), "warning").otherwise("ok"))
+    at = lambda name: days.select(F.col("date").alias(f"{name}_date"), F.col("n").alias(f"{name}_n"), F.col("open").alias(f"{name}_open"))
+    spans = counted.join(at("first"), "first_date", "left").join(at("last"), "last_date", "left")
+    due = F.col("last_n") - F.col("first_n") + F.col("first_open")
+    end = calendar.agg(F.max("date").alias("latest")) if latest is None else calendar.select(latest.alias("latest")).limit(1)
+    stale = days.join(end, F.col("date") == F.col("latest")).select(F.col("n").alias("end_n"))
+    joined = spans.crossJoin(F.broadcast(stale)).withColumns({"missing": due - F.col("present"), "stale": F.greatest(F.lit(0), F.col("end_n") - F.col("last_n"))})  # one row
+    share, index = F.col("missing") / F.col("rows"), is_index(F.col("ticker"))
+    bad = (F.col("duplicates") > 0) | (F.col("not_positive") > 0) | (F.col("no_prices") > 0) | (F.col("inverted") > 0) | (share > MISSING_SHARE) | (F.col("rows") < LEAST_ROWS) | (F.col("finite") == 0)
+    odd = (F.col("some_prices") + F.col("outside") + F.col("unexpected") + F.col("missing") + F.col("stale") > 0) | (~index & ((F.col("jumps") > 0) | (F.col("zero_volume") > ZERO_VOLUME_SHARE)))
+    report = ["ticker", "rows", "first_date", "last_date", "duplicates", "not_positive", "no_prices", "some_prices", "inverted", "outside", "jumps", "worst_jump", "zero_volume", "missing", "unexpected", "stale"]
+    return joined.select(*report, F.when(bad, "error").when(odd, "warning").otherwise("ok").alias("status"))

@@ -25,7 +25,7 @@ def folds(days: DataFrame, init: int = 1512, test: int = 126, step: int = 126, i
     for part in PARTS:
         for end in ("start", "end"):
             d = days.select(F.col("pos").alias(f"{part}_{end}"), F.col("date").alias(f"{part}_{end}_date"))
-            out = out.join(F.broadcast(d), f"{part}_{end}")
+            out = out.join(d, f"{part}_{end}")
     return out.select("fold", *(F.col(f"{p}_{e}").cast("long").alias(f"{p}_{e}") for p in PARTS for e in ("start", "end")), *(f"{p}_{e}_date" for p in PARTS for e in ("start", "end")))
 
 
@@ -49,6 +49,28 @@ def assign(rows: DataFrame, f: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(spans), rows.date.between(F.col("a"), F.col("b"))).drop("a", "b")
 
 
+def evaluated(days: DataFrame, f: DataFrame) -> DataFrame:
+    """The sessions that lie in any test window; windows are spread to positions, so the join is on equal keys."""
+    tested = f.select(F.explode(F.sequence("test_start", "test_end")).alias("pos")).distinct()
+    return days.join(tested, "pos").select("date", "pos")
+
+
+def serving(days: DataFrame, inner: int = 120, purge: int = 1, embargo: int = 5) -> DataFrame:
+    """One row: the windows of a model that serves after the last session. The inner one ends there."""
+    n = days.agg(F.count("*").alias("n")).where(F.col("n") > inner + purge + embargo + 1)
+    at = n.select((F.col("n") - inner).alias("inner_start"), (F.col("n") - inner - purge - embargo - 1).alias("fit_end"), (F.col("n") - 1).alias("inner_end"))
+    for name in ("inner_start", "fit_end", "inner_end"):
+        at = at.join(days.select(F.col("pos").alias(name), F.col("date").alias(f"{name}_date")), name)
+    return at.select("fit_end", "inner_start", "inner_end", "fit_end_date", "inner_start_date", "inner_end_date")
+
+
+def holdout(days: DataFrame, share: float = 0.25, shift: float = 0.1) -> DataFrame:
+    """date and part: `train` up to the held-out share at the end; `shifted` is train without the first tenth, for a second fit."""
+    n = F.count("*").over(Window.partitionBy())
+    cut, start = F.floor(n * (1 - share)), F.floor(n * shift)
+    return days.select("date", F.when(F.col("pos") >= cut, "holdout").otherwise("train").alias("part"), ((F.col("pos") >= start) & (F.col("pos") < cut)).alias("shifted"))
+
+
 def label_reach(days: DataFrame, horizon: int) -> DataFrame:
     """The session that a label of each session reaches, the last one at most."""
     w = Window.orderBy("date")

@@ -62,16 +62,19 @@ def uniform(seed: int, *keys: Column) -> Column:
 
 def block_bootstrap(values: DataFrame, block: int = 4, draws: int = 2000, seed: int = 17) -> DataFrame:
     """Mean of values(fold, value) and the 2.5 and 97.5 % quantiles of means of resampled contiguous blocks of folds."""
-    w = Window.orderBy("fold")
-    numbered = values.withColumn("pos", F.row_number().over(w) - 1)
-    n = numbered.agg(F.count("*").alias("n"))
+    w = Window.orderBy("fold")  # one row a fold
+    clean = values.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    numbered = clean.withColumn("pos", F.row_number().over(w) - 1)
+    n = numbered.agg(F.count("*").alias("n")).where("n >= 2").withColumn("size", F.least(F.lit(block), F.col("n").cast("int")))
     spark = values.sparkSession
-    slots = spark.range(draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(n)).select("draw", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)).alias("b"))
-    starts = slots.withColumn("at", F.floor(uniform(seed, F.col("draw"), F.col("b")) * F.greatest(F.lit(1), F.col("n") - block + 1)).cast("int"))
-    rows = starts.select("draw", F.explode(F.sequence("at", F.least(F.col("at") + block, F.col("n")) - 1)).alias("pos"))
-    means = rows.join(F.broadcast(numbered), "pos").groupBy("draw").agg(F.avg("value").alias("m"))
+    slots = spark.range(draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(n)).select("draw", "n", "size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("size")).cast("int") - 1)).alias("b"))
+    starts = slots.withColumn("at", F.floor(uniform(seed, F.col("draw"), F.col("b")) * (F.col("n") - F.col("size") + 1)).cast("int"))
+    # The last block is cut, so that a sample has as many values as there are.
+    each = starts.select("draw", "at", F.explode(F.sequence(F.lit(0), F.least(F.col("size"), (F.col("n") - F.col("b") * F.col("size")).cast("int")) - 1)).alias("k"))
+    rows = each.select("draw", (F.col("at") + F.col("k")).alias("pos"))
+    means = rows.join(numbered, "pos").groupBy("draw").agg(F.avg("value").alias("m"))
     q = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count("*").alias("draws"))
-    return values.agg(F.avg("value").alias("mean")).crossJoin(F.broadcast(q))
+    return clean.agg(F.avg("value").alias("mean")).crossJoin(F.broadcast(q))
 
 
 def permutation_auc(rows: DataFrame, strata: list[str], draws: int = 200, seed: int = 17) -> DataFrame:

@@ -9,16 +9,27 @@ BINS = 10
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    return rows.where("y is not null and p is not null and not isnan(p)")
+    """Rows whose y and p are finite."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return rows.where(finite("y") & finite("p"))
+
+
+def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, p, c, pos and neg: usable rows and their classes by distinct score. All metrics follow from it, so rows are shuffled once."""
+    return usable(rows).groupBy(*keys, "p").agg(F.count("*").alias("c"), F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
 
 
 def confusion(rows: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     hit, up = F.col("p") >= threshold, F.col("y") == 1
     n = lambda c: F.sum(c.cast("long"))
-    counted = usable(rows).groupBy(*keys).agg(F.count("*").alias("n"), n(hit & up).alias("tp"), n(hit & ~up).alias("fp"), n(~hit & up).alias("fn"), n(~hit & ~up).alias("tn"))
+    return shares(usable(rows).groupBy(*keys).agg(F.count("*").alias("n"), n(hit & up).alias("tp"), n(hit & ~up).alias("fp"), n(~hit & up).alias("fn"), n(~hit & ~up).alias("tn")))
+
+
+def shares(counts: DataFrame) -> DataFrame:
+    """n, tp, fp, fn and tn with the shares that follow from them."""
     part = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    first = counted.withColumns({"accuracy": (tp + tn) / F.col("n"), "base_rate": (tp + fn) / F.col("n"), "precision": part(tp, tp + fp), "recall": part(tp, tp + fn), "positive_rate": (tp + fp) / F.col("n")})
+    first = counts.withColumns({"accuracy": (tp + tn) / F.col("n"), "base_rate": (tp + fn) / F.col("n"), "precision": part(tp, tp + fp), "recall": part(tp, tp + fn), "positive_rate": (tp + fp) / F.col("n")})
     return first.withColumns({"f1": part(2 * tp, 2 * tp + fp + fn), "accuracy_over_base_rate": F.col("accuracy") - F.greatest("base_rate", 1 - F.col("base_rate"))})
 
 
@@ -46,31 +57,82 @@ def brier_logloss(rows: DataFrame, keys: list[str], eps: float = 1e-9) -> DataFr
     return usable(rows).groupBy(*keys).agg(F.avg(F.pow(F.col("p") - F.col("y"), F.lit(2.0))).alias("brier"), F.avg(-(F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q))).alias("log_loss"))
 
 
+def quantiles(rows: DataFrame, value: str, shares: list[float], ranges: int = 256) -> DataFrame:
+    """One row: `q`, the exact interpolated quantiles of all rows' non-null values. No task sees all of them.
+
+    Distinct values are counted, dealt to ranges between approximate quantiles, and ranked within their range, the ranges' totals coming first.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    cuts = counts.agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("cuts"))
+    dealt = counts.crossJoin(F.broadcast(cuts)).select("v", "c", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("part"))  # cuts: one row
+    totals = dealt.groupBy("part").agg(F.sum("c").alias("t"))  # `ranges` rows at most
+    before = totals.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("before"), F.sum("t").over(Window.partitionBy()).alias("n"))
+    w = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.join(F.broadcast(before), "part").withColumn("high", F.col("before") + F.sum("c").over(w)).withColumn("low", F.col("high") - F.col("c"))
+    at = [F.lit(float(s)) * (F.col("n") - 1) for s in shares]
+    held = lambda rank: F.max(F.when((F.col("low") <= rank) & (rank < F.col("high")), F.col("v")))
+    ends = ranked.groupBy("n").agg(*(held(F.floor(a)).alias(f"a{k}") for k, a in enumerate(at)), *(held(F.ceil(a)).alias(f"b{k}") for k, a in enumerate(at)))
+    mixed = [F.when(F.col(f"a{k}") == F.col(f"b{k}"), F.col(f"a{k}")).otherwise((F.ceil(a) - a) * F.col(f"a{k}") + (a - F.floor(a)) * F.col(f"b{k}")) for k, a in enumerate(at)]
+    return ends.select(F.array(*mixed).alias("q"))
+
+
 def binned(rows: DataFrame, keys: list[str], value: str = "p", bins: int = BINS, closed: str = "left") -> DataFrame:
     """rows with `bin`: equal-frequency bins between distinct quantiles. A value on an interior edge goes up (left) or down (right)."""
-    shares = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
-    edges = rows.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile(value, shares))).alias("_edges"))
+    shares = [k / bins for k in range(bins + 1)]
+    if keys:
+        edges = rows.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("q"))
+    else:
+        edges = quantiles(rows, value, shares)
+    edges = edges.select(*keys, F.array_sort(F.array_distinct("q")).alias("_edges"))
     interior = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     passed = (lambda e: e <= F.col(value)) if closed == "left" else (lambda e: e < F.col(value))
-    joined = rows.join(F.broadcast(edges), keys) if keys else rows.crossJoin(F.broadcast(edges))
+    joined = rows.join(edges, keys) if keys else rows.crossJoin(F.broadcast(edges))  # one row without keys
     return joined.withColumn("bin", F.size(F.filter(interior, passed)).cast("long")).drop("_edges")
 
 
 def reliability(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return binned(usable(rows), keys).groupBy(*keys, "bin").agg(F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"), F.count("*").alias("n"))
+    """By equal-frequency bin of the score: mean score, mean outcome and rows."""
+    return _reliability(counted(rows, keys), keys)
+
+
+def _reliability(counts: DataFrame, keys: list[str]) -> DataFrame:
+    shares = F.array(*(F.lit(k / BINS) for k in range(BINS + 1)))
+    edges = counts.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile("p", shares, F.col("c")))).alias("_edges"))
+    interior = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
+    b = counts.join(edges, keys).withColumn("bin", F.size(F.filter(interior, lambda e: e <= F.col("p"))).cast("long"))
+    return b.groupBy(*keys, "bin").agg((F.sum(F.col("p") * F.col("c")) / F.sum("c")).alias("mean_p"), (F.sum("pos") / F.sum("c")).alias("mean_y"), F.sum("c").alias("n"))
 
 
 def calibration(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Expected and maximum calibration error."""
+    return _calibration(counted(rows, keys), keys)
+
+
+def _calibration(counts: DataFrame, keys: list[str]) -> DataFrame:
     gap = F.abs(F.col("mean_p") - F.col("mean_y"))
-    return reliability(rows, keys).groupBy(*keys).agg((F.sum(gap * F.col("n")) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
+    return _reliability(counts, keys).groupBy(*keys).agg((F.sum(gap * F.col("n")) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
 
 
 def evaluate(rows: DataFrame, keys: list[str]) -> DataFrame:
-    out = confusion(rows, keys)
-    for more in (roc_auc, average_precision, brier_logloss, calibration):
-        out = out.join(more(rows, keys), keys)
-    return out
+    """All metrics of scored rows."""
+    return evaluate_counts(counted(rows, keys), keys)
+
+
+def evaluate_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """All metrics, from rows counted by distinct score."""
+    w = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"rank": F.sum("c").over(w) - (F.col("c") - 1) / 2, "_tp": F.sum("pos").over(back), "_seen": F.sum("c").over(back)})
+    q, p, pos, neg = F.least(F.greatest("p", F.lit(1e-9)), F.lit(1 - 1e-9)), F.col("p"), F.col("pos"), F.col("neg")
+    n = lambda c, x: F.sum(F.when(c, x).otherwise(0.0)).cast("long")
+    hit = p >= 0.5
+    sums = ranked.groupBy(*keys).agg(
+        F.sum("c").alias("n"), n(hit, pos).alias("tp"), n(hit, neg).alias("fp"), n(~hit, pos).alias("fn"), n(~hit, neg).alias("tn"), F.sum(F.col("rank") * pos).alias("_r"), F.sum("pos").alias("_np"),
+        F.try_divide(F.sum(pos * F.col("_tp") / F.col("_seen")), F.sum("pos")).alias("pr_auc"),
+        (F.sum((1 - p) * (1 - p) * pos + p * p * neg) / F.sum("c")).alias("brier"), (-F.sum(pos * F.ln(q) + neg * F.ln(1 - q)) / F.sum("c")).alias("log_loss"),
+    )
+    area = F.try_divide(F.col("_r") - F.col("_np") * (F.col("_np") + 1) / 2, F.col("_np") * (F.col("n") - F.col("_np")))
+    return shares(sums.withColumn("roc_auc", area).drop("_r", "_np")).join(_calibration(counts, keys), keys)
 
 
 def select_threshold(rows: DataFrame, keys: list[str], metric: str = "balanced_accuracy") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import random
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -10,23 +10,40 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics
 
 
-def persistence(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with p: the share of gains after a rise or otherwise, within keys; 0.5 where the signal is missing."""
+def baseline_rates(fit: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _all, _up and _down: the share of gains, of those after a rise, and of those otherwise."""
     up = F.coalesce(F.col("ret_1d") > 0, F.lit(False))
-    rates = rows.groupBy(*keys).agg(F.avg(F.when(up, F.col("y"))).alias("_up"), F.avg(F.when(~up, F.col("y"))).alias("_down"))
-    p = F.when(F.col("ret_1d").isNull(), 0.5).otherwise(F.when(up, F.col("_up")).otherwise(F.col("_down")))
-    return rows.join(F.broadcast(rates), keys).withColumn("p", p).drop("_up", "_down")
+    return fit.groupBy(*keys).agg(F.avg("y").alias("_all"), F.avg(F.when(up, F.col("y"))).alias("_up"), F.avg(F.when(~up, F.col("y"))).alias("_down"))
 
 
-def majority(rows: DataFrame, keys: list[str]) -> DataFrame:
-    rates = rows.groupBy(*keys).agg(F.avg("y").alias("p"))
-    return rows.join(F.broadcast(rates), keys)
+def baselines() -> dict[str, Column]:
+    """Scores by model, over rows with ret_1d and the rates of their fit window. Persistence is 0.5 where the signal is missing."""
+    last = F.when(F.col("ret_1d").isNull(), 0.5).otherwise(F.when(F.col("ret_1d") > 0, F.col("_up")).otherwise(F.col("_down")))
+    return {"majority": F.col("_all"), "persistence": last, "always_long": F.lit(1 - 1e-6)}
+
+
+def persistence(rows: DataFrame, keys: list[str], fit: DataFrame | None = None) -> DataFrame:
+    """rows with p: the share of gains after a rise or otherwise, within keys of fit (rows by default); 0.5 where the signal is missing."""
+    return _baseline("persistence", rows, keys, fit)
+
+
+def majority(rows: DataFrame, keys: list[str], fit: DataFrame | None = None) -> DataFrame:
+    """rows with p: the share of gains within keys of fit (rows by default)."""
+    return _baseline("majority", rows, keys, fit)
+
+
+def _baseline(name: str, rows: DataFrame, keys: list[str], fit: DataFrame | None) -> DataFrame:
+    return rows.join(baseline_rates(rows if fit is None else fit, keys), keys).withColumn("p", baselines()[name]).drop("_all", "_up", "_down")
+
+
+def always_long(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("p", F.lit(1 - 1e-6))
 
 
 def learner(kind: str, n: int, **params):
@@ -78,11 +95,20 @@ def platt(inner: DataFrame, scored: DataFrame, eps: float = 1e-6) -> DataFrame:
     return model.transform(z(scored)).withColumn("p", vector_to_array("_q")[1]).drop("_z", "_v", "_q", "_r", "_l")
 
 
-def search(windows: list[tuple[DataFrame, DataFrame]], columns: list[str], kind: str, grid: dict[str, list]) -> list[tuple[float, dict]]:
-    """Mean area under the curve over windows of (fit, validation), for each choice of parameters, best first."""
+def sampled(grid: dict[str, list], trials: int, seed: int = 17) -> list[dict]:
+    """Distinct choices of parameters, drawn at random: `trials` draws, repeats left out."""
+    rng, out = random.Random(seed), []
+    for _ in range(trials):
+        params = {name: values[rng.randrange(len(values))] for name, values in grid.items()}
+        if params not in out:
+            out.append(params)
+    return out
+
+
+def search(windows: list[tuple[DataFrame, DataFrame]], columns: list[str], kind: str, grid: dict[str, list], trials: int = 25, seed: int = 17) -> list[tuple[float, dict]]:
+    """Mean area under the curve over windows of (fit, validation), for each sampled choice of parameters, best first."""
     out = []
-    for values in itertools.product(*grid.values()):
-        params = dict(zip(grid, values))
+    for params in sampled(grid, trials, seed):
         scores = [metrics.roc_auc(fit_predict(f, v, columns, kind, **params).withColumn("all", F.lit(0)), ["all"]).first()["roc_auc"] for f, v in windows]
         known = [s for s in scores if s is not None]
         out.append((sum(known) / len(known) if known else float("nan"), params))

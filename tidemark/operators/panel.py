@@ -15,12 +15,23 @@ DECAY = 0.94
 
 def with_context(bars: DataFrame, context: DataFrame, sectors: DataFrame, limit: int = 3) -> DataFrame:
     """Benchmark, volatility and sector closes on an instrument's own days; gaps take the last of the `limit` rows before."""
-    s = sectors.select(F.col("sector"), "date", F.col("close").alias("sector_close"))
-    joined = bars.withColumn("sector", F.substring("ticker", 1, 1)).join(F.broadcast(context), "date", "left").join(F.broadcast(s), ["sector", "date"], "left")
+    joined = matched(bars, context, sectors)
     filled = I.ordered().rowsBetween(-limit, 0)
     return joined.select(*bars.columns, "sector", *(F.last(c, True).over(filled).alias(c) for c in ("bench_close", "vix", "sector_close")))
 
 
+def matched(bars: DataFrame, context: DataFrame, sectors: DataFrame) -> DataFrame:
+    """bars with the context of the same date, null where there is none."""
+    s = sectors.select(F.col("sector"), "date", F.col("close").alias("sector_close"))
+    return bars.withColumn("sector", F.substring("ticker", 1, 1)).join(context, "date", "left").join(s, ["sector", "date"], "left")
+
+
+def staleness(bars: DataFrame, context: DataFrame, sectors: DataFrame) -> DataFrame:
+    """By instrument: rows without a context of their own date, before any gap is filled."""
+    gaps = lambda c: F.sum(F.col(c).isNull().cast("long"))
+    return matched(bars, context, sectors).groupBy("ticker").agg(gaps("bench_close").alias("gaps"), gaps("vix").alias("vix_gaps"), gaps("sector_close").alias("sector_gaps"))
+
+
 def with_returns(bars: DataFrame) -> DataFrame:
     """The columns that several groups build on."""
     c, v = F.col("close"), F.when(F.col("volume") > 0, F.col("volume"))
@@ -33,21 +44,35 @@ def returns() -> dict[str, Column]:
 
 
 def momentum() -> dict[str, Column]:
-    """Moving averages and what needs a single pass; rsi and macd need passes of their own, see oscillators."""
+    """Moving averages and what needs a single pass; for rsi and macd see with_means."""
     c = F.col("close")
     out = {f"px_to_sma_{n}": I.ratio(c, I.sma(c, n)) - 1 for n in (10, 20, 50, 200)}
     out |= {"sma_ratio_20_50": I.ratio(I.sma(c, 20), I.sma(c, 50)) - 1, "sma_ratio_50_200": I.ratio(I.sma(c, 50), I.sma(c, 200)) - 1}
     return out | {"mom_12_1": F.ln(I.ratio(I.lag(c, 21), I.lag(c, 252))), "price_position_252": I.price_position(c, 252)}
 
 
-def oscillators(bars: DataFrame) -> DataFrame:
-    """rsi_14 (0 to 100), macd_line, macd_signal and macd_hist."""
-    c = F.col("close")
+def with_means(rows: DataFrame) -> DataFrame:
+    """All exponential means that the features need (rows from with_returns), in one pass, and what follows from them.
+
+    Adds rsi_14 (0 to 100), macd_line, macd_signal, macd_hist, atr_14 and ewma_sigma, the causal volatility of a day.
+    """
+    c, r = F.col("close"), F.col("ret_1d")
     change = c - I.lag(c)
-    first = bars.withColumns({"_gain": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "_loss": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))})
-    second = first.withColumns({"_g": I.wilder(F.col("_gain"), 14), "_l": I.wilder(F.col("_loss"), 14), "macd_line": I.ema(c, 12) - I.ema(c, 26)})
-    third = second.withColumns({"rsi_14": F.when(F.col("_g").isNotNull(), F.when(F.col("_l") == 0, 100.0).otherwise(100 - 100 / (1 + I.ratio(F.col("_g"), F.col("_l"))))), "macd_signal": I.ewm(F.col("macd_line"), 0.2, 9)})
-    return third.withColumn("macd_hist", F.col("macd_line") - F.col("macd_signal")).drop("_gain", "_loss", "_g", "_l")
+    moves = rows.withColumns({"_up": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "_down": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))})
+    first = I.with_ewm(moves, _g=I.wilder(F.col("_up"), 14), _l=I.wilder(F.col("_down"), 14), _fast=I.ema(c, 12), _slow=I.ema(c, 26), atr_14=I.wilder(F.col("tr"), 14), ewma_sigma=(r * r, 1 - DECAY, 60))
+    line = first.withColumns({
+        "rsi_14": F.when(F.col("_g").isNotNull(), F.when(F.col("_l") == 0, 100.0).otherwise(100 - 100 / (1 + I.ratio(F.col("_g"), F.col("_l"))))),
+        "macd_line": F.col("_fast") - F.col("_slow"), "ewma_sigma": F.sqrt("ewma_sigma"),
+    })
+    # The signal is a mean of the line, which starts late: a fold of the same kind, over rows that are already together and in order.
+    second = I.with_ewm(line, macd_signal=(F.col("macd_line"), 0.2, 9))
+    return second.withColumn("macd_hist", F.col("macd_line") - F.col("macd_signal")).drop("_up", "_down", "_g", "_l", "_fast", "_slow")
+
+
+def means() -> dict[str, Column]:
+    """Features that with_means makes possible."""
+    c = F.col("close")
+    return {"rsi_14": F.col("rsi_14") / 100, "macd_norm": I.ratio(F.col("macd_line"), c), "macd_hist_norm": I.ratio(F.col("macd_hist"), c), "atr_14_norm": I.ratio(F.col("atr_14"), c)}
 
 
 def volatility() -> dict[str, Column]:
@@ -98,7 +123,7 @@ def targets(bars: DataFrame, context: DataFrame, horizons: tuple[int, ...] = (1,
     w = Window.orderBy("date")  # one row a date
     bench = context.select("date", *((F.try_divide(F.lead("bench_close", h).over(w), F.col("bench_close")) - 1).alias(f"_b{h}") for h in horizons))
     c, o = F.col("close"), F.col("open")
-    own = bars.join(F.broadcast(bench), "date", "left")
+    own = bars.join(bench, "date", "left")
     cols: dict[str, Column] = {}
     for h in horizons:
         cols |= {f"fwd_ret_{h}d": I.ratio(I.lead(c, h), c) - 1, f"fwd_ret_open_{h}d": I.ratio(I.lead(c, h), I.lead(o, 1)) - 1}
@@ -110,6 +135,52 @@ def targets(bars: DataFrame, context: DataFrame, horizons: tuple[int, ...] = (1,
     return first.withColumns(more).drop(*(f"_b{h}" for h in horizons))
 
 
+#: The groups of instruments that are fitted on, and those held out.
+GROUPS = {"AF": "dev", "AO": "dev", "NF": "dev", "NO": "val", "RF": "test", "RO": "test"}
+
+
+def tagged(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with the group and sector of groups(ticker, group, sector): "unassigned" and "unknown" where there is none."""
+    return rows.drop("group", "sector").join(groups, "ticker", "left").fillna({"group": "unassigned", "sector": "unknown"})
+
+
+def build(bars: DataFrame, context: DataFrame, sectors: DataFrame, horizons: tuple[int, ...] = (1, 5), warm_up: int = WARM_UP) -> DataFrame:
+    """The whole panel: every feature of the seven groups and every label, by instrument and date, without the warm-up rows.
+
+    Bars are shuffled by instrument after the context is joined; all windows and exponential means keep that partitioning.
+    """
+    rows = market(with_means(with_returns(with_context(bars, context, sectors))))
+    features = returns() | momentum() | means() | volatility() | volume() | trend() | calendar()
+    wide = rows.withColumn("_row", F.row_number().over(I.ordered())).select("*", *(x.alias(n if n != "rsi_14" else "_rsi") for n, x in features.items() if n not in rows.columns or n == "rsi_14"))
+    labelled = targets(wide, context, horizons).where(F.col("_row") > warm_up).drop("rsi_14").withColumnRenamed("_rsi", "rsi_14")
+    names = [*features, *MARKET]
+    return labelled.select("ticker", "date", *names, *label_columns(horizons), "ewma_sigma", "sector")
+
+
+def label_columns(horizons: tuple[int, ...] = (1, 5)) -> list[str]:
+    return [f"{n}_{h}d" for h in horizons for n in ("fwd_ret", "fwd_ret_open", "direction", "direction_open", "fwd_excess_ret", "excess_direction")]
+
+
+def labelled(panel: DataFrame, label: str) -> DataFrame:
+    """Rows that have the label; a label that the panel doesn't know is an error."""
+    if label not in panel.columns:
+        raise KeyError(f"unknown label: {label}")
+    return panel.where(F.col(label).isNotNull())
+
+
+def kappa(rows: DataFrame, horizon: int, share: float = 1 / 3, limits: tuple[float, float] = (0.05, 1.5)) -> DataFrame:
+    """By instrument: the band, in volatilities of the horizon, that holds a share of the returns; rows(ticker, ret, sigma) of a fit window."""
+    k = F.percentile(F.abs("ret") / (F.col("sigma") * math.sqrt(horizon)), F.lit(share))
+    return rows.where("ret is not null and sigma is not null").groupBy("ticker").agg(F.greatest(F.lit(limits[0]), F.least(F.lit(limits[1]), k)).alias("kappa"))
+
+
+def ternary(rows: DataFrame, bands: DataFrame, horizon: int) -> DataFrame:
+    """rows(ticker, ret, sigma) with label -1, 0 or 1 by a band fitted elsewhere; null where return, volatility or band is missing."""
+    band = F.col("kappa") * F.col("sigma") * math.sqrt(horizon)
+    label = F.when(F.col("ret").isNull() | band.isNull(), F.lit(None)).when(F.col("ret") > band, 1).when(F.col("ret") < -band, -1).otherwise(0)
+    return rows.join(bands, "ticker", "left").withColumn("label", label.cast("long")).drop("kappa")
+
+
 def drop_warm_up(panel: DataFrame, rows: int = WARM_UP) -> DataFrame:
     return panel.withColumn("_row", F.row_number().over(I.ordered())).where(F.col("_row") > rows).drop("_row")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -52,7 +53,7 @@ def describe(rows: DataFrame, ret: str = "ret", others: tuple[str, ...] = ()) ->
 
 
 def labels(summary: DataFrame, vol: str, ret: str) -> DataFrame:
-    """Names by the percentile rank of volatility and the sign of the mean return."""
+    """Fixed limits: names by the percentile rank of volatility and the sign of the mean return."""
     n = F.count("*").over(Window.partitionBy())
     tie = F.count("*").over(Window.partitionBy(vol))
     rank = (F.rank().over(Window.orderBy(vol)) + (tie - 1) / 2) / n
@@ -61,69 +62,170 @@ def labels(summary: DataFrame, vol: str, ret: str) -> DataFrame:
     return summary.withColumn("label", F.concat_ws(", ", level, way)).withColumn("state_order", (F.row_number().over(Window.orderBy(vol, "state")) - 1).cast("long"))
 
 
+def switches(states: DataFrame) -> DataFrame:
+    """One row: runs (the first session begins one), sessions, and switches a year of 252 sessions."""
+    runs = timeline(states).agg(F.count("*").alias("runs"), F.sum("sessions").alias("sessions"), F.min("sessions").alias("shortest"), F.percentile("sessions", F.lit(0.5)).alias("median"))
+    return runs.withColumn("per_year", F.try_divide(F.col("runs"), F.col("sessions") / 252))
+
+
+def shares(states: DataFrame) -> DataFrame:
+    """Sessions of each state and their share of all."""
+    return states.groupBy("state").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def durations(moves: DataFrame) -> DataFrame:
+    """Mean sessions spent in a state before it is left, from transitions(state, next, p); a state that is never left gets 1e9."""
+    stay = moves.groupBy("state").agg(F.max(F.when(F.col("state") == F.col("next"), F.col("p")).otherwise(0.0)).alias("stay"))
+    return stay.select("state", (1 / F.greatest(1 - F.col("stay"), F.lit(1e-9))).alias("expected_sessions"))
+
+
 def argmax(probabilities: Column) -> Column:
     return (F.array_position(probabilities, F.array_max(probabilities)) - 1).cast("long")
 
 
-def forward_filter(x: np.ndarray, start: np.ndarray, moves: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
-    """Filtered posteriors of a Gaussian hidden Markov model: row t uses x up to t alone."""
-    k, d = means.shape
-    logs = np.empty((len(x), k))
-    for s in range(k):
+def log_density(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
+    """A column for each Gaussian state."""
+    d, out = x.shape[1], np.empty((len(x), len(means)))
+    for s in range(len(means)):
         chol = np.linalg.cholesky(covs[s])
         z = np.linalg.solve(chol, (x - means[s]).T)
-        logs[:, s] = -0.5 * (z**2).sum(0) - np.log(np.diag(chol)).sum() - 0.5 * d * math.log(2 * math.pi)
-    out, before = np.empty((len(x), k)), np.log(start + 1e-300)
-    with np.errstate(divide="ignore"):
-        lm = np.log(moves)
+        out[:, s] = -0.5 * (z**2).sum(0) - np.log(np.diag(chol)).sum() - 0.5 * d * math.log(2 * math.pi)
+    return out
+
+
+def forward(x: np.ndarray, start: np.ndarray, moves: np.ndarray, means: np.ndarray, covs: np.ndarray) -> tuple[np.ndarray, float]:
+    """Filtered posteriors of a Gaussian hidden Markov model, where row t uses x up to t alone, and the log-likelihood of x."""
+    logs = log_density(x, means, covs)
+    out, before, total = np.empty_like(logs), np.log(start + 1e-300), 0.0
+    lm = np.log(np.maximum(moves, 1e-300))
     for t in range(len(x)):
         if t:
             before = np.logaddexp.reduce(out[t - 1][:, None] + lm, axis=0)
         a = before + logs[t]
-        out[t] = a - np.logaddexp.reduce(a)
-    return np.exp(out)
+        step = np.logaddexp.reduce(a)
+        total += step
+        out[t] = a - step
+    return np.exp(out), float(total)
+
+
+def forward_filter(x: np.ndarray, *model: np.ndarray) -> np.ndarray:
+    return forward(x, *model)[0]
+
+
+def backward(f: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed posteriors from filtered ones, which look ahead, and the expected number of each move."""
+    ahead = f @ moves
+    smooth, pairs = np.empty_like(f), np.zeros_like(moves)
+    smooth[-1] = f[-1]
+    for t in range(len(f) - 2, -1, -1):
+        both = f[t][:, None] * moves * (smooth[t + 1] / np.maximum(ahead[t], 1e-300))[None, :]
+        pairs += both
+        smooth[t] = both.sum(1)
+    return smooth, pairs
+
 
+def fit_hmm(x: np.ndarray, k: int = 3, rounds: int = 200, seed: int = 17, tol: float = 1e-4, sticky: bool = True) -> tuple[np.ndarray, ...]:
+    """Baum-Welch with full covariances until the likelihood gains less than tol; states come in the order of the variance of the first column.
 
-def fit_hmm(x: np.ndarray, k: int = 3, rounds: int = 50, seed: int = 17) -> tuple[np.ndarray, ...]:
-    """Baum-Welch with full covariances; states come in the order of the variance of the first column."""
+    Not sticky: moves don't depend on the state before, which makes it a Gaussian mixture.
+    """
     rng = np.random.default_rng(seed)
     n, d = x.shape
     order = np.argsort(np.abs(x[:, 0] - x[:, 0].mean()))
     means = np.stack([x[p].mean(0) for p in np.array_split(order, k)]) + 1e-3 * rng.standard_normal((k, d))
     covs = np.stack([np.cov(x[p].T).reshape(d, d) + 1e-4 * np.eye(d) for p in np.array_split(order, k)])
     moves, start = np.full((k, k), 0.05 / max(1, k - 1)) + np.eye(k) * (0.95 - 0.05 / max(1, k - 1)), np.full(k, 1 / k)
+    if not sticky:
+        moves = np.full((k, k), 1 / k)
+    before = -math.inf
     for _ in range(rounds):
-        f = forward_filter(x, start, moves, means, covs)
-        ahead = f @ moves
-        smooth, pairs = np.empty_like(f), np.zeros((k, k))
-        smooth[-1] = f[-1]
-        for t in range(n - 2, -1, -1):
-            ratio = smooth[t + 1] / np.maximum(ahead[t], 1e-300)
-            both = f[t][:, None] * moves * ratio[None, :]
-            pairs += both
-            smooth[t] = both.sum(1)
+        f, total = forward(x, start, moves, means, covs)
+        if total - before < tol:
+            break
+        before = total
+        smooth, pairs = backward(f, moves)
         w = smooth / np.maximum(smooth.sum(0), 1e-12)
         means = w.T @ x
         covs = np.stack([(w[:, s, None] * (x - means[s])).T @ (x - means[s]) + 1e-4 * np.eye(d) for s in range(k)])
-        moves, start = pairs / np.maximum(pairs.sum(1, keepdims=True), 1e-12), smooth[0]
+        if sticky:
+            moves, start = pairs / np.maximum(pairs.sum(1, keepdims=True), 1e-12), smooth[0]
+        else:
+            start = smooth.mean(0)
+            moves = np.tile(start, (k, 1))
     by = np.argsort(covs[:, 0, 0])
     return start[by], moves[by][:, by], means[by], covs[by]
 
 
-def assign_by_fold(rows: DataFrame, columns: list[str], k: int = 3, least: int = 250) -> DataFrame:
-    """date, fold, state and posteriors of test rows: fitted on the rows before the test part, filtered from the first row on.
+def bic(log_likelihood: float, n: int, k: int, d: int, sticky: bool = True) -> float:
+    """Bayesian information criterion: starts and moves (or weights alone), means and full covariances are parameters."""
+    free = (k - 1) * (k + 1 if sticky else 1) + k * d + k * d * (d + 1) // 2
+    return free * math.log(n) - 2 * log_likelihood
+
+
+def agreement(a: np.ndarray, b: np.ndarray, k: int) -> float:
+    """The share of equal states under the best matching of their numbers, which are arbitrary."""
+    return max(float((a == np.array(order)[b]).mean()) for order in itertools.permutations(range(k)))
 
-    rows(fold, part, date, columns): one task a fold, whose series has one row a date.
+
+def assign_by_fold(rows: DataFrame, f: DataFrame, columns: list[str], k: int = 3, least: int = 250, smoothed: bool = False) -> DataFrame:
+    """date, fold, state and posteriors of each fold's test rows: fitted on its fit and inner windows with the gap between, filtered from the first row of the series.
+
+    rows(date, columns) has one row a date, so a fold, whose series ends with its test window, is one task. Rows in gaps belong to the series
+    too. smoothed: posteriors that look ahead, as a negative control. Folds with fewer than `least` rows to fit on are left out.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        x, train = pdf[columns].to_numpy(float), (pdf["part"] != "test").to_numpy()
+        x = pdf[columns].to_numpy(float)
+        train, test = (pdf["train"].to_numpy(bool), pdf["test"].to_numpy(bool))
         if train.sum() < least:
             return pd.DataFrame(columns=["fold", "date", "state", "posterior"])
         mean, std = x[train].mean(0), x[train].std(0)
         z = (x - mean) / np.where(std > 0, std, 1)
-        p = forward_filter(z, *fit_hmm(z[train], k))[~train]
-        return pd.DataFrame({"fold": pdf["fold"].to_numpy()[~train], "date": pdf["date"].to_numpy()[~train], "state": p.argmax(1), "posterior": list(p)})
+        model = fit_hmm(z[train], k)
+        p = forward_filter(z, *model)
+        p = (backward(p, model[1])[0] if smoothed else p)[test]
+        return pd.DataFrame({"fold": pdf["fold"].to_numpy()[test], "date": pdf["date"].to_numpy()[test], "state": p.argmax(1), "posterior": list(p)})
+
+    limits = f.select("fold", "fit_start_date", "inner_end_date", "test_start_date", "test_end_date")  # a few rows
+    series = rows.join(F.broadcast(limits), F.col("date") <= F.col("test_end_date"))
+    tagged = series.select("fold", "date", *columns, F.col("date").between(F.col("fit_start_date"), F.col("inner_end_date")).alias("train"), (F.col("date") >= F.col("test_start_date")).alias("test"))
+    return tagged.groupBy("fold").applyInPandas(one, "fold long, date date, state long, posterior array<double>")
 
-    return rows.select("fold", "part", "date", *columns).groupBy("fold").applyInPandas(one, "fold long, date date, state long, posterior array<double>")
+
+def compare(rows: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("hmm", "gmm"), sizes: tuple[int, ...] = (2, 3, 4, 5), holdout: float = 0.25, seed: int = 17) -> DataFrame:
+    """By kind and number of states: BIC on the first part of the series, log-likelihood of the held-out rest, durations, shares, stability and plausibility.
+
+    Stability: how often a second fit, without the first tenth, agrees on the state, states matched. Plausible, by fixed limits: the shortest
+    duration is 10 sessions or more and the smallest share 5 %. rows(date, columns) has one row a date; a candidate is a task.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        kind, k = pdf["kind"].iloc[0], int(pdf["k"].iloc[0])
+        x, sticky = pdf[columns].to_numpy(float), kind == "hmm"
+        cut = int(len(x) * (1 - holdout))
+        if cut < 20 * k:
+            return pd.DataFrame(columns=out)
+
+        def fit(a: int, seed: int):
+            mean, std = x[a:cut].mean(0), x[a:cut].std(0)
+            z = (x - mean) / np.where(std > 0, std, 1)
+            return z, fit_hmm(z[a:cut], k, seed=seed, sticky=sticky)
+
+        z, model = fit(0, seed)
+        state = forward_filter(z, *model).argmax(1)
+        rival_z, rival = fit(int(len(x) * 0.1), seed + 1)
+        other = forward_filter(rival_z, *rival).argmax(1)
+        lengths = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(state)) + 1, [len(state)]]))
+        shortest = float((1 / np.maximum(1 - np.diag(model[1]), 1e-9)).min()) if sticky else float(lengths.min())
+        share = float((np.bincount(state, minlength=k) / len(state))[np.unique(state)].min())
+        held_out, likelihood = forward(z[cut:], *model)[1], forward(z[:cut], *model)[1]
+        row = (kind, k, bic(likelihood, cut, k, x.shape[1], sticky), held_out, shortest, float(np.median(lengths)), share, agreement(state, other, k), len(lengths) / max(len(x) / 252, 1e-9), shortest >= 10 and share >= 0.05)
+        return pd.DataFrame([row], columns=out)
+
+    out = ["kind", "n_states", "bic", "holdout_ll", "min_duration", "median_duration", "smallest_share", "stability", "switches_per_year", "plausible"]
+    spark = rows.sparkSession
+    candidates = spark.createDataFrame([(kind, k) for kind in kinds for k in sizes], "kind string, k int")
+    each = rows.select("date", *columns).crossJoin(F.broadcast(candidates))  # a few candidates
+    return each.groupBy("kind", "k").applyInPandas(one, "kind string, n_states int, bic double, holdout_ll double, min_duration double, median_duration double, smallest_share double, stability double, switches_per_year double, plausible boolean")

@@ -34,6 +34,10 @@ def returns(spark: SparkSession, d: str) -> DataFrame:
     return panel.with_returns(bars(spark, d))
 
 
+def means(spark: SparkSession, d: str) -> DataFrame:
+    return panel.with_means(returns(spark, d))
+
+
 def in_context(spark: SparkSession, d: str) -> DataFrame:
     return panel.with_returns(panel.with_context(bars(spark, d), context(spark, d), sectors(spark, d)))
 
@@ -44,17 +48,18 @@ def book(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("close")
     rows = b.select("ticker", "date", I.log_return(c).alias("ret_1d"), (I.ratio(I.lead(c), c) - 1).alias("ret")).where("ret is not null")
     days = folds.sessions(b).select("date", F.floor(F.col("pos") / FOLD).cast("long").alias("fold"))
-    return rows.join(F.broadcast(days), "date").withColumn("y", I.direction(F.col("ret")))
+    return rows.join(days, "date").withColumn("y", I.direction(F.col("ret")))
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Three deterministic models on the book: a logistic curve of the last return, the majority and persistence, by fold."""
+    """Three deterministic models on the book, by fold: a logistic curve of the last return, and the majority and persistence of the fold before."""
     rows = book(spark, d)
-    signal = rows.withColumn("p", F.when(F.col("ret_1d").isNull(), 0.5).otherwise(1 / (1 + F.exp(-F.col("ret_1d"))))).withColumn("model", F.lit("signal"))
-    most = models.majority(rows, ["fold"]).withColumn("model", F.lit("majority"))
-    last = models.persistence(rows, ["fold"]).withColumn("model", F.lit("persistence"))
-    cols = ["ticker", "date", "fold", "model", "ret_1d", "ret", "y", F.round("p", 6).alias("p")]
-    return signal.select(*cols).unionByName(most.select(*cols)).unionByName(last.select(*cols))
+    before = rows.withColumn("fold", F.col("fold") + 1)
+    rows = rows.where("fold > 0")
+    made = models.baselines()
+    scores = {"signal": F.when(F.col("ret_1d").isNull(), 0.5).otherwise(1 / (1 + F.exp(-F.col("ret_1d")))), "majority": made["majority"], "persistence": made["persistence"]}
+    cols = ["ticker", "date", "fold", "ret_1d", "ret", "y"]
+    return rows.join(models.baseline_rates(before, ["fold"]), "fold").select(*cols, F.explode(F.array(*(F.struct(F.lit(n).alias("model"), F.round(p, 6).alias("p")) for n, p in scores.items()))).alias("x")).select(*cols, "x.model", "x.p")
 
 
 def signal(spark: SparkSession, d: str) -> DataFrame:

@@ -17,7 +17,7 @@ CTE = {
     "cal": "SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series((SELECT min(date) FROM bars), (SELECT max(date) FROM bars), INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6",
     "book": """SELECT b.ticker, b.date, d.pos // 400 AS fold, b.ret_1d, b.ret, CASE WHEN b.ret > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS y
       FROM (SELECT ticker, date, ln(close / lag(close) OVER w) AS ret_1d, lead(close) OVER w / close - 1 AS ret FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)) b JOIN days d USING (date) WHERE b.ret IS NOT NULL""",
-    "rates": "SELECT fold, avg(y) AS m, avg(y) FILTER (WHERE ret_1d > 0) AS up, avg(y) FILTER (WHERE ret_1d IS NULL OR ret_1d <= 0) AS down FROM book GROUP BY 1",
+    "rates": "SELECT fold + 1 AS fold, avg(y) AS m, avg(y) FILTER (WHERE ret_1d > 0) AS up, avg(y) FILTER (WHERE ret_1d IS NULL OR ret_1d <= 0) AS down FROM book GROUP BY 1",
     "preds": """SELECT ticker, date, fold, ret_1d, ret, y, u.model, round(u.p, 6) AS p FROM book JOIN rates USING (fold), LATERAL (VALUES
       ('signal', CASE WHEN ret_1d IS NULL THEN 0.5 ELSE 1 / (1 + exp(-ret_1d)) END), ('majority', m), ('persistence', CASE WHEN ret_1d IS NULL THEN 0.5 WHEN ret_1d > 0 THEN up ELSE down END)) u(model, p)""",
     "sig": "SELECT *, abs(p - 0.5) AS confidence, CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END AS correct FROM preds WHERE model = 'signal'",
@@ -115,16 +115,27 @@ put("adjust_actions", "bars", f"SELECT ticker, date, {R('open high low close vol
     "g": "SELECT *, coalesce(last_value(a / close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) AS f FROM h",
 })
 n = lambda cond: f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)::BIGINT"
-put("validate_bars", "bars cal", """SELECT ticker, rows, duplicates, not_positive, null_close, inverted, outside, jumps, round(zero_volume, 6) + 0.0 AS zero_volume, missing, unexpected,
-  CASE WHEN duplicates > 0 OR not_positive > 0 OR inverted > 0 OR missing > 0.02 * (rows + missing) OR rows < 400 THEN 'error' WHEN outside + jumps + unexpected + missing > 0 OR zero_volume > 0.02 THEN 'warning' ELSE 'ok' END AS status
-  FROM c LEFT JOIN (SELECT ticker AS t2, count(*) AS miss FROM m GROUP BY 1) ON t2 = ticker, LATERAL (SELECT coalesce(miss, 0) AS missing)""", {
-    "m": MISSING,
-    "h": "SELECT *, abs(adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1) AS change FROM bars",
-    "c": f"""SELECT ticker, count(*) AS rows, count(*) - count(DISTINCT date) AS duplicates, ({' + '.join(n(f'{x} <= 0') for x in ('open', 'high', 'low', 'close', 'adj_close'))}) AS not_positive, {n('close IS NULL')} AS null_close, {n('high < low')} AS inverted,
-      {n('high < greatest(open, close) - 1e-6 OR low > least(open, close) + 1e-6')} AS outside, {n('change > 0.6')} AS jumps, avg(CASE WHEN coalesce(volume, 0) = 0 THEN 1.0 ELSE 0.0 END) AS zero_volume, {n('isodow(date) >= 6')} AS unexpected FROM h GROUP BY 1""",
+put("validate_bars", "bars cal", """SELECT ticker, rows, first_date, last_date, duplicates, not_positive, no_prices, some_prices, inverted, outside, jumps, round(worst_jump, 6) + 0.0 AS worst_jump, round(zero_volume, 6) + 0.0 AS zero_volume, missing, unexpected, stale,
+  CASE WHEN duplicates > 0 OR not_positive > 0 OR no_prices > 0 OR inverted > 0 OR missing / rows > 0.02 OR rows < 400 THEN 'error'
+    WHEN some_prices + outside + unexpected + missing + stale > 0 OR (ticker NOT LIKE '^%' AND (jumps > 0 OR zero_volume > 0.02)) THEN 'warning' ELSE 'ok' END AS status
+  FROM c LEFT JOIN (SELECT ticker AS t2, count(*) AS miss FROM m GROUP BY 1) ON t2 = ticker, LATERAL (SELECT coalesce(miss, 0) AS missing, (SELECT count(*) FROM cal WHERE cal.date > c.last_date) AS stale)""", {
+    "fw": """SELECT CASE WHEN ticker = 'NF' THEN '^NF' ELSE ticker END AS ticker, date, CASE WHEN day(date) <> 8 THEN open END AS open, CASE WHEN day(date) <> 8 THEN high END AS high, CASE WHEN day(date) <> 8 THEN low END AS low,
+      CASE WHEN day(date) = 9 THEN -close WHEN day(date) NOT IN (7, 8) THEN close END AS close, CASE WHEN day(date) <> 8 THEN adj_close END AS adj_close, CASE WHEN day(date) = 10 THEN 0.0 ELSE volume END AS volume FROM bars""",
+    "m": MISSING.replace("bars", "fw"),
+    "k": "SELECT *, last_value(adj_close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS known FROM fw",
+    "h": "SELECT *, abs(known / lag(known) OVER (PARTITION BY ticker ORDER BY date) - 1) AS change, (open IS NULL)::INT + (high IS NULL)::INT + (low IS NULL)::INT + (close IS NULL)::INT + (adj_close IS NULL)::INT AS nulls FROM k",
+    "c": f"""SELECT ticker, count(*) AS rows, min(date) AS first_date, max(date) AS last_date, count(*) - count(DISTINCT date) AS duplicates, ({' + '.join(n(f'{x} <= 0') for x in ('open', 'high', 'low', 'close', 'adj_close'))}) AS not_positive, {n('nulls = 5')} AS no_prices, {n('nulls BETWEEN 1 AND 4')} AS some_prices,
+      {n('high < low')} AS inverted, {n('high < greatest(open, close) - 1e-6 OR low > least(open, close) + 1e-6')} AS outside, {n('change > 0.6')} AS jumps, max(CASE WHEN change > 0.6 THEN change END) AS worst_jump, avg(CASE WHEN coalesce(volume, 0) <= 0 THEN 1.0 ELSE 0.0 END) AS zero_volume, {n('isodow(date) >= 6')} AS unexpected FROM h GROUP BY 1""",
 })
+put("keep_first_bars", "li", f"SELECT ticker, date, {R('price quantity')} FROM (SELECT ticker, date, p AS price, q AS quantity FROM li QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY k) = 1)")
+put("symmetric_difference", "bars", "SELECT ticker, date FROM bars WHERE year(date) <> 1996")
+put("universe", "bars", """SELECT "group", sector, count(*) AS size, string_agg(ticker, ',' ORDER BY ticker) AS members FROM (SELECT DISTINCT ticker, CASE WHEN ticker IN ('AF', 'AO', 'NF') THEN 'dev' WHEN ticker = 'NO' THEN 'val' WHEN ticker = 'RF' THEN 'test' ELSE 'unassigned' END AS "group",
+  CASE WHEN ticker IN ('AF', 'AO', 'NF', 'NO', 'RF') THEN substr(ticker, 1, 1) ELSE 'unknown' END AS sector FROM bars WHERE year(date) <> 1995) GROUP BY 1, 2""")
+put("calendar_holidays", "cal bars", "SELECT date FROM cal WHERE date NOT IN (SELECT date FROM bars WHERE month(date) = 12 AND day(date) = 25)")
 put("upsert_bars", "bars", f"SELECT ticker, date, {R('close volume')} FROM (SELECT ticker, date, CASE WHEN year(date) >= 2000 THEN close * 2 ELSE close END AS close, volume FROM bars)")
 put("warmup_drop", "bars", f"SELECT ticker, date, {R('close')} FROM (SELECT * FROM bars QUALIFY row_number() {W} > 253)")
+put("run_store", "fm", f"SELECT model, fold, {R('accuracy base_rate brier log_loss')} FROM fm WHERE model = 'signal'")
+put("run_manifest", "preds", "SELECT count(*) AS rows, (SELECT string_agg(model, ',' ORDER BY model) FROM (SELECT DISTINCT model FROM preds)) AS models, count(DISTINCT fold) AS folds, min(date) AS first, max(date) AS last FROM preds")
 put("coverage", "preds", "SELECT ticker, min(date) AS first, max(date) AS last, count(*) AS rows, count(DISTINCT fold) AS folds, count(DISTINCT model) AS models FROM preds GROUP BY 1")
 put("rate_window", "", "SELECT event_id, user_id, recent, recent > 3 AS limited FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS recent FROM events)")
 
@@ -173,7 +184,9 @@ indicators("rolling_corr", "rets", corr_20=corr("ret_1d", "vol_pos", 20))
 FILL = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
 GAPPED = f"SELECT ticker, date, last_value(c.bench_close IGNORE NULLS) {FILL} AS bench_close, last_value(c.vix IGNORE NULLS) {FILL} AS vix FROM bars LEFT JOIN (SELECT * FROM ctx WHERE day(date) % 5 < 2) c USING (date)"
 put("asof_bounded", "bars ctx", f"SELECT ticker, date, {R('bench_close vix')} FROM g", {"g": GAPPED})
-put("context_gaps", "bars ctx", "SELECT ticker, sum(CASE WHEN bench_close IS NULL THEN 1 ELSE 0 END)::BIGINT AS gaps FROM g GROUP BY 1", {"g": GAPPED})
+put("context_gaps", "bars ctx sect", """SELECT ticker, sum((NOT EXISTS (SELECT 1 FROM ctx c WHERE c.date = bars.date AND c.bench_close IS NOT NULL AND day(c.date) % 5 < 2))::INT)::BIGINT AS gaps,
+  sum((NOT EXISTS (SELECT 1 FROM ctx c WHERE c.date = bars.date AND c.vix IS NOT NULL AND day(c.date) % 5 < 2))::INT)::BIGINT AS vix_gaps,
+  sum((NOT EXISTS (SELECT 1 FROM sect s WHERE s.date = bars.date AND s.sector = substr(bars.ticker, 1, 1) AND day(s.date) % 3 < 2))::INT)::BIGINT AS sector_gaps FROM bars GROUP BY 1""")
 put("ewma_vol", "rets", f"SELECT ticker, date, {R('ewma_vol')} FROM (SELECT ticker, date, sqrt({ewm('sq', 1 - 0.94, 60)}) AS ewma_vol FROM s)", {"s": "SELECT *, ret_1d ** 2 AS sq FROM rets"})
 OSC = {
     "o1": f"SELECT *, close - lag(close) {W} AS ch FROM rets",
@@ -218,15 +231,32 @@ put("excess_return", "bars ctx", f"SELECT ticker, date, {R('fwd_excess_ret_1d')}
 put("excess_direction", "bars ctx", "SELECT ticker, date, excess_direction_5d FROM t", TGT)
 put("label_coverage", "bars ctx", "SELECT ticker, count(direction_5d) AS labelled, count(*) - count(direction_5d) AS unlabelled, round(avg(direction_5d), 6) + 0.0 AS base_rate FROM t GROUP BY 1", TGT)
 KAP = {
-    "sc": f"SELECT ticker, date, lead(close) {W} / close - 1 AS ret, {std('ret_1d', 20)} AS sigma FROM rets",
-    "kp": "SELECT ticker, greatest(0.05, least(1.5, quantile_cont(abs(ret) / sigma, 1.0 / 3))) AS kappa FROM sc WHERE ret IS NOT NULL AND sigma IS NOT NULL GROUP BY 1",
+    "sq": "SELECT *, ret_1d ** 2 AS sq FROM rets",
+    "sc": f"SELECT ticker, date, lead(close, 5) {W} / close - 1 AS ret, sqrt({ewm('sq', 1 - 0.94, 60)}) AS sigma FROM sq",
+    "kp": "SELECT ticker, greatest(0.05, least(1.5, quantile_cont(abs(ret) / (sigma * sqrt(5.0)), 1.0 / 3))) AS kappa FROM sc WHERE ret IS NOT NULL AND sigma IS NOT NULL AND date < DATE '1999-01-01' GROUP BY 1",
 }
+ONE = {"sc": f"SELECT ticker, date, lead(close) {W} / close - 1 AS ret FROM rets"}
 put("kappa", "rets", f"SELECT ticker, {R('kappa')} FROM kp", KAP)
-put("ternary_vol", "rets", "SELECT ticker, date, CASE WHEN ret IS NULL OR sigma IS NULL THEN NULL WHEN ret > kappa * sigma THEN 1 WHEN ret < -kappa * sigma THEN -1 ELSE 0 END::BIGINT AS label FROM sc JOIN kp USING (ticker)", KAP)
-put("ternary_quantile", "rets", "SELECT ticker, date, CASE WHEN ret > hi THEN 1 WHEN ret < lo THEN -1 ELSE 0 END::BIGINT AS label FROM sc JOIN q USING (ticker) WHERE ret IS NOT NULL", KAP | {"q": "SELECT ticker, quantile_cont(ret, 1.0 / 3) AS lo, quantile_cont(ret, 2.0 / 3) AS hi FROM sc WHERE ret IS NOT NULL AND year(date) < 1999 GROUP BY 1"})
-put("panel_build", "rets ctx", f"SELECT ticker, date, {R('ret_1d sma_20 vol_20 fwd_ret_1d')}, direction_1d, excess_direction_1d, substr(ticker, 1, 1) AS sector FROM f WHERE k > 253", TGT | {"f": f"SELECT r.ticker, r.date, r.ret_1d, {sma('close', 20)} AS sma_20, {std('ret_1d', 20)} * {YEAR} AS vol_20, fwd_ret_1d, direction_1d, excess_direction_1d, row_number() {W} AS k FROM rets r JOIN t USING (ticker, date)"})
+put("ternary_vol", "rets", "SELECT ticker, date, CASE WHEN ret IS NULL OR sigma IS NULL OR kappa IS NULL THEN NULL WHEN ret > kappa * sigma * sqrt(5.0) THEN 1 WHEN ret < -kappa * sigma * sqrt(5.0) THEN -1 ELSE 0 END::BIGINT AS label FROM sc LEFT JOIN kp USING (ticker) WHERE date >= DATE '1999-01-01'", KAP)
+put("ternary_quantile", "rets", "SELECT ticker, date, CASE WHEN ret > hi THEN 1 WHEN ret < lo THEN -1 ELSE 0 END::BIGINT AS label FROM sc JOIN q USING (ticker) WHERE ret IS NOT NULL", ONE | {"q": "SELECT ticker, quantile_cont(ret, 1.0 / 3) AS lo, quantile_cont(ret, 2.0 / 3) AS hi FROM sc WHERE ret IS NOT NULL AND year(date) < 1999 GROUP BY 1"})
+LABELS = " ".join(f"{x}_{h}d" for h in (1, 5) for x in ("fwd_ret", "fwd_ret_open", "direction", "direction_open", "fwd_excess_ret", "excess_direction"))
+FEATURES = ("returns", "momentum", "volatility", "volume", "trend", "market", "calendar")
+# Each group's own statement, joined; the warm-up rows go at the end.
+ORACLE_SQL["panel_build"] = f"""WITH {', '.join(f'g_{g} AS ({ORACLE_SQL[f"features_{g}"]})' for g in FEATURES)}, g_targets AS ({ORACLE_SQL["targets"]}), g_sigma AS ({ORACLE_SQL["ewma_vol"]}),
+  k AS (SELECT ticker, date, row_number() {W} AS k FROM g_calendar)
+  SELECT * EXCLUDE (k, ewma_vol), ewma_vol AS ewma_sigma, CASE WHEN ticker IN ('AF', 'AO', 'NF') THEN 'dev' WHEN ticker = 'NO' THEN 'val' WHEN ticker = 'RF' THEN 'test' ELSE 'unassigned' END AS "group",
+    CASE WHEN ticker = 'RO' THEN 'unknown' ELSE 'sector ' || substr(ticker, 1, 1) END AS sector
+  FROM {' JOIN '.join(f'g_{g} USING (ticker, date)' if n else f'g_{g}' for n, g in enumerate(FEATURES))} JOIN g_targets USING (ticker, date) JOIN g_sigma USING (ticker, date) JOIN k USING (ticker, date) WHERE k > 253"""
+put("label_rows", "bars ctx", "SELECT ticker, date, direction_5d FROM t WHERE direction_5d IS NOT NULL", TGT)
 put("panel_subset", "rets", f"SELECT ticker, date, {R('ret_1d')}, CASE WHEN ticker = 'NO' THEN 'val' ELSE 'dev' END AS \"group\" FROM rets WHERE ticker IN ('AF', 'AO', 'NF', 'NO')")
-put("audit_compare", "rets", "SELECT f.feature, c.n AS n_rows, CASE WHEN f.feature = 'sma_20' THEN c.s ELSE 0 END AS n_diff FROM (VALUES ('ret_1d'), ('sma_20'), ('px_to_sma_20')) f(feature), c", {"c": f"SELECT count(*) AS n, count(s) AS s FROM (SELECT {sma('close', 20)} AS s FROM rets)"})
+AUDITED = "(VALUES ('ret_1d'), ('sma_20'), ('vol_20'), ('px_to_sma_20'), ('bench_ret_5d'), ('beta_60'), ('rel_sector_ret_5d')) f(feature)"
+put("scan_panel", "rets", f"SELECT ticker, date, {R('ret_1d')}, 'dev' AS \"group\" FROM rets WHERE ticker IN ('AF', 'AO', 'NF')")
+ORACLE_SQL["live_features"] = f"SELECT ticker, date, ret_1d, rsi_14, beta_60, vol_20, px_to_sma_50 FROM ({ORACLE_SQL['panel_build']}) WHERE ticker = 'NO' ORDER BY date DESC LIMIT 5"
+put("audit_compare", "rets", f"SELECT f.feature, c.n AS n_rows, CASE WHEN f.feature = 'sma_20' THEN c.s ELSE 0 END AS n_diff FROM {AUDITED}, c", {"c": f"SELECT count(*) AS n, count(s) AS s FROM (SELECT {sma('close', 20)} AS s FROM rets)"})
+for _name in ("audit_perturbation", "audit_truncation"):
+    put(_name, "bars", f"SELECT f.feature, c.date AS cutoff, c.n AS n_rows, 0::BIGINT AS n_diff FROM {AUDITED}, (SELECT date, count(*) AS n FROM bars WHERE date IN (DATE '1996-06-14', DATE '1998-03-02') GROUP BY 1) c")
+put("audit_target", "bars", "SELECT date AS cutoff, count(*) AS n_rows, 0::BIGINT AS n_changed, 0::BIGINT AS n_deaf FROM bars WHERE date IN (DATE '1996-06-14', DATE '1998-03-02') GROUP BY 1")
+put("audit_positions", "days", "SELECT pos, date FROM days WHERE pos IN (SELECT DISTINCT floor(300 + (n - 31 - 300) * k / 5)::BIGINT FROM (SELECT count(*) AS n FROM days), range(6) t(k))")
 
 
 def fold_ctes(init, test, inner, gap=6):
@@ -248,6 +278,10 @@ ASSIGN = FOLDS | {
 }
 put("fold_assign", "bars days", "SELECT fold, part, ticker, count(*) AS rows, min(date) AS first, max(date) AS last FROM asg GROUP BY 1, 2, 3", ASSIGN)
 put("heldout_split", "bars days", "SELECT fold, part, count(*) AS rows, count(DISTINCT ticker) AS tickers FROM asg WHERE (part = 'test') <> (ticker IN ('AF', 'AO', 'NF')) GROUP BY 1, 2", ASSIGN)
+put("evaluated_sessions", "days", "SELECT DISTINCT d.date, d.pos FROM days d JOIN ff ON d.pos BETWEEN test_start AND test_end", FOLDS)
+put("serving_split", "days", """SELECT n - 67 AS fit_end, n - 60 AS inner_start, n - 1 AS inner_end, (SELECT date FROM days WHERE pos = n - 67) AS fit_end_date, (SELECT date FROM days WHERE pos = n - 60) AS inner_start_date, (SELECT date FROM days WHERE pos = n - 1) AS inner_end_date
+  FROM (SELECT count(*) AS n FROM days)""")
+put("holdout_split", "days", "SELECT date, CASE WHEN pos >= floor(n * 0.75) THEN 'holdout' ELSE 'train' END AS part, pos >= floor(n * 0.1) AND pos < floor(n * 0.75) AS shifted FROM days, (SELECT count(*) AS n FROM days)")
 put("label_reach", "days", "SELECT a.date, b.date AS reach FROM days a JOIN days b ON b.pos = least(a.pos + 5, (SELECT max(pos) FROM days))")
 put("search_windows", "", "SELECT k, 0::BIGINT AS fit_start, ve - 60 - 6 AS fit_end, ve - 59 AS val_start, ve AS val_end FROM (SELECT k::BIGINT AS k, (400 - 1 - 6 - k * 60)::BIGINT AS ve FROM range(3) t(k)) WHERE ve - 66 > 0")
 
@@ -295,7 +329,48 @@ put("select_threshold", "preds", f"SELECT model, fold, CASE WHEN flat THEN 0.5 E
     "s": "SELECT model, fold, threshold, sum(CASE WHEN p >= threshold THEN y ELSE 0 END) AS tp, sum(CASE WHEN p >= threshold THEN 1 - y ELSE 0 END) AS fp, sum(y) AS np, sum(1 - y) AS nn, min(p) = max(p) AS same FROM preds, g GROUP BY 1, 2, 3",
     "b": "SELECT *, np = 0 OR nn = 0 OR same AS flat, round((tp / nullif(np, 0) + (nn - fp) / nullif(nn, 0)) / 2, 12) AS score FROM s",
 })
-put("leaderboard", "fm", f"SELECT model, folds, {R('accuracy accuracy_sem brier brier_sem')} FROM (SELECT model, count(*) AS folds, avg(accuracy) AS accuracy, stddev_samp(accuracy) / sqrt(count(*)) AS accuracy_sem, avg(brier) AS brier, stddev_samp(brier) / sqrt(count(*)) AS brier_sem FROM fm GROUP BY 1)")
+EVALUATED = C2 | auc("model, fold", "preds") | AP | REL | {
+    "em": "SELECT model, fold, c2.accuracy, c2.accuracy_over_base_rate, roc_auc, pr_auc, fm.brier, ece, c2.f1, fm.log_loss FROM c2 JOIN auc USING (model, fold) JOIN ap USING (model, fold) JOIN fm USING (model, fold) JOIN ec USING (model, fold)",
+}
+MEASURES = "accuracy accuracy_over_base_rate roc_auc pr_auc brier ece f1 log_loss"
+BOARD = {"lb": "SELECT model, count(*) AS folds, model <> 'signal' AS is_baseline, " + ", ".join(f"avg({x}) AS {x}, stddev_samp({x}) / sqrt(count({x})) AS {x}_se" for x in MEASURES.split()) + " FROM em GROUP BY 1"}
+put("leaderboard", "conf fm", f"SELECT model, folds, is_baseline, {R(MEASURES + ' ' + ' '.join(f'{x}_se' for x in MEASURES.split()))} FROM lb", EVALUATED | BOARD)
+RANKS = {
+    "d": "SELECT a.model, round(a.brier - b.brier, 12) AS d FROM fm a JOIN fm b USING (fold) WHERE a.model <> 'majority' AND b.model = 'majority'",
+    "q": "SELECT *, rank() OVER (PARTITION BY model ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, abs(d)) - 1) / 2.0 AS r FROM d",
+    "z": "SELECT model, count(*) AS folds, sum((d > 0)::INT)::BIGINT AS wins, avg(d) AS mean_diff, sum(CASE WHEN d > 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0 END) AS w_minus FROM q GROUP BY 1",
+}
+put("leaderboard_tests", "conf fm", f"SELECT model, lb.folds, is_baseline, {R('roc_auc brier')}, wins, {R('mean_diff')}, round(least(w_plus, w_minus), 6) + 0.0 AS w FROM lb LEFT JOIN z USING (model)", EVALUATED | BOARD | RANKS)
+WALK = FOLDS | {
+    "sp": " UNION ALL ".join(f"SELECT fold, '{p}' AS part, {p}_start AS a, {p}_end AS b FROM ff" for p in ("fit", "inner", "test")),
+    "wb": "SELECT b.ticker, b.date, pos, b.ret_1d, b.y, CASE WHEN ticker IN ('AF', 'AO', 'NF') THEN 'dev' WHEN ticker = 'NO' THEN 'val' ELSE 'test' END AS grp FROM book b JOIN days USING (date)",
+}
+
+
+def walk(train: str, score: str) -> dict[str, str]:
+    return WALK | {
+        "w0": f"SELECT wb.*, sp.fold, sp.part FROM wb JOIN sp ON pos BETWEEN sp.a AND sp.b WHERE CASE WHEN part = 'test' THEN {score} ELSE {train} END",
+        "wr": "SELECT fold, avg(y) AS m, avg(y) FILTER (WHERE ret_1d > 0) AS up, avg(y) FILTER (WHERE ret_1d IS NULL OR ret_1d <= 0) AS down FROM w0 WHERE part = 'fit' GROUP BY 1",
+        "wp": "SELECT w0.*, u.model, u.p FROM w0 JOIN wr USING (fold), LATERAL (VALUES ('majority', m), ('persistence', CASE WHEN ret_1d IS NULL THEN 0.5 WHEN ret_1d > 0 THEN up ELSE down END), ('always_long', 1 - 1e-6)) u(model, p) WHERE part <> 'fit'",
+        "wg": "SELECT k / 100.0::DOUBLE AS threshold FROM range(5, 96) t(k)",
+        "ws": "SELECT model, fold, threshold, sum(CASE WHEN p >= threshold THEN y ELSE 0 END) AS tp, sum(CASE WHEN p >= threshold THEN 1 - y ELSE 0 END) AS fp, sum(y) AS np, sum(1 - y) AS nn, min(p) = max(p) AS same FROM wp, wg WHERE part = 'inner' GROUP BY 1, 2, 3",
+        "wc": "SELECT model, fold, CASE WHEN np = 0 OR nn = 0 OR same THEN 0.5 ELSE threshold END AS threshold FROM ws QUALIFY row_number() OVER (PARTITION BY model, fold ORDER BY round((tp / nullif(np, 0) + (nn - fp) / nullif(nn, 0)) / 2, 12) DESC NULLS LAST, threshold) = 1",
+        "preds": "SELECT wp.date, wp.ticker, wp.fold, wp.model, p, y, threshold FROM wp JOIN wc USING (model, fold) WHERE part = 'test'",
+        "conf": CTE["conf"], "fm": CTE["fm"],
+    }
+
+
+def tuned() -> dict[str, str]:
+    return {
+        "tc": "SELECT model, fold, min(date) AS test_start, max(date) AS test_end, any_value(threshold) AS tuned_threshold, count(*) AS n, sum((p >= threshold AND y = 1)::INT)::BIGINT AS tp, sum((p >= threshold AND y = 0)::INT)::BIGINT AS fp, sum((p < threshold AND y = 1)::INT)::BIGINT AS fn, sum((p < threshold AND y = 0)::INT)::BIGINT AS tn FROM preds GROUP BY 1, 2",
+        "tt": "SELECT model, fold, test_start, test_end, tuned_threshold, (tp + tn) / n AS tuned_accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS tuned_precision, coalesce(tp / nullif(tp + fn, 0), 0) AS tuned_recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS tuned_f1, (tp + fp) / n AS tuned_positive_rate FROM tc",
+    }
+
+
+put("walk_forward", "book days", f"SELECT date, ticker, fold, model, {R('prob_raw prob y_true threshold')}, true AS is_baseline FROM (SELECT date, ticker, fold, model, p AS prob_raw, p AS prob, y AS y_true, threshold FROM preds)", walk("true", "true"))
+for _name, _train, _score in (("walk_forward_metrics", "true", "true"), ("walk_forward_held_out", "grp = 'dev'", "grp = 'test'")):
+    put(_name, "book days", f"""SELECT model, fold, true AS is_baseline, test_start, test_end, {R('tuned_threshold')}, n, tp, fp, fn, tn, {', '.join(f'round(c2.{x}, 6) + 0.0 AS {x}' for x in CONF.replace(' ', '').split(','))}, {R('roc_auc pr_auc brier log_loss ece mce tuned_accuracy tuned_precision tuned_recall tuned_f1 tuned_positive_rate')},
+      round(ece, 6) + 0.0 AS ece_uncalibrated, round(brier, 6) + 0.0 AS brier_uncalibrated FROM c2 JOIN auc USING (model, fold) JOIN ap USING (model, fold) JOIN fm USING (model, fold) JOIN ec USING (model, fold) JOIN tt USING (model, fold)""", walk(_train, _score) | C2 | auc("model, fold", "preds") | AP | REL | tuned())
 put("performance", "fm", f"SELECT model, folds, {R('accuracy log_loss')}, first_fold FROM (SELECT model, count(*) AS folds, avg(accuracy) AS accuracy, avg(log_loss) AS log_loss, min(fold) AS first_fold FROM fm GROUP BY 1)")
 put("paired_folds", "fm", f"SELECT model, fold, {R('value value_ref')} FROM (SELECT a.model, fold, a.accuracy AS value, b.accuracy AS value_ref FROM fm a JOIN fm b USING (fold) WHERE a.model <> 'majority' AND b.model = 'majority')")
 put("wilcoxon_w", "fm", f"SELECT model, folds, wins, {R('mean_diff w_plus w_minus')}, round(least(w_plus, w_minus), 6) + 0.0 AS w FROM z", {
@@ -334,11 +409,14 @@ FLIPS = {
 put("trend_flips", "rets", "SELECT flip FROM fl", {k: FLIPS[k] for k in ("px", "tr", "fl")})
 put("near_reversal", "rets sig", "SELECT ticker, date, near FROM nr", FLIPS)
 put("reversal_stats", "rets sig", f"SELECT near, n, {R('accuracy')} FROM (SELECT near, count(*) AS n, avg(correct) AS accuracy FROM nr GROUP BY 1)", FLIPS)
-put("auc_by_regime", "preds states", f"SELECT model, state, {R('roc_auc')} FROM auc", {"pr": "SELECT p.*, s.state FROM preds p JOIN states s USING (date)"} | auc("model, state", "pr"))
+put("auc_by_regime", "preds states", f"SELECT a.model, a.state, round(a.roc_auc, 6) + 0.0 AS roc_auc, round(a.roc_auc - m.roc_auc, 6) + 0.0 AS lift FROM auc a LEFT JOIN auc m ON m.state = a.state AND m.model = 'majority'", {"pr": "SELECT p.*, s.state FROM preds p JOIN states s USING (date)"} | auc("model, state", "pr"))
 put("predictions_regime", "sig states", f"SELECT ticker, date, {R('p y')}, state FROM sig LEFT JOIN states USING (date)")
 put("ui_accuracy_by_regime", "sig states", f"SELECT state, n, {R('accuracy base_rate')} FROM (SELECT state, count(*) AS n, avg(correct) AS accuracy, avg(y) AS base_rate FROM sig JOIN states USING (date) GROUP BY 1)")
 put("ui_confidence_buckets", "sig", f"SELECT bucket, n, {R('accuracy')} FROM (SELECT least(9, floor(round(confidence * 40, 6)))::BIGINT AS bucket, count(*) AS n, avg(correct) AS accuracy FROM sig GROUP BY 1) WHERE n >= 20")
-put("ui_confident_stats", "sig", f"SELECT fold, side, n, {R('accuracy')} FROM (SELECT fold, CASE WHEN sh < 0.1 THEN 'top' ELSE 'bottom' END AS side, count(*) AS n, avg(correct) AS accuracy FROM z WHERE sh < 0.1 OR sh >= 0.9 GROUP BY 1, 2)", {"z": "SELECT fold, correct, percent_rank() OVER (PARTITION BY fold ORDER BY confidence DESC, ticker, date) AS sh FROM sig"})
+put("ui_confident_stats", "sig", f"SELECT ticker, side, n, {R('accuracy')} FROM (SELECT ticker, side, count(*) AS n, avg(correct) AS accuracy FROM (SELECT ticker, correct, 'top' AS side FROM z WHERE k <= m UNION ALL SELECT ticker, correct, 'bottom' FROM z WHERE k > n - m) GROUP BY 1, 2)", {
+    "y": "SELECT ticker, correct, row_number() OVER (PARTITION BY ticker ORDER BY confidence DESC, date) AS k, count(*) OVER (PARTITION BY ticker) AS n FROM sig", "z": "SELECT *, greatest(1, floor(n * 0.1 + 1e-9)) AS m FROM y",
+})
+put("ui_rolling_accuracy", "sig", f"SELECT ticker, date, {R('accuracy')} FROM (SELECT ticker, date, row_number() {W} - 1 AS k, avg(correct) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS accuracy FROM sig) WHERE k >= 60 AND (k - 60) % 5 = 0")
 
 BREADTH = {"br": f"SELECT date, avg(CASE WHEN px > 0 THEN 1.0 ELSE 0.0 END) AS breadth_above_sma50 FROM (SELECT date, close / {sma('close', 50)} - 1 AS px FROM rets) GROUP BY 1"}
 put("breadth", "rets", f"SELECT date, {R('breadth_above_sma50')} FROM br", BREADTH)
@@ -363,6 +441,9 @@ TL = {
 }
 put("regime_timeline", "states", 'SELECT run, state, start, "end", sessions FROM tl', TL)
 put("run_lengths", "states", f"SELECT state, runs, shortest, {R('mean_sessions')} FROM (SELECT state, count(*) AS runs, min(sessions) AS shortest, avg(sessions) AS mean_sessions FROM tl GROUP BY 1)", TL)
+put("regime_switches", "states", f"SELECT runs, sessions, shortest, {R('median per_year')} FROM (SELECT count(*) AS runs, sum(sessions)::BIGINT AS sessions, min(sessions) AS shortest, quantile_cont(sessions, 0.5) AS median, count(*) / (sum(sessions) / 252.0) AS per_year FROM tl)", TL)
+put("state_shares", "states", "SELECT state, n, round(n / sum(n) OVER (), 6) + 0.0 AS share FROM (SELECT state, count(*) AS n FROM states GROUP BY 1)")
+put("expected_durations", "states", f"SELECT state, {R('expected_sessions')} FROM (SELECT state, 1 / greatest(1 - sum((state = nx)::INT) / count(*), 1e-9) AS expected_sessions FROM (SELECT state, lead(state) OVER (ORDER BY date) AS nx FROM states) WHERE nx IS NOT NULL GROUP BY 1)")
 put("transition_matrix", "states", 'SELECT state, "next", n, round(n / sum(n) OVER (PARTITION BY state), 6) + 0.0 AS p FROM (SELECT state, "next", count(*) AS n FROM (SELECT state, lead(state) OVER (ORDER BY date) AS "next" FROM states) WHERE "next" IS NOT NULL GROUP BY 1, 2)')
 DESC = {
     "mr": "SELECT date, vix, ln(bench_close / lag(bench_close) OVER (ORDER BY date)) AS ret FROM ctx",
@@ -399,7 +480,7 @@ def stats(keys: str) -> dict[str, str]:
 
 STATS = "annual_return annual_vol sharpe max_drawdown hit_rate turnover mean_positions"
 SMALL = wts("ln(1 + ret) / 100")
-put("weights", "sig", f"SELECT date, ticker, {R('weight')} FROM wt", {k: wts("ret")[k] for k in ("gr", "dn", "wt")})
+put("weights", "sig", f"SELECT date, ticker, {R('weight')} FROM wt SEMI JOIN sig USING (date, ticker)", {k: wts("ret")[k] for k in ("gr", "dn", "wt")})
 put("simulate", "sig", f"SELECT date, {R('gross traded')}, positions, {R('net')} FROM sm", wts("ret"))
 put("turnover", "sig", f"SELECT date, {R('traded')} FROM sm", wts("ret"))
 EQ = {

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import functools
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
-from tidemark.operators import backtest, errors, folds, inference, metrics, models, panel, regime
+from tidemark.operators import audit, backtest, errors, folds, inference, metrics, models, panel, regime, walkforward
 from tidemark.operators import bars as B
 from tidemark.plans import inputs as D
-from tidemark.sources.files import BARS, json_bars, table
+from tidemark.sources.files import BARS, json_bars, manifest, one_instrument, provider, read_panel, run_table, runs, save_run, table, write_panel
+from tidemark.sources.files import latest_run as latest
 from tidemark.streaming.bars import rate
 from tidemark.streaming.bars import tumbling_bars as tumbling
 
@@ -30,6 +33,14 @@ def query(f):
     return run
 
 
+def scratch(spark) -> str:
+    """A new folder for what a query writes and reads again: in the folder that the cluster shares, a temporary one in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/query-{uuid.uuid4().hex}"
+
+
 def columns(name: str, source, made) -> None:
     """Register a query of indicator columns over an input."""
 
@@ -75,8 +86,40 @@ def json_series_explode(spark, d):
 
 @query
 def scan_csv(spark, d):
-    lines = D.bars(spark, d).select("ticker", F.to_csv(F.struct("date", *BARS.names[1:])).alias("line"))
-    return lines.select("ticker", F.from_csv("line", BARS.simpleString()[7:-1].replace(":", " ")).alias("b")).select("ticker", "b.*")
+    folder = scratch(spark)
+    D.bars(spark, d).select(*BARS.names, "ticker").repartition("ticker").write.partitionBy("ticker").option("header", True).csv(folder)
+    return provider("csv")(spark, folder, partitioned=True).select("ticker", *BARS.names)
+
+
+@query
+def scan_panel(spark, d):
+    """A panel written by group with its record, and some groups of it read again."""
+    rows, folder = panel_subset(spark, d), scratch(spark)
+    write_panel(rows, folder, label="direction")
+    return read_panel(spark, folder, ["dev"])[0]
+
+
+@query
+def run_store(spark, d):
+    """Two runs saved, and the metrics of the last one read by its id."""
+    folder = scratch(spark)
+    m = _fold_metrics(spark, d)
+    for run_id, part in (("20260101-a", m.where("model = 'majority'")), ("20260102-b", m.where("model = 'signal'"))):
+        save_run(run_id, {"target": "direction", "experiment": "main", "config": {"folds": 400}}, D.predictions(spark, d).limit(0), part, folder)
+    last = latest(runs(spark, folder)).first()["run_id"]
+    return run_table(spark, folder, "fold_metrics", last)
+
+
+@query
+def run_manifest(spark, d):
+    return manifest(D.predictions(spark, d))
+
+
+@query
+def live_features(spark, d):
+    """One instrument's features by the plan of the panel."""
+    rows = panel.build(one_instrument(D.bars(spark, d), "NO"), D.context(spark, d), D.sectors(spark, d))
+    return rows.orderBy(F.desc("date")).limit(5).select(*KEY, "ret_1d", "rsi_14", "beta_60", "vol_20", "px_to_sma_50")
 
 
 @query
@@ -125,12 +168,46 @@ def adjust_actions(spark, d):
     return B.adjust(halved)
 
 
+def _flawed(spark, d):
+    """Bars with planted faults: missing prices, an index symbol, days without volume."""
+    day = F.day("date")
+    prices = {x: F.when(day == 8, F.lit(None)).otherwise(F.col(x)) for x in ("open", "high", "low", "adj_close")}
+    close = F.when(day.isin(7, 8), F.lit(None)).when(day == 9, -F.col("close")).otherwise(F.col("close"))
+    return D.bars(spark, d).withColumns(prices | {"close": close, "volume": F.when(day == 10, 0.0).otherwise(F.col("volume")), "ticker": F.when(F.col("ticker") == "NF", "^NF").otherwise(F.col("ticker"))})
+
+
 @query
 def validate_bars(spark, d):
-    b = D.bars(spark, d)
+    b = _flawed(spark, d)
     return B.validate(b, B.weekdays(b))
 
 
+@query
+def keep_first_bars(spark, d):
+    t = D.trades(spark, d)
+    return B.keep_first(t.select("ticker", "date", "price", "quantity", "seq"), KEY, F.col("seq")).drop("seq")
+
+
+@query
+def symmetric_difference(spark, d):
+    b = D.bars(spark, d).select("ticker", "date")
+    return B.symmetric_difference(b.where(F.year("date") <= 1996), b.where(F.year("date") >= 1996))
+
+
+@query
+def universe(spark, d):
+    b = D.bars(spark, d)
+    groups = spark.createDataFrame(list(panel.GROUPS.items()), "ticker string, group string").where("ticker <> 'RO'").withColumn("sector", F.substring("ticker", 1, 1))
+    tagged = panel.tagged(B.names(b.where(F.year("date") < 1995), b.where(F.year("date") > 1995)), groups)
+    return tagged.groupBy("group", "sector").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list("ticker")), ",").alias("members"))
+
+
+@query
+def calendar_holidays(spark, d):
+    b = D.bars(spark, d)
+    return B.weekdays(b, b.select("date").where((F.month("date") == 12) & (F.day("date") == 25)).distinct())
+
+
 @query
 def upsert_bars(spark, d):
     b = D.bars(spark, d).select("ticker", "date", "close", "volume")
@@ -158,10 +235,10 @@ def rate_window(spark, d):
 columns("log_return", D.bars, lambda: {"log_return_1": I.log_return(c()), "log_return_5": I.log_return(c(), 5)})
 columns("simple_return", D.bars, lambda: {"simple_return": I.simple_return(c())})
 columns("sma", D.bars, lambda: {"sma_20": I.sma(c(), 20)})
-columns("ema", D.bars, lambda: {"ema_12": I.ema(c(), 12)})
-columns("wilder", D.bars, lambda: {"wilder_14": I.wilder(c(), 14)})
+columns("ema", lambda s, d: I.with_ewm(D.bars(s, d), ema_12=I.ema(c(), 12)), lambda: {"ema_12": F.col("ema_12")})
+columns("wilder", lambda s, d: I.with_ewm(D.bars(s, d), wilder_14=I.wilder(c(), 14)), lambda: {"wilder_14": F.col("wilder_14")})
 columns("true_range", D.bars, lambda: {"true_range": I.true_range(F.col("high"), F.col("low"), c())})
-columns("atr", D.returns, lambda: {"atr_14": I.wilder(F.col("tr"), 14)})
+columns("atr", D.means, lambda: {"atr_14": F.col("atr_14")})
 columns("realised_vol", D.returns, lambda: {"vol_20": I.realised_volatility(r(), 20)})
 columns("parkinson_vol", D.bars, lambda: {"parkinson_20": I.parkinson(F.col("high"), F.col("low"), 20)})
 columns("downside_vol", D.returns, lambda: {"downside_20": I.realised_volatility(I.downside(r()), 20)})
@@ -179,18 +256,17 @@ columns("asof_bounded", lambda s, d: panel.with_context(D.bars(s, d), D.context(
 
 @query
 def ewma_vol(spark, d):
-    sq = D.returns(spark, d).withColumn("sq", F.pow("ret_1d", F.lit(2.0)))
-    return sq.select(*KEY, F.sqrt(I.ewm(F.col("sq"), 1 - panel.DECAY, 60)).alias("ewma_vol"))
+    return D.means(spark, d).select(*KEY, F.col("ewma_sigma").alias("ewma_vol"))
 
 
 @query
 def rsi(spark, d):
-    return panel.oscillators(D.bars(spark, d)).select(*KEY, "rsi_14")
+    return D.means(spark, d).select(*KEY, "rsi_14")
 
 
 @query
 def macd(spark, d):
-    return panel.oscillators(D.bars(spark, d)).select(*KEY, "macd_line", "macd_signal", "macd_hist")
+    return D.means(spark, d).select(*KEY, "macd_line", "macd_signal", "macd_hist")
 
 
 @query
@@ -205,15 +281,13 @@ def features_returns(spark, d):
 
 @query
 def features_momentum(spark, d):
-    f = panel.oscillators(D.bars(spark, d))
-    cl = F.col("close")
-    return f.select(*KEY, *(x.alias(n) for n, x in panel.momentum().items()), (F.col("rsi_14") / 100).alias("rsi_14"), I.ratio(F.col("macd_line"), cl).alias("macd_norm"), I.ratio(F.col("macd_hist"), cl).alias("macd_hist_norm"))
+    made = panel.means()
+    return D.means(spark, d).select(*KEY, *(x.alias(n) for n, x in panel.momentum().items()), *(made[n].alias(n) for n in ("rsi_14", "macd_norm", "macd_hist_norm")))
 
 
 @query
 def features_volatility(spark, d):
-    f = D.returns(spark, d)
-    return f.select(*KEY, *(x.alias(n) for n, x in panel.volatility().items()), I.ratio(I.wilder(F.col("tr"), 14), F.col("close")).alias("atr_14_norm"))
+    return D.means(spark, d).select(*KEY, *(x.alias(n) for n, x in panel.volatility().items()), panel.means()["atr_14_norm"].alias("atr_14_norm"))
 
 
 @query
@@ -267,41 +341,44 @@ def label_coverage(spark, d):
     return t.groupBy("ticker").agg(F.count(y).alias("labelled"), F.sum(y.isNull().cast("long")).alias("unlabelled"), F.avg(y).alias("base_rate"))
 
 
-def _kappa(rows):
-    k = F.percentile(F.abs("ret") / F.col("sigma"), F.lit(1 / 3))
-    return rows.where("ret is not null and sigma is not null").groupBy("ticker").agg(F.greatest(F.lit(0.05), F.least(F.lit(1.5), k)).alias("kappa"))
+#: Days on which bands and cuts of labels are fitted; they are applied to the days from then on.
+TRAINED = "1999-01-01"
 
 
 def _scaled(spark, d):
     cl = F.col("close")
-    return D.returns(spark, d).select(*KEY, (I.ratio(I.lead(cl), cl) - 1).alias("ret"), I.std(F.col("ret_1d"), 20).alias("sigma"))
+    return D.means(spark, d).select(*KEY, (I.ratio(I.lead(cl, 5), cl) - 1).alias("ret"), F.col("ewma_sigma").alias("sigma"))
 
 
 @query
 def kappa(spark, d):
-    return _kappa(_scaled(spark, d))
+    return panel.kappa(_scaled(spark, d).where(F.col("date") < TRAINED), 5)
 
 
 @query
 def ternary_vol(spark, d):
     rows = _scaled(spark, d)
-    band = F.col("kappa") * F.col("sigma")
-    label = F.when(F.col("ret").isNull() | band.isNull(), F.lit(None)).when(F.col("ret") > band, 1).when(F.col("ret") < -band, -1).otherwise(0)
-    return rows.join(F.broadcast(_kappa(rows)), "ticker").select(*KEY, label.cast("long").alias("label"))
+    return panel.ternary(rows.where(F.col("date") >= TRAINED), panel.kappa(rows.where(F.col("date") < TRAINED), 5), 5).select(*KEY, "label")
 
 
 @query
 def ternary_quantile(spark, d):
-    rows = _scaled(spark, d).where("ret is not null")
+    cl = F.col("close")
+    rows = D.returns(spark, d).select(*KEY, (I.ratio(I.lead(cl), cl) - 1).alias("ret")).where("ret is not null")
     cuts = rows.where(F.year("date") < 1999).groupBy("ticker").agg(F.percentile("ret", F.lit(1 / 3)).alias("lo"), F.percentile("ret", F.lit(2 / 3)).alias("hi"))
-    return rows.join(F.broadcast(cuts), "ticker").select(*KEY, F.when(F.col("ret") > F.col("hi"), 1).when(F.col("ret") < F.col("lo"), -1).otherwise(0).cast("long").alias("label"))
+    return rows.join(cuts, "ticker").select(*KEY, F.when(F.col("ret") > F.col("hi"), 1).when(F.col("ret") < F.col("lo"), -1).otherwise(0).cast("long").alias("label"))
 
 
 @query
 def panel_build(spark, d):
-    f = panel.targets(D.returns(spark, d), D.context(spark, d))
-    wide = f.select(*KEY, "ret_1d", I.sma(F.col("close"), 20).alias("sma_20"), I.realised_volatility(F.col("ret_1d"), 20).alias("vol_20"), "fwd_ret_1d", "direction_1d", "excess_direction_1d", F.substring("ticker", 1, 1).alias("sector"))
-    return panel.drop_warm_up(wide)
+    groups = spark.createDataFrame([(t, g, f"sector {t[0]}") for t, g in panel.GROUPS.items() if t != "RO"], "ticker string, group string, sector string")
+    return panel.tagged(panel.build(D.bars(spark, d), D.context(spark, d), D.sectors(spark, d)), groups)
+
+
+@query
+def label_rows(spark, d):
+    t = panel.targets(D.bars(spark, d), D.context(spark, d))
+    return panel.labelled(t, "direction_5d").select(*KEY, "direction_5d")
 
 
 @query
@@ -312,16 +389,42 @@ def panel_subset(spark, d):
 
 @query
 def context_gaps(spark, d):
-    b = panel.with_context(D.bars(spark, d), D.context(spark, d).where(F.day("date") % 5 < 2), D.sectors(spark, d))
-    return b.groupBy("ticker").agg(F.sum(F.col("bench_close").isNull().cast("long")).alias("gaps"))
+    return panel.staleness(D.bars(spark, d), D.context(spark, d).where(F.day("date") % 5 < 2), D.sectors(spark, d).where(F.day("date") % 3 < 2))
+
+
+AUDITED = ["ret_1d", "sma_20", "vol_20", "px_to_sma_20", "bench_ret_5d", "beta_60", "rel_sector_ret_5d"]
+CUTOFFS = ["1996-06-14", "1998-03-02"]
+
+
+def _audited(bars, context, sectors):
+    f = panel.market(panel.with_returns(panel.with_context(bars, context, sectors)))
+    sma = I.sma(F.col("close"), 20)
+    return f.select(*KEY, "ret_1d", sma.alias("sma_20"), I.realised_volatility(F.col("ret_1d"), 20).alias("vol_20"), (I.ratio(F.col("close"), sma) - 1).alias("px_to_sma_20"), *AUDITED[4:])
 
 
 @query
 def audit_compare(spark, d):
-    b = D.bars(spark, d)
-    make = lambda x: panel.with_returns(x).select(*KEY, "ret_1d", I.sma(F.col("close"), 20).alias("sma_20"), I.ratio(F.col("close"), I.sma(F.col("close"), 20)).alias("px_to_sma_20"))
-    scaled = b.select("ticker", "date", *((F.col(x) * 7).alias(x) for x in ("open", "high", "low", "close", "adj_close")), "volume")
-    return panel.audit(make(b), make(scaled), ["ret_1d", "sma_20", "px_to_sma_20"])
+    return audit.scale(_audited, D.bars(spark, d), D.context(spark, d), D.sectors(spark, d), AUDITED)
+
+
+@query
+def audit_perturbation(spark, d):
+    return audit.perturbation(_audited, D.bars(spark, d), D.context(spark, d), D.sectors(spark, d), AUDITED, CUTOFFS)
+
+
+@query
+def audit_truncation(spark, d):
+    return audit.truncation(_audited, D.bars(spark, d), D.context(spark, d), D.sectors(spark, d), AUDITED, CUTOFFS)
+
+
+@query
+def audit_target(spark, d):
+    return audit.target_causality(D.bars(spark, d), 5, CUTOFFS)
+
+
+@query
+def audit_positions(spark, d):
+    return audit.positions(folds.sessions(D.bars(spark, d)))
 
 
 # --- folds ------------------------------------------------------------------------------------------------------------------
@@ -356,6 +459,45 @@ def heldout_split(spark, d):
     return rows.where(F.when(F.col("part") == "test", ~seen).otherwise(seen)).groupBy("fold", "part").agg(F.count("*").alias("rows"), F.countDistinct("ticker").alias("tickers"))
 
 
+@query
+def evaluated_sessions(spark, d):
+    return folds.evaluated(folds.sessions(D.bars(spark, d)), _folds(spark, d))
+
+
+@query
+def serving_split(spark, d):
+    return folds.serving(folds.sessions(D.bars(spark, d)), 60)
+
+
+@query
+def holdout_split(spark, d):
+    return folds.holdout(folds.sessions(D.bars(spark, d)))
+
+
+def _panel_rows(spark, d):
+    """Labelled rows for the walk-forward run, with y and the group that they belong to."""
+    f = D.returns(spark, d).select(*KEY, "ret_1d", I.sma(F.col("ret_1d"), 5).alias("m5"), I.std(F.col("ret_1d"), 20).alias("s20"), (I.ratio(I.lead(F.col("close")), F.col("close")) - 1).alias("ret")).where("ret is not null")
+    groups = spark.createDataFrame(list(panel.GROUPS.items()), "ticker string, group string")
+    return f.withColumn("y", I.direction(F.col("ret"))).join(groups, "ticker")
+
+
+@query
+def walk_forward(spark, d):
+    """Baselines, fitted on the fit window, threshold from the inner one, scored on the test window of the same instruments."""
+    return walkforward.predict(_panel_rows(spark, d), _folds(spark, d))
+
+
+@query
+def walk_forward_metrics(spark, d):
+    return walkforward.fold_metrics(walkforward.predict(_panel_rows(spark, d), _folds(spark, d)))
+
+
+@query
+def walk_forward_held_out(spark, d):
+    """Fitted on the instruments of one group, scored on those of another."""
+    return walkforward.fold_metrics(walkforward.predict(_panel_rows(spark, d), _folds(spark, d), train=["dev"], score=["test"]))
+
+
 @query
 def label_reach(spark, d):
     return folds.label_reach(folds.sessions(D.bars(spark, d)), 5)
@@ -418,8 +560,15 @@ def _fold_metrics(spark, d):
 
 @query
 def leaderboard(spark, d):
-    sem = lambda x: (F.stddev_samp(x) / F.sqrt(F.count(x))).alias(f"{x}_sem")
-    return _fold_metrics(spark, d).groupBy("model").agg(F.count("*").alias("folds"), F.avg("accuracy").alias("accuracy"), sem("accuracy"), F.avg("brier").alias("brier"), sem("brier"))
+    return walkforward.leaderboard(metrics.evaluate(D.predictions(spark, d), BY).withColumn("is_baseline", F.col("model") != "signal"))
+
+
+@query
+def leaderboard_tests(spark, d):
+    """The leaderboard joined with each model's signed ranks against the majority."""
+    m = metrics.evaluate(D.predictions(spark, d), BY).withColumn("is_baseline", F.col("model") != "signal")
+    tests = inference.signed_ranks(inference.paired(m, "majority", "brier")).select("model", "wins", "mean_diff", "w")
+    return walkforward.leaderboard(m).select("model", "folds", "is_baseline", "roc_auc", "brier").join(tests, "model", "left")
 
 
 @query
@@ -524,18 +673,17 @@ def reversal_stats(spark, d):
 
 @query
 def auc_by_regime(spark, d):
-    p = D.predictions(spark, d).join(F.broadcast(D.states(spark, d)), "date")
-    return metrics.roc_auc(p, ["model", "state"])
+    return errors.by_regime(D.predictions(spark, d), D.states(spark, d))
 
 
 @query
 def predictions_regime(spark, d):
-    return D.signal(spark, d).join(F.broadcast(D.states(spark, d)), "date", "left").select(*KEY, "p", "y", "state")
+    return D.signal(spark, d).join(D.states(spark, d), "date", "left").select(*KEY, "p", "y", "state")
 
 
 @query
 def ui_accuracy_by_regime(spark, d):
-    p = errors.judged(D.signal(spark, d)).join(F.broadcast(D.states(spark, d)), "date")
+    p = errors.judged(D.signal(spark, d)).join(D.states(spark, d), "date")
     return p.groupBy("state").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy"), F.avg("y").alias("base_rate"))
 
 
@@ -547,10 +695,12 @@ def ui_confidence_buckets(spark, d):
 
 @query
 def ui_confident_stats(spark, d):
-    j = errors.judged(D.signal(spark, d))
-    ranked = j.select("correct", F.percent_rank().over(Window.partitionBy("fold").orderBy(F.desc("confidence"), "ticker", "date")).alias("share"), "fold")
-    side = F.when(F.col("share") < 0.1, "top").when(F.col("share") >= 0.9, "bottom")
-    return ranked.withColumn("side", side).where("side is not null").groupBy("fold", "side").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy"))
+    return errors.confident_stats(D.signal(spark, d), ["ticker"])
+
+
+@query
+def ui_rolling_accuracy(spark, d):
+    return errors.rolling_steps(D.signal(spark, d))
 
 
 # --- regimes ----------------------------------------------------------------------------------------------------------------
@@ -576,6 +726,21 @@ def run_lengths(spark, d):
     return regime.timeline(D.states(spark, d)).groupBy("state").agg(F.count("*").alias("runs"), F.min("sessions").alias("shortest"), F.avg("sessions").alias("mean_sessions"))
 
 
+@query
+def regime_switches(spark, d):
+    return regime.switches(D.states(spark, d))
+
+
+@query
+def state_shares(spark, d):
+    return regime.shares(D.states(spark, d))
+
+
+@query
+def expected_durations(spark, d):
+    return regime.durations(regime.transitions(D.states(spark, d)))
+
+
 @query
 def transition_matrix(spark, d):
     return regime.transitions(D.states(spark, d))
@@ -720,30 +885,37 @@ def sector_resolve(spark, d):
 # --- without SQL counterparts -------------------------------------------------------------------------------------------------
 
 
+REGIME_COLUMNS = ["mkt_vol_20", "mkt_ret_20", "mkt_drawdown_252"]
+
+
 @query
 def block_bootstrap(spark, d):
-    return inference.block_bootstrap(_fold_metrics(spark, d).where("model = 'signal'").select("fold", F.col("accuracy").alias("value")), 2, 500)
+    return inference.block_bootstrap(_fold_metrics(spark, d).where("model = 'signal'").select("fold", F.col("accuracy").alias("value")), 2)
 
 
 @query
 def perm_null(spark, d):
-    return inference.permutation_auc(D.signal(spark, d), ["fold"], 20)
+    return inference.permutation_auc(D.signal(spark, d), ["fold"])
 
 
 @query
 def perm_null_pooled(spark, d):
-    return inference.permutation_pooled(D.signal(spark, d), 20)
+    return inference.permutation_pooled(D.signal(spark, d))
 
 
 @query
 def hmm_filter(spark, d):
-    days = folds.assign(regime_features(spark, d), folds.folds(folds.sessions(D.bars(spark, d)), 400, 300, 300, 60))
-    return regime.assign_by_fold(days, ["mkt_vol_20", "mkt_ret_20", "mkt_drawdown_252"])
+    return regime.assign_by_fold(regime_features(spark, d), folds.folds(folds.sessions(D.bars(spark, d)), 400, 300, 300, 60), REGIME_COLUMNS)
+
+
+@query
+def regime_candidates(spark, d):
+    return regime.compare(regime_features(spark, d), REGIME_COLUMNS, sizes=(2, 3))
 
 
 @query
 def mixture_regimes(spark, d):
-    return models.mixture_states(regime_features(spark, d), ["mkt_vol_20", "mkt_ret_20", "mkt_drawdown_252"], 3, "gmm").select("date", "state")
+    return models.mixture_states(regime_features(spark, d), REGIME_COLUMNS, 3, "gmm").select("date", "state")
 
 
 def _xy(spark, d):
@@ -774,17 +946,35 @@ def learner_elastic_platt(spark, d):
     return models.platt(scored.where("not test"), scored.where("test")).select(*KEY, "y", "p")
 
 
+@query
+def learner_boosted(spark, d):
+    rows = _xy(spark, d)
+    return models.fit_predict(rows.where("not test"), rows.where("test"), ["ret_1d", "m5", "s20"], "boosted_trees", trees=10).select(*KEY, "y", "p")
+
+
+@query
+def learner_boosted_leaves(spark, d):
+    rows = _xy(spark, d)
+    return models.fit_predict(rows.where("not test"), rows.where("test"), ["ret_1d", "m5", "s20"], "boosted_leaves", trees=10).select(*KEY, "y", "p")
+
+
+@query
+def walk_forward_learner(spark, d):
+    """A learner in each of the first two folds: raw and calibrated probabilities, and the threshold of the inner window."""
+    return walkforward.learn(_panel_rows(spark, d), _folds(spark, d).where("fold < 2"), ["ret_1d", "m5", "s20"], "logistic")
+
+
 @query
 def search_trials(spark, d):
     rows = _xy(spark, d).where("not test")
     windows = [(rows.where(F.col("date") < F.lit(a).cast("date")), rows.where((F.col("date") >= F.lit(a).cast("date")) & (F.col("date") < F.lit(b).cast("date")))) for a, b in (("1998-01-01", "1998-07-01"), ("1998-07-01", "1999-01-01"))]
-    trials = models.search(windows, ["ret_1d", "m5", "s20"], "logistic", {"C": [0.1, 1.0]})
+    trials = models.search(windows, ["ret_1d", "m5", "s20"], "logistic", {"C": [0.01, 0.1, 1.0, 10.0]}, trials=3)
     return spark.createDataFrame([(k, float(p["C"]), float(score)) for k, (score, p) in enumerate(trials)], "trial long, c double, mean_auc double")
 
 
 @query
 def kmeans_regimes(spark, d):
-    return models.mixture_states(regime_features(spark, d), ["mkt_vol_20", "mkt_ret_20", "mkt_drawdown_252"], 3, "kmeans").select("date", "state")
+    return models.mixture_states(regime_features(spark, d), REGIME_COLUMNS, 3, "kmeans").select("date", "state")
 
 
 @query
