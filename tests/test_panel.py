@@ -71,7 +71,7 @@ def wide(b):
     r = panel.with_returns(b)
     cols = panel.returns() | panel.momentum() | panel.volatility() | panel.volume() | panel.trend() | panel.calendar()
     f = r.select("ticker", "date", *(c.alias(n) for n, c in cols.items()))
-    o = panel.oscillators(b).select("ticker", "date", "rsi_14")
+    o = panel.with_means(r).select("ticker", "date", "rsi_14")
     return f.join(o, ["ticker", "date"]), [*cols, "rsi_14"]
 
 
