@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import list_column, parts, stored
 from tidemark.llm.simhash import shingle_hashes
 
 WORDS = 5
@@ -122,7 +122,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataF
     in_keys, in_shingles = bit_table(sketch, "keys"), bit_table(sketch, "shingles")
 
     def rows(batches):
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text, found, hits = text.as_py(), [], []
@@ -141,11 +141,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataF
                 if any(map(len, found)):
                     found, hits = np.unique(np.concatenate(found)), np.unique(np.concatenate(hits))
                     doc_id = doc_id.as_py()
-                    out.append((doc_id, f"{doc_id}:{xxhash.xxh3_128_hexdigest((text or '').encode())}", found.view(np.int64).tolist(), hits.view(np.int64).tolist()))
+                    out.append((doc_id, f"{doc_id}:{xxhash.xxh3_128_hexdigest((text or '').encode())}", found, hits))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc_id", "row", "keys", "hits"])
+                ids, names, found, hits = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), list_column(found), list_column(hits)], names=["doc_id", "row", "keys", "hits"])
 
-    types = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     near = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, row string, keys array<long>, hits array<long>")
     near = stored(near, "near-items")
     items_by_key = sketch.select("item_id", F.xxhash64("words", "shingles").alias("item"), F.explode("keys").alias("key"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, cut, fresh_column, stored
+from tidemark.llm.common import connected_components, cut, fresh_column, list_column, parts, stored
 from tidemark.llm.repeats import bit_table, marked
 
 KEPT = 2
@@ -231,11 +231,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "text_hash"))
 
     def rows(batches):
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in batch.column(1)]
-            at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["node", "shingles"])
+        for part in parts(batches):
+            sets = list_column([np.unique(shingle_hashes(t.as_py(), size)) for t in part.column(1)])
+            yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["node", "shingles"])
 
     texts = marked(docs.select(F.xxhash64("text").alias("rid"), "text"), bits, True).groupBy("rid").agg(F.first("text").alias("text"))
     return wanted.join(texts, wanted.text_hash == texts.rid).select("node", "text").mapInArrow(rows, "node long, shingles array<long>")
