@@ -96,16 +96,23 @@ def log_density(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarra
 def forward(x: np.ndarray, start: np.ndarray, moves: np.ndarray, means: np.ndarray, covs: np.ndarray) -> tuple[np.ndarray, float]:
     """Filtered posteriors of a Gaussian hidden Markov model, where row t uses x up to t alone, and the log-likelihood of x."""
     logs = log_density(x, means, covs)
-    out, before, total = np.empty_like(logs), np.log(start + 1e-300), 0.0
-    lm = np.log(np.maximum(moves, 1e-300))
+    most = logs.max(axis=1)
+    b = np.exp(logs - most[:, None])  # densities, scaled by the largest of their row
+    if (moves == moves[0]).all():  # rows don't depend on each other
+        prior = np.tile(moves[0], (len(x), 1))
+        prior[:1] = start
+        joint = prior * b
+        scale = np.maximum(joint.sum(axis=1), 1e-300)
+        return joint / scale[:, None], float((np.log(scale) + most).sum())
+    out, prior, scale = np.empty_like(b), np.maximum(start, 1e-300), np.empty(len(x))
+    moves = np.maximum(moves, 1e-300)
     for t in range(len(x)):
         if t:
-            before = np.logaddexp.reduce(out[t - 1][:, None] + lm, axis=0)
-        a = before + logs[t]
-        step = np.logaddexp.reduce(a)
-        total += step
-        out[t] = a - step
-    return np.exp(out), float(total)
+            prior = out[t - 1] @ moves
+        joint = prior * b[t]
+        scale[t] = max(joint.sum(), 1e-300)
+        out[t] = joint / scale[t]
+    return out, float((np.log(scale) + most).sum())
 
 
 def forward_filter(x: np.ndarray, *model: np.ndarray) -> np.ndarray:
@@ -114,6 +121,8 @@ def forward_filter(x: np.ndarray, *model: np.ndarray) -> np.ndarray:
 
 def backward(f: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smoothed posteriors from filtered ones, which look ahead, and the expected number of each move."""
+    if (moves == moves[0]).all():
+        return f, f[:-1].T @ f[1:]
     ahead = f @ moves
     smooth, pairs = np.empty_like(f), np.zeros_like(moves)
     smooth[-1] = f[-1]
