@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
 
+import zstandard
+
 from tidemark.llm import quality
 
 
@@ -42,3 +45,25 @@ def test_rows(spark):
     assert quality.fit(docs.limit(0), labels).good == b""
     kept = quality.keep_good(docs, model)
     assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
+
+
+def test_scores_match_their_definition(spark):
+    rows = corpus(200, random.Random(4)) + [(900, "", 1), (901, None, 0), (902, "x " * 50_000, 1)]
+    docs, labels = frames(spark, rows)
+    model = quality.fit(docs, labels)
+    sides = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    for k, text, _ in rows:
+        raw = (text or "").encode()
+        a, b = (len(c.compress(raw)) for c in sides)
+        z = model.weights[0] * (b - a) / (b + a) + model.weights[1] * math.log((a + b) / (2 * len(raw) + 32)) + model.weights[2]
+        assert abs(got[k].score - 1 / (1 + math.exp(-z))) < 1e-9 and got[k].predicted == int(got[k].score >= 0.3)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    rows = corpus(300, random.Random(5))
+    docs, labels = frames(spark, rows)
+    many = docs.unionByName(docs.withColumn("text", quality.F.concat(quality.F.lit("zz "), "text")))
+    assert quality.fit(many, labels) == quality.fit(many.repartition(5), labels)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 20_000)
+    assert 0 < len(quality.fit(docs, labels).good) <= quality.DICT

@@ -118,3 +118,13 @@ def test_short_periods_in_one_document(spark):
     assert sum(w[2] > 0 for w in want) >= 12
     for hot in (20_000, 1):
         assert sorted(tuple(r) for r in suffixes.remove_repeats(df, hot=hot).collect()) == want
+
+
+def test_long_texts(spark):
+    """Periodic and copied texts of some 100 kB, in one document and across documents."""
+    rng = random.Random(6)
+    long = "".join(rng.choices("abcdefgh ", k=120_000))
+    texts = ["xy " * 40_000, long, long[:60_000] + "é" + long[60_000:], "z" * 100_000, long[1000:50_000] + " tail"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in suffixes.remove_repeats(df).collect()) == brute_bytes(list(enumerate(texts)))
+    assert sorted(tuple(r) for r in superkmers.remove_repeats(df).collect()) == brute_words(list(enumerate(texts)))
