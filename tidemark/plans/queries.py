@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +11,7 @@ from tidemark.functions import indicators as I
 from tidemark.operators import audit, backtest, errors, folds, inference, metrics, models, panel, regime, walkforward
 from tidemark.operators import bars as B
 from tidemark.plans import inputs as D
-from tidemark.sources.files import BARS, json_bars, manifest, one_instrument, provider, read_panel, run_table, runs, save_run, table, write_panel
+from tidemark.sources.files import BARS, json_bars, manifest, one_instrument, provider, read_panel, run_table, runs, save_run, scratch, table, write_panel
 from tidemark.sources.files import latest_run as latest
 from tidemark.streaming.bars import rate
 from tidemark.streaming.bars import tumbling_bars as tumbling
@@ -33,14 +31,6 @@ def query(f):
     return run
 
 
-def scratch(spark) -> str:
-    """A new folder for what a query writes and reads again: in the folder that the cluster shares, a temporary one in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/query-{uuid.uuid4().hex}"
-
-
 def columns(name: str, source, made) -> None:
     """Register a query of indicator columns over an input."""
 

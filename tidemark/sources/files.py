@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,35 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str = "query") -> str:
+    """A new folder for what is written and read again: in the folder that the cluster shares, a temporary one in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written in the shared folder and read again, so that it is made once and survives lost executors."""
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.kept_at = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `kept` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def local(df: DataFrame) -> DataFrame:
+    """A few rows (folds, sessions) as a relation of their own, so that plans which use them often don't compute them again."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def csv_bars(spark: SparkSession, folder: str, start: str | None = None, end: str | None = None, partitioned: bool = False) -> DataFrame:
     """One file for each symbol, named after it, or (partitioned) a folder ticker=SYMBOL; INDEX_ in a name stands for ^. The dates are inclusive."""
     if partitioned:
