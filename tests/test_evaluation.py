@@ -1,4 +1,6 @@
 import datetime
+import itertools
+import math
 import random
 
 import pytest
@@ -56,12 +58,33 @@ def test_signed_ranks_and_false_discovery(spark):
     got = {r.model: r for r in inference.signed_ranks(df).collect()}
     assert (got["m"].w_plus, got["m"].w_minus, got["m"].wins) == (2 + 4 + 0.5, 3 + 0.5, 2)
     assert got["same"].w_plus == got["same"].w_minus == 5
-    assert inference.signed_rank_p(0, 5) == pytest.approx(2 / 32) and inference.signed_rank_p(5, 4) == 1
-    assert inference.signed_rank_p(0, 2) != inference.signed_rank_p(0, 2)
     p = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", None)], "model string, p double")
     assert {r.model: r.p_adj and round(r.p_adj, 6) for r in inference.adjust_p(p).collect()} == {"a": 0.03, "b": 0.04, "c": 0.04, "d": None}
 
 
+def test_exact_p_values_by_all_sign_patterns(spark):
+    """With ties and zeros too: patterns of signs are enumerated over the ranks of absolute differences."""
+    rng = random.Random(8)
+    cases = {"plain": [0.1, -0.2, 0.3, 0.4, 0.55], "ties": [0.1, 0.1, -0.1, 0.2, 0.2, 0.3], "zeros": [0.0, 0.0, 0.1, 0.2, -0.2, 0.4, 0.4], "none": [0.0] * 4, "few": [0.1, 0.2], "one": [0.0, 0.0, 0.3], "many": [round(rng.gauss(0.3, 1), 1) for _ in range(12)]}
+    df = spark.createDataFrame([(m, k, 0.5 + x, 0.5) for m, xs in cases.items() for k, x in enumerate(xs)], "model string, fold long, value double, value_ref double")
+    got = {r.model: r for r in inference.signed_rank_p(inference.signed_ranks(df)).collect()}
+    for m, xs in cases.items():
+        size = sorted(map(abs, xs))
+        rank = {x: (size.index(x) + 1 + len(size) - size[::-1].index(x)) / 2 for x in size}
+        moving, still = [rank[abs(x)] for x in xs if x], sum(rank[0] for x in xs if not x)
+        least = min(sum(rank[abs(x)] for x in xs if x > 0), sum(rank[abs(x)] for x in xs if x < 0))
+        hits = sum(sum(r for r, s in zip(moving, signs) if s) <= least for signs in itertools.product((0, 1), repeat=len(moving)))
+        assert got[m].p == (None if len(xs) < 3 else pytest.approx(min(1, 2 * hits / 2 ** len(moving)))), m
+        assert got[m].w == pytest.approx(least + still / 2)
+    # Beyond the exact range the normal curve is close to it.
+    long = spark.createDataFrame([("a", k, 0.5 + 0.01 * (k + 1) * (-1 if k % 3 == 0 else 1), 0.5) for k in range(51)], "model string, fold long, value double, value_ref double")
+    signed = inference.signed_ranks(long)
+    w, n = signed.first().w, 51
+    assert inference.signed_rank_p(signed).first().p == pytest.approx(math.erfc(abs(w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24) / math.sqrt(2)), rel=1e-6)
+    z = spark.createDataFrame([(x / 10,) for x in range(80)], "z double").select("z", inference.normal_tail(F.col("z")).alias("p")).collect()
+    assert all(r.p == pytest.approx(math.erfc(r.z / math.sqrt(2)), rel=1e-9) for r in z)
+
+
 def test_permutation_and_bootstrap(spark):
     rng = random.Random(2)
     rows = [(f, datetime.date(2020, 1, 1) + datetime.timedelta(days=40 * f + t), f"t{k}", float(rng.random() < 0.5), rng.random()) for f in range(3) for t in range(20) for k in range(4)]

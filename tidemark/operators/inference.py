@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 from tidemark.operators import metrics
 
 
-def paired(fold_metrics: DataFrame, reference: str, metric: str) -> DataFrame:
-    """model, fold, value, value_ref: each model against the reference on the same folds."""
+def paired(fold_metrics: DataFrame, reference: str, metric: str, itself: bool = False) -> DataFrame:
+    """model, fold, value, value_ref: each model against the reference on the same folds; itself: the reference too."""
     ref = fold_metrics.where(F.col("model") == reference).select("fold", F.col(metric).alias("value_ref"))
-    return fold_metrics.where(F.col("model") != reference).select("model", "fold", F.col(metric).alias("value")).join(ref, "fold")
+    return fold_metrics.where(F.lit(itself) | (F.col("model") != reference)).select("model", "fold", F.col(metric).alias("value")).join(ref, "fold")
 
 
 def signed_ranks(pairs: DataFrame) -> DataFrame:
-    """Wilcoxon's statistic by model, ranks of zero differences split between both signs; wins are folds above the reference."""
+    """Wilcoxon's statistic by model, ranks of zero differences split between both signs; wins are folds above the reference.
+
+    halves: twice the ranks of the differences that aren't zero, for signed_rank_p. A model's folds, a few, are one row.
+    """
     d = pairs.withColumn("d", F.round(F.col("value") - F.col("value_ref"), 12)).where("d is not null")
     w = Window.partitionBy("model")
     rank = F.rank().over(w.orderBy(F.abs("d"))) + (F.count("*").over(Window.partitionBy("model", F.abs("d"))) - 1) / 2
@@ -28,27 +31,57 @@ def signed_ranks(pairs: DataFrame) -> DataFrame:
     signed = d.withColumn("rank", rank).groupBy("model").agg(
         F.count("*").alias("folds"), F.sum((F.col("d") > 0).cast("long")).alias("wins"), F.avg("d").alias("mean_diff"),
         F.sum(F.when(F.col("d") > 0, r).when(F.col("d") == 0, r / 2).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, r).when(F.col("d") == 0, r / 2).otherwise(0.0)).alias("w_minus"),
+        F.array_sort(F.collect_list(F.when(F.col("d") != 0, (2 * r).cast("int")))).alias("halves"),
     )
     return signed.withColumn("w", F.least("w_plus", "w_minus"))
 
 
-def signed_rank_p(w: float, n: int) -> float:
-    """Two-sided p-value of the statistic for n untied differences, by counting sign patterns; by the normal curve beyond 50."""
-    if n < 3:
-        return math.nan
-    if n > 50:
-        mean, sd = n * (n + 1) / 4, math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-        return math.erfc(abs(w - mean) / sd / math.sqrt(2))
-    ways = [1] + [0] * (n * (n + 1) // 2)
-    for k in range(1, n + 1):
-        for s in range(len(ways) - 1, k - 1, -1):
-            ways[s] += ways[s - k]
-    return min(1.0, 2 * sum(ways[: math.floor(w) + 1]) / 2**n)
+def significance(fold_metrics: DataFrame, reference: str = "majority", metric: str = "roc_auc") -> DataFrame:
+    """By model: folds, wins, mean_diff, w, p and p_adj of its signed ranks against the reference's; the reference itself has p 1."""
+    tested = signed_rank_p(signed_ranks(paired(fold_metrics, reference, metric, itself=True)))
+    return adjust_p(tested.select("model", "wins", "mean_diff", "w", "p"))
+
+
+#: Up to so many differences the null distribution is counted out; beyond, the normal curve stands for it.
+EXACT = 50
+
+
+def signed_rank_p(signed: DataFrame) -> DataFrame:
+    """signed (from signed_ranks) with p, two-sided, and without `halves`.
+
+    The null distribution of the statistic, given the ranks that there are (ties and zeros included), is a fold over them: an array of the
+    number of sign patterns by twice the positive rank sum, to which each rank adds itself moved by twice its size. A zero gives half of
+    its rank to both sides under any pattern. Null for fewer than 3 folds, 1 where all differences are zero. Beyond EXACT folds by the
+    normal curve, its variance from the same ranks.
+    """
+    ranks = F.col("halves")
+    size = F.aggregate(ranks, F.lit(0), lambda a, x: a + x)
+    start = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), size))
+    # ways[s] + ways[s - r]: the array moved by r places, cut to its length, is added to itself
+    step = lambda ways, r: F.zip_with(ways, F.slice(F.concat(F.array_repeat(F.lit(0.0), r), ways), 1, F.size(ways)), lambda a, b: a + b)
+    ways = F.aggregate(ranks, start, step)
+    zeros = (F.col("w_plus") + F.col("w_minus")) * 2 - size  # both halves of the zeros' ranks, in halves
+    least = (F.col("w") * 2 - zeros / 2).cast("int")
+    below = F.aggregate(F.slice("_ways", 1, F.greatest(least + 1, F.lit(0))), F.lit(0.0), lambda a, x: a + x)
+    exact = F.least(F.lit(1.0), 2 * below / F.pow(F.lit(2.0), F.size("halves")))
+    squares = F.aggregate(ranks, F.lit(0.0), lambda a, x: a + F.pow(x / 2.0, F.lit(2.0)))
+    z = F.abs(F.col("w_plus") - F.col("w_minus")) / 2 / F.sqrt(squares / 4)
+    p = F.when(F.col("folds") < 3, F.lit(None)).when(F.size("halves") == 0, 1.0).when(F.size("halves") <= EXACT, exact).otherwise(normal_tail(z))
+    few = F.when(F.size("halves") <= EXACT, ways)
+    return signed.withColumn("_ways", few).withColumn("p", p.cast("double")).drop("_ways", "halves")
+
+
+def normal_tail(z: Column) -> Column:
+    """Both tails of the normal curve beyond z >= 0: the continued fraction of the complementary error function, its series for small z."""
+    x = z / math.sqrt(2)
+    series = F.aggregate(F.sequence(F.lit(0), F.lit(60)), F.struct(x.alias("term"), F.lit(0.0).alias("sum")), lambda a, k: F.struct((-a["term"] * x * x / (k + 1)).alias("term"), (a["sum"] + a["term"] / (2 * k + 1)).alias("sum")))
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda a, k: x + k / 2.0 / a)
+    return F.when(x < 2.5, 1 - 2 / math.sqrt(math.pi) * series["sum"]).otherwise(F.exp(-x * x) / math.sqrt(math.pi) / fraction)
 
 
 def adjust_p(p: DataFrame, name: str = "p") -> DataFrame:
     """Benjamini-Hochberg: p_adj beside each p; nulls stay null."""
-    n = F.count(name).over(Window.partitionBy())
+    n = F.count(name).over(Window.partitionBy())  # a row a model
     rank = F.row_number().over(Window.orderBy(F.asc_nulls_last(name), "model"))
     ranked = p.withColumn("_rank", rank).withColumn("_q", F.col(name) * n / F.col("_rank"))
     least = F.min("_q").over(Window.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing))

@@ -340,7 +340,17 @@ RANKS = {
     "q": "SELECT *, rank() OVER (PARTITION BY model ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, abs(d)) - 1) / 2.0 AS r FROM d",
     "z": "SELECT model, count(*) AS folds, sum((d > 0)::INT)::BIGINT AS wins, avg(d) AS mean_diff, sum(CASE WHEN d > 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0 END) AS w_minus FROM q GROUP BY 1",
 }
-put("leaderboard_tests", "conf fm", f"SELECT model, lb.folds, is_baseline, {R('roc_auc brier')}, wins, {R('mean_diff')}, round(least(w_plus, w_minus), 6) + 0.0 AS w FROM lb LEFT JOIN z USING (model)", EVALUATED | BOARD | RANKS)
+# The p-value by going through all patterns of signs of the differences that aren't zero.
+PATTERNS = {
+    "h": "SELECT model, count(*) AS folds, list(CASE WHEN d <> 0 THEN 2 * r END) FILTER (WHERE d <> 0) AS r, sum(CASE WHEN d = 0 THEN r / 2 ELSE 0 END) AS still FROM q GROUP BY 1",
+    "pv": """SELECT z.model, CASE WHEN z.folds < 3 THEN NULL WHEN h.r IS NULL THEN 1.0 ELSE least(1.0, 2.0 * len(list_filter(range(1 << len(h.r)), lambda s:
+      list_sum(list_transform(range(len(h.r)), lambda k: ((s >> k) & 1) * h.r[k + 1])) <= 2 * (least(w_plus, w_minus) - still) + 1e-9)) / (1 << len(h.r))) END::DOUBLE AS p FROM z JOIN h USING (model)""",
+}
+AREAS = RANKS | {"d": "SELECT a.model, round(a.roc_auc - b.roc_auc, 12) AS d FROM em a JOIN em b USING (fold) WHERE b.model = 'majority' AND a.roc_auc IS NOT NULL AND b.roc_auc IS NOT NULL"} | PATTERNS | {
+    "adj": "SELECT model, p, CASE WHEN p IS NOT NULL THEN least(1.0, min(x) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS p_adj FROM (SELECT *, row_number() OVER (ORDER BY p NULLS LAST, model) AS k, p * count(p) OVER () / row_number() OVER (ORDER BY p NULLS LAST, model) AS x FROM pv)",
+}
+put("leaderboard_tests", "conf fm", f"SELECT model, lb.folds, is_baseline, {R('roc_auc brier')}, wins, {R('mean_diff')}, round(least(w_plus, w_minus), 6) + 0.0 AS w, {R('p p_adj')} FROM lb LEFT JOIN z USING (model) LEFT JOIN adj USING (model)", EVALUATED | BOARD | AREAS)
+put("wilcoxon_p", "fm", f"SELECT model, z.folds, round(least(w_plus, w_minus), 6) + 0.0 AS w, {R('p')} FROM z JOIN pv USING (model)", RANKS | PATTERNS)
 WALK = FOLDS | {
     "sp": " UNION ALL ".join(f"SELECT fold, '{p}' AS part, {p}_start AS a, {p}_end AS b FROM ff" for p in ("fit", "inner", "test")),
     "wb": "SELECT b.ticker, b.date, pos, b.ret_1d, b.y, CASE WHEN ticker IN ('AF', 'AO', 'NF') THEN 'dev' WHEN ticker = 'NO' THEN 'val' ELSE 'test' END AS grp FROM book b JOIN days USING (date)",

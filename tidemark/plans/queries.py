@@ -555,10 +555,9 @@ def leaderboard(spark, d):
 
 @query
 def leaderboard_tests(spark, d):
-    """The leaderboard joined with each model's signed ranks against the majority."""
+    """The leaderboard joined with each model's signed ranks against the majority: exact p-values, and adjusted for the number of models."""
     m = metrics.evaluate(D.predictions(spark, d), BY).withColumn("is_baseline", F.col("model") != "signal")
-    tests = inference.signed_ranks(inference.paired(m, "majority", "brier")).select("model", "wins", "mean_diff", "w")
-    return walkforward.leaderboard(m).select("model", "folds", "is_baseline", "roc_auc", "brier").join(tests, "model", "left")
+    return walkforward.leaderboard(m).select("model", "folds", "is_baseline", "roc_auc", "brier").join(inference.significance(m), "model", "left")
 
 
 @query
@@ -573,7 +572,13 @@ def paired_folds(spark, d):
 
 @query
 def wilcoxon_w(spark, d):
-    return inference.signed_ranks(inference.paired(_fold_metrics(spark, d), "majority", "brier"))
+    return inference.signed_ranks(inference.paired(_fold_metrics(spark, d), "majority", "brier")).drop("halves")
+
+
+@query
+def wilcoxon_p(spark, d):
+    """Exact two-sided p-values of the same."""
+    return inference.signed_rank_p(inference.signed_ranks(inference.paired(_fold_metrics(spark, d), "majority", "brier"))).select("model", "folds", "w", "p")
 
 
 @query
