@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,22 +68,40 @@ def rolling_sum(s: Column, n: int) -> Column:
     return gate(F.sum(s).over(trailing(n)), s, n)
 
 
+#: Rows of an instrument that one scaled running sum covers, at most.
+BLOCK = 2048
+
+
 def with_ewm(df: DataFrame, **means: tuple[Column, float, int]) -> DataFrame:
     """df with recursive exponential means, name=(values, alpha, least): y = (1 - alpha) y' + alpha x from the first observation on.
 
-    Missing values are passed over and keep the mean before them; it is null before `least` observations. The recursion over an
-    instrument's ordered rows is no window aggregate, so all means of a panel take one pass over each instrument, in Arrow batches.
+    Missing values (nulls and NaN) are passed over and keep the mean before them; it is null before `least` observations. The recursion is
+    linear, so it is a running sum of values divided by powers of q = 1 - alpha, multiplied by such a power again. Powers would run over,
+    so an instrument's rows are cut into blocks; what a block carries into the next is a fold over the few blocks before it. All means
+    share two orders of the rows, by instrument and by block within it, which need no other shuffle than that by instrument.
     """
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        for name, (alpha, least) in rules.items():
-            rows[name] = rows[name].astype(float).ewm(alpha=alpha, adjust=False, ignore_na=True, min_periods=least).mean()
-        return rows
-
-    rules = {name: (alpha, least) for name, (_, alpha, least) in means.items()}
-    held = df.withColumns({name: values.cast("double") for name, (values, _, _) in means.items()})
-    return held.groupBy("ticker").applyInPandas(one, held.schema)
+    block = max(1, min(BLOCK, *(int(-600 / math.log(1 - alpha)) for _, alpha, _ in means.values())))
+    power = lambda n, k: F.pow(F.lit(1 - means[n][1]), k)
+    own = Window.partitionBy("ticker", "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    every = ordered().rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumns({f"_x_{n}": F.when(~F.isnan(x.cast("double")), x.cast("double")) for n, (x, _, _) in means.items()} | {"_block": F.floor((F.row_number().over(ordered()) - 1) / block)})
+    rows = rows.withColumns({f"_k_{n}": F.count(f"_x_{n}").over(own) for n in means} | {f"_seen_{n}": F.count(f"_x_{n}").over(every) for n in means} | {"_last": F.lead("_block").over(ordered()) != F.col("_block")})
+
+    def local(n: str) -> Column:
+        x, k = F.col(f"_x_{n}"), F.col(f"_k_{n}")
+        weight = F.when(F.col(f"_seen_{n}") == 1, 1.0).otherwise(means[n][1])  # the first observation starts the mean
+        return power(n, k) * F.coalesce(F.sum(weight * x * power(n, -k)).over(own), F.lit(0.0))
+
+    rows = rows.withColumns({f"_y_{n}": local(n) for n in means})
+    # At the end of a block: the part that it makes itself, and what it leaves of all that came before.
+    end = F.when(F.col("_last"), F.struct(*(F.col(f"{c}_{n}").alias(f"{c[1:]}_{n}") for c in ("_y", "_k") for n in means)))
+    rows = rows.withColumn("_ends", F.collect_list(end).over(ordered().rowsBetween(Window.unboundedPreceding, -1)))
+
+    def whole(n: str) -> Column:
+        carried = F.aggregate("_ends", F.lit(0.0), lambda y, e: e[f"y_{n}"] + y * power(n, e[f"k_{n}"]))
+        return F.when(F.col(f"_seen_{n}") >= means[n][2], F.col(f"_y_{n}") + carried * power(n, F.col(f"_k_{n}")))
+
+    return rows.withColumns({n: whole(n) for n in means}).drop("_block", "_last", "_ends", *(f"{c}_{n}" for c in ("_x", "_k", "_seen", "_y") for n in means))
 
 
 def ema(s: Column, span: int) -> tuple[Column, float, int]:

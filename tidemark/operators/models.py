@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import dataclasses
 import random
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics
+from tidemark.operators import boosting, metrics
 
 
 def baseline_rates(fit: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,11 +54,17 @@ def learner(kind: str, n: int, **params):
         return LogisticRegression(**common, regParam=1 / (c * n), elasticNetParam=params.get("l1_ratio", 0.0 if kind == "logistic" else 0.5), maxIter=params.get("max_iter", 100), standardization=False)
     if kind == "random_forest":
         return RandomForestClassifier(**common, numTrees=params.get("trees", 100), maxDepth=params.get("depth", 8), minInstancesPerNode=params.get("leaf", 50), seed=17)
-    if kind in ("boosted_trees", "boosted_leaves"):
-        return GBTClassifier(**common, maxIter=params.get("trees", 50), maxDepth=params.get("depth", 4), stepSize=params.get("rate", 0.1), minInstancesPerNode=params.get("leaf", 1 if kind == "boosted_trees" else 100), subsamplingRate=params.get("share", 0.8), seed=17)
     raise ValueError(f"unknown learner: {kind}")
 
 
+#: Learners of boosting.py, which take nulls as they are.
+BOOSTED = {"boosted_trees": boosting.DEPTH_WISE, "boosted_leaves": boosting.LEAF_WISE}
+
+
+def growth(kind: str, **params) -> boosting.Growth:
+    return dataclasses.replace(BOOSTED[kind], **params)
+
+
 def pipeline(kind: str, columns: list[str], n: int, **params) -> Pipeline:
     """Median imputation, assembly, scaling and the learner, all fitted on the fit window alone."""
     filled = [f"_{c}" for c in columns]
@@ -70,20 +76,65 @@ def pipeline(kind: str, columns: list[str], n: int, **params) -> Pipeline:
 
 def fit_predict(fit: DataFrame, score: DataFrame, columns: list[str], kind: str = "logistic", **params) -> DataFrame:
     """score with p from a model fitted on fit(y, columns)."""
+    if kind in BOOSTED:
+        return boosting.score(boosting.fit(fit, columns, growth=growth(kind, **params)), score).select(*score.columns, "p")
     train = fit.where("y is not null")
     model = pipeline(kind, columns, max(1, train.count()), **params).fit(train)
     out = model.transform(score).withColumn("p", vector_to_array("probability")[1])
     return out.select(*score.columns, "p")
 
 
-def isotonic(inner: DataFrame, scored: DataFrame) -> DataFrame:
-    """scored with p calibrated by a monotone fit on inner(y, p), kept off 0 and 1; unchanged where inner has one class."""
-    n, classes = inner.agg(F.count("*"), F.countDistinct("y")).first()
-    if classes < 2:
-        return scored
-    low = min(1 / (n + 2), 0.01)
-    model = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="_p").fit(inner.select("p", "y"))
-    return model.transform(scored).withColumn("p", F.least(F.greatest("_p", F.lit(low)), F.lit(1 - low))).drop("_p")
+BLOCKS = "array<struct<low:double,high:double,pos:double,c:double>>"
+
+
+def pooled(scores: Column) -> Column:
+    """Adjacent violators pooled: an array of (low, high, pos, c), in the order of scores, as blocks whose means rise."""
+    block = lambda b: F.struct(b["low"].alias("low"), b["high"].alias("high"), b["pos"].alias("pos"), b["c"].alias("c"))
+
+    def into(m: Column, b: Column) -> Column:
+        """A block goes into the new one as long as its mean isn't below that of what is pooled so far."""
+        joins = ~m["done"] & (b["pos"] * m["c"] >= m["pos"] * b["c"])
+        as_one = F.struct(b["low"].alias("low"), m["high"].alias("high"), (b["pos"] + m["pos"]).alias("pos"), (b["c"] + m["c"]).alias("c"), (m["k"] + 1).alias("k"), F.lit(False).alias("done"))
+        return F.when(joins, as_one).otherwise(F.struct(m["low"], m["high"], m["pos"], m["c"], m["k"], F.lit(True).alias("done")))
+
+    def pushed(stack: Column, x: Column) -> Column:
+        start = F.struct(x["low"].alias("low"), x["high"].alias("high"), x["pos"].alias("pos"), x["c"].alias("c"), F.lit(0).alias("k"), F.lit(False).alias("done"))
+        merged = F.aggregate(F.reverse(stack), start, into)
+        return F.transform(F.array(merged), lambda m: F.concat(F.slice(stack, 1, F.size(stack) - m["k"]), F.array(block(m))))[0]
+
+    return F.aggregate(scores, F.array().cast(BLOCKS), pushed)
+
+
+def isotonic_steps(inner: DataFrame, keys: list[str], ranges: int = 64) -> DataFrame:
+    """keys, n, classes and steps: the monotone fit of inner(keys, y, p) as blocks of scores.
+
+    Scores are counted first and pooled within ranges of p, then across them, which gives the same blocks; a row a key holds them.
+    """
+    counts = metrics.counted(inner, keys).withColumn("_range", F.floor(F.col("p") * ranges))
+    one = F.struct(F.col("p").alias("low"), F.col("p").alias("high"), F.col("pos").alias("pos"), F.col("c").cast("double").alias("c"))
+    parts = counts.groupBy(*keys, "_range").agg(pooled(F.array_sort(F.collect_list(one))).alias("_blocks"), F.sum("c").alias("_n"), F.sum("pos").alias("_pos"))
+    sums = parts.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("_blocks"))).alias("_all"), F.sum("_n").alias("n"), F.sum("_pos").alias("_pos"))
+    return sums.select(*keys, "n", F.when((F.col("_pos") > 0) & (F.col("_pos") < F.col("n")), 2).otherwise(1).alias("classes"), pooled(F.col("_all")).alias("steps"))
+
+
+def stepped(p: Column, steps: Column) -> Column:
+    """The fit at p: a block's mean within it, straight lines between blocks, the outer blocks' means beyond."""
+    mean = lambda b: b["pos"] / b["c"]
+    below, above = F.filter(steps, lambda b: b["low"] <= p), F.filter(steps, lambda b: b["low"] > p)
+    a, b = F.try_element_at(below, F.lit(-1)), F.try_element_at(above, F.lit(1))
+    between = mean(a) + (mean(b) - mean(a)) * (p - a["high"]) / (b["low"] - a["high"])
+    return F.when(a.isNull(), mean(b)).when((p <= a["high"]) | b.isNull(), mean(a)).otherwise(between)
+
+
+def isotonic(inner: DataFrame, scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """scored with p calibrated by a monotone fit on inner(keys, y, p), kept off 0 and 1; unchanged where inner has one class or no rows."""
+    own = keys or ["_one"]
+    one = (lambda df: df) if keys else (lambda df: df.withColumn("_one", F.lit(0)))
+    steps = isotonic_steps(one(inner), own)
+    low = F.least(1 / (F.col("n") + 2), F.lit(0.01))
+    made = F.least(F.greatest(stepped(F.col("p"), F.col("steps")), low), 1 - low)
+    joined = one(scored).join(F.broadcast(steps), own, "left")  # a row a key
+    return joined.withColumn("p", F.when(F.col("classes") == 2, made).otherwise(F.col("p"))).select(*scored.columns)
 
 
 def platt(inner: DataFrame, scored: DataFrame, eps: float = 1e-6) -> DataFrame:

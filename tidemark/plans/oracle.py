@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -362,10 +363,20 @@ def walk(train: str, score: str) -> dict[str, str]:
         "w0": f"SELECT wb.*, sp.fold, sp.part FROM wb JOIN sp ON pos BETWEEN sp.a AND sp.b WHERE CASE WHEN part = 'test' THEN {score} ELSE {train} END",
         "wr": "SELECT fold, avg(y) AS m, avg(y) FILTER (WHERE ret_1d > 0) AS up, avg(y) FILTER (WHERE ret_1d IS NULL OR ret_1d <= 0) AS down FROM w0 WHERE part = 'fit' GROUP BY 1",
         "wp": "SELECT w0.*, u.model, u.p FROM w0 JOIN wr USING (fold), LATERAL (VALUES ('majority', m), ('persistence', CASE WHEN ret_1d IS NULL THEN 0.5 WHEN ret_1d > 0 THEN up ELSE down END), ('always_long', 1 - 1e-6)) u(model, p) WHERE part <> 'fit'",
+        # The monotone fit at each inner score: the largest over lower ends of the smallest mean over upper ends.
+        "wk": "SELECT model, fold, p, sum(y) AS pos, count(*) AS c, sum(count(*)) OVER (PARTITION BY model, fold) AS n, sum(sum(y)) OVER (PARTITION BY model, fold) AS np FROM wp WHERE part = 'inner' GROUP BY 1, 2, 3",
+        "wm": "SELECT i.model, i.fold, i.p AS a, j.p AS b, sum(m.pos) / sum(m.c) AS mean FROM wk i JOIN wk j ON i.model = j.model AND i.fold = j.fold AND i.p <= j.p JOIN wk m ON m.model = i.model AND m.fold = i.fold AND m.p BETWEEN i.p AND j.p GROUP BY 1, 2, 3, 4",
+        "wi": "SELECT model, fold, p, max(least) AS f FROM (SELECT wk.model, wk.fold, wk.p, wm.a, min(mean) AS least FROM wk JOIN wm ON wm.model = wk.model AND wm.fold = wk.fold AND wm.a <= wk.p AND wm.b >= wk.p GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3",
+        "wq": """SELECT wp.*, k.n, k.np, (SELECT arg_max(f, wi.p) FROM wi WHERE wi.model = wp.model AND wi.fold = wp.fold AND wi.p <= wp.p) AS f0, (SELECT max(wi.p) FROM wi WHERE wi.model = wp.model AND wi.fold = wp.fold AND wi.p <= wp.p) AS p0,
+          (SELECT arg_min(f, wi.p) FROM wi WHERE wi.model = wp.model AND wi.fold = wp.fold AND wi.p >= wp.p) AS f1, (SELECT min(wi.p) FROM wi WHERE wi.model = wp.model AND wi.fold = wp.fold AND wi.p >= wp.p) AS p1
+          FROM wp JOIN (SELECT DISTINCT model, fold, n, np FROM wk) k ON k.model = wp.model AND k.fold = wp.fold""",
+        "wf": "SELECT *, p AS raw, CASE WHEN f0 IS NULL THEN f1 WHEN f1 IS NULL OR p0 = p1 THEN f0 ELSE f0 + (f1 - f0) * (p - p0) / (p1 - p0) END AS fit, least(1.0 / (n + 2), 0.01) AS low FROM wq",
+        "wz": "SELECT * EXCLUDE (p), CASE WHEN np = 0 OR np = n THEN raw ELSE least(greatest(fit, low), 1 - low) END AS p FROM wf",
         "wg": "SELECT k / 100.0::DOUBLE AS threshold FROM range(5, 96) t(k)",
-        "ws": "SELECT model, fold, threshold, sum(CASE WHEN p >= threshold THEN y ELSE 0 END) AS tp, sum(CASE WHEN p >= threshold THEN 1 - y ELSE 0 END) AS fp, sum(y) AS np, sum(1 - y) AS nn, min(p) = max(p) AS same FROM wp, wg WHERE part = 'inner' GROUP BY 1, 2, 3",
+        "ws": "SELECT model, fold, threshold, sum(CASE WHEN p >= threshold THEN y ELSE 0 END) AS tp, sum(CASE WHEN p >= threshold THEN 1 - y ELSE 0 END) AS fp, sum(y) AS np, sum(1 - y) AS nn, min(p) = max(p) AS same FROM wz, wg WHERE part = 'inner' GROUP BY 1, 2, 3",
         "wc": "SELECT model, fold, CASE WHEN np = 0 OR nn = 0 OR same THEN 0.5 ELSE threshold END AS threshold FROM ws QUALIFY row_number() OVER (PARTITION BY model, fold ORDER BY round((tp / nullif(np, 0) + (nn - fp) / nullif(nn, 0)) / 2, 12) DESC NULLS LAST, threshold) = 1",
-        "preds": "SELECT wp.date, wp.ticker, wp.fold, wp.model, p, y, threshold FROM wp JOIN wc USING (model, fold) WHERE part = 'test'",
+        "preds": "SELECT wz.date, wz.ticker, wz.fold, wz.model, raw, p, y, threshold FROM wz JOIN wc USING (model, fold) WHERE part = 'test'",
+        "nf": "SELECT fold, sum((part = 'fit')::INT)::BIGINT AS n_fit, sum((part = 'inner')::INT)::BIGINT AS n_inner, sum((part = 'test')::INT)::BIGINT AS n_test FROM w0 GROUP BY 1",
         "conf": CTE["conf"], "fm": CTE["fm"],
     }
 
@@ -373,14 +384,23 @@ def walk(train: str, score: str) -> dict[str, str]:
 def tuned() -> dict[str, str]:
     return {
         "tc": "SELECT model, fold, min(date) AS test_start, max(date) AS test_end, any_value(threshold) AS tuned_threshold, count(*) AS n, sum((p >= threshold AND y = 1)::INT)::BIGINT AS tp, sum((p >= threshold AND y = 0)::INT)::BIGINT AS fp, sum((p < threshold AND y = 1)::INT)::BIGINT AS fn, sum((p < threshold AND y = 0)::INT)::BIGINT AS tn FROM preds GROUP BY 1, 2",
+        "rb": "SELECT model, fold, avg((raw - y) ** 2) AS brier_uncalibrated FROM preds GROUP BY 1, 2",
+        "rx": "SELECT * REPLACE (raw AS p) FROM preds",
         "tt": "SELECT model, fold, test_start, test_end, tuned_threshold, (tp + tn) / n AS tuned_accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS tuned_precision, coalesce(tp / nullif(tp + fn, 0), 0) AS tuned_recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS tuned_f1, (tp + fp) / n AS tuned_positive_rate FROM tc",
     }
 
 
-put("walk_forward", "book days", f"SELECT date, ticker, fold, model, {R('prob_raw prob y_true threshold')}, true AS is_baseline FROM (SELECT date, ticker, fold, model, p AS prob_raw, p AS prob, y AS y_true, threshold FROM preds)", walk("true", "true"))
+def raw_bins() -> dict[str, str]:
+    """The relations of REL over the raw probabilities, under names of their own."""
+    own = {"eg": "raw_eg", "bn": "raw_bn", "rl": "raw_rl", "ec": "raw_ec", "preds": "rx"}
+    return {own[n]: re.sub(r"\b(eg|bn|rl|preds)\b", lambda m: own[m[1]], sql) for n, sql in REL.items()}
+
+
+put("walk_forward", "book days", f"SELECT date, ticker, fold, model, {R('prob_raw prob y_true threshold')}, true AS is_baseline FROM (SELECT date, ticker, fold, model, raw AS prob_raw, p AS prob, y AS y_true, threshold FROM preds)", walk("true", "true"))
 for _name, _train, _score in (("walk_forward_metrics", "true", "true"), ("walk_forward_held_out", "grp = 'dev'", "grp = 'test'")):
     put(_name, "book days", f"""SELECT model, fold, true AS is_baseline, test_start, test_end, {R('tuned_threshold')}, n, tp, fp, fn, tn, {', '.join(f'round(c2.{x}, 6) + 0.0 AS {x}' for x in CONF.replace(' ', '').split(','))}, {R('roc_auc pr_auc brier log_loss ece mce tuned_accuracy tuned_precision tuned_recall tuned_f1 tuned_positive_rate')},
-      round(ece, 6) + 0.0 AS ece_uncalibrated, round(brier, 6) + 0.0 AS brier_uncalibrated FROM c2 JOIN auc USING (model, fold) JOIN ap USING (model, fold) JOIN fm USING (model, fold) JOIN ec USING (model, fold) JOIN tt USING (model, fold)""", walk(_train, _score) | C2 | auc("model, fold", "preds") | AP | REL | tuned())
+      round(raw_ec.ece, 6) + 0.0 AS ece_uncalibrated, {R('brier_uncalibrated')}, n_fit, n_inner, n_test
+      FROM c2 JOIN auc USING (model, fold) JOIN ap USING (model, fold) JOIN fm USING (model, fold) JOIN ec USING (model, fold) JOIN tt USING (model, fold) JOIN rb USING (model, fold) JOIN raw_ec USING (model, fold) JOIN nf USING (fold)""".replace("round(ece, 6)", "round(ec.ece, 6)").replace("round(mce, 6)", "round(ec.mce, 6)"), walk(_train, _score) | C2 | auc("model, fold", "preds") | AP | REL | tuned() | raw_bins())
 put("performance", "fm", f"SELECT model, folds, {R('accuracy log_loss')}, first_fold FROM (SELECT model, count(*) AS folds, avg(accuracy) AS accuracy, avg(log_loss) AS log_loss, min(fold) AS first_fold FROM fm GROUP BY 1)")
 put("paired_folds", "fm", f"SELECT model, fold, {R('value value_ref')} FROM (SELECT a.model, fold, a.accuracy AS value, b.accuracy AS value_ref FROM fm a JOIN fm b USING (fold) WHERE a.model <> 'majority' AND b.model = 'majority')")
 put("wilcoxon_w", "fm", f"SELECT model, folds, wins, {R('mean_diff w_plus w_minus')}, round(least(w_plus, w_minus), 6) + 0.0 AS w FROM z", {

@@ -11,7 +11,7 @@ from tidemark.functions import indicators as I
 from tidemark.operators import audit, backtest, errors, folds, inference, metrics, models, panel, regime, walkforward
 from tidemark.operators import bars as B
 from tidemark.plans import inputs as D
-from tidemark.sources.files import BARS, json_bars, manifest, one_instrument, provider, read_panel, run_table, runs, save_run, scratch, table, write_panel
+from tidemark.sources.files import BARS, json_bars, local, manifest, one_instrument, provider, read_panel, run_table, runs, save_run, scratch, table, write_panel
 from tidemark.sources.files import latest_run as latest
 from tidemark.streaming.bars import rate
 from tidemark.streaming.bars import tumbling_bars as tumbling
@@ -424,6 +424,11 @@ def _folds(spark, d):
     return folds.folds(folds.sessions(D.bars(spark, d)), 400, 120, 120, 60)
 
 
+def _local_folds(spark, d):
+    """The same, with sessions and folds (a row a date, a row a fold) taken once."""
+    return local(folds.folds(local(folds.sessions(D.bars(spark, d))), 400, 120, 120, 60))
+
+
 @query
 def fold_plan(spark, d):
     return _folds(spark, d)
@@ -473,19 +478,24 @@ def _panel_rows(spark, d):
 
 @query
 def walk_forward(spark, d):
-    """Baselines, fitted on the fit window, threshold from the inner one, scored on the test window of the same instruments."""
-    return walkforward.predict(_panel_rows(spark, d), _folds(spark, d))
+    """Baselines, fitted on the fit window, calibrated and with a threshold from the inner one, scored on the test window of the same instruments."""
+    return walkforward.predict(_panel_rows(spark, d), _local_folds(spark, d))
+
+
+def _walked(spark, d, **groups):
+    dealt = walkforward.deal(_panel_rows(spark, d), _local_folds(spark, d), **groups)
+    return walkforward.fold_metrics(walkforward.baselines(dealt), dealt)
 
 
 @query
 def walk_forward_metrics(spark, d):
-    return walkforward.fold_metrics(walkforward.predict(_panel_rows(spark, d), _folds(spark, d)))
+    return _walked(spark, d)
 
 
 @query
 def walk_forward_held_out(spark, d):
     """Fitted on the instruments of one group, scored on those of another."""
-    return walkforward.fold_metrics(walkforward.predict(_panel_rows(spark, d), _folds(spark, d), train=["dev"], score=["test"]))
+    return _walked(spark, d, train=["dev"], score=["test"])
 
 
 @query

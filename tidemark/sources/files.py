@@ -30,10 +30,10 @@ def scratch(spark: SparkSession, name: str = "query") -> str:
     return f"{(shared or tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written in the shared folder and read again, so that it is made once and survives lost executors."""
+def kept(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """df written in the shared folder, in folders by some columns, and read again: it is made once and survives lost executors."""
     folder = scratch(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.partitionBy(*by or []).parquet(folder)
     out = df.sparkSession.read.schema(df.schema).parquet(folder)
     out.kept_at = folder
     return out
