@@ -71,3 +71,15 @@ def test_packing_holds_its_constraints(spark):
         same = [texts[r.doc_id] for r in rs if r.doc_id is not None and r.doc_id < 400 and texts[r.doc_id]]
         assert len(same) == len(set(same))
     assert packing.best_fit(df.limit(0)).count() == 0
+
+
+def test_equal_rows_are_dealt_to_all_shards(spark):
+    rows = [(7, "same words here", "a")] * 4000 + [(k, "other", "b") for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.best_fit(df, capacity=100, per_source=3, shard=640).collect()
+    by_shard = collections.Counter(r.bin_id >> 32 for r in got if r.doc_id == 7)
+    assert len(got) == 4010 and len(by_shard) > 300 and max(by_shard.values()) < 40
+    again = packing.best_fit(df.repartition(5), capacity=100, per_source=3, shard=640).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    blocks = packing.numbered_rows(df.selectExpr("doc_id", "xxhash64(text) as t"), block=7).groupBy("doc_id", "t").agg({"copy": "max", "*": "count"}).collect()
+    assert all(r["max(copy)"] == r["count(1)"] - 1 for r in blocks)

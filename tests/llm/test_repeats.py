@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import time
 
 import numpy as np
 
@@ -92,6 +93,22 @@ def test_equal_rows_are_one_document(spark):
     assert got == [(1, 0), (1, 0), (2, 300), (9, 300)]
 
 
+def test_many_equal_rows_cost_what_others_do(spark):
+    """Equal rows stand as one: their strings are decided and handed out once, and all rows are answered."""
+    rng = random.Random(9)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    text = say(900)
+    rows = [(1, text)] * 2000 + [(2, text + " " + say(10)), (3, say(50)), (3, None), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    began = time.time()
+    got = collections.Counter(tuple(r)[:3] for r in superkmers.remove_repeats(df).collect())
+    assert got == {(1, 900, 900): 2000, (2, 910, 900): 1, (3, 50, 0): 1, (3, 0, 0): 2}
+    got = collections.Counter(tuple(r)[:3] for r in suffixes.remove_repeats(df).collect())
+    n = len(text)
+    assert got[(1, n, 0)] == 2000 and got[(3, 0, 0)] == 2 and next(k for k in got if k[0] == 2)[2] == n
+    assert time.time() - began < 150
+
+
 def periodic(rng, sizes, words):
     """A passage for each (period, size), as a text of its own and within other words: nothing else repeats."""
     out = []

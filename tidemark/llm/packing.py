@@ -11,8 +11,8 @@ Pieces come longest first, and among equal lengths by source and cluster, those
 next piece of that source and length, and what it has passed for a cluster is looked at again for the next cluster only, so that many
 copies or one hot source take about linear time.
 
-Scale: pieces are dealt by a hash of the document to shards of about SHARD units each, so a task holds one bounded shard, and a hot
-source or cluster is spread evenly. Only ids, lengths and hashes are shuffled, never texts; lengths are taken once and stored.
+Scale: pieces are dealt by a hash of the document, and of its number among equal rows, to shards of about SHARD units each, so a task holds
+one bounded shard, and a hot source, cluster or row is spread evenly. Only ids, lengths and hashes are shuffled, never texts; lengths are taken once and stored.
 
 Defined results: a text longer than the capacity is cut into pieces of the capacity and a rest; an empty or null text is one piece of
 length 0, which conflicts with nothing; a null doc_id or source is a value like any other; repeated rows are packed each (they share a
@@ -110,6 +110,16 @@ def pack(lengths: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacit
     return bins, offsets
 
 
+def numbered_rows(sized: DataFrame, block: int = 65_536) -> DataFrame:
+    """Equal rows with a number each (copy), so that they are dealt to different shards: counted, then spread in blocks of numbers."""
+    counts = sized.groupBy(*sized.columns).agg(F.count("*").alias("copies"))
+    many = F.col("copies") > block
+    blocks = counts.where(many).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(block).cast("long"))).alias("from")).repartition("t", "from")
+    one = counts.where(~many).withColumn("from", F.lit(0).cast("long"))
+    each = F.explode(F.sequence(F.col("from"), F.least(F.col("from") + block, F.col("copies")) - 1)).alias("copy")
+    return blocks.unionByName(one).select(*sized.columns, each)
+
+
 def best_fit(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard: int = SHARD, length: Column | None = None, cluster: Column | None = None) -> DataFrame:
     """doc_id, piece, n_units, bin_id and bin_offset of every piece of docs(doc_id, text, source).
 
@@ -122,8 +132,8 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SO
     total = sized.agg(F.sum("n"), F.count("*")).first()
     shards = max(1, -(-(total[0] or 0) // shard), -(-total[1] // (shard // 64)))
     whole = F.expr(f"sequence(0, greatest(cast(ceil(n / {capacity}) as int), 1) - 1)")
-    pieces = sized.select("*", F.explode(whole).alias("piece")).select(
-        F.pmod(F.xxhash64("doc_id", "t", "piece"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "piece", "s", "c", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("n")
+    pieces = numbered_rows(sized).select("*", F.explode(whole).alias("piece")).select(
+        F.pmod(F.xxhash64("doc_id", "t", "piece", "copy"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "piece", "s", "c", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("n")
     )
     dealt = pieces.repartition(max(1, min(shards, 100_000)), "shard").sortWithinPartitions("shard", F.desc("n"), "doc_id", "c", "piece", "s")
     names, types = ["doc_id", "piece", "n_units", "bin_id", "bin_offset"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]

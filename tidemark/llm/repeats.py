@@ -12,11 +12,15 @@ string. The steps:
    occurrence, and the operator decides exactly which windows are repeated. A string alone in its bucket needs no decision: its count tells.
 5. Decisions return to all occurrences of a string, and by document to the text.
 
+Equal rows (doc_id and text) are first counted and stand as one row; their strings count as often as there are rows, decisions are handed out
+once, and the answer is repeated at the end.
+
 Scale: each shuffle is by a hash; hot minimisers are pre-aggregated in 1 and 3. The joins of 1, 4 and 5 are between stored tables, so that
-Spark can split a hot key. A bucket of over HOT distinct strings is never given to one task: it is divided down to single windows, which
-are aggregated as equal strings are, here by all their units (map side first), with the same result. Whether a document matters for 2
-and 5 is first asked from a bit table of fixed size, which only saves work: the join decides. A finished step is a table in the shared
-folder, so a lost executor costs its tasks alone; what no later step reads is deleted.
+Spark can split a hot key. A bucket of over HOT distinct strings is not given to one task but divided by the same steps with minimisers of
+longer grams: super-k-mers within its strings, equal ones aggregated, to buckets of their own, again until none is too large (in the end the
+gram is the window, and a bucket holds one window). Whether a document matters for 2 and 5 is first asked from a bit table of fixed size,
+which only saves work: the join decides. A finished step is a table in the shared folder, so a lost executor costs its tasks alone; what no
+later step reads is deleted.
 
 Memory: a task holds a batch of documents (Arrow's limit in rows) and some tens of bytes for each byte of the longest one, or whole buckets of at
 most HOT strings of a bounded length.
@@ -40,7 +44,7 @@ from tidemark.llm.common import discard, stored
 BITS = 1 << 24
 MUL = np.uint64(0x9E3779B97F4A7C15)
 LAST = (1 << 63) - 1
-#: Distinct strings of a bucket that one task takes; larger buckets are divided down to their windows.
+#: Distinct strings of a bucket that one task takes; larger buckets are divided further.
 HOT = 20_000
 
 
@@ -123,23 +127,23 @@ def keyed(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("doc_id", "text").alias("rid"), "text")
 
 
-def minimisers(docs: DataFrame, kind: Kind) -> DataFrame:
-    """(mini, rid) for each super-k-mer, twice for one that may repeat a window in itself."""
+def minimisers(docs: DataFrame, kind: Kind, each: bool) -> DataFrame:
+    """(mini, rid) for each super-k-mer, twice for one that may repeat a window in itself, or (each) whose row occurs more than once."""
 
-    def own(text):
+    def own(text, times):
         mini, start, size, g = runs(kind.hashes(kind.split(text)), kind)
-        return np.repeat(mini, 1 + recurring(mini, start, size, g, kind)) if len(mini) else mini
+        return np.repeat(mini, 1 + (recurring(mini, start, size, g, kind) | (each and times > 1))) if len(mini) else mini
 
     def rows(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                found = [own(t.as_py()) for t in part.column(1)]
+                found = [own(t.as_py(), n) for t, n in zip(part.column(1), part.column(2).to_pylist())]
                 rid = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
                 mini = np.concatenate(found) if found else np.empty(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(mini.view(np.int64)), pa.array(rid)], names=["mini", "rid"])
 
-    return docs.select("rid", "text").mapInArrow(rows, "mini long, rid long")
+    return docs.select("rid", "text", "times").mapInArrow(rows, "mini long, rid long")
 
 
 def release(spark) -> None:
@@ -157,32 +161,34 @@ def bit_table(df: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def marked(docs: DataFrame, bits, yes: bool, column: str = "rid") -> DataFrame:
-    """Rows of which a column's bit is set, or isn't. bits: a broadcast variable of the bit table."""
+def marked(docs: DataFrame, bits, yes: bool, column: str = "rid", also=None) -> DataFrame:
+    """Rows of which a column's bit is set, or isn't. bits: a broadcast variable of the bit table; also: one in which it must not be set."""
 
     def rows(batches):
         for batch in batches:
             v = batch.column(batch.schema.get_field_index(column)).to_numpy() & (BITS - 1)
-            on = (bits.value[v >> 6] >> (v & 63) & 1).astype(bool)
-            yield batch.filter(pa.array(on == yes))
+            on = (bits.value[v >> 6] >> (v & 63) & 1).astype(bool) == yes
+            if also is not None:
+                on &= (also.value[v >> 6] >> (v & 63) & 1) == 0
+            yield batch.filter(pa.array(on))
 
     return docs.mapInArrow(rows, docs.schema)
 
 
 def occurrences(docs: DataFrame, touched: DataFrame, kind: Kind) -> DataFrame:
-    """mini, dig (hash of the string), did, rid, start, n (windows) and twice (it may repeat a window in itself) of each super-k-mer in touched."""
+    """mini, dig (hash of the string), did, rid, start, n (windows), twice (it may repeat a window in itself) and times (of its row) of each super-k-mer in touched."""
 
     def rows(batches):
         for batch in batches:
             out, held = [], 0
-            for did, rid, text, minis in zip(*batch.columns):
+            for did, rid, text, times, minis in zip(*batch.columns):
                 units = kind.split(text.as_py())
                 mini, start, size, g = runs(kind.hashes(units), kind)
                 twice = recurring(mini, start, size, g, kind) if len(mini) else start.astype(bool)
                 chosen = np.flatnonzero(np.isin(mini, minis.values.to_numpy().view(np.uint64)))
                 m, a, n = mini[chosen], start[chosen], size[chosen]
                 dig = np.fromiter((xxhash.xxh3_64_intdigest(kind.join(units, i, j)) for i, j in zip(a.tolist(), (a + n + kind.window - 1).tolist())), np.uint64, len(m))
-                out.append((m.view(np.int64), dig.view(np.int64), np.full(len(m), did.as_py()), np.full(len(m), rid.as_py()), a, n, twice[chosen]))
+                out.append((m.view(np.int64), dig.view(np.int64), np.full(len(m), did.as_py()), np.full(len(m), rid.as_py()), a, n, twice[chosen], np.full(len(m), times.as_py())))
                 held += len(m)
                 if held > 50_000:
                     yield made(out)
@@ -193,10 +199,10 @@ def occurrences(docs: DataFrame, touched: DataFrame, kind: Kind) -> DataFrame:
     def made(out):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t) for c, t in zip(zip(*out), types)], names=names)
 
-    names = ["mini", "dig", "did", "rid", "start", "n", "twice"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-    schema = "mini long, dig long, did long, rid long, start int, n int, twice boolean"
-    return docs.join(touched, "rid").select("did", "rid", "text", "minis").mapInArrow(rows, schema)
+    names = ["mini", "dig", "did", "rid", "start", "n", "twice", "times"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
+    schema = "mini long, dig long, did long, rid long, start int, n int, twice boolean, times long"
+    return docs.join(touched, "rid").select("did", "rid", "text", "times", "minis").mapInArrow(rows, schema)
 
 
 def packed_strings(docs: DataFrame, distinct: DataFrame, kind: Kind) -> DataFrame:
@@ -260,39 +266,60 @@ def by_bucket(rows: DataFrame, decide: Callable, most: int = 8000) -> DataFrame:
     return rows.repartition("mini").sortWithinPartitions("mini", "dig").mapInArrow(run, "mini long, dig long, mask binary")
 
 
-def by_window(rows: DataFrame, kind: Kind, keep_first: bool) -> DataFrame:
-    """(mini, dig, mask) as by_bucket gives, for buckets of any size: single windows are aggregated by their units, map side first."""
+def divided(rows: DataFrame, kind: Kind, decide: Callable, keep_first: bool, hot: int, anchor: int) -> DataFrame:
+    """(mini, dig, mask) as by_bucket gives, for buckets of any size: their strings are cut by minimisers of `anchor` units into buckets of their own."""
+    finer = dataclasses.replace(kind, anchor=anchor)
 
-    def spread(batches):
+    def cut(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                n = part.column("n").to_numpy()
-                windows = [kind.join(u, k, k + kind.window) for u, m in ((kind.unpack(p.as_py()), m) for p, m in zip(part.column("packed"), n.tolist())) for k in range(m)]
-                own = np.repeat(np.arange(len(n)), n)
-                offset = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-                at = part.column("fstart").to_numpy()[own] + offset
-                cols = [part.column(c).take(pa.array(own)) for c in ("mini", "dig", "n", "count", "fdid", "frid")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(at.astype(np.int64)), pa.array(offset.astype(np.int32)), pa.array(windows, pa.binary())], names=names)
-
-    names = ["mini", "dig", "n", "count", "fdid", "frid", "at", "offset", "units"]
-    once = rows.dropDuplicates(["mini", "dig"])
-    windows = once.select("mini", "dig", "count", "n", "fdid", "frid", "fstart", "packed").mapInArrow(spread, "mini long, dig long, n int, count long, fdid long, frid long, at long, offset int, units binary")
-    place = F.struct("fdid", "frid", "at")
-    groups = stored(windows.groupBy("units").agg(F.sum("count").alias("total"), F.min(place).alias("first")).where("total > 1"), "repeated-windows")
-    again = (place != F.col("first")) if keep_first else F.lit(True)
-    met = windows.join(groups, "units").where(again).groupBy("mini", "dig").agg(F.first("n").alias("n"), F.collect_list("offset").alias("offsets"))
+                part, out = batch.slice(a, 500), []
+                for k, p in enumerate(part.column("packed").to_pylist()):
+                    units = kind.unpack(p)
+                    h = kind.hashes(units)
+                    mini, start, size, g = runs(mixed(h + np.uint64(anchor)), finer)
+                    twice = recurring(mini, start, size, g, finer) if len(mini) else start.astype(bool)
+                    packed = [kind.join(units, i, j) for i, j in zip(start.tolist(), (start + size + kind.window - 1).tolist())]
+                    out += [(k, m, xxhash.xxh3_64_intdigest(x), i, n, t, x) for m, i, n, t, x in zip(mini.view(np.int64).tolist(), start.tolist(), size.tolist(), twice.tolist(), packed)]
+                own, mini, dig, offset, n, twice, packed = zip(*out) if out else [()] * 7
+                at = pa.array(own, pa.int64())
+                cols = [part.column(c).take(at) for c in ("mini", "dig", "n", "count", "fdid", "frid")]
+                place = pc.add(part.column("fstart").take(at), pa.array(offset, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(mini, pa.int64()), pa.array(np.array(dig, np.uint64).view(np.int64)), place, pa.array(offset, pa.int32()), pa.array(n, pa.int32()), pa.array(twice, pa.bool_()), pa.array(packed, pa.binary())], names=names)
+
+    names = ["omini", "odig", "on", "count", "fdid", "frid", "sub", "dig", "fstart", "offset", "n", "twice", "packed"]
+    schema = "omini long, odig long, on int, count long, fdid long, frid long, sub long, dig long, fstart int, offset int, n int, twice boolean, packed binary"
+    once = rows.dropDuplicates(["mini", "dig"]).select("mini", "dig", "n", "count", "fdid", "frid", "fstart", "packed")
+    # Two of the old buckets never share a new one.
+    pieces = stored(once.mapInArrow(cut, schema).withColumn("mini", F.xxhash64("omini", "sub")), "pieces")
+    first = F.min(F.struct("fdid", "frid", "fstart", "packed")).alias("f")
+    distinct = stored(pieces.groupBy("mini", "dig").agg(F.sum("count").alias("count"), first, F.max("n").alias("n"), F.max("twice").alias("twice")), "distinct-pieces")
+    sizes = distinct.groupBy("mini").agg(F.count("*").alias("strings"))
+    flat = stored(distinct.select("mini", "dig", "count", "f.*", "n", "twice").join(sizes, "mini"), "piece-strings")
+    discard(distinct)
+    cold, large = flat.where(F.col("strings") <= hot), flat.where(F.col("strings") > hot)
+    decided = by_bucket(cold, decide)
+    if anchor < kind.window and not large.isEmpty():
+        decided = decided.unionByName(divided(large, kind, decide, keep_first, hot, min(kind.window, 2 * anchor)))
+    elif anchor >= kind.window:
+        decided = by_bucket(flat, decide)
+    masks = flat.select("mini", "dig", "count", "fdid", "frid", "fstart").withColumnsRenamed({"count": "total", "fdid": "d", "frid": "r", "fstart": "s"}).join(stored(decided, "piece-decisions"), ["mini", "dig"], "left")
+    met = pieces.select("omini", "odig", "on", "mini", "dig", "fdid", "frid", "fstart", "offset", "n").join(masks, ["mini", "dig"])
+    whole = ((F.col("fdid") != F.col("d")) | (F.col("frid") != F.col("r")) | (F.col("fstart") != F.col("s"))) if keep_first else F.col("mask").isNull() & (F.col("total") > 1)
+    gone = met.where(whole | F.col("mask").isNotNull()).withColumn("mask", F.when(~whole, F.col("mask")))
+    spans = gone.groupBy("omini", "odig").agg(F.first("on").alias("on"), F.collect_list(F.struct("offset", "n", "mask")).alias("spans"))
 
     def bits(batches):
         for batch in batches:
             masks = []
-            for n, offsets in zip(batch.column("n").to_pylist(), batch.column("offsets")):
+            for n, spans in zip(batch.column("on").to_pylist(), batch.column("spans").to_pylist()):
                 m = np.zeros(n, bool)
-                m[offsets.values.to_numpy()] = True
+                for x in spans:
+                    m[x["offset"] : x["offset"] + x["n"]] |= True if x["mask"] is None else np.unpackbits(np.frombuffer(x["mask"], np.uint8), count=x["n"]).astype(bool)
                 masks.append(np.packbits(m).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("mini"), batch.column("dig"), pa.array(masks, pa.binary())], names=["mini", "dig", "mask"])
+            yield pa.RecordBatch.from_arrays([batch.column("omini"), batch.column("odig"), pa.array(masks, pa.binary())], names=["mini", "dig", "mask"])
 
-    return met.mapInArrow(bits, "mini long, dig long, mask binary")
+    return spans.mapInArrow(bits, "mini long, dig long, mask binary")
 
 
 def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, finish: Callable, schema: str, names: list[str], hot: int = HOT) -> DataFrame:
@@ -301,31 +328,41 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
     keep_first: a string's mask holds for its first occurrence and the others go as a whole; else it holds for all of them.
     """
     spark = docs.sparkSession
-    own = keyed(docs)
-    pairs = stored(minimisers(own, kind), "minimisers")
+    rows_ = keyed(docs)
+    # Rows that occur more than once stand as one, with their number; the others are told by a bit table.
+    twins = spark.sparkContext.broadcast(bit_table(rows_.groupBy("rid").count().where("count > 1"), "rid"))
+    alike = marked(rows_, twins, True).groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("did").alias("did"), F.first("text").alias("text"), F.count("*").alias("times"))
+    alike = stored(alike.select("doc_id", "did", "rid", "text", "times"), "equal-rows")
+
+    def having(bits, yes: bool = True) -> DataFrame:
+        """All rows, once each, of which the bit is set, or isn't."""
+        return marked(rows_, bits, yes, also=twins).withColumn("times", F.lit(1).cast("long")).unionByName(marked(alike, bits, yes))
+
+    single = marked(rows_, twins, False).withColumn("times", F.lit(1).cast("long"))
+    pairs = stored(minimisers(single.unionByName(alike), kind, not keep_first), "minimisers")
     repeated = stored(pairs.groupBy("mini").count().where("count > 1").select("mini"), "repeated-minimisers")
     touched = stored(pairs.join(repeated, "mini").groupBy("rid").agg(F.collect_set("mini").alias("minis")), "minimisers-by-document")
     discard(pairs, repeated)
     release(spark)
     bits = spark.sparkContext.broadcast(bit_table(touched, "rid"))
-    strings = stored(occurrences(marked(own, bits, True), touched, kind), "strings")
+    strings = stored(occurrences(having(bits), touched, kind), "strings")
     discard(touched)
     release(spark)
     first = F.min(F.struct("did", "rid", "start")).alias("first")
-    counted = strings.groupBy("mini", "dig").agg(F.count("*").alias("count"), first, F.max("n").alias("n"), F.max("twice").alias("twice"))
+    counted = strings.groupBy("mini", "dig").agg(F.sum("times").alias("count"), first, F.max("n").alias("n"), F.max("twice").alias("twice"))
     distinct = stored(counted.select("mini", "dig", "count", F.col("first.did").alias("fdid"), F.col("first.rid").alias("frid"), F.col("first.start").alias("fstart"), "n", "twice"), "distinct-strings")
     buckets = stored(distinct.groupBy("mini").agg(F.count("*").alias("strings"), F.max("twice").alias("any")).where("strings > 1 or any").select("mini", "strings"), "buckets")
     release(spark)
     # Only the first occurrence of a string that needs a decision travels with its text.
     open_ = stored(distinct.join(buckets, "mini"), "open-strings")
     wanted = spark.sparkContext.broadcast(bit_table(open_, "frid"))
-    flat = stored(packed_strings(marked(own, wanted, True), open_, kind), "bucket-strings")
+    flat = stored(packed_strings(having(wanted), open_, kind), "bucket-strings")
     discard(open_, buckets)
     release(spark)
     cold, large = flat.where(F.col("strings") <= hot), flat.where(F.col("strings") > hot)
     decided = by_bucket(cold, decide)
     if not large.isEmpty():
-        decided = decided.unionByName(by_window(large, kind, keep_first))
+        decided = decided.unionByName(divided(large, kind, decide, keep_first, hot, min(kind.window, 2 * kind.anchor)))
     masks = stored(distinct.select("mini", "dig", "count", "frid", "fstart").join(stored(decided, "decisions"), ["mini", "dig"], "left"), "masks")
     discard(flat, distinct)
     release(spark)
@@ -358,9 +395,6 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
 
     def rows(batches):
         for batch in batches:
-            if "spans" not in batch.schema.names:
-                v = batch.column("rid").to_numpy() & (BITS - 1)
-                batch = batch.filter(pa.array((bits.value[v >> 6] >> (v & 63) & 1) == 0))
             for a in range(0, batch.num_rows, 500):
                 yield made(batch.slice(a, 500))
 
@@ -375,9 +409,12 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
                 start, n = (found.field(c).to_numpy() for c in ("start", "n"))
                 removed = np.cumsum(change_of(len(units), start, n, found.field("mask").to_pylist())[:-1]) > 0
             out.append((doc_id.as_py(), *finish(text, units, removed)))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types)], names=names)
+        made = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types)]
+        return pa.RecordBatch.from_arrays([*made, batch.column("times")], names=[*names, "times"])
 
     types = [pa.string() if part.split()[1] == "string" else pa.int64() for part in schema.split(", ")]
-    clean = own.select("doc_id", "text", "rid").mapInArrow(rows, schema)
-    joined = marked(own, bits, True).join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(rows, schema)
-    return clean.unionByName(joined)
+    clean = having(bits, False).select("doc_id", "text", "times").mapInArrow(rows, f"{schema}, times long")
+    joined = having(bits).join(spans, "rid", "left").select("doc_id", "text", "times", "spans").mapInArrow(rows, f"{schema}, times long")
+    both = clean.unionByName(joined)
+    again = both.where("times > 1").withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return both.where("times = 1").unionByName(again).drop("times")
