@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import files
+from tidemark.sources import files, vendor, versions
 from tidemark.streaming import bars as S
 
 
@@ -34,7 +34,7 @@ def test_stream_of_ticks_and_upserts(spark, tmp_path):
     sink = S.upsert_sink(str(tmp_path / "out"), ["ticker", "start"])
     q = S.tumbling_bars(stream).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = max((spark.read.parquet(str(p)) for p in (tmp_path / "out").iterdir()), key=lambda df: df.count())
+    got = versions.read(spark, str(tmp_path / "out"))
     assert sorted((r.open, r.close, r.volume) for r in got.collect()) == [(10.0, 19.0, 3.0), (20.0, 29.0, 3.0), (60.0, 69.0, 3.0)]
 
 
@@ -102,3 +102,72 @@ def test_filtered_regimes_of_a_stream(spark, tmp_path):
     batches = [[("m", day(k), float(x[k, 0])) for k in range(a, a + 40)] for a in (0, 40)]
     got = played(spark, tmp_path, batches, "market string, date date, v double", lambda s: S.regime_stream(s, ["v"], model)).orderBy("date").collect()
     assert np.allclose([r.posterior for r in got], regime.forward_filter(x, *model)) and len(got) == 80
+
+
+def test_values_expire(spark, tmp_path):
+    t0 = datetime.datetime(2024, 1, 1)
+    at = lambda s: t0 + datetime.timedelta(seconds=s)
+    batches = [[("A", at(0), 1.0), ("B", at(5), 2.0)], [("A", at(50), 3.0)], [("C", at(100), 4.0)], [("C", at(130), 5.0), ("D", at(20), 9.0)]]
+    got = played(spark, tmp_path, batches, "ticker string, ts timestamp, value double", lambda s: S.expiring(s, 60)).collect()
+    rows = [(r.ticker, (r.ts - t0).seconds, r.value, r.status) for r in got]
+    fresh, stale = [r[:3] for r in rows if r[3] == "fresh"], [r[:3] for r in rows if r[3] == "stale"]
+    assert ("A", 0, 1.0) in fresh and ("A", 50, 3.0) in fresh and ("C", 130, 5.0) in fresh
+    # B passed its time while others went on; A's first value was replaced in time, its second expired later.
+    assert ("B", 5, 2.0) in stale and ("A", 0, 1.0) not in stale and ("A", 50, 3.0) in stale and not any(r[0] == "C" for r in stale)
+
+
+def test_versions_are_published_whole(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    assert versions.read(spark, folder) is None
+    day = lambda d: datetime.date(2020, 1, d)
+    bars = lambda rows: spark.createDataFrame(rows, "ticker string, date date, close double")
+    versions.publish(bars([("A", day(2), 1.0), ("B", day(3), 2.0)]), folder)
+    broken = bars([("A", day(9), 9.0)]).withColumn("close", F.expr("if(close > 0, raise_error('no'), 0D)"))
+    with pytest.raises(Exception, match="no"):
+        versions.publish(broken, folder)
+    assert sorted(r.close for r in versions.read(spark, folder).collect()) == [1.0, 2.0]
+    for _ in range(2):  # a batch that comes again
+        versions.merge(bars([("A", day(2), 5.0), ("A", day(6), 6.0)]), folder, ["ticker", "date"])
+    assert sorted(r.close for r in versions.read(spark, folder).collect()) == [2.0, 5.0, 6.0]
+    assert len(versions.versions(spark, folder)) == versions.KEEP
+    by = {r.ticker: r for r in versions.fresh(spark, folder, 3600, "2020-01-06").collect()}
+    assert by["A"].fresh and not by["B"].fresh and 0 <= by["A"].age_seconds < 3600 and (by["A"].first, by["A"].last) == (day(2), day(6))
+    assert not any(r.fresh for r in versions.fresh(spark, folder, 3600, "2020-01-02", now="2099-01-01").collect())
+    path = versions.current(spark, folder).removeprefix("file:")
+    with open(f"{path}/part-damaged.parquet", "wb") as f:
+        f.write(b"PAR1 half of a file")
+    assert versions.set_aside(spark, folder) == ["part-damaged.parquet"] and versions.read(spark, folder).count() == 3
+
+
+def test_vendor_as_a_data_source(spark, tmp_path):
+    """A stub transport, which notes every request: filters reach it, failures are tried again, challenges aren't."""
+    notes = str(tmp_path)
+
+    def fetch(symbol, start, end):
+        import os
+        import uuid
+
+        with open(os.path.join(notes, uuid.uuid4().hex), "w") as f:
+            f.write(f"{symbol} {start} {end}")
+        if symbol == "flaky.us" and sum("flaky" in open(os.path.join(notes, n)).read() for n in os.listdir(notes)) < 2:
+            raise OSError("timed out")
+        if symbol == "shut.us":
+            return "<!DOCTYPE html><html>requires JavaScript"
+        if symbol == "dead.us":
+            raise OSError("gone")
+        return "Date,Open,High,Low,Close,Volume\n" + "".join(f"2020-01-{d:02d},1,2,0.5,{d},10\n" for d in (6, 2, 3, 3, 9))
+
+    source = vendor.vendor("stub_bars", fetch, form=vendor.suffixed)
+    asked = lambda: sorted(p.read_text() for p in tmp_path.iterdir())
+    bars = vendor.vendor_bars(spark, source, ["BRK-B", "^VIX", "AAA"], start="2020-01-01", wait=0)
+    got = bars.where("ticker in ('BRK-B', '^VIX') and date > date'2020-01-02' and date <= date'2020-01-06' and close > 3").collect()
+    assert sorted((r.ticker, r.date.day, r.adj_close) for r in got) == [("BRK-B", 6, 6.0), ("^VIX", 6, 6.0)]
+    assert set(asked()) == {"^vix 2020-01-03 2020-01-06", "brk.b.us 2020-01-03 2020-01-06"}
+    assert vendor.vendor_bars(spark, source, ["FLAKY"], wait=0).count() == 4
+    with pytest.raises(Exception, match="asks for a browser"):
+        vendor.vendor_bars(spark, source, ["SHUT"], attempts=3, wait=0).collect()
+    assert len([x for x in asked() if x.startswith("shut")]) <= 4  # a try of the task, not three of each
+    with pytest.raises(Exception, match="no bars in 2 attempts"):
+        vendor.vendor_bars(spark, source, ["DEAD"], wait=0).collect()
+    with pytest.raises(Exception, match="not symbols"):
+        vendor.vendor_bars(spark, source, ["../etc"]).collect()

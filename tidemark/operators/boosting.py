@@ -25,7 +25,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,7 +102,7 @@ def leaf_of(tree: tuple, bins: np.ndarray) -> np.ndarray:
 
 def cuts_of(rows: DataFrame, columns: list[str], bins: int) -> dict[int, list[np.ndarray]]:
     """By group: each feature's bin limits, values that rows have; a value v is in bin k if k limits are at most v. At most bins - 1 limits."""
-    shares = [k / bins for k in range(1, bins)]
+    shares = F.array(*(F.lit(k / bins) for k in range(1, bins)))
     asked = [F.percentile_approx(F.when(~F.isnan(c), F.col(c)), shares, 10 * bins).alias(f"c{k}") for k, c in enumerate(columns)]
     low = [F.min(F.when(~F.isnan(c), F.col(c))).alias(f"l{k}") for k, c in enumerate(columns)]
     out = {}
@@ -196,28 +196,28 @@ def histograms(data: DataFrame, width: int, trees: dict[int, list[tuple]], now:
     return data.mapInArrow(run, "g int, node int, feature int, bin int, sg double, sh double, c long")
 
 
+#: One statement, as a job is planned for every level. Rows come by (g, node, feature), so that only the last grouping moves them again.
+SPLITS = """
+WITH total AS (SELECT g, node, feature, bin, sum(sg) AS sg, sum(sh) AS sh, sum(c) AS c FROM {found} GROUP BY g, node, feature, bin),
+sides AS (
+  SELECT g, node, feature, bin, sum(sg) OVER f AS g_all, sum(sh) OVER f AS h_all, sum(c) OVER f AS c_all, sum(IF(bin < 255, sg, 0)) OVER r AS gl, sum(IF(bin < 255, sh, 0)) OVER r AS hl, sum(IF(bin < 255, c, 0)) OVER r AS cl,
+    sum(IF(bin = 255, sg, 0)) OVER f AS gm, sum(IF(bin = 255, sh, 0)) OVER f AS hm, sum(IF(bin = 255, c, 0)) OVER f AS cm
+  FROM total WINDOW f AS (PARTITION BY g, node, feature), r AS (PARTITION BY g, node, feature ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+-- A node of which all rows lack a feature still tells its sums.
+ways AS (
+  SELECT g, node, feature, bin, g_all, h_all, c_all, w AS missing_left, gl + IF(w, gm, 0) AS gl, hl + IF(w, hm, 0) AS hl, cl + IF(w, cm, 0) AS cl
+  FROM sides LATERAL VIEW explode(IF(cm > 0 AND bin < 255, array(false, true), array(false))) x AS w),
+gains AS (
+  SELECT *, CASE WHEN bin < 255 AND hl >= {least_weight} AND h_all - hl >= {least_weight} AND cl >= {least_rows} AND c_all - cl >= {least_rows} AND cl < c_all
+    THEN round(gl * gl / (hl + {l2}) + (g_all - gl) * (g_all - gl) / (h_all - hl + {l2}) - g_all * g_all / (h_all + {l2}), 9) END AS gain FROM ways),
+best AS (SELECT g, node, max_by(struct(feature, bin, missing_left, gain, gl, hl, cl, g_all, h_all, c_all), struct(coalesce(gain, -1D), -feature, -bin, NOT missing_left)) AS s FROM gains GROUP BY g, node)
+SELECT g, node, s.* FROM best
+"""
+
+
 def best_splits(found: DataFrame, growth: Growth) -> DataFrame:
     """By g and node: its sums (g_all, h_all, c_all) and the best split: feature, bin, missing_left, gain and the sums of its left side."""
-    total = found.groupBy("g", "node", "feature", "bin").agg(F.sum("sg").alias("sg"), F.sum("sh").alias("sh"), F.sum("c").alias("c"))
-    known = F.col("bin") < MISSING
-    all_, so_far = Window.partitionBy("g", "node", "feature"), Window.partitionBy("g", "node", "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    sides = total.select(
-        "g", "node", "feature", "bin", *(F.sum(c).over(all_).alias(f"{n}_all") for n, c in (("g", "sg"), ("h", "sh"), ("c", "c"))),
-        *(F.sum(F.when(known, F.col(c)).otherwise(0)).over(so_far).alias(f"{n}l") for n, c in (("g", "sg"), ("h", "sh"), ("c", "c"))),
-        *(F.sum(F.when(~known, F.col(c)).otherwise(0)).over(all_).alias(f"{n}m") for n, c in (("g", "sg"), ("h", "sh"), ("c", "c"))),
-    )
-    way = F.explode(F.when(F.col("cm") > 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("missing_left")
-    both = sides.where(known).select("*", way)
-    for n in "ghc":
-        both = both.withColumn(f"{n}l", F.col(f"{n}l") + F.when(F.col("missing_left"), F.col(f"{n}m")).otherwise(0))
-    gl, hl, cl, g, h, c = (F.col(x) for x in ("gl", "hl", "cl", "g_all", "h_all", "c_all"))
-    part = lambda a, b: a * a / (b + growth.l2)
-    fits = (hl >= growth.least_weight) & (h - hl >= growth.least_weight) & (cl >= growth.least_rows) & (c - cl >= growth.least_rows) & (cl < c)
-    gain = F.when(fits, F.round(part(gl, hl) + part(g - gl, h - hl) - part(g, h), 9))
-    # A node of which all rows lack a feature still tells its sums.
-    rows = both.withColumn("gain", gain).unionByName(sides.where(~known).withColumn("missing_left", F.lit(False)).withColumn("gain", F.lit(None).cast("double")))
-    order = F.struct(F.coalesce("gain", F.lit(-1.0)), -F.col("feature"), -F.col("bin"), ~F.col("missing_left"))
-    return rows.groupBy("g", "node").agg(F.max_by(F.struct("feature", "bin", "missing_left", "gain", "gl", "hl", "cl", "g_all", "h_all", "c_all"), order).alias("s")).select("g", "node", "s.*")
+    return found.sparkSession.sql(SPLITS, found=found.repartition("g", "node", "feature"), l2=growth.l2, least_weight=growth.least_weight, least_rows=growth.least_rows)
 
 
 def leaf_wise(tree: Tree, splits: dict[int, dict], leaves: int) -> tuple[list[int], list[int]]:
@@ -336,6 +336,27 @@ class Boosted:
         return {g: [(np.array(t.feature), np.array([self.threshold(g, f, b) if f >= 0 else np.nan for f, b in zip(t.feature, t.bin)]), np.array(t.missing_left), np.array(t.left), np.array(t.right), np.array(t.value), np.array(t.cover)) for t in ts] for g, ts in self.trees.items()}
 
 
+def from_rows(columns: list[str], rows: list[tuple], growth: Growth) -> Boosted:
+    """A model without keys from its node rows."""
+    base, trees, limits = {0: 0.0}, {0: []}, [set() for _ in columns]
+    at = {c: k for k, c in enumerate(columns)}
+    for r in rows:
+        if r[3] is not None and math.isfinite(r[4]):
+            limits[at[r[3]]].add(r[4])
+    cuts = [np.array(sorted(x)) for x in limits]
+    for _, tree, _, feature, threshold, missing_left, left, right, value, cover, n, gain in sorted(rows, key=lambda r: (r[1], r[2])):
+        if tree < 0:
+            base[0] = value
+            continue
+        if tree == len(trees[0]):
+            trees[0].append(Tree())
+        t, inner = trees[0][tree], feature is not None
+        new = (at[feature], int(np.searchsorted(cuts[at[feature]], threshold)), missing_left, left, right) if inner else (-1, -1, False, -1, -1)
+        for c, v in zip((t.feature, t.bin, t.missing_left, t.left, t.right, t.value, t.cover, t.rows, t.gain), (*new, value, cover, n, gain or 0.0)):
+            c.append(v)
+    return Boosted(columns, [()], [], base, trees, {0: cuts}, growth)
+
+
 def grouped(rows: DataFrame, keys: list[str], groups: list[tuple] | None = None) -> tuple[DataFrame, list[tuple]]:
     """rows with g, the number of their group by keys; the groups, a few, are numbered in their order."""
     spark = rows.sparkSession

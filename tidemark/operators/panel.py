@@ -1,4 +1,4 @@
-"""Features, labels and the panel that joins them: one shuffle by instrument, broadcast joins for the context by date."""
+"""Features, labels and the panel that joins them: context is joined by date first, then one shuffle by instrument serves all windows."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ DECAY = 0.94
 
 def with_context(bars: DataFrame, context: DataFrame, sectors: DataFrame, limit: int = 3) -> DataFrame:
     """Benchmark, volatility and sector closes on an instrument's own days; gaps take the last of the `limit` rows before."""
-    joined = matched(bars, context, sectors)
+    joined = matched(bars, context.select("date", "bench_close", "vix"), sectors)
     filled = I.ordered().rowsBetween(-limit, 0)
     return joined.select(*bars.columns, "sector", *(F.last(c, True).over(filled).alias(c) for c in ("bench_close", "vix", "sector_close")))
 
@@ -118,12 +118,16 @@ def calendar() -> dict[str, Column]:
     return out | {"month_sin": F.sin(turn), "month_cos": F.cos(turn), "days_to_month_end": F.datediff(F.last_day(d), d) / F.lit(31.0)}
 
 
+def with_forward(bars: DataFrame, context: DataFrame, horizons: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """bars with _b<h>, the benchmark's forward returns over its own days."""
+    w = Window.orderBy("date")  # one row a date
+    return bars.join(context.select("date", *((F.try_divide(F.lead("bench_close", h).over(w), F.col("bench_close")) - 1).alias(f"_b{h}") for h in horizons)), "date", "left")
+
+
 def targets(bars: DataFrame, context: DataFrame, horizons: tuple[int, ...] = (1, 5)) -> DataFrame:
     """Forward returns, directions and excess over the benchmark (whose forward returns are over its own days)."""
-    w = Window.orderBy("date")  # one row a date
-    bench = context.select("date", *((F.try_divide(F.lead("bench_close", h).over(w), F.col("bench_close")) - 1).alias(f"_b{h}") for h in horizons))
     c, o = F.col("close"), F.col("open")
-    own = bars.join(bench, "date", "left")
+    own = bars if {f"_b{h}" for h in horizons} <= set(bars.columns) else with_forward(bars, context, horizons)
     cols: dict[str, Column] = {}
     for h in horizons:
         cols |= {f"fwd_ret_{h}d": I.ratio(I.lead(c, h), c) - 1, f"fwd_ret_open_{h}d": I.ratio(I.lead(c, h), I.lead(o, 1)) - 1}
@@ -147,14 +151,17 @@ def tagged(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def build(bars: DataFrame, context: DataFrame, sectors: DataFrame, horizons: tuple[int, ...] = (1, 5), warm_up: int = WARM_UP) -> DataFrame:
     """The whole panel: every feature of the seven groups and every label, by instrument and date, without the warm-up rows.
 
-    Bars are shuffled by instrument after the context is joined; all windows and exponential means keep that partitioning.
+    What is known by date is joined before; then bars are shuffled by instrument once, and all windows and exponential means keep that partitioning.
     """
-    rows = market(with_means(with_returns(with_context(bars, context, sectors))))
+    rows = market(with_means(with_returns(with_context(with_forward(bars, context, horizons), context, sectors))))
     features = returns() | momentum() | means() | volatility() | volume() | trend() | calendar()
     wide = rows.withColumn("_row", F.row_number().over(I.ordered())).select("*", *(x.alias(n if n != "rsi_14" else "_rsi") for n, x in features.items() if n not in rows.columns or n == "rsi_14"))
     labelled = targets(wide, context, horizons).where(F.col("_row") > warm_up).drop("rsi_14").withColumnRenamed("_rsi", "rsi_14")
-    names = [*features, *MARKET]
-    return labelled.select("ticker", "date", *names, *label_columns(horizons), "ewma_sigma", "sector")
+    return labelled.select("ticker", "date", *feature_names(), *label_columns(horizons), "ewma_sigma", "sector")
+
+
+def feature_names() -> list[str]:
+    return [*returns(), *momentum(), *means(), *volatility(), *volume(), *trend(), *calendar(), *MARKET]
 
 
 def label_columns(horizons: tuple[int, ...] = (1, 5)) -> list[str]:

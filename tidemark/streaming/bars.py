@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.bars import upsert
 from tidemark.operators.regime import log_density
+from tidemark.sources import versions
 
 
 def tumbling_bars(ticks: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -22,22 +22,48 @@ def tumbling_bars(ticks: DataFrame, width: str = "1 day", late: str = "2 days")
 
 
 def upsert_sink(path: str, keys: list[str]):
-    """For foreachBatch: merges each batch into the table at path, keeping the last value of a key. Two versions alternate, so a failed batch leaves the old one."""
+    """For foreachBatch: merges each batch into the versioned table at path, keeping the last value of a key. A batch that comes again changes nothing."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        target = f"{path}/v{epoch % 2}"
-        try:
-            old = spark.read.parquet(f"{path}/v{(epoch + 1) % 2}")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = batch.limit(0)
-        upsert(old, batch, keys).write.mode("overwrite").parquet(target)
+        versions.merge(batch, path, keys)
 
     return merge
 
 
+def expiring(rows: DataFrame, seconds: int, late: str = "0 seconds") -> DataFrame:
+    """ticker, ts, value and status of a stream of (ticker, ts, value): the newest value of each key, and again as `stale` once event time has passed it by so many seconds.
+
+    The state of a key is its newest value; when it expires it is emitted and dropped, so idle keys cost nothing. A value that comes when it
+    is already that old is stale at once. Rows later than `late` may be dropped, as watermarks do.
+    """
+
+    def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            value, ms = state.get
+            state.remove()
+            yield pd.DataFrame({"ticker": [key[0]], "ts": [pd.Timestamp(ms, unit="ms")], "value": [value], "status": ["stale"]})
+            return
+        value, ms = state.get if state.exists else (math.nan, -1)
+        new = False
+        for rows in batches:
+            at = rows["ts"].astype("datetime64[ms]").astype("int64")
+            k = at.to_numpy().argmax()
+            if at.iloc[k] >= ms:
+                value, ms, new = float(rows["value"].iloc[k]), int(at.iloc[k]), True
+        if not new:
+            return
+        due, now = ms + seconds * 1000, state.getCurrentWatermarkMs()
+        if due > now:
+            state.update((value, ms))
+            state.setTimeoutTimestamp(due)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"ticker": [key[0]], "ts": [pd.Timestamp(ms, unit="ms")], "value": [value], "status": ["fresh" if due > now else "stale"]})
+
+    out = "ticker string, ts timestamp, value double, status string"
+    return rows.select("ticker", "ts", "value").withWatermark("ts", late).groupBy("ticker").applyInPandasWithState(step, out, "value double, ms long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def rate(events: DataFrame, limit: int = 120, seconds: int = 60) -> DataFrame:
     """events(user_id, ts) with the number of the user's events in the last seconds, and whether it passes the limit."""
     from pyspark.sql import Window
