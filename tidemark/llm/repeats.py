@@ -127,8 +127,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("doc_id", "text").alias("rid"), "text")
 
 
-def minimisers(docs: DataFrame, kind: Kind, each: bool) -> DataFrame:
-    """(mini, rid) for each super-k-mer, twice for one that may repeat a window in itself, or (each) whose row occurs more than once."""
+def minimisers(docs: DataFrame, kind: Kind, each: bool, without=None) -> DataFrame:
+    """(mini, rid) for each super-k-mer, twice for one that may repeat a window in itself, or (each) whose row occurs more than once.
+
+    without: a broadcast bit table; rows that it has are left out.
+    """
 
     def own(text, times):
         mini, start, size, g = runs(kind.hashes(kind.split(text)), kind)
@@ -136,6 +139,7 @@ def minimisers(docs: DataFrame, kind: Kind, each: bool) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
+            batch = batch if without is None else unset(batch, without)
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 found = [own(t.as_py(), n) for t, n in zip(part.column(1), part.column(2).to_pylist())]
@@ -161,6 +165,15 @@ def bit_table(df: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def unset(batch, *tables):
+    """The rows of a batch whose rid isn't in any of the bit tables."""
+    v = batch.column(batch.schema.get_field_index("rid")).to_numpy() & (BITS - 1)
+    on = np.zeros(len(v), bool)
+    for bits in tables:
+        on |= (bits.value[v >> 6] >> (v & 63) & 1).astype(bool)
+    return batch.filter(pa.array(~on))
+
+
 def marked(docs: DataFrame, bits, yes: bool, column: str = "rid", also=None) -> DataFrame:
     """Rows of which a column's bit is set, or isn't. bits: a broadcast variable of the bit table; also: one in which it must not be set."""
 
@@ -330,16 +343,17 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
     spark = docs.sparkSession
     rows_ = keyed(docs)
     # Rows that occur more than once stand as one, with their number; the others are told by a bit table.
-    twins = spark.sparkContext.broadcast(bit_table(rows_.groupBy("rid").count().where("count > 1"), "rid"))
-    alike = marked(rows_, twins, True).groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("did").alias("did"), F.first("text").alias("text"), F.count("*").alias("times"))
+    table = bit_table(rows_.groupBy("rid").count().where("count > 1"), "rid")
+    twins = spark.sparkContext.broadcast(table)
+    alike = (marked(rows_, twins, True) if table.any() else rows_.limit(0)).groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("did").alias("did"), F.first("text").alias("text"), F.count("*").alias("times"))
     alike = stored(alike.select("doc_id", "did", "rid", "text", "times"), "equal-rows")
 
     def having(bits, yes: bool = True) -> DataFrame:
         """All rows, once each, of which the bit is set, or isn't."""
         return marked(rows_, bits, yes, also=twins).withColumn("times", F.lit(1).cast("long")).unionByName(marked(alike, bits, yes))
 
-    single = marked(rows_, twins, False).withColumn("times", F.lit(1).cast("long"))
-    pairs = stored(minimisers(single.unionByName(alike), kind, not keep_first), "minimisers")
+    single = rows_.withColumn("times", F.lit(1).cast("long"))
+    pairs = stored(minimisers(single, kind, not keep_first, twins).unionByName(minimisers(alike, kind, not keep_first)), "minimisers")
     repeated = stored(pairs.groupBy("mini").count().where("count > 1").select("mini"), "repeated-minimisers")
     touched = stored(pairs.join(repeated, "mini").groupBy("rid").agg(F.collect_set("mini").alias("minis")), "minimisers-by-document")
     discard(pairs, repeated)
@@ -393,6 +407,9 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
                     np.add.at(change, a + on[np.append(jumps, len(on) - 1)] + kind.window, -1)
         return change
 
+    def untouched(batches):
+        yield from rows(unset(batch, bits, twins) for batch in batches)
+
     def rows(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
@@ -413,7 +430,7 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
         return pa.RecordBatch.from_arrays([*made, batch.column("times")], names=[*names, "times"])
 
     types = [pa.string() if part.split()[1] == "string" else pa.int64() for part in schema.split(", ")]
-    clean = having(bits, False).select("doc_id", "text", "times").mapInArrow(rows, f"{schema}, times long")
+    clean = single.select("doc_id", "text", "times", "rid").mapInArrow(untouched, f"{schema}, times long").unionByName(marked(alike, bits, False).select("doc_id", "text", "times").mapInArrow(rows, f"{schema}, times long"))
     joined = having(bits).join(spans, "rid", "left").select("doc_id", "text", "times", "spans").mapInArrow(rows, f"{schema}, times long")
     both = clean.unionByName(joined)
     again = both.where("times > 1").withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
