@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tidemark.llm import decontaminate
 
 
@@ -70,3 +72,17 @@ def test_rows(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2]
     assert decontaminate.find_leaks(docs.limit(0), items).count() == 0
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_a_very_long_document_and_tables_of_bits(spark):
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"v{rng.randrange(5000)}" for _ in range(n))
+    items = [(k, say(rng.randint(5, 40))) for k in range(30)]
+    long = " ".join([say(40_000), items[3][1], say(20_000), items[4][1].upper(), say(10)])
+    docs = spark.createDataFrame([(1, long), (2, say(70_000)), (3, None)], "doc_id long, text string")
+    got = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.containment) for r in got) == [(1, 3, 1.0), (1, 4, 1.0)]
+    values = spark.createDataFrame([(list(range(k, k + 100)),) for k in range(0, 9000, 50)], "x array<long>")
+    table = decontaminate.bit_table(values, "x")
+    assert 64 * len(table) >= decontaminate.ROOM * 9050 and decontaminate.has_bit(table, np.arange(9050, dtype=np.uint64)).all()
+    assert decontaminate.has_bit(table, np.arange(10_000, 200_000, dtype=np.uint64)).mean() < 0.05

@@ -88,3 +88,22 @@ def test_few_rows(spark):
     one = imatch.fingerprints(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one[0].near_next == 1
     assert imatch.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_very_long_text_is_taken_whole(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(60)]
+    long = " ".join(rng.choice(words) for _ in range(60_000))
+    df = spark.createDataFrame([*enumerate(texts), (100, long), (101, long + " tail")], "doc_id long, text string")
+    got = {r.doc_id: r for r in imatch.fingerprints(df, (0.0, 9.0)).collect()}
+    assert got[100].n_chars == len(long) and got[100].near_next > 0.9
+    half = len(long) // 2
+    assert got[100].edited_sha256 == hashlib.sha256((long[: len(long) - half] + (long + " tail")[:half]).encode()).hexdigest()
+
+
+def test_ranges_come_from_a_sample(spark):
+    df = spark.range(5000).selectExpr("id as doc_id", "'t' as text").union(spark.range(3000).selectExpr("7L", "'hot'"))
+    cuts = imatch.range_cuts(df, 8000, 10)
+    assert 7 <= len(cuts) <= 9 and all(200 < b - a < 1200 for a, b in zip(cuts, cuts[1:]))
+    assert imatch.range_cuts(df.limit(0), 1, 4) == []

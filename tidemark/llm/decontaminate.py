@@ -11,7 +11,7 @@ Recall of the candidate search: an item of which the share `least` = 0.8 lies in
 it, so all of 16 minima miss it with a probability of about 2e-4; a verbatim quotation is missed with less than 1e-5, and one of a
 single shingle never. A scattered item is found with the same odds where the document quotes few other items; the tests measure it.
 
-Scale: the items' sketch is a bit table of fixed size (1 MB) that goes to the executors; what passes it is joined with the items'
+Scale: the items' sketch is a bit table that goes to the executors, sized by the number of the items' shingles up to 32 MB; what passes it is joined with the items'
 sketches by Spark, which picks the join by the sizes it sees. No text is shuffled. Containment is counted for candidates alone, so a
 phrase that many documents and items share makes no rows by itself. Memory: some tens of bytes for each byte of the longest text.
 
@@ -36,7 +36,8 @@ from tidemark.llm.simhash import shingle_hashes
 WORDS = 5
 LEAST = 0.8
 PERMUTATIONS = 16
-BITS = 1 << 23
+#: Bits for each value that a bit table holds, and the most bits that one has (32 MB to broadcast).
+ROOM, MOST_BITS = 32, 1 << 28
 _ODD = np.array([xxhash.xxh64_intdigest(b"multiplier%d" % k) | 1 for k in range(PERMUTATIONS)], np.uint64)[:, None]
 _ADD = np.array([xxhash.xxh64_intdigest(b"increment%d" % k) for k in range(PERMUTATIONS)], np.uint64)[:, None]
 _SALT = np.array([xxhash.xxh64_intdigest(b"key%d" % k) for k in range(PERMUTATIONS)], np.uint64)[:, None]
@@ -100,17 +101,19 @@ def sketches(items: DataFrame) -> DataFrame:
 
 
 def bit_table(df: DataFrame, column: str) -> np.ndarray:
-    """BITS bits, set at the values of an array column modulo BITS: gathered as at most BITS / 64 words, whatever the input's size."""
-    bit = df.select(F.explode(column).alias("v")).select(F.pmod("v", F.lit(BITS)).alias("b"))
+    """Bits set at the values of an array column, modulo their number: ROOM for each distinct value, MOST_BITS at most, so that few others are met by chance."""
+    values = df.select(F.explode(column).alias("v")).distinct()
+    size = 1 << min(MOST_BITS.bit_length() - 1, max(16, (values.count() * ROOM - 1).bit_length()))
+    bit = values.select(F.pmod("v", F.lit(size)).alias("b"))
     words = bit.groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
-    out = np.zeros(BITS // 64, np.int64)
-    for w, v in words.collect():
-        out[w] = v
+    out = np.zeros(size // 64, np.int64)
+    for batch in words.toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return out.view(np.uint64)
 
 
 def has_bit(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    v = values & np.uint64(BITS - 1)
+    v = values & np.uint64(64 * len(table) - 1)
     return (table[v >> np.uint64(6)] >> (v & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 

@@ -9,12 +9,12 @@ exp(-band[1]) of the documents, so the lexicon has at most exp(band[1]) = 2,000
 average, whatever the corpus; it goes to the tasks as a constant that is looked up exactly. A text's terms are sorted once, by subset and term, and folded once.
 
 A text's edited form takes the second half from the next document by ascending doc_id. Documents are dealt by ranges of doc_id, cut at
-quantiles; the first document of each range is sent to the range before it too, so texts are shuffled once and no task sees all of them.
+quantiles of a sample; the first document of each range is sent to the range before it too, so texts are shuffled once and no task sees all of them.
 There are RANGES ranges at most (at 100 TB 1.5 GB of text each, which Spark sorts with spilling); their number never changes a result.
 
 Defined results: a null text counts as empty; a text without a term in the lexicon has an all-zero fingerprint, and two of these are
 alike by 1; null doc_ids come first in the order, rows with equal doc_ids are ordered by text; a single document follows itself; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored; very long texts are taken whole. Rows of one doc_id, or without one, are one range.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ SUBSETS = 64
 BAND = (3.0, 7.6)
 RANGES = 1 << 16
 RANGE_ROWS = 2000
+#: Sampled ids for each range of doc_ids.
+EACH = 20
 
 
 def terms(text: Column) -> Column:
@@ -106,12 +108,21 @@ def range_of(value: Column, cuts: list[int]) -> Column:
     return F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), step)
 
 
+def range_cuts(docs: DataFrame, n: int, parts: int) -> list[int]:
+    """About parts - 1 doc_ids that divide the rows evenly, from a sample of some EACH * parts distinct ids by hash; they only balance the work."""
+    if parts == 1:
+        return []
+    chance = min(1.0, EACH * parts / n)
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < chance * (1 << 40))).distinct()
+    known = sorted(ids.toArrow().column(0).to_pylist())
+    return sorted({known[len(known) * k // parts] for k in range(1, parts)}) if known else []
+
+
 def with_next(docs: DataFrame, made, columns: list[str], ranges: int = RANGES, rows: int = RANGE_ROWS) -> DataFrame:
     """made(docs), for docs(doc_id, text), with next_<column> of the document that follows by doc_id; the first follows the last."""
     n = docs.count()
     parts = max(1, min(ranges, -(-n // rows)))
-    shares = [k / parts for k in range(1, parts)]
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * parts))).first()[0] or [])) if shares else []  # under RANGES numbers
+    cuts = range_cuts(docs, n, parts)
     dealt = docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(range_of(F.col("doc_id"), cuts)))
     null_first = dealt.where("doc_id is null").limit(1).count()
     firsts = [(r[0], r[1]) for r in dealt.groupBy("range").agg(F.min("doc_id")).orderBy("range").collect()]
