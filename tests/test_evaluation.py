@@ -232,7 +232,14 @@ def test_regimes_keep_the_rows_of_gaps(spark):
     ahead = regime.assign_by_fold(rows, f, ["a", "b"], 2, smoothed=True).count()
     assert ahead == len(got) and regime.assign_by_fold(rows, f, ["a", "b"], 2, least=10_000).count() == 0
     c = {(r.kind, r.n_states): r for r in regime.compare(rows, ["a", "b"], sizes=(2, 3)).collect()}
-    assert len(c) == 4 and c["hmm", 2].bic < c["gmm", 2].bic and c["hmm", 2].plausible and c["hmm", 2].stability > 0.9
+    assert len(c) == 6 and c["kmeans", 2].bic is None and c["kmeans", 3].holdout_ll is None and c["kmeans", 2].stability > 0.5
+    assert c["hmm", 2].bic < c["gmm", 2].bic and c["hmm", 2].plausible and c["hmm", 2].stability > 0.9
+    # More starts never score worse, and a fold can be assigned by any kind.
+    scores = [regime.fit_kind(kind, z[:300], 3, 17, start)[0] for kind in ("gmm", "kmeans") for start in range(3)]
+    assert all(np.isfinite(scores)) and len(set(scores[:3])) > 1
+    for kind in ("gmm", "kmeans"):
+        rows_ = regime.assign_by_fold(rows, f, ["a", "b"], 2, kind=kind).collect()
+        assert len(rows_) == len(got) and all(abs(sum(r.posterior) - 1) < 1e-9 for r in rows_)
     assert regime.agreement(np.array([0, 1, 1]), np.array([1, 0, 0]), 2) == 1
 
 

@@ -6,12 +6,14 @@ any function of DataFrames.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import panel
+from tidemark.sources.files import kept
 
 PRICES = ("open", "high", "low", "close", "adj_close")
 Build = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
@@ -45,6 +47,11 @@ def _at(a: DataFrame, b: DataFrame, columns: list[str], cutoff) -> DataFrame:
     return panel.audit(a.where(there), b.where(there), columns).withColumn("cutoff", F.lit(cutoff).cast("date"))
 
 
+def _whole(build: Build, bars: DataFrame, context: DataFrame, sectors: DataFrame, columns: list[str], cutoffs: list) -> DataFrame:
+    """The unaltered panel on the cutoffs, made once."""
+    return kept(build(bars, context, sectors).where(F.col("date").isin([datetime.date.fromisoformat(str(c)) for c in cutoffs])).select("ticker", "date", *columns), "audited")
+
+
 def _all(reports: list[DataFrame]) -> DataFrame:
     out = reports[0]
     for r in reports[1:]:
@@ -54,13 +61,13 @@ def _all(reports: list[DataFrame]) -> DataFrame:
 
 def perturbation(build: Build, bars: DataFrame, context: DataFrame, sectors: DataFrame, columns: list[str], cutoffs: list) -> DataFrame:
     """By feature and cutoff: instruments compared on that day, and those whose value changes when all data after it do."""
-    whole = build(bars, context, sectors)
+    whole = _whole(build, bars, context, sectors, columns, cutoffs)
     return _all([_at(whole, build(corrupt_after(bars, c), _context_after(context, c, 1), corrupt_after(sectors, c, 3, key="sector")), columns, c) for c in cutoffs])
 
 
 def truncation(build: Build, bars: DataFrame, context: DataFrame, sectors: DataFrame, columns: list[str], cutoffs: list) -> DataFrame:
     """The same, with the data after the cutoff left out."""
-    whole = build(bars, context, sectors)
+    whole = _whole(build, bars, context, sectors, columns, cutoffs)
     cut = lambda df, c: df.where(F.col("date") <= F.lit(c).cast("date"))
     return _all([_at(whole, build(cut(bars, c), cut(context, c), cut(sectors, c)), columns, c) for c in cutoffs])
 
@@ -75,14 +82,13 @@ def target_causality(bars: DataFrame, horizon: int, cutoffs: list) -> DataFrame:
     """By cutoff: labels compared, those that change with data beyond the horizon, and those that are the same on a rising and a falling path."""
     w = Window.partitionBy("ticker").orderBy("date")
     label = lambda df, name: df.select("ticker", "date", F.when(F.lead("close", horizon).over(w).isNotNull(), (F.lead("close", horizon).over(w) > F.col("close")).cast("int")).alias(name))
+    # The last session that a label of the cutoff may see, by instrument: data after the latest of them are beyond every horizon.
+    ahead = bars.select("date", "ticker", F.lead("date", horizon).over(w).alias("reach")).where(F.col("date").isin([datetime.date.fromisoformat(str(c)) for c in cutoffs]))
+    ends = {str(r["date"]): r["reach"] for r in ahead.groupBy("date").agg(F.max("reach").alias("reach")).collect()}  # a row a cutoff
     reports = []
-    for c in cutoffs:
+    for c in (c for c in map(str, cutoffs) if ends.get(c) is not None):
         day = F.col("date") == F.lit(c).cast("date")
-        # The last session that a label of the cutoff may see, by instrument: data after the latest of them are beyond every horizon.
-        end = bars.select("date", "ticker", F.lead("date", horizon).over(w).alias("reach")).where(day).agg(F.max("reach").alias("reach")).first()["reach"]
-        if end is None:
-            continue
-        own, beyond = label(bars, "own").where(day), label(corrupt_after(bars, end, 1), "beyond").where(day)
+        own, beyond = label(bars, "own").where(day), label(corrupt_after(bars, ends[c], 1), "beyond").where(day)
         up, down = label(corrupt_after(bars, c, 2, 0.2), "up").where(day), label(corrupt_after(bars, c, 2, -0.2), "down").where(day)
         both = own.join(beyond, ["ticker", "date"]).join(up, ["ticker", "date"]).join(down, ["ticker", "date"])
         reports.append(both.groupBy(F.col("date").alias("cutoff")).agg(F.count("*").alias("n_rows"), F.sum((~F.col("own").eqNullSafe(F.col("beyond"))).cast("long")).alias("n_changed"), F.sum(F.col("up").eqNullSafe(F.col("down")).cast("long")).alias("n_deaf")))

@@ -10,9 +10,23 @@ from tidemark.functions.indicators import is_index, ordered
 # What counts as a symbol, and the limits of the validation.
 SYMBOL = r"^\^?[A-Z][A-Z0-9]{0,9}(?:[.\-][A-Z0-9]{1,4})?$"
 SYMBOL_LENGTH = 16
+BENCHMARK = "SPY"
+# Names of sectors and the sector that each stands for, and the sectors' funds.
+SECTORS = {
+    "technology": "technology", "information_technology": "technology", "communication_services": "technology", "financial_services": "financials", "financials": "financials", "healthcare": "healthcare",
+    "consumer_cyclical": "consumer_discretionary", "consumer_discretionary": "consumer_discretionary", "consumer_defensive": "consumer_staples", "consumer_staples": "consumer_staples",
+    "energy": "energy", "industrials": "industrials", "utilities": "utilities", "basic_materials": "materials", "materials": "materials",
+}
+FUNDS = {"technology": "XLK", "financials": "XLF", "healthcare": "XLV", "consumer_discretionary": "XLY", "consumer_staples": "XLP", "energy": "XLE", "industrials": "XLI", "utilities": "XLU", "materials": "XLB"}
 MAX_RETURN, SLACK, LEAST_ROWS, MISSING_SHARE, ZERO_VOLUME_SHARE = 0.6, 1e-6, 400, 0.02, 0.02
 
 
+def sector_fund(raw: Column) -> Column:
+    """The fund of a sector as a vendor names it; null where the name is unknown (the benchmark may stand for it then)."""
+    name = F.replace(F.lower(F.trim(raw)), F.lit(" "), F.lit("_"))
+    return F.try_element_at(F.create_map(*(F.lit(x) for a, c in SECTORS.items() for x in (a, FUNDS[c]))), name)
+
+
 def ticks(lineitem: DataFrame) -> DataFrame:
     """Trades from order lines: an instrument for each return flag and status, priced per unit."""
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")

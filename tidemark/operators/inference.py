@@ -112,13 +112,12 @@ def block_bootstrap(values: DataFrame, block: int = 4, draws: int = 2000, seed:
 
 def permutation_auc(rows: DataFrame, strata: list[str], draws: int = 200, seed: int = 17) -> DataFrame:
     """The area under the curve, its mean and deviation with y dealt anew within strata, and the share of draws that reach it."""
-    base = metrics.usable(rows).select("y", "p", *strata)
-    own, spot = Window.partitionBy("draw", *strata).orderBy("u"), Window.partitionBy("draw", *strata).orderBy("p", "y")
-    each = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    left = each.select("draw", *strata, "p", F.row_number().over(spot).alias("k"))
-    w = Window.partitionBy("draw", *strata).orderBy("p", "y")
-    right = each.withColumn("i", F.row_number().over(w)).withColumn("u", uniform(seed, F.col("draw"), F.col("i"), *map(F.col, strata))).select("draw", *strata, "y", F.row_number().over(own).alias("k"))
-    null = metrics.roc_auc(left.join(right, ["draw", *strata, "k"]), ["draw"])
+    own = Window.partitionBy(*strata)
+    base = metrics.usable(rows).select("y", "p", *strata).withColumns({"i": F.row_number().over(own.orderBy("p", "y")), "ups": F.sum("y").over(own)})
+    each = base.select("p", "i", "ups", *strata, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    # A permutation only says which of a stratum's rows are the positive ones: those with the least hashes.
+    spot = Window.partitionBy("draw", *strata).orderBy(F.xxhash64(F.lit(seed), "draw", "i", *strata), "i")
+    null = metrics.roc_auc(each.withColumn("y", (F.row_number().over(spot) <= F.col("ups")).cast("double")), ["draw"])
     observed = metrics.roc_auc(base.withColumn("all", F.lit(0)), ["all"]).select(F.col("roc_auc").alias("observed"))
     joined = null.crossJoin(F.broadcast(observed))
     return joined.agg(F.first("observed").alias("observed"), F.avg("roc_auc").alias("null_mean"), F.stddev_pop("roc_auc").alias("null_std"), F.avg((F.col("roc_auc") >= F.col("observed")).cast("double")).alias("p_value"), F.count("*").alias("draws"))

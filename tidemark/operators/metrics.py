@@ -33,15 +33,19 @@ def shares(counts: DataFrame) -> DataFrame:
     return first.withColumns({"f1": part(2 * tp, 2 * tp + fp + fn), "accuracy_over_base_rate": F.col("accuracy") - F.greatest("base_rate", 1 - F.col("base_rate"))})
 
 
-def roc_auc(rows: DataFrame, keys: list[str]) -> DataFrame:
+def roc_auc(rows: DataFrame, keys: list[str], ranges: int = 1024) -> DataFrame:
     """Area under the curve with average ranks for ties; null where there is one class.
 
-    Scores are counted first, so the window sees a row for each distinct score and a group need not fit in a task twice over.
+    Scores are counted first, so a window sees a row for each distinct score, and ranked within ranges of the score, to which the totals of the
+    ranges below are added: no task holds all scores of a key.
     """
-    scores = usable(rows).groupBy(*keys, "p").agg(F.count("*").alias("c"), F.sum("y").alias("pos"))
-    w = Window.partitionBy(*keys).orderBy("p")
-    ranked = scores.withColumn("rank", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - (F.col("c") - 1) / 2)
-    sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("np"), F.sum("c").alias("n"))
+    part = F.greatest(F.lit(-1), F.least(F.lit(ranges), F.floor(F.col("p") * ranges))).cast("int")
+    scores = usable(rows).groupBy(*keys, "p").agg(F.count("*").alias("c"), F.sum("y").alias("pos")).withColumn("_part", part)
+    totals = scores.groupBy(*keys, "_part").agg(F.sum("c").alias("_c"))  # `ranges` rows a key at most
+    below = totals.select(*keys, "_part", (F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_c")).alias("_below"))
+    w = Window.partitionBy(*keys, "_part").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = scores.withColumn("rank", F.sum("c").over(w) - (F.col("c") - 1) / 2).join(below, [*keys, "_part"])
+    sums = ranked.groupBy(*keys).agg(F.sum((F.col("rank") + F.col("_below")) * F.col("pos")).alias("r"), F.sum("pos").alias("np"), F.sum("c").alias("n"))
     return sums.select(*keys, F.try_divide(F.col("r") - F.col("np") * (F.col("np") + 1) / 2, F.col("np") * (F.col("n") - F.col("np"))).alias("roc_auc"))
 
 

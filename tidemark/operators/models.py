@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import boosting, metrics
+from tidemark.operators.regime import STARTS
+from tidemark.sources.files import kept
 
 
 def baseline_rates(fit: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,34 +168,42 @@ def search(windows: list[tuple[DataFrame, DataFrame]], columns: list[str], kind:
     return sorted(out, key=lambda x: -x[0])
 
 
-def permutation_importance(fit: DataFrame, score: DataFrame, columns: list[str], kind: str = "logistic", repeats: int = 5, seed: int = 17) -> DataFrame:
-    """By feature: the area under the curve as it is, and the mean loss of it when the feature's values are dealt anew among the scored rows."""
+def permutation_importance(fit: DataFrame, score: DataFrame, columns: list[str], kind: str = "logistic", repeats: int = 5, seed: int = 17, at_once: int = 10) -> DataFrame:
+    """By feature: the area under the curve as it is, and the mean loss of it when the feature's values are dealt anew among the scored rows.
+
+    A row's new value is that of the row whose rank is its own by a hash of another draw, within 64 parts of the rows by hash. The scored rows
+    are repeated for `at_once` features and all repeats at a time, so the areas of these are one grouped plan.
+    """
     train = fit.where("y is not null")
     model = pipeline(kind, columns, max(1, train.count())).fit(train)
-    area = lambda df: metrics.roc_auc(model.transform(df).select("y", vector_to_array("probability")[1].alias("p"), F.lit(0).alias("all")), ["all"]).first()["roc_auc"]
-    base, out = area(score), []
-    for c in columns:
-        losses = []
-        for k in range(repeats):
-            # ranks of two hashes pair each row with another row's value; ranges of the hash keep the windows small
-            part = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *columns), F.lit(64))
-            here = score.withColumn("_part", part).withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*columns)))
-            there = here.select("_part", F.col(c).alias("_new"), F.row_number().over(Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + 1 + k), "_k"))).alias("_k"))
-            losses.append(base - area(here.join(there, ["_part", "_k"]).drop(c).withColumnRenamed("_new", c)))
-        out.append((c, float(base), float(sum(losses) / len(losses))))
-    return score.sparkSession.createDataFrame(out, "feature string, roc_auc double, mean_loss double")
+    scored = lambda df, keys: metrics.roc_auc(model.transform(df).select(*keys, "y", vector_to_array("probability")[1].alias("p")), keys)
+    base = scored(score.withColumn("all", F.lit(0)), ["all"]).first()["roc_auc"]
+    spot = lambda *draw: F.row_number().over(Window.partitionBy("feature", "draw", "_part").orderBy(*draw, "_row"))
+    rows = kept(score.where("y is not null").select("y", *columns).withColumn("_row", F.monotonically_increasing_id()), "importance").withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(64)))
+    out = None
+    for a in range(0, len(columns), at_once):
+        some = columns[a : a + at_once]
+        each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit(k).alias("draw"), F.col(c).alias("_own")) for c in some for k in range(repeats)))).alias("x")
+        here = rows.select("*", each).select("*", "x.*").drop("x").withColumn("_k", spot(F.lit(0)))
+        there = here.select("feature", "draw", "_part", F.col("_own").alias("_new"), spot(F.xxhash64(F.lit(seed), "draw", "_row")).alias("_k"))
+        mixed = here.join(there, ["feature", "draw", "_part", "_k"]).withColumns({c: F.when(F.col("feature") == c, F.col("_new")).otherwise(F.col(c)) for c in some})
+        one = scored(mixed, ["feature", "draw"]).groupBy("feature").agg(F.lit(base).cast("double").alias("roc_auc"), F.avg(F.lit(base) - F.col("roc_auc")).alias("mean_loss"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def mixture_states(rows: DataFrame, columns: list[str], k: int = 3, kind: str = "gmm") -> DataFrame:
-    """rows with state and posterior by a Gaussian mixture or k-means on standardised columns."""
+    """rows with state and posterior by a Gaussian mixture or k-means on standardised columns, the best of several starts (`regime.STARTS`)."""
     if rows.isEmpty():
         return rows.withColumns({"state": F.lit(None).cast("long"), "posterior": F.lit(None).cast("array<double>")})
     assembled = VectorAssembler(inputCols=columns, outputCol="raw").transform(rows)
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(assembled).transform(assembled)
+    scaled = kept(StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(assembled).transform(assembled), "mixture")
+    seeds = range(17, 17 + STARTS[kind])
     if kind == "gmm":
-        out = GaussianMixture(k=k, seed=17, probabilityCol="probability", predictionCol="state").fit(scaled).transform(scaled)
+        fits = [GaussianMixture(k=k, seed=s, probabilityCol="probability", predictionCol="state").fit(scaled) for s in seeds]
+        out = max(fits, key=lambda m: m.summary.logLikelihood).transform(scaled)
         return out.withColumn("posterior", vector_to_array("probability")).select(*rows.columns, F.col("state").cast("long"), "posterior")
-    out = KMeans(k=k, seed=17, predictionCol="state").fit(scaled).transform(scaled)
+    out = min((KMeans(k=k, seed=s, predictionCol="state").fit(scaled) for s in seeds), key=lambda m: m.summary.trainingCost).transform(scaled)
     return out.withColumn("posterior", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: (s == F.col("state")).cast("double"))).select(*rows.columns, F.col("state").cast("long"), "posterior")
 
 

@@ -133,16 +133,18 @@ def backward(f: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return smooth, pairs
 
 
-def fit_hmm(x: np.ndarray, k: int = 3, rounds: int = 200, seed: int = 17, tol: float = 1e-4, sticky: bool = True) -> tuple[np.ndarray, ...]:
+def fit_hmm(x: np.ndarray, k: int = 3, rounds: int = 200, seed: int = 17, tol: float = 1e-4, sticky: bool = True, scattered: bool = False) -> tuple[np.ndarray, ...]:
     """Baum-Welch with full covariances until the likelihood gains less than tol; states come in the order of the variance of the first column.
 
-    Not sticky: moves don't depend on the state before, which makes it a Gaussian mixture.
+    Not sticky: moves don't depend on the state before, which makes it a Gaussian mixture. scattered: starts from rows drawn by the seed.
     """
     rng = np.random.default_rng(seed)
     n, d = x.shape
     order = np.argsort(np.abs(x[:, 0] - x[:, 0].mean()))
     means = np.stack([x[p].mean(0) for p in np.array_split(order, k)]) + 1e-3 * rng.standard_normal((k, d))
     covs = np.stack([np.cov(x[p].T).reshape(d, d) + 1e-4 * np.eye(d) for p in np.array_split(order, k)])
+    if scattered:
+        means, covs = x[rng.choice(n, k, replace=False)].copy(), np.stack([np.cov(x.T).reshape(d, d) + 1e-4 * np.eye(d)] * k)
     moves, start = np.full((k, k), 0.05 / max(1, k - 1)) + np.eye(k) * (0.95 - 0.05 / max(1, k - 1)), np.full(k, 1 / k)
     if not sticky:
         moves = np.full((k, k), 1 / k)
@@ -176,11 +178,57 @@ def agreement(a: np.ndarray, b: np.ndarray, k: int) -> float:
     return max(float((a == np.array(order)[b]).mean()) for order in itertools.permutations(range(k)))
 
 
-def assign_by_fold(rows: DataFrame, f: DataFrame, columns: list[str], k: int = 3, least: int = 250, smoothed: bool = False) -> DataFrame:
+def fit_kmeans(x: np.ndarray, k: int, seed: int = 17, rounds: int = 100) -> tuple[float, np.ndarray]:
+    """Inertia and centres: spread starting rows, then nearest centres and their means until nothing changes. Centres by their first column."""
+    rng = np.random.default_rng(seed)
+    centres = x[[rng.integers(len(x))]]
+    while len(centres) < k:
+        far = ((x[:, None] - centres) ** 2).sum(2).min(1)
+        centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))]])
+    before = None
+    for _ in range(rounds):
+        own = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        if before is not None and (own == before).all():
+            break
+        before = own
+        centres = np.stack([x[own == s].mean(0) if (own == s).any() else centres[s] for s in range(k)])
+    return float(((x - centres[own]) ** 2).sum()), centres[np.argsort(centres[:, 0])]
+
+
+#: Starts of each kind, of which the best stays: by likelihood, or by inertia.
+STARTS = {"hmm": 1, "gmm": 5, "kmeans": 10}
+
+
+def fit_kind(kind: str, x: np.ndarray, k: int, seed: int, start: int) -> tuple[float, tuple[np.ndarray, ...]]:
+    """A score to be maximised, and the model, of one start."""
+    if kind == "kmeans":
+        inertia, centres = fit_kmeans(x, k, seed + start)
+        return -inertia, (centres,)
+    model = fit_hmm(x, k, seed=seed + start, sticky=kind == "hmm", scattered=start > 0)
+    return forward(x, *model)[1], model
+
+
+def posteriors(kind: str, x: np.ndarray, model: tuple[np.ndarray, ...]) -> np.ndarray:
+    if kind == "kmeans":
+        return np.eye(len(model[0]))[((x[:, None] - model[0]) ** 2).sum(2).argmin(1)]
+    return forward_filter(x, *model)
+
+
+def packed(model: tuple[np.ndarray, ...]) -> list[float]:
+    return np.concatenate([m.ravel() for m in model]).tolist()
+
+
+def unpacked(kind: str, flat, k: int, d: int) -> tuple[np.ndarray, ...]:
+    shapes = [(k, d)] if kind == "kmeans" else [(k,), (k, k), (k, d), (k, d, d)]
+    cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
+    return tuple(p.reshape(s) for p, s in zip(np.split(np.asarray(flat, float), cuts), shapes))
+
+
+def assign_by_fold(rows: DataFrame, f: DataFrame, columns: list[str], k: int = 3, least: int = 250, smoothed: bool = False, kind: str = "hmm") -> DataFrame:
     """date, fold, state and posteriors of each fold's test rows: fitted on its fit and inner windows with the gap between, filtered from the first row of the series.
 
     rows(date, columns) has one row a date, so a fold, whose series ends with its test window, is one task. Rows in gaps belong to the series
-    too. smoothed: posteriors that look ahead, as a negative control. Folds with fewer than `least` rows to fit on are left out.
+    too. smoothed: posteriors that look ahead, as a negative control. kind: hmm, gmm or kmeans, the best of its STARTS. Folds with fewer than `least` rows to fit on are left out.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -191,9 +239,9 @@ def assign_by_fold(rows: DataFrame, f: DataFrame, columns: list[str], k: int = 3
             return pd.DataFrame(columns=["fold", "date", "state", "posterior"])
         mean, std = x[train].mean(0), x[train].std(0)
         z = (x - mean) / np.where(std > 0, std, 1)
-        model = fit_hmm(z[train], k)
-        p = forward_filter(z, *model)
-        p = (backward(p, model[1])[0] if smoothed else p)[test]
+        model = max((fit_kind(kind, z[train], k, 17, start) for start in range(STARTS[kind])), key=lambda m: m[0])[1]
+        p = posteriors(kind, z, model)
+        p = (backward(p, model[1])[0] if smoothed and kind == "hmm" else p)[test]
         return pd.DataFrame({"fold": pdf["fold"].to_numpy()[test], "date": pdf["date"].to_numpy()[test], "state": p.argmax(1), "posterior": list(p)})
 
     limits = f.select("fold", "fit_start_date", "inner_end_date", "test_start_date", "test_end_date")  # a few rows
@@ -202,39 +250,46 @@ def assign_by_fold(rows: DataFrame, f: DataFrame, columns: list[str], k: int = 3
     return tagged.groupBy("fold").applyInPandas(one, "fold long, date date, state long, posterior array<double>")
 
 
-def compare(rows: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("hmm", "gmm"), sizes: tuple[int, ...] = (2, 3, 4, 5), holdout: float = 0.25, seed: int = 17) -> DataFrame:
+def compare(rows: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("hmm", "gmm", "kmeans"), sizes: tuple[int, ...] = (2, 3, 4, 5), holdout: float = 0.25, seed: int = 17) -> DataFrame:
     """By kind and number of states: BIC on the first part of the series, log-likelihood of the held-out rest, durations, shares, stability and plausibility.
 
     Stability: how often a second fit, without the first tenth, agrees on the state, states matched. Plausible, by fixed limits: the shortest
-    duration is 10 sessions or more and the smallest share 5 %. rows(date, columns) has one row a date; a candidate is a task.
+    duration is 10 sessions or more and the smallest share 5 %. k-means has no likelihood, so neither BIC nor a held-out one. rows(date,
+    columns) has one row a date. Every start of a candidate, of either fit, is a task; the best of them is kept in the plan.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        kind, k = pdf["kind"].iloc[0], int(pdf["k"].iloc[0])
-        x, sticky = pdf[columns].to_numpy(float), kind == "hmm"
-        cut = int(len(x) * (1 - holdout))
-        if cut < 20 * k:
-            return pd.DataFrame(columns=out)
+    def prepared(pdf: pd.DataFrame, rival: bool) -> tuple[np.ndarray, int, int]:
+        x = pdf.sort_values("date")[columns].to_numpy(float)
+        cut, a = int(len(x) * (1 - holdout)), int(len(x) * 0.1) if rival else 0
+        mean, std = x[a:cut].mean(0), x[a:cut].std(0)
+        return (x - mean) / np.where(std > 0, std, 1), a, cut
 
-        def fit(a: int, seed: int):
-            mean, std = x[a:cut].mean(0), x[a:cut].std(0)
-            z = (x - mean) / np.where(std > 0, std, 1)
-            return z, fit_hmm(z[a:cut], k, seed=seed, sticky=sticky)
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        kind, k, start, rival = (pdf[c].iloc[0] for c in ("kind", "k", "start", "rival"))
+        z, a, cut = prepared(pdf, bool(rival))
+        if cut < 20 * k:
+            return pd.DataFrame(columns=["kind", "k", "rival", "score", "model"])
+        score, model = fit_kind(kind, z[a:cut], int(k), seed + int(rival), int(start))
+        return pd.DataFrame([(kind, k, rival, score, packed(model))], columns=["kind", "k", "rival", "score", "model"])
 
-        z, model = fit(0, seed)
-        state = forward_filter(z, *model).argmax(1)
-        rival_z, rival = fit(int(len(x) * 0.1), seed + 1)
-        other = forward_filter(rival_z, *rival).argmax(1)
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        kind, k, d = pdf["kind"].iloc[0], int(pdf["k"].iloc[0]), len(columns)
+        model, rival = (unpacked(kind, pdf[c].iloc[0], k, d) for c in ("model", "other"))
+        z, _, cut = prepared(pdf, False)
+        state, other = posteriors(kind, z, model).argmax(1), posteriors(kind, prepared(pdf, True)[0], rival).argmax(1)
+        sticky, likely = kind == "hmm", kind != "kmeans"
         lengths = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(state)) + 1, [len(state)]]))
         shortest = float((1 / np.maximum(1 - np.diag(model[1]), 1e-9)).min()) if sticky else float(lengths.min())
         share = float((np.bincount(state, minlength=k) / len(state))[np.unique(state)].min())
-        held_out, likelihood = forward(z[cut:], *model)[1], forward(z[:cut], *model)[1]
-        row = (kind, k, bic(likelihood, cut, k, x.shape[1], sticky), held_out, shortest, float(np.median(lengths)), share, agreement(state, other, k), len(lengths) / max(len(x) / 252, 1e-9), shortest >= 10 and share >= 0.05)
+        held_out, likelihood = (forward(z[cut:], *model)[1], forward(z[:cut], *model)[1]) if likely else (None, None)
+        row = (kind, k, bic(likelihood, cut, k, d, sticky) if likely else None, held_out, shortest, float(np.median(lengths)), share, agreement(state, other, k), len(lengths) / max(len(z) / 252, 1e-9), shortest >= 10 and share >= 0.05)
         return pd.DataFrame([row], columns=out)
 
     out = ["kind", "n_states", "bic", "holdout_ll", "min_duration", "median_duration", "smallest_share", "stability", "switches_per_year", "plausible"]
     spark = rows.sparkSession
-    candidates = spark.createDataFrame([(kind, k) for kind in kinds for k in sizes], "kind string, k int")
-    each = rows.select("date", *columns).crossJoin(F.broadcast(candidates))  # a few candidates
+    tries = spark.createDataFrame([(kind, k, start, rival) for kind in kinds for k in sizes for start in range(STARTS[kind]) for rival in (False, True)], "kind string, k int, start int, rival boolean")
+    own = rows.select("date", *columns)
+    fits = own.crossJoin(F.broadcast(tries)).groupBy("kind", "k", "start", "rival").applyInPandas(fitted, "kind string, k int, rival boolean, score double, model array<double>")  # a few candidates
+    best = fits.groupBy("kind", "k").agg(F.max_by(F.when(~F.col("rival"), F.col("model")), F.when(~F.col("rival"), F.col("score"))).alias("model"), F.max_by(F.when(F.col("rival"), F.col("model")), F.when(F.col("rival"), F.col("score"))).alias("other"))
+    each = own.crossJoin(F.broadcast(best))
     return each.groupBy("kind", "k").applyInPandas(one, "kind string, n_states int, bic double, holdout_ll double, min_duration double, median_duration double, smallest_share double, stability double, switches_per_year double, plausible boolean")

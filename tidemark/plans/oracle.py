@@ -250,12 +250,17 @@ ORACLE_SQL["panel_build"] = f"""WITH {', '.join(f'g_{g} AS ({ORACLE_SQL[f"featur
   FROM {' JOIN '.join(f'g_{g} USING (ticker, date)' if n else f'g_{g}' for n, g in enumerate(FEATURES))} JOIN g_targets USING (ticker, date) JOIN g_sigma USING (ticker, date) JOIN k USING (ticker, date) WHERE k > 253"""
 put("label_rows", "bars ctx", "SELECT ticker, date, direction_5d FROM t WHERE direction_5d IS NOT NULL", TGT)
 put("panel_subset", "rets", f"SELECT ticker, date, {R('ret_1d')}, CASE WHEN ticker = 'NO' THEN 'val' ELSE 'dev' END AS \"group\" FROM rets WHERE ticker IN ('AF', 'AO', 'NF', 'NO')")
-AUDITED = "(VALUES ('ret_1d'), ('sma_20'), ('vol_20'), ('px_to_sma_20'), ('bench_ret_5d'), ('beta_60'), ('rel_sector_ret_5d')) f(feature)"
+AUDITED = "(SELECT unnest([" + ", ".join(f"'{n}'" for n in (
+    [f"ret_{n}d" for n in (1, 3, 5, 10, 20)] + [f"ret_1d_lag{k}" for k in range(1, 6)] + [f"px_to_sma_{n}" for n in (10, 20, 50, 200)] + [f"vol_{n}" for n in (5, 20, 60)] + [f"dow_{x}" for x in ("tue", "wed", "thu", "fri")]
+    + "sma_ratio_20_50 sma_ratio_50_200 mom_12_1 price_position_252 rsi_14 macd_norm macd_hist_norm atr_14_norm vol_ratio_5_20 vol_ratio_20_60 parkinson_vol_20 downside_vol_ratio_20 standardised_move rel_volume_20 volume_z_20 dollar_volume_ratio_20 price_volume_corr_20".split()
+    + "efficiency_ratio_20 dist_high_252 dist_low_252 up_day_ratio_20 bench_ret_1d bench_ret_5d bench_ret_20d bench_vol_20 bench_px_to_sma_50 beta_60 corr_bench_60 resid_ret_5d vix_level vix_z_60 vix_chg_5d sector_ret_5d rel_sector_ret_5d month_sin month_cos days_to_month_end".split()
+)) + "]) AS feature) f"
 put("scan_panel", "rets", f"SELECT ticker, date, {R('ret_1d')}, 'dev' AS \"group\" FROM rets WHERE ticker IN ('AF', 'AO', 'NF')")
 ORACLE_SQL["live_features"] = f"SELECT ticker, date, ret_1d, rsi_14, beta_60, vol_20, px_to_sma_50 FROM ({ORACLE_SQL['panel_build']}) WHERE ticker = 'NO' ORDER BY date DESC LIMIT 5"
-put("audit_compare", "rets", f"SELECT f.feature, c.n AS n_rows, CASE WHEN f.feature = 'sma_20' THEN c.s ELSE 0 END AS n_diff FROM {AUDITED}, c", {"c": f"SELECT count(*) AS n, count(s) AS s FROM (SELECT {sma('close', 20)} AS s FROM rets)"})
+put("audit_compare", "bars", f"SELECT f.feature, c.n AS n_rows, 0::BIGINT AS n_diff FROM {AUDITED}, (SELECT count(*) AS n FROM bars) c")
+SPOTS = "SELECT date FROM days WHERE pos IN (SELECT DISTINCT floor(300 + (n - 31 - 300) * k / 5)::BIGINT FROM (SELECT count(*) AS n FROM days), range(6) t(k))"
 for _name in ("audit_perturbation", "audit_truncation"):
-    put(_name, "bars", f"SELECT f.feature, c.date AS cutoff, c.n AS n_rows, 0::BIGINT AS n_diff FROM {AUDITED}, (SELECT date, count(*) AS n FROM bars WHERE date IN (DATE '1996-06-14', DATE '1998-03-02') GROUP BY 1) c")
+    put(_name, "bars days", f"SELECT f.feature, c.date AS cutoff, c.n AS n_rows, 0::BIGINT AS n_diff FROM {AUDITED}, (SELECT date, count(*) AS n FROM bars WHERE date IN ({SPOTS}) GROUP BY 1) c")
 put("audit_target", "bars", "SELECT date AS cutoff, count(*) AS n_rows, 0::BIGINT AS n_changed, 0::BIGINT AS n_deaf FROM bars WHERE date IN (DATE '1996-06-14', DATE '1998-03-02') GROUP BY 1")
 put("audit_positions", "days", "SELECT pos, date FROM days WHERE pos IN (SELECT DISTINCT floor(300 + (n - 31 - 300) * k / 5)::BIGINT FROM (SELECT count(*) AS n FROM days), range(6) t(k))")
 
@@ -526,4 +531,10 @@ put("snapshot", "bars", f"SELECT ticker, date, {R('close change change_pct')} FR
 put("tail_n", "bars", f"SELECT ticker, date, {R('close')} FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 60")
 put("history", "rets", f"SELECT ticker, date, {R('close volume sma_20 sma_50 vol_20')} FROM h WHERE k <= 250", {"h": f"SELECT ticker, date, close, volume, {sma('close', 20)} AS sma_20, {sma('close', 50)} AS sma_50, {std('ret_1d', 20)} * {YEAR} AS vol_20, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM rets"})
 put("config_hash", "", """SELECT r_regionkey, substr(sha256('{"name":"' || r_name || '","region":' || r_regionkey || '}'), 1, 12) AS config_hash FROM region""")
-put("sector_resolve", "", "SELECT c_custkey, coalesce(s, 'SPY') AS sector, s IS NULL AS proxy FROM (SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'XLY' WHEN 'BUILDING' THEN 'XLB' WHEN 'MACHINERY' THEN 'XLI' WHEN 'HOUSEHOLD' THEN 'XLP' END AS s FROM customer)")
+SECTORS = "technology information_technology communication_services financial_services financials healthcare consumer_cyclical consumer_discretionary consumer_defensive consumer_staples energy industrials utilities basic_materials materials".split()
+FUNDS = "XLK XLK XLK XLF XLF XLV XLY XLY XLP XLP XLE XLI XLU XLB XLB".split()
+put("sector_resolve", "", f"SELECT c_custkey, coalesce(etf, 'SPY') AS sector, etf IS NULL AS proxy FROM (SELECT c_custkey, list_extract([{', '.join(f"'{x}'" for x in FUNDS)}], (CASE WHEN c_custkey % 18 < 15 THEN c_custkey % 18 + 1 END)::BIGINT) AS etf FROM customer)")
+
+put("feature_registry", "bars", f"""SELECT feature, g.grp AS "group", lookback::INT AS lookback, true AS scale_free, (SELECT sum(greatest(n - g.warm, 0)) FROM (SELECT ticker, count(*) AS n FROM bars GROUP BY 1))::BIGINT AS n_rows
+  FROM (VALUES {', '.join([f"('ret_{n}d', {n + 1}, 'price')" for n in (1, 3, 5, 10, 20)] + [f"('ret_1d_lag{k}', {k + 2}, 'price')" for k in range(1, 6)] + [f"('{n}', {k}, 'volume')" for n, k in (("rel_volume_20", 20), ("volume_z_20", 20), ("dollar_volume_ratio_20", 20), ("price_volume_corr_20", 21))] + [f"('{n}', {k}, 'trend')" for n, k in (("efficiency_ratio_20", 21), ("dist_high_252", 252), ("dist_low_252", 252), ("up_day_ratio_20", 21))])}) f(feature, lookback, grp)
+  JOIN (VALUES ('price', 21), ('volume', 21), ('trend', 252)) g(grp, warm) USING (grp)""")

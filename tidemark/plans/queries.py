@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
-from tidemark.operators import audit, backtest, errors, folds, inference, metrics, models, panel, regime, walkforward
+from tidemark.operators import audit, backtest, boosting, errors, estimators, explain, folds, inference, metrics, models, panel, regime, registry, walkforward
 from tidemark.operators import bars as B
 from tidemark.plans import inputs as D
-from tidemark.sources.files import BARS, json_bars, local, manifest, one_instrument, provider, read_panel, run_table, runs, save_run, scratch, table, write_panel
+from tidemark.sources.files import BARS, json_bars, kept, local, manifest, one_instrument, provider, read_panel, run_table, runs, save_run, scratch, table, write_panel
 from tidemark.sources.files import latest_run as latest
 from tidemark.streaming.bars import rate
 from tidemark.streaming.bars import tumbling_bars as tumbling
@@ -93,9 +93,9 @@ def scan_panel(spark, d):
 def run_store(spark, d):
     """Two runs saved, and the metrics of the last one read by its id."""
     folder = scratch(spark)
-    m = _fold_metrics(spark, d)
-    for run_id, part in (("20260101-a", m.where("model = 'majority'")), ("20260102-b", m.where("model = 'signal'"))):
-        save_run(run_id, {"target": "direction", "experiment": "main", "config": {"folds": 400}}, D.predictions(spark, d).limit(0), part, folder)
+    m, p = _fold_metrics(spark, d), D.predictions(spark, d)
+    for run_id, model in (("20260101-a", F.col("model") == "majority"), ("20260102-b", F.col("model") == "signal")):
+        save_run(run_id, {"target": "direction", "experiment": "main", "config": {"folds": 400}}, p.where(model), m.where(model), folder)
     last = latest(runs(spark, folder)).first()["run_id"]
     return run_table(spark, folder, "fold_metrics", last)
 
@@ -382,29 +382,37 @@ def context_gaps(spark, d):
     return panel.staleness(D.bars(spark, d), D.context(spark, d).where(F.day("date") % 5 < 2), D.sectors(spark, d).where(F.day("date") % 3 < 2))
 
 
-AUDITED = ["ret_1d", "sma_20", "vol_20", "px_to_sma_20", "bench_ret_5d", "beta_60", "rel_sector_ret_5d"]
-CUTOFFS = ["1996-06-14", "1998-03-02"]
+def _audited(bars, context, sectors):
+    """The panel of the audits: all features of all groups, labels left out, from the first row on."""
+    return registry.build(bars, context, sectors, drop_warm_up=False)
 
 
-def _audited(bars, context, sectors):
-    f = panel.market(panel.with_returns(panel.with_context(bars, context, sectors)))
-    sma = I.sma(F.col("close"), 20)
-    return f.select(*KEY, "ret_1d", sma.alias("sma_20"), I.realised_volatility(F.col("ret_1d"), 20).alias("vol_20"), (I.ratio(F.col("close"), sma) - 1).alias("px_to_sma_20"), *AUDITED[4:])
+def _positions(spark, d):
+    """The sessions to audit, a few."""
+    return [str(r["date"]) for r in audit.positions(folds.sessions(D.bars(spark, d))).orderBy("pos").collect()]
 
 
 @query
 def audit_compare(spark, d):
-    return audit.scale(_audited, D.bars(spark, d), D.context(spark, d), D.sectors(spark, d), AUDITED)
+    return audit.scale(_audited, *_relations(spark, d), panel.feature_names())
 
 
 @query
 def audit_perturbation(spark, d):
-    return audit.perturbation(_audited, D.bars(spark, d), D.context(spark, d), D.sectors(spark, d), AUDITED, CUTOFFS)
+    return audit.perturbation(_audited, *_relations(spark, d), panel.feature_names(), _positions(spark, d))
 
 
 @query
 def audit_truncation(spark, d):
-    return audit.truncation(_audited, D.bars(spark, d), D.context(spark, d), D.sectors(spark, d), AUDITED, CUTOFFS)
+    return audit.truncation(_audited, *_relations(spark, d), panel.feature_names(), _positions(spark, d))
+
+
+def _relations(spark, d):
+    """Bars, context and sectors, each made once, as an audit builds many panels from them."""
+    return kept(D.bars(spark, d), "bars"), kept(D.context(spark, d), "context"), kept(D.sectors(spark, d), "sectors")
+
+
+CUTOFFS = ["1996-06-14", "1998-03-02"]
 
 
 @query
@@ -470,8 +478,8 @@ def holdout_split(spark, d):
 
 
 def _panel_rows(spark, d):
-    """Labelled rows for the walk-forward run, with y and the group that they belong to."""
-    f = D.returns(spark, d).select(*KEY, "ret_1d", I.sma(F.col("ret_1d"), 5).alias("m5"), I.std(F.col("ret_1d"), 20).alias("s20"), (I.ratio(I.lead(F.col("close")), F.col("close")) - 1).alias("ret")).where("ret is not null")
+    """Labelled rows for the walk-forward run of the baselines, with y and the group that they belong to."""
+    f = D.returns(spark, d).select(*KEY, "ret_1d", (I.ratio(I.lead(F.col("close")), F.col("close")) - 1).alias("ret")).where("ret is not null")
     groups = spark.createDataFrame(list(panel.GROUPS.items()), "ticker string, group string")
     return f.withColumn("y", I.direction(F.col("ret"))).join(groups, "ticker")
 
@@ -881,10 +889,11 @@ def config_hash(spark, d):
 
 @query
 def sector_resolve(spark, d):
-    # fixed values: segment names and the sectors that stand for them
-    known = F.create_map(*map(F.lit, ("AUTOMOBILE", "XLY", "BUILDING", "XLB", "MACHINERY", "XLI", "HOUSEHOLD", "XLP")))
-    s = F.try_element_at(known, F.col("c_mktsegment"))
-    return table(spark, d, "customer").select("c_custkey", F.coalesce(s, F.lit("SPY")).alias("sector"), s.isNull().alias("proxy"))
+    """Sectors as vendors write them, some unknown or missing, and the funds that stand for them."""
+    known = [a.replace("_", " ").title() for a in B.SECTORS]
+    raw = F.get(F.array(*map(F.lit, [*known, "Crypto", " ", None])), (F.col("c_custkey") % (len(known) + 3)).cast("int"))
+    etf = B.sector_fund(F.concat(F.lit(" "), raw))
+    return table(spark, d, "customer").select("c_custkey", F.coalesce(etf, F.lit(B.BENCHMARK)).alias("sector"), etf.isNull().alias("proxy"))
 
 
 # --- without SQL counterparts -------------------------------------------------------------------------------------------------
@@ -915,7 +924,7 @@ def hmm_filter(spark, d):
 
 @query
 def regime_candidates(spark, d):
-    return regime.compare(regime_features(spark, d), REGIME_COLUMNS, sizes=(2, 3))
+    return regime.compare(regime_features(spark, d), REGIME_COLUMNS)
 
 
 @query
@@ -923,57 +932,114 @@ def mixture_regimes(spark, d):
     return models.mixture_states(regime_features(spark, d), REGIME_COLUMNS, 3, "gmm").select("date", "state")
 
 
+def _learners_panel(spark, d):
+    """The whole panel with its 58 features, stored once: y is the next day's direction, group that of the instrument."""
+    rows = panel.build(D.bars(spark, d), D.context(spark, d), D.sectors(spark, d)).where("direction_1d is not null")
+    groups = spark.createDataFrame(list(panel.GROUPS.items()), "ticker string, group string")
+    return kept(rows.select(*KEY, *panel.feature_names(), F.col("direction_1d").alias("y")).join(F.broadcast(groups), "ticker"), "panel")
+
+
 def _xy(spark, d):
-    f = D.returns(spark, d)
-    rows = f.select(*KEY, "ret_1d", I.sma(F.col("ret_1d"), 5).alias("m5"), I.std(F.col("ret_1d"), 20).alias("s20"), (I.ratio(I.lead(F.col("close")), F.col("close")) - 1).alias("ret")).where("ret is not null")
-    return rows.withColumn("y", I.direction(F.col("ret"))).withColumn("test", F.col("date") >= F.lit("2000-01-01").cast("date"))
+    return _learners_panel(spark, d).withColumn("test", F.col("date") >= F.lit("2000-01-01").cast("date"))
 
 
 @query
 def learner_logistic(spark, d):
     rows = _xy(spark, d)
-    return models.fit_predict(rows.where("not test"), rows.where("test"), ["ret_1d", "m5", "s20"], "logistic").select(*KEY, "y", "p")
+    return models.fit_predict(rows.where("not test"), rows.where("test"), panel.feature_names(), "logistic").select(*KEY, "y", "p")
 
 
-@query
-def learner_forest_calibrated(spark, d):
+def _calibrated(spark, d, kind, how):
     rows = _xy(spark, d)
     inner = rows.where("not test and date >= date'1999-07-01'")
-    scored = models.fit_predict(rows.where("date < date'1999-06-01'"), inner.unionByName(rows.where("test")), ["ret_1d", "m5", "s20"], "random_forest", trees=20, depth=4)
-    return models.isotonic(scored.where("not test"), scored.where("test")).select(*KEY, "y", "p")
+    scored = models.fit_predict(rows.where("date < date'1999-06-01'"), inner.unionByName(rows.where("test")), panel.feature_names(), kind)
+    return how(scored.where("not test"), scored.where("test")).select(*KEY, "y", "p")
+
+
+@query
+def learner_forest_calibrated(spark, d):
+    return _calibrated(spark, d, "random_forest", models.isotonic)
 
 
 @query
 def learner_elastic_platt(spark, d):
+    return _calibrated(spark, d, "elastic_net", models.platt)
+
+
+#: Trees of the registered boosted learners. A tree is four to eight jobs; the operator's default is 400.
+TREES = 20
+
+
+def _boosted(spark, d, kind):
     rows = _xy(spark, d)
-    inner = rows.where("not test and date >= date'1999-07-01'")
-    scored = models.fit_predict(rows.where("date < date'1999-06-01'"), inner.unionByName(rows.where("test")), ["ret_1d", "m5", "s20"], "elastic_net")
-    return models.platt(scored.where("not test"), scored.where("test")).select(*KEY, "y", "p")
+    return boosting.fit(rows.where("not test"), panel.feature_names(), growth=models.growth(kind, trees=TREES)), rows.where("test")
 
 
 @query
 def learner_boosted(spark, d):
-    rows = _xy(spark, d)
-    return models.fit_predict(rows.where("not test"), rows.where("test"), ["ret_1d", "m5", "s20"], "boosted_trees", trees=10).select(*KEY, "y", "p")
+    """Second-order trees grown depth-wise on the whole panel, nulls and all."""
+    return boosting.score(*_boosted(spark, d, "boosted_trees")).select(*KEY, "y", "p")
 
 
 @query
 def learner_boosted_leaves(spark, d):
-    rows = _xy(spark, d)
-    return models.fit_predict(rows.where("not test"), rows.where("test"), ["ret_1d", "m5", "s20"], "boosted_leaves", trees=10).select(*KEY, "y", "p")
+    """The same, grown leaf-wise."""
+    return boosting.score(*_boosted(spark, d, "boosted_leaves")).select(*KEY, "y", "p")
+
+
+@query
+def tree_contributions(spark, d):
+    """The largest contributions of each sign to the log-odds of every test row's score."""
+    explained = explain.contributions(*_boosted(spark, d, "boosted_trees"))
+    return models.top_contributions(explained, KEY)
+
+
+@query
+def tree_importance(spark, d):
+    """Features by the share of their mean absolute contribution."""
+    return explain.overall(explain.contributions(*_boosted(spark, d, "boosted_trees")))
 
 
 @query
 def walk_forward_learner(spark, d):
-    """A learner in each of the first two folds: raw and calibrated probabilities, and the threshold of the inner window."""
-    return walkforward.learn(_panel_rows(spark, d), _folds(spark, d).where("fold < 2"), ["ret_1d", "m5", "s20"], "logistic")
+    """A learner on the whole panel in all folds: raw and calibrated probabilities, and the threshold of the inner window."""
+    return walkforward.learn(_learners_panel(spark, d), _local_folds(spark, d), panel.feature_names(), "logistic")
+
+
+@query
+def walk_forward_boosted(spark, d):
+    """Boosted trees of all folds, grown side by side, beside the baselines: metrics by fold."""
+    dealt = walkforward.deal(_learners_panel(spark, d), _local_folds(spark, d))
+    return walkforward.fold_metrics(walkforward.learned(dealt, panel.feature_names(), "boosted_trees", trees=TREES).unionByName(walkforward.baselines(dealt)), dealt)
+
+
+@query
+def serving_model(spark, d):
+    """A model fitted on the serving split, stored with its card, loaded again and applied to the last session."""
+    rows = _learners_panel(spark, d)
+    folder = scratch(spark)
+    estimators.serve(rows, panel.feature_names(), folder)
+    model = estimators.serve(rows, panel.feature_names(), folder)  # from the store
+    last = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
+    return model.transform(rows.withColumn("_k", last).where("_k = 1")).select(*KEY, "prob_raw", "prob", "flagged")
+
+
+@query
+def feature_registry(spark, d):
+    """Every feature's declaration, with the rows of the panel of its group alone."""
+    r = registry.declared()
+    counts = None
+    for group in ("price", "volume", "trend"):
+        one = registry.build(D.bars(spark, d), D.context(spark, d), D.sectors(spark, d), [group]).agg(F.count("*").alias("n_rows")).withColumn("group", F.lit(group))
+        counts = one if counts is None else counts.unionByName(one)
+    return r.table(spark).drop("inputs").join(counts, "group")
 
 
 @query
 def search_trials(spark, d):
     rows = _xy(spark, d).where("not test")
     windows = [(rows.where(F.col("date") < F.lit(a).cast("date")), rows.where((F.col("date") >= F.lit(a).cast("date")) & (F.col("date") < F.lit(b).cast("date")))) for a, b in (("1998-01-01", "1998-07-01"), ("1998-07-01", "1999-01-01"))]
-    trials = models.search(windows, ["ret_1d", "m5", "s20"], "logistic", {"C": [0.01, 0.1, 1.0, 10.0]}, trials=3)
+    trials = models.search(windows, panel.feature_names(), "logistic", {"C": [0.01, 0.1, 1.0, 10.0]})
     return spark.createDataFrame([(k, float(p["C"]), float(score)) for k, (score, p) in enumerate(trials)], "trial long, c double, mean_auc double")
 
 
@@ -985,4 +1051,4 @@ def kmeans_regimes(spark, d):
 @query
 def perm_importance(spark, d):
     rows = _xy(spark, d)
-    return models.permutation_importance(rows.where("not test"), rows.where("test"), ["ret_1d", "m5", "s20"], repeats=2)
+    return models.permutation_importance(rows.where("not test"), rows.where("test"), panel.feature_names())
