@@ -433,5 +433,4 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
     clean = single.select("doc_id", "text", "times", "rid").mapInArrow(untouched, f"{schema}, times long").unionByName(marked(alike, bits, False).select("doc_id", "text", "times").mapInArrow(rows, f"{schema}, times long"))
     joined = having(bits).join(spans, "rid", "left").select("doc_id", "text", "times", "spans").mapInArrow(rows, f"{schema}, times long")
     both = clean.unionByName(joined)
-    again = both.where("times > 1").withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return both.where("times = 1").unionByName(again).drop("times")
+    return both.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
