@@ -344,16 +344,19 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
     rows_ = keyed(docs)
     # Rows that occur more than once stand as one, with their number; the others are told by a bit table.
     table = bit_table(rows_.groupBy("rid").count().where("count > 1"), "rid")
-    twins = spark.sparkContext.broadcast(table)
-    alike = (marked(rows_, twins, True) if table.any() else rows_.limit(0)).groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("did").alias("did"), F.first("text").alias("text"), F.count("*").alias("times"))
-    alike = stored(alike.select("doc_id", "did", "rid", "text", "times"), "equal-rows")
+    twins = spark.sparkContext.broadcast(table) if table.any() else None  # without equal rows, no plan has a part for them
+    single = rows_.withColumn("times", F.lit(1).cast("long"))
+    if twins is not None:
+        alike = marked(rows_, twins, True).groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("did").alias("did"), F.first("text").alias("text"), F.count("*").alias("times"))
+        alike = stored(alike.select("doc_id", "did", "rid", "text", "times"), "equal-rows")
 
     def having(bits, yes: bool = True) -> DataFrame:
         """All rows, once each, of which the bit is set, or isn't."""
-        return marked(rows_, bits, yes, also=twins).withColumn("times", F.lit(1).cast("long")).unionByName(marked(alike, bits, yes))
+        own = marked(rows_, bits, yes, also=twins).withColumn("times", F.lit(1).cast("long"))
+        return own if twins is None else own.unionByName(marked(alike, bits, yes))
 
-    single = rows_.withColumn("times", F.lit(1).cast("long"))
-    pairs = stored(minimisers(single, kind, not keep_first, twins).unionByName(minimisers(alike, kind, not keep_first)), "minimisers")
+    pairs = minimisers(single, kind, not keep_first, twins)
+    pairs = stored(pairs if twins is None else pairs.unionByName(minimisers(alike, kind, not keep_first)), "minimisers")
     repeated = stored(pairs.groupBy("mini").count().where("count > 1").select("mini"), "repeated-minimisers")
     touched = stored(pairs.join(repeated, "mini").groupBy("rid").agg(F.collect_set("mini").alias("minis")), "minimisers-by-document")
     discard(pairs, repeated)
@@ -408,7 +411,7 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
         return change
 
     def untouched(batches):
-        yield from rows(unset(batch, bits, twins) for batch in batches)
+        yield from rows(unset(batch, *(t for t in (bits, twins) if t is not None)) for batch in batches)
 
     def rows(batches):
         for batch in batches:
@@ -430,7 +433,9 @@ def remove(docs: DataFrame, kind: Kind, decide: Callable, keep_first: bool, fini
         return pa.RecordBatch.from_arrays([*made, batch.column("times")], names=[*names, "times"])
 
     types = [pa.string() if part.split()[1] == "string" else pa.int64() for part in schema.split(", ")]
-    clean = single.select("doc_id", "text", "times", "rid").mapInArrow(untouched, f"{schema}, times long").unionByName(marked(alike, bits, False).select("doc_id", "text", "times").mapInArrow(rows, f"{schema}, times long"))
-    joined = having(bits).join(spans, "rid", "left").select("doc_id", "text", "times", "spans").mapInArrow(rows, f"{schema}, times long")
-    both = clean.unionByName(joined)
+    out = f"{schema}, times long"
+    both = single.select("doc_id", "text", "times", "rid").mapInArrow(untouched, out).unionByName(having(bits).join(spans, "rid", "left").select("doc_id", "text", "times", "spans").mapInArrow(rows, out))
+    if twins is None:
+        return both.drop("times")
+    both = both.unionByName(marked(alike, bits, False).select("doc_id", "text", "times").mapInArrow(rows, out))
     return both.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
