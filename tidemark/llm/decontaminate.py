@@ -37,7 +37,7 @@ WORDS = 5
 LEAST = 0.8
 PERMUTATIONS = 16
 #: Bits for each value that a bit table holds, and the most bits that one has (32 MB to broadcast).
-ROOM, MOST_BITS = 32, 1 << 28
+ROOM, MOST_BITS = 1024, 1 << 28
 _ODD = np.array([xxhash.xxh64_intdigest(b"multiplier%d" % k) | 1 for k in range(PERMUTATIONS)], np.uint64)[:, None]
 _ADD = np.array([xxhash.xxh64_intdigest(b"increment%d" % k) for k in range(PERMUTATIONS)], np.uint64)[:, None]
 _SALT = np.array([xxhash.xxh64_intdigest(b"key%d" % k) for k in range(PERMUTATIONS)], np.uint64)[:, None]
