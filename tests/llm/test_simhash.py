@@ -148,3 +148,16 @@ def test_texts_that_share_a_repeated_line_stay(spark):
     texts += [" ".join([f"w{rng.randrange(10**6)}" for _ in range(60)] + ["word"] * 80) for _ in range(12)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == list(range(24))
+
+
+def test_rows_with_a_partner_match_brute_force():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 700):
+        u = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+        u[n // 2 :] = u[: n - n // 2] ^ (np.uint64(1) << rng.integers(0, 63, (n - n // 2, 2)).astype(np.uint64))
+        u = u[np.argsort(np.bitwise_count(u).sum(axis=1), kind="stable")]
+        for side in (np.full(n, 2), rng.integers(0, 2, n)):
+            near = np.bitwise_count(u[:, None] ^ u[None, :]).sum(axis=2) <= 2
+            np.fill_diagonal(near, False)
+            near &= (side[:, None] != side[None, :]) | (side[:, None] == 2)
+            assert (simhash._partnered(u, side, 2) == near.any(axis=1)).all()

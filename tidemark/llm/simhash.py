@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, cut, fresh_column, list_column, parts, stored
+from tidemark.llm.common import connected_components, cut, discard, fresh_column, list_column, parts, stored
 from tidemark.llm.repeats import bit_table, marked
 
 KEPT = 2
@@ -92,11 +92,9 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return common >= least * (len(a) + len(b) - common)
 
 
-def _forest(node: np.ndarray, u: np.ndarray, side: np.ndarray, radius: int, sure) -> list[tuple[int, int]]:
-    """Links of one group, ordered by bit count, as a spanning forest. side: 0 or 1 where only links between both sides are asked for, else 2."""
-    n = len(node)
-    count = np.bitwise_count(u).sum(axis=1, dtype=np.int32)
-    label, out = np.arange(n), []
+def _tiles(u: np.ndarray, side: np.ndarray, radius: int):
+    """(start of rows, start of columns, which are within the radius) for the tiles of one group, ordered by bit count, that may hold links."""
+    n, count = len(u), np.bitwise_count(u).sum(axis=1, dtype=np.int32)
     for a in range(0, n, TILE):
         for b in range(a, n, TILE):
             x, y = slice(a, a + TILE), slice(b, b + TILE)
@@ -107,32 +105,34 @@ def _forest(node: np.ndarray, u: np.ndarray, side: np.ndarray, radius: int, sure
                 near = np.triu(near, 1)
             if (side[x] < 2).any():
                 near &= (side[x][:, None] != side[y][None, :]) | (side[x][:, None] == 2)
-            for i in np.flatnonzero(near.any(axis=1)):
-                js = b + np.flatnonzero(near[i])
-                js = js[label[js] != label[a + i]]  # links within what is linked are not needed
-                for j in js:
-                    if label[j] != label[a + i] and sure(a + i, j):
-                        out.append((int(node[a + i]), int(node[j])))
-                        label[label == label[j]] = label[a + i]
+            yield a, b, near
+
+
+def _forest(node: np.ndarray, u: np.ndarray, side: np.ndarray, radius: int, sure) -> list[tuple[int, int]]:
+    """Links of one group as a spanning forest. side: 0 or 1 where only links between both sides are asked for, else 2."""
+    label, out = np.arange(len(node)), []
+    for a, b, near in _tiles(u, side, radius):
+        for i in np.flatnonzero(near.any(axis=1)):
+            js = b + np.flatnonzero(near[i])
+            js = js[label[js] != label[a + i]]  # links within what is linked are not needed
+            for j in js:
+                if label[j] != label[a + i] and sure(a + i, j):
+                    out.append((int(node[a + i]), int(node[j])))
+                    label[label == label[j]] = label[a + i]
     return out
 
 
-def _compare(batches, radius: int, least: float | None = None):
-    """Rows (key, side, node, fingerprint words) come ordered by group; the last group of a batch waits for the next batch.
+def _partnered(u: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows of one group have any other within the radius."""
+    found = np.zeros(len(u), bool)
+    for a, b, near in _tiles(u, side, radius):
+        found[a : a + TILE] |= near.any(axis=1)
+        found[b : b + TILE] |= near.any(axis=0)
+    return found
 
-    least: a last column has the shingles' hashes, and a link is kept if their sets are as similar as that.
-    """
 
-    def links(key, side, node, *fp):
-        sets = fp[-1] if least else None
-        u = np.stack(fp[:-1] if least else fp, 1).view(np.uint64)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]).tolist()
-        found: list[tuple[int, int]] = []
-        for a, b in zip(edges, edges[1:]):
-            sure = (lambda i, j, a=a: similar(sets[a + i], sets[a + j], least)) if least else (lambda i, j: True)
-            found += _forest(node[a:b], u[a:b], side[a:b], radius, sure)
-        found = np.array(found, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+def _by_group(batches, made):
+    """`made` of the columns of whole groups and of the groups' edges. Rows come ordered by group, the first column; the last group of a batch waits for the next."""
 
     def lists(column):
         out, values, at = np.empty(len(column), object), column.values.to_numpy(), column.offsets.to_numpy()
@@ -140,6 +140,11 @@ def _compare(batches, radius: int, least: float | None = None):
             out[k] = values[at[k] : at[k + 1]]
         return out
 
+    def whole(columns):
+        key = columns[0]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]).tolist()
+        return made(columns, list(itertools.pairwise(edges)))
+
     held = None
     for batch in batches:
         now = [lists(c) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -147,18 +152,59 @@ def _compare(batches, radius: int, least: float | None = None):
         other = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else held[0]
         first = other[-1] + 1 if len(other) else 0
         if first:
-            yield links(*(x[:first] for x in held))
+            yield whole([x[:first] for x in held])
             held = [x[first:] for x in held]
     if held is not None and len(held[0]):
-        yield links(*held)
+        yield whole(held)
 
 
-def _compared(dealt: DataFrame, words: list[str], radius: int, least: float | None = None) -> DataFrame:
+def _compare(batches, radius: int, least: float | None = None):
+    """Links of rows (key, side, node, fingerprint words).
+
+    least: a last column has the shingles' hashes, and a link is kept if their sets are as similar as that.
+    """
+
+    def links(columns, groups):
+        _, side, node, *fp = columns
+        sets = fp.pop() if least else None
+        u = np.stack(fp, 1).view(np.uint64)
+        found: list[tuple[int, int]] = []
+        for a, b in groups:
+            sure = (lambda i, j, a=a: similar(sets[a + i], sets[a + j], least)) if least else (lambda i, j: True)
+            found += _forest(node[a:b], u[a:b], side[a:b], radius, sure)
+        found = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return _by_group(batches, links)
+
+
+def _survive(batches, names: list[str], radius: int):
+    """Those of the rows (key, side, node, text_hash, fingerprint words) that have another of their group within the radius."""
+
+    def survivors(columns, groups):
+        u = np.stack(columns[4:], 1).view(np.uint64)
+        stay = np.concatenate([_partnered(u[a:b], columns[1][a:b], radius) for a, b in groups])
+        return pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in columns], names=names)
+
+    return _by_group(batches, survivors)
+
+
+def _ordered(dealt: DataFrame, words: list[str], *other: str) -> DataFrame:
     bits = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
-    ordered = dealt.select("key", F.col("side").cast("int"), "node", *words, *(["shingles"] if least else [])).repartition("key").sortWithinPartitions("key", bits, "node")
+    return dealt.select("key", F.col("side").cast("int").alias("side"), "node", *other).repartition("key").sortWithinPartitions("key", bits, "node")
+
+
+def _compared(dealt: DataFrame, words: list[str], radius: int, least: float | None = None) -> DataFrame:
+    ordered = _ordered(dealt, words, *words, *(["shingles"] if least else []))
     return ordered.mapInArrow(functools.partial(_compare, radius=radius, least=least), "a long, b long")
 
 
+def _survivors(dealt: DataFrame, words: list[str], radius: int) -> DataFrame:
+    names = ["key", "side", "node", "text_hash", *words]
+    schema = ", ".join(f"{n} {'int' if n == 'side' else 'long'}" for n in names)
+    return _ordered(dealt, words, *names[3:]).mapInArrow(functools.partial(_survive, names=names, radius=radius), schema)
+
+
 def links(fps: DataFrame, radius: int = 2, hot: int = HOT) -> DataFrame:
     """(a, b): a spanning forest, in each group, of the links between the distinct fingerprints `fp`."""
     each = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(masks(radius))))
@@ -242,18 +288,22 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def wide_links(docs: DataFrame, nodes: DataFrame, size: int, similarity: float, hot: int = HOT) -> DataFrame:
     """Links between nodes(node, text_hash, w0.., keys) at a large radius, where no block of bits need agree: groups share the least shingle hash of a seed.
 
-    Texts with a Jaccard similarity of 0.8 share one of four least hashes but for 0.2 ** 4 of such pairs. What the tiles let through is
-    compared by its sets of shingles.
+    Texts with a Jaccard similarity of 0.8 share one of four least hashes but for 0.2 ** 4 of such pairs. The tiles are compared first by
+    fingerprints alone, six numbers a row. Only rows with another one in reach, in that pair of slices, are compared again with their sets of
+    shingles; so no set is made or sent for the rest, however large their group is, and pairs are never listed.
     """
     words = [f"w{k}" for k in range(len(WIDE))]
     grouped = nodes.select("node", "text_hash", *words, F.posexplode("keys").alias("k", "v")).select("node", "text_hash", *words, F.xxhash64("k", "v").alias("key"))
     sizes = grouped.groupBy("key").count().where("count > 1").withColumn("slices", F.ceil(F.col("count") / F.lit(hot)).cast("int"))
-    shared = stored(grouped.join(sizes, "key"), "shared-shingles")
-    sets = stored(shingle_sets(docs, shared.select("node", "text_hash").distinct(), size), "shingle-sets")
-    sliced = shared.withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
-    met = sliced.select("*", F.explode(F.expr("sequence(0, slices - 1)")).alias("o")).join(sets, "node")
-    dealt = met.select(F.xxhash64("key", F.least("own", "o"), F.greatest("own", "o")).alias("key"), F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1).alias("side"), "node", *words, "shingles")
-    return _compared(dealt, words, wide_radius(similarity), similarity)
+    sliced = grouped.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    met = sliced.select("*", F.explode(F.expr("sequence(0, slices - 1)")).alias("o"))
+    pair, side = F.xxhash64("key", F.least("own", "o"), F.greatest("own", "o")), F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1)
+    dealt = met.select(pair.alias("key"), side.alias("side"), "node", "text_hash", *words)
+    near = stored(_survivors(dealt, words, wide_radius(similarity)), "near-fingerprints")
+    sets = shingle_sets(docs, near.select("node", "text_hash").distinct(), size)
+    linked = cut(_compared(near.join(sets, "node"), words, wide_radius(similarity), similarity).distinct())
+    discard(near)
+    return linked
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -264,7 +314,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     prints = stored(wide_fingerprints(docs, size), "wide-fingerprints")
     words = [f"w{k}" for k in range(len(WIDE))]
     nodes = prints.groupBy("node", *words).agg(F.first("keys").alias("keys"), F.min("text_hash").alias("text_hash"))
-    linked = connected_components(wide_links(docs, nodes, size, similarity).distinct())
+    linked = connected_components(wide_links(docs, nodes, size, similarity))
     rooted = prints.join(linked, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "text_hash")
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m")).select("m.doc_id", "m.text_hash")
     # Aliases keep columns of docs apart that have the same names.
