@@ -155,6 +155,23 @@ def test_learner_calibration_and_contributions(spark):
     assert models.top_contributions(c, ["id"], 1).groupBy("id").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_importance_deals_whole_rows_and_leaves_a_small_plan(spark):
+    rng = random.Random(5)
+    names = [f"x{k}" for k in range(12)]
+    rows = [(*(rng.gauss(0, 1) if k % 3 or rng.random() < 0.8 else None for k in range(12)), 0.0) for _ in range(300)]
+    rows = [(*r[:12], float(rng.random() < 1 / (1 + math.exp(-3 * r[1])))) for r in rows]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names) + ", y double")
+    out = models.permutation_importance(df, df, names, repeats=3, at_once=5)
+    assert len(out._jdf.queryExecution().analyzed().toString().splitlines()) < 5  # not a branch for every few features
+    losses = {r.feature: r.mean_loss for r in out.collect()}
+    assert sorted(losses) == sorted(names) and losses["x1"] > 0.2 and max(abs(v) for n, v in losses.items() if n != "x1") < 0.05
+    dealt = models.shuffled(df, names, 3, 17).collect()
+    for draw in range(3):
+        mine = [r for r in dealt if r.draw == draw]
+        assert sorted(map(str, ([r[n] for n in names] for r in mine))) == sorted(str(list(r._new)) for r in mine)
+        assert len(mine) == 300 and sum([r[n] for n in names] != list(r._new) for r in mine) > 200
+
+
 def test_quantiles_without_a_key(spark):
     import numpy as np
 

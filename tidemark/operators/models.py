@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import boosting, metrics
 from tidemark.operators.regime import STARTS
-from tidemark.sources.files import kept
+from tidemark.sources.files import discard, kept
 
 
 def baseline_rates(fit: DataFrame, keys: list[str]) -> DataFrame:
@@ -171,24 +171,35 @@ def search(windows: list[tuple[DataFrame, DataFrame]], columns: list[str], kind:
 def permutation_importance(fit: DataFrame, score: DataFrame, columns: list[str], kind: str = "logistic", repeats: int = 5, seed: int = 17, at_once: int = 10) -> DataFrame:
     """By feature: the area under the curve as it is, and the mean loss of it when the feature's values are dealt anew among the scored rows.
 
-    A row's new value is that of the row whose rank is its own by a hash of another draw, within 64 parts of the rows by hash. The scored rows
-    are repeated for `at_once` features and all repeats at a time, so the areas of these are one grouped plan.
+    A row's new value is that of the row whose rank is its own by a hash of another draw, within 64 parts of the rows by hash. A draw deals all
+    features alike, so every row is stored once a draw, beside the row that its values come from; no values are moved by feature. The areas of
+    `at_once` features and all draws are one grouped plan, and the driver sees a row a feature.
     """
     train = fit.where("y is not null")
     model = pipeline(kind, columns, max(1, train.count())).fit(train)
     scored = lambda df, keys: metrics.roc_auc(model.transform(df).select(*keys, "y", vector_to_array("probability")[1].alias("p")), keys)
     base = scored(score.withColumn("all", F.lit(0)), ["all"]).first()["roc_auc"]
-    spot = lambda *draw: F.row_number().over(Window.partitionBy("feature", "draw", "_part").orderBy(*draw, "_row"))
-    rows = kept(score.where("y is not null").select("y", *columns).withColumn("_row", F.monotonically_increasing_id()), "importance").withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(64)))
-    out = None
+    dealt = shuffled(score.where("y is not null").select("y", *columns), columns, repeats, seed)
+    out = []
     for a in range(0, len(columns), at_once):
         some = columns[a : a + at_once]
-        each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit(k).alias("draw"), F.col(c).alias("_own")) for c in some for k in range(repeats)))).alias("x")
-        here = rows.select("*", each).select("*", "x.*").drop("x").withColumn("_k", spot(F.lit(0)))
-        there = here.select("feature", "draw", "_part", F.col("_own").alias("_new"), spot(F.xxhash64(F.lit(seed), "draw", "_row")).alias("_k"))
-        mixed = here.join(there, ["feature", "draw", "_part", "_k"]).withColumns({c: F.when(F.col("feature") == c, F.col("_new")).otherwise(F.col(c)) for c in some})
-        one = scored(mixed, ["feature", "draw"]).groupBy("feature").agg(F.lit(base).cast("double").alias("roc_auc"), F.avg(F.lit(base) - F.col("roc_auc")).alias("mean_loss"))
-        out = one if out is None else out.unionByName(one)
+        each = dealt.withColumn("feature", F.explode(F.array(*map(F.lit, some))))
+        at = {c: k for k, c in enumerate(columns)}
+        mixed = each.select("feature", "draw", "y", *(F.when(F.col("feature") == c, F.col("_new")[at[c]]).otherwise(F.col(c)).alias(c) if c in some else F.col(c) for c in columns))
+        out += scored(mixed, ["feature", "draw"]).groupBy("feature").agg(F.lit(base).cast("double").alias("roc_auc"), F.avg(F.lit(base) - F.col("roc_auc")).alias("mean_loss")).collect()  # a row a feature
+    discard(dealt)
+    return score.sparkSession.createDataFrame(out, "feature string, roc_auc double, mean_loss double")
+
+
+def shuffled(rows: DataFrame, columns: list[str], repeats: int, seed: int) -> DataFrame:
+    """rows(y, columns) once for each draw, with draw and _new: the columns, as doubles, of the row that has this one's rank by the draw's hash. Stored."""
+    numbered = kept(rows.withColumn("_row", F.monotonically_increasing_id()), "importance")
+    parts = numbered.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(64)))
+    own = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy("_row"))).drop("_row")
+    drawn = parts.select("_part", "_row", F.array(*(F.col(c).cast("double") for c in columns)).alias("_new"), F.explode(F.array(*map(F.lit, range(repeats)))).alias("draw"))
+    spot = F.row_number().over(Window.partitionBy("draw", "_part").orderBy(F.xxhash64(F.lit(seed), "draw", "_row"), "_row"))
+    out = kept(own.join(drawn.withColumn("_k", spot).drop("_row"), ["_part", "_k"]).drop("_part", "_k"), "importance")
+    discard(numbered)
     return out
 
 
