@@ -162,3 +162,16 @@ def test_band_is_fitted_apart_from_the_rows_it_labels(spark):
     labels = panel.ternary(rows.where("k >= 2000 or ticker = 'B'"), band, 1)
     assert 0.28 < labels.where("ticker = 'A'").agg(F.avg((F.col("label") == 0).cast("int"))).first()[0] < 0.38
     assert labels.where("ticker = 'B'").first().label is None
+
+
+def test_bars_merged_from_one_pass_are_those_of_the_trades(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("AN"), rng.choice(["F", "O", None]), rng.choice([datetime.date(2020, 1, k) for k in (1, 2, 3)] + [None]), rng.choice([None, 1, 2, 3, 4]), rng.randrange(2), rng.randrange(3), 1, float(rng.randrange(1, 9)), float(rng.randrange(100, 999))) for _ in range(400)]
+    lines = spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_shipdate date, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double")
+    trades = B.ticks(lines)
+    fine = B.fine_bars(trades)
+    same = lambda a, b: sorted(map(str, (r.asDict() for r in a.collect()))) == sorted(map(str, (r.asDict() for r in b.select(*a.columns).collect())))
+    for key in ("ticker", "sector"):
+        assert same(B.to_bars(trades, key, "date"), B.merged(fine, key, "date"))
+    at = lambda df: {r.date: (r.bench_close, None if r.vix is None else round(r.vix, 9)) for r in df.collect()}
+    assert at(B.market_context(trades)) == at(B.merged_context(fine, trades))
